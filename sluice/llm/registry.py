@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, sharding, simhash
+from sluice.llm import exact_dedup, mixing, pieces, sharding, simhash, warc
 
 QUERIES = {
+    "op1_warc": warc.op1_warc,
     "op3_jump_hash": sharding.op3_jump_hash,
+    "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op8_mixing": mixing.op8_mixing,
     "op10_simhash": simhash.op10_simhash,
 }
 
 ORACLE_SQL = {
+    "op1_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
 }
