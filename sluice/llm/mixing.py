@@ -110,12 +110,13 @@ def mix(
     )
     blocks = _many(slim.select("_source", "blocks"), "blocks", "block", n, "_source").select(F.col("_source").alias("source"), "block")
     blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "block")).withColumn("part", F.shiftrightunsigned("key", 54))
+    blocks = keep(blocks, "blocks")  # else the planner takes the rows of a count for as few as the counts
     places = _running(blocks, ["source"], "part", ["key", "block"], F.lit(1), "place").select("source", "block", "place")
     draws = _many(slim.select("_source", "blocks", "draws"), "draws", "draw", n, "_source").select(
         F.col("_source").alias("d_source"), (F.col("draw") % F.col("blocks")).alias("d_place"), "draw",
         F.pmod(F.xxhash64(F.lit(seed + 1), "_source", "draw"), F.lit(shards)).cast("int").alias("shard"),
     )
-    drawn = draws.join(places, F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_place") == F.col("place")))
+    drawn = draws.join(places.hint("merge"), F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_place") == F.col("place")))
     drawn = keep(drawn.select("shard", "source", "draw", "block", "place"), "draws")
     uses = drawn.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses")).select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "uses")
     taken = (
