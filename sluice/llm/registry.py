@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, mixing, pieces, sharding, simhash, warc
+from sluice.llm import exact_dedup, mixing, pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op8_mixing": mixing.op8_mixing,
+    "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
 }
 
