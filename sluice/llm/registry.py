@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from sluice.llm import exact_dedup, mixing, pieces, sharding, simhash, toxicity, warc
+from sluice.llm import embedding_dedup, exact_dedup, html_text, mixing, pieces, sharding, simhash, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
     "op3_jump_hash": sharding.op3_jump_hash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_embeddings": embedding_dedup.op6_embeddings,
+    "op7_html_text": html_text.op7_html_text,
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
