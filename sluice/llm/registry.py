@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from sluice.llm import embedding_dedup, exact_dedup, html_text, mixing, pieces, sharding, simhash, toxicity, warc
+from sluice.llm import embedding_dedup, exact_dedup, html_text, mixing, pieces, sharding, simhash, suffix_dedup, toxicity, warc
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_jump_hash": sharding.op3_jump_hash,
     "op4_sentencepiece": pieces.op4_sentencepiece,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
