@@ -112,6 +112,15 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return found.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("sha").alias("text_sha256"))
 
 
+def drop_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, all columns as they are; of rows with one id and one text only one."""
+    groups = exact_groups(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha")).distinct()
+    groups = keep(groups, "kept")
+    sha = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    found = docs.withColumn("_own", sha).join(groups, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")))
+    return found.dropDuplicates(["doc_id", "_own"]).select(*docs.columns)
+
+
 def op5_exact_dedup(spark, sf_dir: str) -> DataFrame:
     return exact_groups(table(spark, sf_dir, "documents"))
 

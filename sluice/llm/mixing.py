@@ -90,6 +90,7 @@ def mix(
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
+        F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
     rows = keep(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))), "sizes")
     goals = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
@@ -101,10 +102,10 @@ def mix(
     goals = goals.withColumn("draws", F.least("draws", F.col("blocks") * most))
     slim = goals.select(F.col("source").alias("_source"), "blocks", "draws", "source_size", "target")
 
-    laid = _running(rows.where("size > 0"), ["source"], "part", ["doc_id", "size"], F.col("size"), "start")
+    laid = _running(rows.where("size > 0"), ["source"], "part", ["doc_id", "size", "text_hash"], F.col("size"), "start")
     laid = keep(laid, "laid")  # a source's starts differ
     spans = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))).select(
-        "source", "block", "doc_id", "start",
+        "source", "block", "doc_id", "text_hash", "start",
         F.expr(f"greatest(start, block * {block})").alias("from_word"),
         F.expr(f"least(start + size, (block + 1) * {block})").alias("to_word"),
     )
@@ -135,8 +136,31 @@ def mix(
         "documents": out.select("doc_id", "size", "source", "source_size", "target", "taken"),
         "slots": slots.select("shard", "slot", "source", "block", "place"),
         "spans": spans,
+        "uses": uses.select(F.col("u_source").alias("source"), F.col("u_block").alias("block"), "uses"),
     }
 
 
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents, all columns as in docs: a document's text becomes the words that the mix takes from it, in
+    order, each piece as often as its block is drawn, joined by spaces; n_chars, if there, is its new length. Documents of
+    which nothing is taken go. Rows with one id, source and text become one row with the pieces of all."""
+    made = mix(docs, **options)
+    uses = made["uses"].select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "uses")
+    pieces = made["spans"].join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
+    piece = F.struct("start", "block", (F.col("from_word") - F.col("start")).alias("skip"), (F.col("to_word") - F.col("from_word")).alias("words"), "uses")
+    pieces = pieces.groupBy("doc_id", "source", "text_hash").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
+    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_pieces")
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_hash"))
+    found = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "source", "_own"]).join(pieces, same)
+    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
+    found = found.withColumn("_words", words)
+    taken = F.transform("_pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["skip"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
+    text = F.array_join(taken, " ")
+    if "n_chars" in docs.columns:
+        kind = docs.schema["n_chars"].dataType
+        return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+    return found.withColumn("text", text).select(*docs.columns)
+
+
 def op8_mixing(spark, sf_dir: str) -> DataFrame:
     return mix(table(spark, sf_dir, "documents"))["documents"].select("doc_id", "size", "source_size", "target", "taken")

@@ -1,8 +1,8 @@
 """SimHash near-dedup with deletion-variant signatures.
 
-A 64-bit fingerprint is cut into two 32-bit segments, fewer than the three differing bits allowed: one of them differs by
-at most one bit. So each fingerprint is indexed under every segment with one position made a wildcard; rows of equal
-variants meet, and the whole fingerprints are compared. Only distinct fingerprints are indexed.
+A 64-bit fingerprint is cut into fewer segments than bits may differ, so that one of them differs by at most one bit: two
+segments for three bits, four for seven. Each fingerprint is indexed under every segment with one position made a
+wildcard; rows of equal variants meet, and the whole fingerprints are compared. Only distinct fingerprints are indexed.
 """
 
 from __future__ import annotations
@@ -67,87 +67,83 @@ def _stars(v: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _link(bits: int, limit: int):
-    """Rows (key, fp) in key order -> links (over = false, a, b); the rows of a run beyond the limit come out as they are
-    (over = true, key, fp)."""
+    """Rows (key, fp, rest) in key order -> links (over = false, a, b, 0); the rows of a run beyond the limit come out as
+    they are (over = true, key, fp, rest)."""
 
-    def batch(parts: list[tuple[bool, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        over = np.concatenate([np.full(len(a), o) for o, a, _ in parts]) if parts else np.zeros(0, bool)
-        a, b = (np.concatenate([p[i].view(np.int64) for p in parts]) if parts else np.zeros(0, np.int64) for i in (1, 2))
-        return pa.RecordBatch.from_arrays([pa.array(over), pa.array(a), pa.array(b)], ["over", "a", "b"])
+    def batch(parts: list[tuple]) -> pa.RecordBatch:
+        none = np.zeros(0, np.int64)
+        over = np.concatenate([np.zeros(0, bool), *(np.full(len(p[1]), p[0]) for p in parts)])
+        cols = [np.concatenate([none, *(p[i].view(np.int64) for p in parts)]) for i in (1, 2)]
+        rest = np.concatenate([none, *(p[3] if p[0] else np.zeros(len(p[1]), np.int64) for p in parts)])
+        return pa.RecordBatch.from_arrays([pa.array(over), *map(pa.array, cols), pa.array(rest)], ["over", "a", "b", "c"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, fp, passing = np.zeros(0, np.int64), np.zeros(0, np.int64), None
+        key, fp, rest = (np.zeros(0, np.int64) for _ in range(3))
+        passing = None
         for x in batches:
-            key = np.concatenate([key, x.column("key").to_numpy()])
-            fp = np.concatenate([fp, x.column("fp").to_numpy()])
+            key, fp, rest = (np.concatenate([old, x.column(c).to_numpy()]) for old, c in ((key, "key"), (fp, "fp"), (rest, "rest")))
             out: list = []
             if passing is not None:
                 stop = np.searchsorted(key, passing, "right")
-                out.append((True, key[:stop], fp[:stop]))
+                out.append((True, key[:stop], fp[:stop], rest[:stop]))
                 passing = passing if stop == len(key) else None
-                key, fp = key[stop:], fp[stop:]
+                key, fp, rest = key[stop:], fp[stop:], rest[stop:]
             if len(key):
                 last = np.searchsorted(key, key[-1], "left")
-                out += _runs(key[:last], fp[:last].view(np.uint64), bits)
-                key, fp = key[last:], fp[last:]
+                out += _runs(key[:last], fp[:last], rest[:last], bits, limit)
+                key, fp, rest = key[last:], fp[last:], rest[last:]
                 if len(key) > limit:
-                    out.append((True, key, fp))
-                    key, fp, passing = key[:0], fp[:0], key[-1]
+                    out.append((True, key, fp, rest))
+                    key, fp, rest, passing = key[:0], fp[:0], rest[:0], key[-1]
             yield batch(out)
-        yield batch(_runs(key, fp.view(np.uint64), bits))
+        yield batch(_runs(key, fp, rest, bits, limit))
 
     return run
 
 
-def _runs(key: np.ndarray, fp: np.ndarray, bits: int) -> list:
+def _runs(key: np.ndarray, fp: np.ndarray, rest: np.ndarray, bits: int, limit: int) -> list:
     """The links within each run of equal keys."""
     if len(key) < 2:
         return []
     at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     size = np.diff(np.append(at, len(key)))
+    fp = fp.view(np.uint64)
     two = at[size == 2]
     two = two[np.bitwise_count(fp[two] ^ fp[two + 1]) <= bits]
-    out = [(False, fp[two], fp[two + 1])]
+    out: list = [(False, fp[two], fp[two + 1])]
     for a, n in zip(at[size > 2].tolist(), size[size > 2].tolist(), strict=True):
-        out.append((False, *_stars(fp[a : a + n], bits)))
+        out.append((True, key[a : a + n], fp[a : a + n], rest[a : a + n]) if n > limit else (False, *_stars(fp[a : a + n], bits)))
     return out
 
 
 def near_links(fps: DataFrame, bits: int = MAX_BITS, limit: int = RUN_LIMIT) -> DataFrame:
-    """fps (fp long), distinct -> edges (a, b) that join all fingerprints linked at `bits` or fewer differing bits.
-    A run of one variant with more than `limit` fingerprints is cut again: its other bits become halves with one
-    wildcard each, so nothing is capped."""
+    """fps (fp long), distinct -> edges (a, b) that join all fingerprints linked at `bits` (odd) or fewer differing bits.
+
+    A run of one variant with more than `limit` fingerprints is cut again: the bits outside its segment become as many
+    segments with wildcards of their own, and so on; nothing is capped."""
     n = partitions(fps.sparkSession)
-    rows = fps.select("fp", F.explode(F.expr("sequence(0, 63)")).alias("i")).select(
-        F.expr(
-            "shiftleft(cast(i as bigint), 38) | if(i < 32, 32, 0) | "
-            "shiftleft(shiftrightunsigned(fp, cast((i div 32) * 32 as int)) & 4294967295L & ~shiftleft(1L, i % 32), 6)"
-        ).alias("key"),  # the low six bits tell where the free segment starts
-        "fp",
-    )
-    edges, width = None, 32  # of the free segment
-    while True:
-        out = keep(
-            rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(_link(bits, limit), "over boolean, a long, b long"),
-            "links",
+    segments = (bits + 1) // 2
+    widths, free = [], 64
+    while free % segments == 0 and free // segments >= 4:
+        widths.append(free // segments)
+        free -= free // segments
+    rows, edges = fps.select("fp", F.col("fp").alias("rest"), F.lit(0).cast("long").alias("key")), None
+    for level, w in enumerate(widths):
+        rows = rows.withColumn("i", F.explode(F.expr(f"sequence(0, {segments * w - 1})"))).withColumn("low", F.expr(f"cast((i div {w}) * {w} as int)"))
+        part = f"shiftrightunsigned(rest, low) & {(1 << w) - 1}L & ~shiftleft(1L, i % {w})"
+        above = f"if(low + {w} > 63, 0L, shiftleft(shiftrightunsigned(rest, least(63, low + {w})), low))"
+        left = f"({above}) | (rest & (shiftleft(1L, low) - 1L))"
+        rows = rows.select(F.expr(f"xxhash64(key, i, {part})").alias("key"), "fp", F.expr(left).alias("rest"))
+        linked = rows.repartition(n, "key").sortWithinPartitions("key", "fp").mapInArrow(
+            _link(bits, limit if level + 1 < len(widths) else 1 << 62), "over boolean, a long, b long, c long"
         )
+        out = keep(linked, "links")
         found = out.where("not over").select("a", "b")
         edges = found if edges is None else edges.unionByName(found)
-        over = out.where("over").select(F.col("a").alias("key"), F.col("b").alias("fp"))
-        if over.isEmpty():
-            return edges
-        width //= 2
-        if width < 4:
-            raise ValueError("a run of one variant holds 256 distinct fingerprints at most here; raise the limit")
-        part = over.select("key", "fp", F.expr("cast(key & 63 as int) as free"), F.explode(F.expr(f"sequence(0, {2 * width - 1})")).alias("i"))
-        part = part.withColumn("at", F.expr(f"free + cast((i div {width}) * {width} as int)"))
-        rows = part.select(
-            F.expr(
-                f"(xxhash64(key, i, shiftrightunsigned(fp, at) & {(1 << width) - 1}L & ~shiftleft(1L, i % {width})) & ~63L)"
-                f" | (2 * free + {width} - at)"
-            ).alias("key"),
-            "fp",
-        )
+        rows = out.where("over").select(F.col("a").alias("key"), F.col("b").alias("fp"), F.col("c").alias("rest"))
+        if rows.isEmpty():
+            break
+    return edges
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = MAX_BITS) -> DataFrame:
@@ -169,5 +165,11 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_near_copies(docs: DataFrame, width: int = 5, bits: int = MAX_BITS) -> DataFrame:
+    """The rows of docs, all columns as they are, whose id is the least of their group."""
+    groups = near_groups(docs, width=width, bits=bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return docs.join(keep(groups.select(F.col("doc_id").alias("_id")).distinct(), "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select(*docs.columns)
+
+
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "documents"), width=3)
