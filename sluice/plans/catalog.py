@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from sluice.plans import queries
+
 FLAGSHIP = "flagship_gate"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+QUERIES: dict = dict(queries.QUERIES)
+ORACLE_SQL: dict = dict(queries.ORACLE_SQL)
