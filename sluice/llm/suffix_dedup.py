@@ -207,15 +207,33 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(SORT, k, np.zeros(len(k)), d, p, np.zeros(len(k)))
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SPOTS = "hot boolean, key long, doc long, place int, before binary, after binary"
+
+
+def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What stands before (backwards) and after each anchor to sort; for anchors of very many contexts instead all windows
+    around them, as hash and start, each once per text."""
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [()] * 6
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hot", "key", "doc", "place", "before", "after"])
+
     for b in batches:
-        rows = []
+        rows: list[tuple] = []
         for doc, text, wants in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wants")), strict=True):
             t = text.encode()
-            rows += [(w["key"], doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]) for w in wants]
-        cols = list(zip(*rows, strict=True)) or [()] * 5
-        kinds = (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["key", "doc", "place", "before", "after"])
+            rows += [(False, w["key"], doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]) for w in wants if w["kind"] == SORT]
+            hot = np.array([w["place"] for w in wants if w["kind"] == HOT], np.int64)
+            if len(hot):
+                start = np.unique((hot[:, None] - np.arange(REACH + 1)).ravel())
+                start = start[(start >= 0) & (start + LENGTH <= len(t))]
+                value = Hashed([t]).hash(start, start + LENGTH).view(np.int64)
+                rows += [(True, h, doc, at, None, None) for h, at in zip(value.tolist(), start.tolist(), strict=True)]
+            if len(rows) > 20_000:
+                yield batch(rows)
+                rows = []
+        yield batch(rows)
 
 
 def blind_trie(strings: list[bytes], depth: int) -> list[int]:
@@ -357,18 +375,6 @@ def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(held)
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All windows around the anchors of very many contexts: hash and start, each once per text."""
-    for b in batches:
-        for doc, text, wants in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wants")), strict=True):
-            h = Hashed([text.encode()])
-            place = np.array([w["place"] for w in wants])
-            start = np.unique((place[:, None] - np.arange(REACH + 1)).ravel())
-            start = start[(start >= 0) & (start + LENGTH <= len(h.data))]
-            value = h.hash(start, start + LENGTH).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(np.full(len(start), doc, np.int64)), pa.array(start.astype(np.int32))], ["h", "doc", "start"])
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         rows = []
@@ -414,15 +420,12 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = found.repartition(n, "key").sortWithinPartitions("key", "context", "doc", "place")
     settled = keep(found.mapInArrow(_settle, _ANCHOR), "settled")
 
-    def wanted(kind: int) -> DataFrame:
-        wants = settled.where(F.col("kind") == kind).groupBy("doc").agg(F.collect_list(F.struct("key", "place")).alias("wants"))
-        return rows.select("doc", "text").join(wants, "doc").select("doc", "text", "wants")
-
-    contexts = wanted(SORT).mapInArrow(_contexts, "key long, doc long, place int, before binary, after binary")
-    ordered = contexts.repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "doc long, start int, stop int")
-    windows = keep(wanted(HOT).mapInArrow(_windows, "h long, doc long, start int"), "windows")
-    first = keep(windows.groupBy("h").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
-    again = windows.join(first, "h").where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
+    wants = settled.where(F.col("kind").isin(SORT, HOT)).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("wants"))
+    spots = keep(rows.select("doc", "text").join(wants, "doc").select("doc", "text", "wants").mapInArrow(_spots, _SPOTS), "spots")
+    ordered = spots.where("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "doc long, start int, stop int")
+    windows = spots.where("hot").select("key", "doc", F.col("place").alias("start"))
+    first = keep(windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
+    again = windows.join(first, "key").where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
     gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), "stop").unionByName(ordered).unionByName(again)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     return rows.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(
