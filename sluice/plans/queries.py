@@ -353,7 +353,7 @@ def dif4(spark, d):
 ORACLE_SQL["dif4_entity_matching"] = sql("SELECT 1 FROM ent_b, ent_h").replace(" SELECT 1 FROM ent_b, ent_h", _DIF4 + "SELECT path, symbol, kind, b_ord AS base_ord FROM matched")
 
 
-@query("dif5_text_multiset", "SELECT conv_id, turn, first_word FROM (SELECT conv_id, turn, role, string_split(text, ' ')[1] AS first_word, row_number() OVER (PARTITION BY conv_id, role, string_split(text, ' ')[1] ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 1) h LEFT JOIN (SELECT conv_id AS c, string_split(text, ' ')[1] AS w, count(*) AS was FROM conversations WHERE turn % 2 = 0 GROUP BY ALL) b ON h.conv_id = b.c AND h.first_word = b.w WHERE n > coalesce(was, 0)".replace("PARTITION BY conv_id, role, string", "PARTITION BY conv_id, string"))
+@query("dif5_text_multiset", "SELECT conv_id, turn, first_word FROM (SELECT conv_id, turn, role, string_split(text, ' ')[1] AS first_word, row_number() OVER (PARTITION BY conv_id, string_split(text, ' ')[1] ORDER BY turn) AS n FROM conversations WHERE turn % 2 = 1) h LEFT JOIN (SELECT conv_id AS c, string_split(text, ' ')[1] AS w, count(*) AS was FROM conversations WHERE turn % 2 = 0 GROUP BY ALL) b ON h.conv_id = b.c AND h.first_word = b.w WHERE n > coalesce(was, 0)")
 def dif5(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", F.element_at(F.split("text", " ", -1), 1).alias("first_word"))
     return diff.new_texts(c.where("turn % 2 = 0"), c.where("turn % 2 = 1"), ["conv_id"], "first_word", ["turn"])
@@ -369,3 +369,466 @@ def dif6(spark, d):
 def dif7(spark, d):
     rows = A.changes(spark, d).select(F.col("kind").alias("reason"), "path")
     return diff.inventory_by_reason(rows, most=5).withColumn("shown", F.array_join("shown", ","))
+
+
+# --- joins ---------------------------------------------------------------------------------------------------------------
+
+
+def _issue_counts(spark, d, side):
+    return gates.bucket_counts(A.issues(spark, d).where(F.col("side") == side))
+
+
+@query("join1_ratchet", "SELECT * FROM ratchet")
+def join1(spark, d):
+    return gates.ratchet(_issue_counts(spark, d, "base"), _issue_counts(spark, d, "head"))
+
+
+@query("join2_range_overlap", "SELECT DISTINCT o_orderkey AS id FROM orders JOIN (SELECT l_suppkey AS k, l_linenumber * 40 AS line FROM lineitem) l ON l.k = o_custkey % 100 + 1 AND l.line BETWEEN o_orderkey % 200 AND o_orderkey % 200 + 30")
+def join2(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 100 + 1).alias("path"), (F.col("o_orderkey") % 200).cast("int").alias("start_line"), (F.col("o_orderkey") % 200 + 30).cast("int").alias("end_line"))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 40).alias("line_no"))
+    return scope.range_overlap(o, lines, ["path"]).select("id")
+
+
+@query("join3_missing_inventory", "SELECT s_suppkey AS file FROM supplier WHERE s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_suppkey IS NOT NULL)")
+def join3(spark, d):
+    return scope.missing_inventory(table(spark, d, "supplier").select(F.col("s_suppkey").alias("file")), table(spark, d, "lineitem").where("l_quantity > 49").select(F.col("l_suppkey").alias("file")), ["file"])
+
+
+_TREE = "SELECT p_partkey AS id, concat(['src', 'lib', 'app'][p_partkey % 3 + 1], '/', p_brand, '/', p_partkey % 400, '.c') AS path FROM part"
+
+
+def _tree(spark, d):
+    k = F.col("p_partkey")
+    top = F.element_at(F.array(F.lit("src"), F.lit("lib"), F.lit("app")), (k % 3 + 1).cast("int"))
+    return table(spark, d, "part").select(k.alias("id"), F.concat_ws("/", top, "p_brand", F.concat((k % 400).cast("string"), F.lit(".c"))).alias("path"))
+
+
+@query("join4_report_paths", f"SELECT r.file, CASE WHEN count(DISTINCT t.path) FILTER (WHERE t.path = r.file) = 1 THEN r.file WHEN count(DISTINCT t.path) = 1 THEN min(t.path) END AS path, count(DISTINCT t.path) AS candidates "
+       "FROM (SELECT DISTINCT concat(p_brand, '/', p_partkey % 500, '.c') AS file FROM part UNION SELECT DISTINCT concat('src/', p_brand, '/', p_partkey % 400, '.c') FROM part) r "
+       f"LEFT JOIN ({_TREE}) t ON t.path = r.file OR ends_with(t.path, '/' || r.file) GROUP BY r.file")
+def join4(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    a = p.select(F.concat_ws("/", "p_brand", F.concat((k % 500).cast("string"), F.lit(".c"))).alias("file"))
+    b = p.select(F.concat_ws("/", F.lit("src"), "p_brand", F.concat((k % 400).cast("string"), F.lit(".c"))).alias("file"))
+    return scope.map_report_paths(sets.chain(a, b), _tree(spark, d))
+
+
+@query("join5_coverage_roots", f"SELECT f.file, CASE WHEN count(DISTINCT t.path) = 1 THEN min(t.path) END AS path, count(DISTINCT t.path) AS candidates FROM (SELECT DISTINCT concat(p_brand, '/', p_partkey % 500, '.c') AS file FROM part) f LEFT JOIN ({_TREE}) t ON t.path = 'src/' || f.file OR t.path = 'app/' || f.file GROUP BY f.file")
+def join5(spark, d):
+    f = table(spark, d, "part").select(F.concat_ws("/", "p_brand", F.concat((F.col("p_partkey") % 500).cast("string"), F.lit(".c"))).alias("file"))
+    return scope.map_with_roots(f, _tree(spark, d), spark.createDataFrame([("src",), ("app",)], "root string"))
+
+
+@query("join6_baseline_remap", "SELECT coalesce(c.path, b.path) AS file FROM base b LEFT JOIN (SELECT old_path, min(path) AS path FROM changes WHERE kind = 'renamed' GROUP BY old_path) c ON c.old_path = b.path")
+def join6(spark, d):
+    return scope.remap_baseline(A.base_files(spark, d).select(F.col("path").alias("file")), A.changes(spark, d))
+
+
+@query("join7_glob_matches", "SELECT path, number FROM (SELECT path, 0 AS number FROM head WHERE regexp_matches(path, '^src1/[^/]*/[^/]*\\.txt$') UNION ALL SELECT path, 1 FROM head WHERE regexp_matches(path, '^moved/.*$') UNION ALL SELECT path, 2 FROM head WHERE regexp_matches(path, '^(?:[^/]+/)*[^/]*7\\.txt$'))")
+def join7(spark, d):
+    globs = ["src1/*/*.txt", "moved/**", "**/*7.txt"]
+    hits = F.array(*[F.when(F.col("path").rlike(T.glob_regex(g)), F.lit(i)) for i, g in enumerate(globs)])
+    return A.head_files(spark, d).select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("number"))
+
+
+@query("join8_module_owner", f"SELECT path, CASE WHEN count(DISTINCT m.root) = 1 THEN min(m.root) END AS root, count(DISTINCT m.root) AS owners FROM (SELECT DISTINCT path FROM ({_TREE})) t LEFT JOIN (SELECT 'src/' || p_brand AS dir, 'm' || p_brand AS root FROM part UNION SELECT 'src', 'top' UNION SELECT 'lib', 'lib') m ON starts_with(t.path, m.dir || '/') GROUP BY path")
+def join8(spark, d):
+    m = table(spark, d, "part").select(F.concat(F.lit("src/"), "p_brand").alias("test_source_root"), F.concat(F.lit("m"), "p_brand").alias("root")).distinct()
+    return scope.module_owner(_tree(spark, d), m.unionByName(spark.createDataFrame([("src", "top"), ("lib", "lib")], "test_source_root string, root string")))
+
+
+@query("join9_required_dependency", "SELECT n_name AS root, 'Brand#11' AS artifact FROM nation WHERE n_name NOT IN (SELECT root FROM deps WHERE artifact = 'Brand#11' AND scope IN ('A', 'N') INTERSECT SELECT root FROM deps WHERE artifact = 'Brand#11' AND scope IN ('N', 'R'))")
+def join9(spark, d):
+    deps = A.dependencies(spark, d)
+    both = deps.where("scope in ('A', 'N')").withColumn("kind", F.lit("declared")).unionByName(deps.where("scope in ('N', 'R')").withColumn("kind", F.lit("resolved")))
+    return scope.missing_required(table(spark, d, "nation").select(F.col("n_name").alias("root"), F.lit("Brand#11").alias("artifact")), both)
+
+
+@query("join10_module_boundary", "SELECT DISTINCT root AS \"from\", artifact AS \"to\", scope, concat_ws(',', CASE WHEN regexp_matches(root, '^A') AND regexp_matches(artifact, '^Brand#1') AND scope = 'A' THEN '0' END, CASE WHEN regexp_matches(artifact, '2$') THEN '1' END) AS directions FROM deps WHERE regexp_matches(root, '^A') AND regexp_matches(artifact, '^Brand#1') AND scope = 'A' OR regexp_matches(artifact, '2$')")
+def join10(spark, d):
+    edges = A.dependencies(spark, d).select(F.col("root").alias("from"), F.col("artifact").alias("to"), "scope")
+    return scope.boundary_findings(edges, [("^A", "^Brand#1", ["A"]), (".*", "2$", [])])
+
+
+@query("join11_used_undeclared", "SELECT DISTINCT root, artifact FROM deps u WHERE scope = 'R' AND NOT EXISTS (SELECT 1 FROM deps x WHERE x.root = u.root AND x.artifact = u.artifact AND x.scope = 'A') AND root IN (SELECT n_name FROM nation WHERE n_nationkey % 3 <> 0)")
+def join11(spark, d):
+    deps = A.dependencies(spark, d)
+    kinds = deps.withColumn("kind", F.when(F.col("scope") == "R", "used").when(F.col("scope") == "A", "declared").otherwise("resolved"))
+    producers = table(spark, d, "nation").where("n_nationkey % 3 <> 0").select(F.col("n_name").alias("root"))
+    return scope.used_undeclared(kinds, producers)[0]
+
+
+@query("join12_retained_markers")
+def join12(spark, d):
+    base, head = A.entities(spark, d, "base"), A.entities(spark, d, "head")
+    marked = lambda e, m: e.where(F.col("ord") % m == 0).select("path", "symbol")
+    return scope.lost_markers(diff.match_entities(base, head), marked(base, 3), marked(head, 6)).select("path", "symbol")
+
+
+ORACLE_SQL["join12_retained_markers"] = sql("SELECT 1 FROM ent_b, ent_h").replace(
+    " SELECT 1 FROM ent_b, ent_h", _DIF4 + "SELECT m.path, m.symbol FROM matched m WHERE m.kind <> 'added' AND m.b_ord % 3 = 0 AND m.ord % 6 <> 0"
+)
+
+
+@query("join13_unmeasured_functions", "SELECT o_orderkey AS symbol FROM orders WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_suppkey = o_custkey % 100 + 1 AND l_linenumber * 40 BETWEEN o_orderkey % 200 AND o_orderkey % 200 + 30)")
+def join13(spark, d):
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("symbol"), (F.col("o_custkey") % 100 + 1).alias("path"), (F.col("o_orderkey") % 200).cast("int").alias("start_line"), (F.col("o_orderkey") % 200 + 30).cast("int").alias("end_line"))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("path"), (F.col("l_linenumber") * 40).alias("line_no"))
+    return scope.unmeasured_functions(o, lines).select("symbol")
+
+
+@query("join14_reviews", "SELECT user_id AS fingerprint, CASE WHEN n = 1 THEN a END AS attribution FROM (SELECT DISTINCT user_id FROM events WHERE event_type = 'error') f LEFT JOIN (SELECT c_custkey % 200 AS u, count(*) AS n, min(c_mktsegment) AS a FROM customer GROUP BY 1) r ON r.u = f.user_id")
+def join14(spark, d):
+    k = lambda c: [F.lit(1).alias("report_id"), F.lit("c").alias("check_id"), c.alias("fingerprint")]
+    f = table(spark, d, "events").where("event_type = 'error'").select(*k(F.col("user_id"))).distinct()
+    r = table(spark, d, "customer").select(*k(F.col("c_custkey") % 200), F.col("c_mktsegment").alias("attribution"), F.lit("x").alias("label"))
+    return scope.attach_reviews(f, r)[0].select("fingerprint", "attribution")
+
+
+@query("join16_agg39_counterexamples", "SELECT file, count(*) AS executed, count(*) FILTER (WHERE outcome = 'passed' AND o2 = 'failure') AS counterexamples FROM (SELECT a.file, a.outcome, b.outcome AS o2 FROM cases a JOIN (SELECT file, name - 1 AS name, outcome FROM cases) b ON a.file = b.file AND a.name = b.name) GROUP BY file")
+def join16(spark, d):
+    c = A.test_cases(spark, d)
+    return gates.counterexamples(c, c.withColumn("name", F.col("name") - 1))[0]
+
+
+@query("join17_clause_status", "SELECT clause, CASE WHEN bool_or(s = 'fail') THEN 'failed' WHEN bool_or(s = 'pending') THEN 'pending' WHEN bool_and(s = 'not_applicable') THEN 'not_applicable' ELSE 'verified' END AS status FROM (SELECT c_custkey AS clause, CASE WHEN coalesce(n, 0) <> 1 THEN 'pending' ELSE st END AS s FROM (SELECT c_custkey, unnest([c_custkey * 3, c_custkey * 3 + 1]) AS c FROM customer) x LEFT JOIN (SELECT o_orderkey % 4001 AS k, count(*) AS n, min(CASE o_orderstatus WHEN 'F' THEN 'fail' WHEN 'P' THEN 'not_applicable' ELSE 'pass' END) AS st FROM orders GROUP BY 1) r ON r.k = x.c) GROUP BY clause")
+def join17(spark, d):
+    k = F.col("c_custkey") * 3
+    clauses = table(spark, d, "customer").select(F.col("c_custkey").alias("clause"), F.array(k, k + 1).alias("checks"))
+    s = F.when(F.col("o_orderstatus") == "F", "fail").when(F.col("o_orderstatus") == "P", "not_applicable").otherwise("pass")
+    return scope.clause_status(clauses, table(spark, d, "orders").select((F.col("o_orderkey") % 4001).alias("check"), s.alias("status")))
+
+
+@query("join18_obligation_conflicts", "SELECT a.p_partkey AS must, b.p_partkey AS must_not FROM part a JOIN part b ON trim(a.p_name) = trim(b.p_name) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 ORDER BY must, must_not LIMIT 128")
+def join18(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "must").otherwise("must_not").alias("modality"), F.concat(F.lit(" "), "p_name").alias("text"))
+    return scope.obligation_conflicts(p).select("must", "must_not")
+
+
+@query("join19_obligation_status", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 'source_invalid' WHEN o_orderkey % 3 = 0 THEN 'unadopted' WHEN o_orderkey % 7 = 0 THEN 'stale' WHEN o_orderpriority = '5-LOW' THEN 'unavailable' ELSE 'ready' END AS status FROM orders")
+def join19(spark, d):
+    o, k = table(spark, d, "orders"), F.col("o_orderkey")
+    obligations = o.select(k.alias("id"), F.col("o_custkey").alias("source"), F.lit("new").alias("digest"), F.col("o_orderpriority").alias("check"))
+    sources = o.select(F.col("o_custkey").alias("source"), (F.col("o_custkey") % 5 != 0).alias("valid")).distinct()
+    adoptions = o.where(k % 3 != 0).select(k.alias("id"), F.when(k % 7 == 0, "old").otherwise("new").alias("digest"))
+    return scope.obligation_status(obligations, sources, adoptions, o.where("o_orderpriority <> '5-LOW'").select(F.col("o_orderpriority").alias("check")).distinct())
+
+
+@query("join20_verdict_oracle", "SELECT id, verdict AS actual, CASE WHEN id % 5 <> 0 THEN 'pass' END AS expected FROM checks WHERE verdict IS DISTINCT FROM (CASE WHEN id % 5 <> 0 THEN 'pass' END) OR id % 5 = 0")
+def join20(spark, d):
+    c = A.checks(spark, d)
+    return scope.verdict_mismatches(c, c.where("id % 5 <> 0").select("id", F.lit("pass").alias("verdict")))
+
+
+@query("join21_producers", "SELECT o_custkey % 50 AS repo, count(*) AS shared, bool_and(o_orderpriority IS NOT DISTINCT FROM CASE WHEN o_orderkey % 997 = 0 THEN 'other' ELSE o_orderpriority END) AS matched FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1")
+def join21(spark, d):
+    o = table(spark, d, "orders").select((F.col("o_custkey") % 50).alias("repo"), F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("environment"))
+    other = o.where("id % 2 = 0").withColumn("environment", F.when(F.col("id") % 997 == 0, "other").otherwise(F.col("environment")))
+    return scope.producers_match(o, other, ["repo"])
+
+
+@query("join22_label_join", "SELECT doc_id AS decision_id, quality = 1 AS finding_valid FROM labels JOIN documents USING (doc_id) WHERE n_chars >= doc_id % 1000")
+def join22(spark, d):
+    j = table(spark, d, "documents").select(F.col("doc_id").alias("decision_id"), (F.col("doc_id") % 1000).alias("started"), "n_chars")
+    l = table(spark, d, "labels").join(table(spark, d, "documents").select("doc_id", "n_chars"), "doc_id").select(F.col("doc_id").alias("decision_id"), (F.col("quality") == 1).alias("finding_valid"), F.col("n_chars").alias("reviewed"))
+    return scope.label_judgments(j.drop("n_chars"), l)[0].select("decision_id", "finding_valid")
+
+
+@query("join23_clone_pairs")
+def join23(spark, d):
+    return scope.clone_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
+
+
+@query("join24_review_status", "SELECT coalesce(p_partkey, k) AS id, CASE WHEN p_partkey IS NULL THEN 'orphan' WHEN k IS NULL THEN 'missing' WHEN p_name = n THEN 'bound' ELSE 'stale' END AS status FROM part FULL JOIN (SELECT p_partkey + 5 AS k, CASE WHEN p_partkey % 2 = 0 THEN lead_name ELSE 'x' END AS n FROM (SELECT p_partkey, (SELECT p_name FROM part q WHERE q.p_partkey = p.p_partkey + 5) AS lead_name FROM part p) WHERE p_partkey % 3 <> 0) r ON r.k = p_partkey")
+def join24(spark, d):
+    p = table(spark, d, "part")
+    rows = p.select(F.col("p_partkey").alias("id"), F.col("p_name").alias("digest"))
+    ids = p.where("p_partkey % 3 <> 0").select((F.col("p_partkey") + 5).alias("id"), "p_partkey")
+    reviews = ids.join(rows, "id", "left").select("id", F.when(F.col("p_partkey") % 2 == 0, F.col("digest")).otherwise("x").alias("digest"))
+    return scope.review_status(rows, reviews)
+
+
+@query("join25_categories", "SELECT p_partkey AS id, coalesce(CASE WHEN p_partkey % 4 = 0 THEN 'own' END, CASE WHEN p_brand <> 'Brand#3' THEN 'of ' || p_brand END) AS category FROM part")
+def join25(spark, d):
+    p = table(spark, d, "part")
+    members = p.where("p_partkey % 4 = 0").select(F.col("p_partkey").alias("id"), F.lit("own").alias("category"))
+    origins = p.where("p_brand <> 'Brand#3'").select(F.col("p_brand").alias("origin"), F.concat(F.lit("of "), "p_brand").alias("category")).distinct()
+    return scope.categories(p.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("origin")), members, origins)
+
+
+# --- aggregations --------------------------------------------------------------------------------------------------------
+
+_GATE = (
+    "SELECT repo, CASE WHEN gaps > 0 THEN 'incomplete' WHEN failures > 0 THEN 'fail' ELSE 'pass' END AS decision, gaps, failures, completed FROM (SELECT repo, "
+    "count(*) FILTER (WHERE required AND verdict IS NULL) + CASE WHEN count(verdict) = 0 THEN 1 ELSE 0 END AS gaps, count(*) FILTER (WHERE verdict = 'fail' AND severity = 'error') AS failures, count(verdict) AS completed FROM checks GROUP BY repo)"
+)
+
+
+@query("agg1_gate", _GATE)
+def agg1(spark, d):
+    return gates.gate(A.checks(spark, d), keys=["repo"]).drop("blockers")
+
+
+@query("agg1_blockers", "SELECT repo, id, CASE WHEN required AND verdict IS NULL THEN 'gap' ELSE 'failure' END AS why FROM checks WHERE required AND verdict IS NULL OR verdict = 'fail' AND severity = 'error'")
+def agg1_blockers(spark, d):
+    return gates.blockers(A.checks(spark, d), ["repo"])
+
+
+@query("agg2_summary", "SELECT repo, count(*) FILTER (WHERE verdict = 'pass') AS passed, count(*) FILTER (WHERE verdict = 'fail') AS failed, 0 AS skipped, count(*) FILTER (WHERE verdict IS NULL) AS incomplete, sum(finding_count) AS findings FROM checks GROUP BY repo")
+def agg2(spark, d):
+    return gates.summary(A.checks(spark, d), ["repo"])
+
+
+@query("agg3_route", f"SELECT g.repo, CASE decision WHEN 'incomplete' THEN 'inspect_gap' WHEN 'fail' THEN 'block' ELSE CASE WHEN findings > 0 THEN 'review' ELSE 'accept' END END AS route FROM ({_GATE}) g JOIN (SELECT repo, sum(finding_count) AS findings FROM checks GROUP BY repo) s USING (repo)")
+def agg3(spark, d):
+    c = A.checks(spark, d)
+    return gates.route(gates.gate(c, keys=["repo"]).join(gates.summary(c, ["repo"]), "repo")).select("repo", "route")
+
+
+@query("agg4_bucket_counts", "SELECT tool, rule, n FROM counts_h")
+def agg4(spark, d):
+    return _issue_counts(spark, d, "head")
+
+
+_MERGED = "(SELECT file, line, sum(hits) AS hits, max(branches_found) AS branches_found, max(branches_hit) AS branches_hit FROM coverage GROUP BY file, line)"
+
+
+@query("agg5_coverage_totals", "SELECT file, count(*) FILTER (WHERE NOT excluded) AS lines, count(*) FILTER (WHERE NOT excluded AND hits > 0) AS hit, count(*) FILTER (WHERE excluded) AS excluded, coalesce(sum(branches_found) FILTER (WHERE NOT excluded), 0) AS branches, coalesce(sum(branches_hit) FILTER (WHERE NOT excluded), 0) AS branches_hit, count(*) FILTER (WHERE NOT excluded) > 0 AND count(*) FILTER (WHERE NOT excluded AND hits > 0) * 1000 < count(*) FILTER (WHERE NOT excluded) * 255 AS below FROM coverage GROUP BY file")
+def agg5(spark, d):
+    return gates.coverage_totals(A.coverage(spark, d), ["file"], 25.5)
+
+
+@query("agg6_thresholds", f"SELECT threshold, count(*) FILTER (WHERE lines > 0 AND hit * 100 < lines * threshold) AS below FROM (SELECT file, count(*) AS lines, count(*) FILTER (WHERE hits > 0) AS hit FROM {_MERGED} GROUP BY file), (SELECT unnest(range(0, 101, 10)) AS threshold) GROUP BY threshold")
+def agg6(spark, d):
+    t = gates.coverage_totals(gates.merge_coverage(A.coverage(spark, d)), ["file"]).withColumn("threshold", F.explode(F.array(*[F.lit(x) for x in range(0, 101, 10)])))
+    return t.groupBy("threshold").agg(F.count_if(gates.below(F.col("hit"), F.col("lines"), F.col("threshold"))).alias("below"))
+
+
+@query("agg7_merge_coverage", f"SELECT file, line, hits, branches_found, branches_hit FROM {_MERGED}")
+def agg7(spark, d):
+    return gates.merge_coverage(A.coverage(spark, d))
+
+
+@query("agg8_duplicate_lines", "SELECT file, line, count(*) AS reports FROM coverage GROUP BY file, line HAVING count(*) > 1")
+def agg8(spark, d):
+    return gates.duplicate_lines(A.coverage(spark, d))
+
+
+@query("agg9_diff_size", "SELECT count(*) AS added, count(*) > 500 AS too_large FROM added_lines")
+def agg9(spark, d):
+    return gates.diff_size(A.added_lines(spark, d).withColumn("op", F.lit("added")))
+
+
+@query("agg10_file_inventory", r"SELECT count(*) AS files, sum(len(l)) AS lines, sum(w) AS words, count(*) FILTER (WHERE len(l) > 20) AS long_files, false AS too_few, sum(w) > 100000 AS too_many_words FROM (SELECT l, (SELECT len(list_filter(string_split_regex(content, '\s+'), lambda x: x <> '')) ) AS w FROM lined JOIN head USING (path))")
+def agg10(spark, d):
+    c = F.col("content")
+    files = A.head_files(spark, d).select("path", F.size(T.lines(c)).alias("n_lines"), T.word_count(c).alias("n_words"))
+    return gates.file_inventory(files, max_lines=20, max_words=100_000)
+
+
+@query("agg11_repeated_shapes", "SELECT path AS owner, shape_digest, count(*) AS n, min(symbol) AS first_symbol FROM ent_h GROUP BY ALL HAVING count(*) >= 3")
+def agg11(spark, d):
+    e = A.entities(spark, d, "head").select(F.col("path").alias("owner"), "shape_digest", "symbol", F.lit("added").alias("kind"), F.lit(False).alias("parameterized"))
+    return gates.repeated_shapes(e)
+
+
+@query("agg12_test_count", "SELECT file, count(*) FILTER (WHERE outcome <> 'skipped') AS executed, count(*) FILTER (WHERE outcome = 'failure') AS failures, count(*) FILTER (WHERE outcome = 'skipped') AS skipped, count(*) FILTER (WHERE outcome <> 'skipped') < 50 AS too_few, count(*) FILTER (WHERE outcome = 'failure') > 0 AS failed FROM cases GROUP BY file")
+def agg12(spark, d):
+    return gates.test_count(A.test_cases(spark, d), ["file"], 50)
+
+
+@query("agg13_agg14_rollup_mismatches", "SELECT a.g, a.p, a.n AS actual_n, d.n AS declared_n FROM (SELECT l_returnflag AS g, l_linestatus AS p, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)) a JOIN (SELECT l_returnflag AS g, l_linestatus AS p, count(*) FILTER (WHERE l_linenumber < 7) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)) d ON a.g IS NOT DISTINCT FROM d.g AND a.p IS NOT DISTINCT FROM d.p WHERE a.n <> d.n")
+def agg13(spark, d):
+    l = table(spark, d, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_linestatus").alias("p"), F.lit(1).cast("long").alias("n"), "l_linenumber")
+    declared = l.rollup("g", "p").agg(F.count_if(F.col("l_linenumber") < 7).alias("n"))
+    return gates.rollup_mismatches(l.drop("l_linenumber"), declared, ["g", "p"])
+
+
+@query("agg15_summary_mismatches", "SELECT file AS report_id FROM coverage GROUP BY file HAVING count(*) FILTER (WHERE hits > 0) % 2 = 1")
+def agg15(spark, d):
+    c = A.coverage(spark, d).withColumnRenamed("file", "report_id")
+    n, hit = F.count(F.lit(1)), F.count_if(F.col("hits") > 0)
+    declared = c.groupBy("report_id").agg(n.alias("lines_valid"), (hit - hit % 2).alias("lines_covered"), F.sum("branches_found").alias("branches_valid"), F.lit(None).cast("long").alias("branches_covered"))
+    return gates.summary_mismatches(c, declared)
+
+
+@query("agg16_run_summary", "SELECT user_id AS run, count(*) AS results, count(*) FILTER (WHERE event_type = 'error' AND event_id % 3 <> 0) AS violations, count(*) FILTER (WHERE event_type <> 'error') AS non_violations, count(*) FILTER (WHERE event_type = 'error' AND event_id % 3 = 0) AS suppressed FROM events GROUP BY user_id")
+def agg16(spark, d):
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.when(F.col("event_type") == "error", "fail").otherwise("pass").alias("kind"), (F.col("event_id") % 3 == 0).alias("suppressed"))
+    return gates.run_summary(e)
+
+
+@query("agg17_missing_metrics", "SELECT p_partkey AS id, m AS metric FROM part, (SELECT unnest(['lines', 'branches']) AS m) WHERE NOT (m = 'lines' AND p_size > 5 OR m = 'branches' AND p_size > 45)")
+def agg17(spark, d):
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), "p_size")
+    facts = p.where("p_size > 5").select("id", F.lit("lines").alias("metric")).unionByName(p.where("p_size > 45").select("id", F.lit("branches").alias("metric")))
+    return gates.missing_metrics(p, spark.createDataFrame([("lines",), ("branches",)], "metric string"), facts)
+
+
+@query("agg17_pair_completeness", "SELECT n_regionkey AS region, count(*) AS n, count(*) * (count(*) - 1) // 2 - CASE WHEN n_regionkey = 1 THEN 1 ELSE 0 END AS pairs, n_regionkey = 1 AS incomplete, false AS repeated FROM nation GROUP BY n_regionkey")
+def agg17_pairs(spark, d):
+    n = table(spark, d, "nation").select(F.col("n_regionkey").alias("region"), F.col("n_nationkey").alias("id"))
+    pairs = n.join(n.select("region", F.col("id").alias("right_id")), "region").where("id < right_id").select("region", F.col("id").alias("left_id"), "right_id")
+    lost = n.where("region = 1").groupBy("region").agg(F.min("id").alias("left_id"), F.max("id").alias("right_id"))
+    return gates.pair_completeness(n, pairs.join(lost, ["region", "left_id", "right_id"], "left_anti"), ["region"])
+
+
+@query("agg18_agg20_success_rate", "SELECT user_id, count(*) FILTER (WHERE event_type = 'purchase') AS numerator, count(*) AS denominator, count(*) FILTER (WHERE event_type = 'error') AS unknown, CASE WHEN count(*) FILTER (WHERE event_type = 'error') = 0 THEN count(*) FILTER (WHERE event_type = 'purchase') / count(*) END AS value FROM events GROUP BY user_id")
+def agg18(spark, d):
+    e = table(spark, d, "events").select("user_id", F.when(F.col("event_type") != "error", F.col("event_type") == "purchase").alias("ok"))
+    return stats.success(e, "ok", ["user_id"])
+
+
+@query("agg19_distribution", "SELECT event_type, count(check_elapsed_ms) AS samples, count(*) - count(check_elapsed_ms) AS unknown, CASE WHEN count(*) = count(check_elapsed_ms) THEN median(check_elapsed_ms) END AS median, CASE WHEN count(*) = count(check_elapsed_ms) THEN quantile_disc(check_elapsed_ms, 0.95) END AS p95 FROM attempts GROUP BY event_type")
+def agg19(spark, d):
+    return stats.distribution(A.attempts(spark, d), "check_elapsed_ms", ["event_type"])
+
+
+@query("agg21_usage", "SELECT assignment, coalesce(sum(check_elapsed_ms), 0) AS known, count(*) - count(check_elapsed_ms) AS unknown, CASE WHEN count(*) = count(check_elapsed_ms) THEN coalesce(sum(check_elapsed_ms), 0) END AS total FROM attempts GROUP BY assignment")
+def agg21(spark, d):
+    return stats.usage(A.attempts(spark, d), "check_elapsed_ms", ["assignment"])
+
+
+@query("agg22_cost", "SELECT o_custkey AS id, count(DISTINCT cur) AS currencies, count(DISTINCT o_orderdate) AS price_dates, CASE WHEN count(DISTINCT cur) = 1 AND count(DISTINCT o_orderdate) = 1 THEN sum(m) END AS total, count(*) FILTER (WHERE o_orderstatus = 'F') AS accepted, CASE WHEN count(DISTINCT cur) = 1 AND count(DISTINCT o_orderdate) = 1 THEN sum(m) / nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) END AS per_accepted FROM (SELECT *, CASE WHEN o_custkey % 2 = 0 THEN 'EUR' ELSE 'USD' END AS cur, CAST(floor(o_totalprice * 10) AS BIGINT) AS m FROM orders) GROUP BY 1")
+def agg22(spark, d):
+    o = table(spark, d, "orders").select(
+        F.col("o_custkey").alias("id"), F.when(F.col("o_custkey") % 2 == 0, "EUR").otherwise("USD").alias("currency"), F.col("o_orderdate").alias("priced_at"),
+        F.floor(F.col("o_totalprice") * 10).cast("long").alias("micros"), (F.col("o_orderstatus") == "F").alias("accepted"),
+    )
+    return stats.cost(o, ["id"])
+
+
+_COHORT = "SELECT c_mktsegment AS cohort, c_custkey % 2 AS workflow, c_nationkey AS input, c_custkey AS id, c_custkey % 3 <> 0 AS seeded, CASE WHEN c_custkey % 7 <> 0 THEN c_acctbal > 0 END AS detected, c_acctbal > 5000 AS fp, c_custkey % 4 AS findings, least(c_custkey % 4, 2) AS reviewed, c_custkey % 5 = 0 AS eligible, c_acctbal > 1000 AS repaired, c_acctbal > -500 AS completed FROM customer"
+
+
+def _cohort_rows(spark, d):
+    k, b = F.col("c_custkey"), F.col("c_acctbal")
+    return table(spark, d, "customer").select(
+        F.col("c_mktsegment").alias("cohort"), (k % 2).alias("workflow"), F.col("c_nationkey").alias("input_id"), (k % 3 != 0).alias("seeded"), F.when(k % 7 != 0, b > 0).alias("detected"), (b > 5000).alias("false_positive"),
+        (k % 4).alias("findings"), F.least(k % 4, F.lit(2)).alias("reviewed"), (k % 5 == 0).alias("eligible_repair"), (b > 1000).alias("repaired"), (b > -500).alias("completed"), b.alias("elapsed"),
+    )
+
+
+@query("agg23_cohorts", f"SELECT cohort, count(*) AS tasks, CASE WHEN count(*) FILTER (WHERE seeded) > 0 AND count(*) FILTER (WHERE seeded AND detected IS NULL) = 0 THEN count(*) FILTER (WHERE seeded AND detected) / count(*) FILTER (WHERE seeded) END AS detection, count(*) FILTER (WHERE NOT seeded AND fp) / count(*) FILTER (WHERE NOT seeded) AS false_positive, count(*) FILTER (WHERE eligible AND repaired) / count(*) FILTER (WHERE eligible) AS repair, count(*) FILTER (WHERE completed) / count(*) AS completion, sum(reviewed) / sum(findings) AS review FROM ({_COHORT}) GROUP BY cohort")
+def agg23(spark, d):
+    return stats.cohorts(_cohort_rows(spark, d), ["cohort"])
+
+
+@query("agg24_distinct_findings", "SELECT c_nationkey AS k, count(DISTINCT c_mktsegment) AS versions FROM customer GROUP BY 1 HAVING count(DISTINCT c_mktsegment) > 1")
+def agg24(spark, d):
+    return stats.distinct_findings(table(spark, d, "customer").withColumnRenamed("c_nationkey", "k"), ["k"], ["c_mktsegment"])[1]
+
+
+@query("agg25_attributions", "SELECT coalesce(tool, 'unclassified') AS attribution, count(*) AS n FROM issues GROUP BY 1")
+def agg25(spark, d):
+    return stats.attributions(A.issues(spark, d).withColumnRenamed("tool", "attribution"))
+
+
+@query("agg26_stability", "SELECT cohort, count(*) FILTER (WHERE a AND u = 0) AS numerator, count(*) AS denominator, count(*) FILTER (WHERE u > 0) AS unknown, CASE WHEN count(*) FILTER (WHERE u > 0) = 0 THEN count(*) FILTER (WHERE a AND u = 0) / count(*) END AS value FROM (SELECT c_mktsegment AS cohort, c_nationkey, count(*) AS n, bool_and(CASE WHEN c_custkey % 101 <> 0 THEN c_acctbal > -900 END) AS a, count(*) FILTER (WHERE c_custkey % 101 = 0) AS u FROM customer GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY cohort")
+def agg26(spark, d):
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("cohort"), F.col("c_nationkey").alias("input_id"), F.when(F.col("c_custkey") % 101 != 0, F.col("c_acctbal") > -900).alias("accepted"))
+    return stats.stability(c, ["cohort"])
+
+
+@query("join15_agg27_cohort_comparison")
+def join15(spark, d):
+    rows = _cohort_rows(spark, d)
+    rows = rows.unionByName(rows.where("cohort = 'BUILDING' and workflow = 1").withColumn("workflow", F.lit(7).cast("long")))
+    m = rows.groupBy("cohort", "workflow").agg(F.median("elapsed").alias("median"), F.expr("percentile_disc(0.95) within group (order by elapsed)").alias("p95"), F.sum("findings").alias("cost"), F.avg("reviewed").alias("review"))
+    joined = m.join(stats.inventory(rows, ["cohort", "workflow"]), ["cohort", "workflow"])
+    return stats.compare_cohorts(joined, ["cohort"], "workflow", "1").select("cohort", "workflow", "comparable", F.round("median_ratio", 6).alias("median_ratio"), F.round("cost_ratio", 6).alias("cost_ratio"))
+
+
+@query("agg28_thresholds", "SELECT name, n, d, CASE WHEN u > 0 THEN 'unknown' WHEN name = 'F' AND n / d >= 0.5 OR name = 'P' AND n / d <= 0.4 OR name = 'O' AND n / d >= 0.9 THEN 'met' ELSE 'not_met' END AS state FROM (SELECT o_orderstatus AS name, count(*) FILTER (WHERE o_totalprice > 200000) AS n, count(*) AS d, count(*) FILTER (WHERE o_orderstatus = 'O' AND o_orderkey % 10 = 0) AS u FROM orders GROUP BY 1)")
+def agg28(spark, d):
+    o = table(spark, d, "orders").groupBy((F.col("o_custkey") % 9).alias("g"), F.col("o_orderstatus").alias("name")).agg(
+        F.count_if(F.col("o_totalprice") > 200_000).alias("numerator"), F.count(F.lit(1)).alias("denominator"), F.count_if((F.col("o_orderstatus") == "O") & (F.col("o_orderkey") % 10 == 0)).alias("unknown")
+    )
+    return stats.assess(o, [("F", ">=", 0.5), ("P", "<=", 0.4), ("O", ">=", 0.9)])
+
+
+@query("agg29_budget", "SELECT assignment, sum(elapsed_ms) AS machine, CAST(ceil(sum(number) * 90000 / 3600000.0) AS BIGINT) AS human, count(*) - count(check_elapsed_ms) AS unknown, CASE WHEN count(*) = count(check_elapsed_ms) THEN sum(elapsed_ms) + CAST(ceil(sum(number) * 90000 / 3600000.0) AS BIGINT) END AS total, CASE WHEN count(*) <> count(check_elapsed_ms) THEN 'unknown' WHEN sum(elapsed_ms) + CAST(ceil(sum(number) * 90000 / 3600000.0) AS BIGINT) <= 100000 THEN 'met' ELSE 'not_met' END AS state FROM attempts GROUP BY assignment")
+def agg29(spark, d):
+    a = A.attempts(spark, d).select("assignment", F.col("number").alias("n"), "check_elapsed_ms", "elapsed_ms")
+    rows = a.select("assignment", F.col("elapsed_ms").alias("micros"), F.col("n").cast("long").alias("human_ms"), "check_elapsed_ms")
+    out = stats.budget(rows, 100_000, 90_000, ["assignment"])
+    gaps = rows.groupBy("assignment").agg(F.count_if(F.col("check_elapsed_ms").isNull()).alias("u"))
+    out = out.drop("unknown").join(gaps, "assignment")
+    known = F.col("u") == 0
+    return out.select("assignment", "machine", "human", F.col("u").alias("unknown"), F.when(known, F.col("total")).alias("total"), F.when(known, F.col("state")).otherwise("unknown").alias("state"))
+
+
+@query("agg30_effectiveness", "SELECT repo, count(*) AS cases, count(*) FILTER (WHERE base_complete) AS complete_pairs, sum(base_mismatches) AS base_mismatches, sum(cand_mismatches) AS cand_mismatches, CASE WHEN bool_and(base_complete) THEN sum(base_mismatches - cand_mismatches) END AS improvement FROM eval_cases GROUP BY repo")
+def agg30(spark, d):
+    return stats.effectiveness(A.eval_cases(spark, d), ["repo"])
+
+
+@query("agg31_paired_decision", "SELECT repo, CASE WHEN count(DISTINCT kind) < 3 OR NOT bool_and(base_complete) THEN 'incomplete' WHEN count(*) FILTER (WHERE cand_mismatches > base_mismatches) > 0 OR count(*) FILTER (WHERE cand_mismatches < base_mismatches) < 2 THEN 'block' ELSE 'pass' END AS decision, count(*) FILTER (WHERE cand_mismatches < base_mismatches) AS improved, count(*) FILTER (WHERE cand_mismatches > base_mismatches) AS worse FROM eval_cases GROUP BY repo")
+def agg31(spark, d):
+    return stats.paired_decision(A.eval_cases(spark, d), 2, ["repo"])
+
+
+@query("agg32_history", "SELECT sha256(concat(c_mktsegment, chr(0), CAST(c_nationkey AS VARCHAR))) AS inputs, count(*) AS reports, min(c_custkey) AS first, max(c_custkey) AS last FROM customer GROUP BY c_mktsegment, c_nationkey")
+def agg32(spark, d):
+    return stats.history(table(spark, d, "customer").withColumn("at", F.col("c_custkey")), ["c_mktsegment", "c_nationkey"])
+
+
+_P = "greatest(least(probability, 1 - 1e-12), 1e-12)"
+_LOSS = f"round(avg(-(label::INT * ln({_P}) + (1 - label::INT) * ln(1 - {_P}))), 6)"
+
+
+@query("agg33_proper_scores", f"SELECT count(*) AS n, round(avg(power(probability - label::INT, 2)), 6) AS brier, {_LOSS} AS log_loss FROM judgments")
+def agg33(spark, d):
+    return stats.proper_scores(A.judgments(spark, d))
+
+
+@query("agg34_reliability", "SELECT b AS bin, count(probability) AS n, round(avg(probability), 6) AS mean_probability, round(avg(label::INT), 6) AS mean_label FROM (SELECT unnest(range(0, 5)) AS b) LEFT JOIN judgments ON least(CAST(floor(probability * 5) AS INT), 4) = b GROUP BY b")
+def agg34(spark, d):
+    return stats.reliability(A.judgments(spark, d))
+
+
+@query("agg35_risk_coverage", "SELECT share, count(*) AS n, round(avg(wrong), 6) AS risk FROM (SELECT CAST((probability >= 0.5) <> label AS INT) AS wrong, row_number() OVER (ORDER BY greatest(probability, 1 - probability) DESC, decision_id) AS place, count(*) OVER () AS n FROM judgments), (SELECT unnest([0.25, 0.5, 0.75, 1.0]) AS share) WHERE place <= ceil(share * n) GROUP BY share")
+def agg35(spark, d):
+    return stats.risk_coverage(A.judgments(spark, d))
+
+
+@query("agg36_near_threshold", "SELECT rule, count(*) AS n, round(avg(abs(probability - label::INT)), 6) AS error FROM judgments WHERE abs(probability - threshold) <= 0.1 GROUP BY rule")
+def agg36(spark, d):
+    return stats.near_threshold_error(A.judgments(spark, d), keys=["rule"])
+
+
+@query("agg37_slices", f"SELECT rule, language, count(*) AS n, round(avg(power(probability - label::INT, 2)), 6) AS brier, {_LOSS} AS log_loss FROM judgments GROUP BY rule, language")
+def agg37(spark, d):
+    return stats.proper_scores(A.judgments(spark, d), ["rule", "language"])
+
+
+@query("agg38_calibration_status", "SELECT c_custkey AS id, CASE WHEN c_custkey % 11 = 0 THEN 'revoked' WHEN c_custkey <= 100 THEN 'stale' WHEN c_nationkey < 5 THEN 'insufficient' WHEN c_mktsegment = 'BUILDING' THEN 'out_of_domain' ELSE 'valid' END AS status FROM customer")
+def agg38(spark, d):
+    k = F.col("c_custkey")
+    c = table(spark, d, "customer").select(k.alias("id"), (k % 11 == 0).alias("revoked"), k.alias("expires"), (F.col("c_nationkey") + 25).alias("samples"), (F.col("c_mktsegment") != "BUILDING").alias("in_domain"))
+    return stats.calibration_status(c, 100).select("id", "status")
+
+
+@query("agg40_test_inventory_gaps", "SELECT file, name, 'skipped' AS gap FROM cases WHERE outcome = 'skipped' UNION ALL SELECT f, NULL, 'uncovered' FROM (SELECT unnest(range(90, 110)) AS f) WHERE f NOT IN (SELECT file FROM cases)")
+def agg40(spark, d):
+    files = spark.range(90, 110).select(F.col("id").alias("file"))
+    return gates.test_inventory_gaps(A.test_cases(spark, d).withColumn("name", F.col("name").cast("string")), files)
+
+
+@query("agg41_clause_totals", "SELECT repo, count(*) FILTER (WHERE s = 'failed') AS failed, count(*) FILTER (WHERE s = 'verified') AS verified, 0 AS not_applicable, count(*) FILTER (WHERE s = 'pending') AS pending, count(*) FILTER (WHERE required) AS required, bool_and(NOT required OR s = 'verified') AS held FROM (SELECT *, CASE verdict WHEN 'fail' THEN 'failed' WHEN 'pass' THEN 'verified' ELSE 'pending' END AS s FROM checks) GROUP BY repo")
+def agg41(spark, d):
+    s = F.when(F.col("verdict") == "fail", "failed").when(F.col("verdict") == "pass", "verified").otherwise("pending")
+    return gates.clause_totals(A.checks(spark, d).withColumn("status", s), ["repo"])
+
+
+@query("agg42_fingerprints", "SELECT event_id, sha256(concat(length(coalesce(tool, '')), CASE WHEN tool IS NULL THEN '-' ELSE ':' END, coalesce(tool, ''), length(rule), ':', rule, length(file), ':', file, 1, ':', 'm')) AS fingerprint FROM issues")
+def agg42(spark, d):
+    i = A.issues(spark, d)
+    return i.select("event_id", gates.fingerprint(F.col("tool"), F.col("rule"), F.array("file", "file"), F.lit("m")).alias("fingerprint"))
+
+
+@query("agg43_capacity", "SELECT path, size FROM (SELECT path, size, row_number() OVER (ORDER BY path) AS n FROM (SELECT path, max(size) AS size FROM (SELECT path, octet_length(encode(content)) AS size FROM base UNION ALL SELECT path, octet_length(encode(content)) FROM head) GROUP BY path) WHERE size > 5000) WHERE n <= 100")
+def agg43(spark, d):
+    files = sets.chain(A.base_files(spark, d), A.head_files(spark, d)).select("path", F.octet_length("content").cast("long").alias("size"))
+    return gates.capacity(files, 5000)[0]
