@@ -231,8 +231,11 @@ def clone_pairs(entities: DataFrame, floor: float = 0.8, width: int = 5, keys: S
     by = list(keys)
     reps = entities.groupBy(*by, "text").agg(F.min("id").alias("id"))
     w = F.filter(F.split(F.lower("text"), r"\s+", -1), lambda x: x != "")
-    grams = F.when(F.size(w) >= width, F.transform(F.sequence(F.lit(1), F.size(w) - width + 1), lambda i: F.array_join(F.slice(w, i, width), " "))).otherwise(F.array(F.array_join(w, " ")))
-    sets = reps.select(*by, "id", F.array_distinct(F.transform(grams, lambda x: F.xxhash64(x))).alias("g"))
+    cut = reps.select(*by, "id", F.explode(F.array(w)).alias("w"))  # cut once a row
+    n = F.size("w") - width + 1
+    grams = F.arrays_zip(*[F.slice("w", i + 1, n) for i in range(width)])
+    hashes = F.when(n > 0, F.transform(grams, lambda x: F.xxhash64(x))).otherwise(F.array(F.xxhash64("w")))
+    sets = cut.select(*by, "id", F.array_distinct(hashes).alias("g"))
     flat = sets.select(*by, "id", F.size("g").alias("n"), F.explode("g").alias("s"))
     often = flat.groupBy(*by, "s").agg(F.count(F.lit(1)).alias("often"))
     ranked = flat.join(often, [*by, "s"]).withColumn("rank", F.row_number().over(Window.partitionBy(*by, "id").orderBy("often", "s")))

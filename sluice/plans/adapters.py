@@ -192,14 +192,13 @@ def sql(final: str) -> str:
     """A statement with the tables it names, and those that they name."""
     import re
 
-    used: list[str] = []
+    used: set[str] = set()
 
     def need(text: str) -> None:
         for name in CTE:
             if name not in used and re.search(rf"\b{name}\b", text):
+                used.add(name)
                 need(CTE[name])
-                if name not in used:
-                    used.append(name)
 
     need(final)
     order = [n for n in CTE if n in used]

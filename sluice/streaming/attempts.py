@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -25,7 +26,7 @@ def audit_stream(attempts: DataFrame, limit: int = 3, max_attempts: int = 10, ma
                 out.append((key[0], int(r.number), None, None, None, None, "out_of_order"))
                 continue
             last, elapsed = int(r.number), int(elapsed + r.elapsed_ms)
-            new = None if r.debt is None else set(r.debt)
+            new = set(r.debt) if isinstance(r.debt, (list, np.ndarray)) else None
             progress = new is not None and known and len(new) < len(debt) and new <= set(debt)
             if new is not None:
                 debt, known = list(r.debt), True
