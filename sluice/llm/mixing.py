@@ -153,7 +153,7 @@ def mixed_documents(docs: DataFrame, **options) -> DataFrame:
     same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_hash"))
     found = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "source", "_own"]).join(pieces, same)
     words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
-    found = found.withColumn("_words", words)
+    found = found.select("*", F.explode(F.array(words)).alias("_words"))  # cut once a row; else the planner would cut for every piece
     taken = F.transform("_pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["skip"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
     text = F.array_join(taken, " ")
     if "n_chars" in docs.columns:
