@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.plans import queries, queries_more  # noqa: F401  the second registers its queries with the first
+from sluice.plans import queries, queries_more, queries_sources  # noqa: F401  all register with the first
 
 FLAGSHIP = "flagship_gate"
 QUERIES: dict = dict(queries.QUERIES)

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-OUTPUT = "assignment string, number int, elapsed long, progress boolean, streak int, stop_after int, deviations string"
+OUTPUT = "number int, elapsed long, progress boolean, streak int, stop_after int, deviations string"
 STATE = "last int, debt array<string>, known boolean, elapsed long, streak int, stop int"
 
 
@@ -37,7 +37,8 @@ def audit_stream(attempts: DataFrame, limit: int = 3, max_attempts: int = 10, ma
             why = ["continued_after_no_progress"] * late + ["attempt_or_time_budget_exceeded"] * (last > max_attempts or elapsed > max_ms)
             out.append((key[0], last, elapsed, progress, int(streak), stop if stop >= 0 else None, ",".join(why)))
         state.update((last, list(debt), known, int(elapsed), int(streak), stop))
-        frame = pd.DataFrame(out, columns=[x.split()[0] for x in OUTPUT.split(", ")])
+        frame = pd.DataFrame(out, columns=["assignment", *(x.split()[0] for x in OUTPUT.split(", "))])
         yield frame.astype({"number": "Int32", "elapsed": "Int64", "progress": "boolean", "streak": "Int32", "stop_after": "Int32"})
 
-    return attempts.groupBy("assignment").applyInPandasWithState(step, OUTPUT, STATE, "append", GroupStateTimeout.NoTimeout)
+    schema = f"assignment {attempts.schema['assignment'].dataType.simpleString()}, {OUTPUT}"
+    return attempts.groupBy("assignment").applyInPandasWithState(step, schema, STATE, "append", GroupStateTimeout.NoTimeout)
