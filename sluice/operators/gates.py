@@ -54,7 +54,7 @@ def gate(checks: DataFrame, required: DataFrame | None = None, keys: Sequence[st
         per = per.unionByName(lost.select(*k, "id", zero.alias("doubled"), zero.alias("odd"), F.lit(1).cast("long").alias("open"), zero.alias("done"), zero.alias("failed")))
     bad = F.col("doubled") + F.col("odd") + F.col("open")
     out = per.groupBy(*k).agg(
-        F.sum(bad).alias("_gaps"), F.sum("failed").alias("failures"), F.sum("done").alias("completed"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(a) for c, a in ((bad, "_gaps"), (F.col("failed"), "failures"), (F.col("done"), "completed"))],
         F.count_if((bad > 0) | (F.col("failed") > 0)).alias("blockers"),
     )
     out = out.withColumn("gaps", F.col("_gaps") + F.when(F.col("completed") == 0, 1).otherwise(0)).drop("_gaps")
