@@ -185,9 +185,13 @@ def _rows(node: Node, captions: list[Node]) -> Iterator[Node]:
             elif child.tag not in VOID:  # what a table may not hold is shown before it
                 captions.append(child)
         elif isinstance(child, str) and child.strip():
-            stray = Node("caption", {})
-            stray.children.append(child)
-            captions.append(stray)
+            captions.append(_stray(child))
+
+
+def _stray(text: str) -> Node:
+    node = Node("caption", {})
+    node.children.append(text)
+    return node
 
 
 def _table(node: Node) -> list[str]:
@@ -196,6 +200,7 @@ def _table(node: Node) -> list[str]:
     for row in _rows(node, captions):
         cells = [c for c in row.children if isinstance(c, Node) and visible(c) and c.tag in ("td", "th")]
         captions += [c for c in row.children if isinstance(c, Node) and visible(c) and c.tag not in ("td", "th")]
+        captions += [_stray(c) for c in row.children if isinstance(c, str) and c.strip()]
         spans = [int(x) if re.fullmatch(r"[1-9]\d?", x := c.attrs.get("colspan", "")) else 1 for c in cells]
         grid.append([(render(c).split("\n"), span) for c, span in zip(cells, spans, strict=True)])
     width: dict[int, int] = {}

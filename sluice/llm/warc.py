@@ -87,6 +87,8 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     body = data.find(b"\r\n\r\n", at)
     if body < 0:
         raise ValueError("header without an end")
+    if re.search(rb"WARC/1\.[01]\r\n", data[at + 10 : body]):
+        raise ValueError("version line within a header")
     lines = data[at:body].decode("utf-8", "replace").split("\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
     if not head.get("content-length", "").isdigit():
