@@ -182,6 +182,9 @@ CTE: dict[str, str] = {
     "eval_cases": "SELECT o_custkey AS repo, o_orderkey AS id, ['replay', 'held_out', 'anchor'][o_orderkey % 3 + 1] AS kind, o_orderstatus <> 'P' AS base_complete, CAST(floor(o_totalprice) AS BIGINT) % 10 AS base_mismatches, "
     "true AS cand_complete, CAST(floor(o_totalprice / 10) AS BIGINT) % 10 AS cand_mismatches FROM orders",
     "edges": "SELECT p_partkey AS id, p_partkey // 2 AS depends_on FROM part WHERE p_partkey > 1",
+    "grams": r"SELECT DISTINCT id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) ELSE [array_to_string(w, ' ')] END) AS s FROM "
+    r"(SELECT min(doc_id) AS id, list_filter(string_split_regex(lower(text), '\s+'), lambda x: x <> '') AS w FROM documents GROUP BY text)",
+    "gram_counts": "SELECT id, count(*) AS n FROM grams GROUP BY id",
     "ent_b": "SELECT source AS path, lang AS language, CAST(doc_id AS VARCHAR) AS symbol, doc_id AS ord, sha256(text) AS body_digest FROM documents WHERE doc_id % 10 <> 0",
     "ent_h": "SELECT CASE WHEN doc_id % 10 = 3 THEN 'moved/' ELSE '' END || source AS path, lang AS language, CAST(CASE WHEN doc_id % 10 = 4 THEN -doc_id ELSE doc_id END AS VARCHAR) AS symbol, doc_id AS ord, "
     "sha256(CASE WHEN doc_id % 10 = 2 THEN text || '+' ELSE text END) AS body_digest, 'doc_' || doc_id AS name, sha256(lang || (n_chars // 100)) AS shape_digest FROM documents WHERE doc_id % 10 <> 1",

@@ -123,7 +123,13 @@ def _eols():
     return F.when(m == 0, F.replace("text", F.lit("\n"), F.lit("\r\n"))).when(m == 1, F.concat("text", F.lit("\r\n"))).otherwise(F.col("text"))
 
 
-@query("flt7_line_endings")
+@query(
+    "flt7_line_endings",
+    "SELECT path, actual, CASE WHEN was = 'none' THEN 'lf' ELSE was END AS expected FROM (SELECT CAST(doc_id AS VARCHAR) AS path, "
+    r"CASE WHEN regexp_matches(c, '\r\n') AND regexp_matches(c, '(?s)(?:^|[^\r])\n') THEN 'mixed' WHEN regexp_matches(c, '\r\n') THEN 'crlf' WHEN regexp_matches(c, '(?s)(?:^|[^\r])\n') THEN 'lf' ELSE 'none' END AS actual, "
+    r"CASE WHEN regexp_matches(text, '\r\n') AND regexp_matches(text, '(?s)(?:^|[^\r])\n') THEN 'mixed' WHEN regexp_matches(text, '\r\n') THEN 'crlf' WHEN regexp_matches(text, '(?s)(?:^|[^\r])\n') THEN 'lf' ELSE 'none' END AS was "
+    "FROM (SELECT doc_id, text, CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(13) || chr(10)) WHEN 1 THEN text || chr(13) || chr(10) ELSE text END AS c FROM documents) WHERE c <> text) WHERE actual <> 'none' AND actual <> expected",
+)
 def flt7(spark, d):
     docs = table(spark, d, "documents")
     base = docs.select(F.col("doc_id").cast("string").alias("path"), F.col("text").alias("content"))
@@ -218,6 +224,11 @@ def flt18(spark, d):
     return rules.missing_marker_fields(table(spark, d, "documents").select("doc_id", text.alias("text")), ["author", "tool"]).select("doc_id", "missing")
 
 
+@query("flt19_select_changes", "SELECT kind, count(*) AS n FROM changes WHERE kind IN ('added', 'modified', 'renamed') GROUP BY kind")
+def flt19(spark, d):
+    return rules.select_changes(A.changes(spark, d), ["any"]).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("flt20_project_issues", "SELECT count(*) AS n FROM events WHERE regexp_matches(CAST(user_id AS VARCHAR), '^1')")
 def flt20(spark, d):
     i = A.issues(spark, d).withColumn("locations", F.array(F.struct(F.col("file"), F.lit(1).alias("line"))))
@@ -249,6 +260,15 @@ def flt23(spark, d):
     return scope.deliver(f, A.changes(spark, d), lines).select("id")
 
 
+@query("flt24_baseline_delivery", "SELECT old_path AS file FROM changes WHERE kind IN ('deleted', 'renamed') AND old_path IN (SELECT path FROM base WHERE content <> '')")
+def flt24(spark, d):
+    """Findings on the first line of every base file; the lines of files that left their place count as removed."""
+    c = A.changes(spark, d)
+    f = A.base_files(spark, d).select(F.col("path").alias("id"), F.col("path").alias("file"), F.lit(1).alias("start_line"), F.lit(None).cast("int").alias("end_line"))
+    gone = A.numbered(A.base_files(spark, d)).join(c.where("kind in ('deleted', 'renamed')").select(F.col("old_path").alias("path")), "path", "left_semi")
+    return scope.deliver(f, c, gone.select("path", "line_no", F.lit("removed").alias("op")), op="removed").select("file")
+
+
 @query("flt25_shown_location", "SELECT event_id AS id, CASE WHEN user_id % 2 = 0 THEN 'f' || user_id ELSE 'a' END AS file FROM events")
 def flt25(spark, d):
     e = table(spark, d, "events")
@@ -535,7 +555,11 @@ def join22(spark, d):
     return scope.label_judgments(j.drop("n_chars"), l)[0].select("decision_id", "finding_valid")
 
 
-@query("join23_clone_pairs")
+@query(
+    "join23_clone_pairs",
+    r"SELECT l AS left_id, r AS right_id, round(c / (x.n + y.n - c), 6) AS similarity FROM (SELECT a.id AS l, b.id AS r, count(*) AS c FROM grams a JOIN grams b ON a.s = b.s AND a.id < b.id GROUP BY 1, 2) "
+    "JOIN gram_counts x ON x.id = l JOIN gram_counts y ON y.id = r WHERE c / (x.n + y.n - c) >= 0.8",
+)
 def join23(spark, d):
     return scope.clone_pairs(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")).select("left_id", "right_id", F.round("similarity", 6).alias("similarity"))
 
