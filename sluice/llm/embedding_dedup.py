@@ -150,3 +150,15 @@ def near_groups(
 
 def op6_embeddings(spark, sf_dir: str) -> DataFrame:
     return near_groups(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+good AS (SELECT * FROM v WHERE e IS NOT NULL AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.9),
+r AS (SELECT vec_id, vec_id AS c FROM v UNION SELECT p.a, r.c FROM r JOIN p ON p.b = r.vec_id),
+n AS (SELECT a, count(*) AS n_links FROM p GROUP BY a),
+m AS (SELECT vec_id, min(c) AS component_id FROM r GROUP BY vec_id)
+SELECT v.vec_id, coalesce(n.n_links, 0) AS n_links, m.component_id, v.vec_id = m.component_id AS kept
+FROM v JOIN m ON m.vec_id = v.vec_id LEFT JOIN n ON n.a = v.vec_id
+"""

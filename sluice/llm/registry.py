@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op6_embeddings": embedding_dedup.ORACLE,
 }
