@@ -11,7 +11,14 @@ from sluice.plans.adapters import table
 from sluice.plans.queries import query
 from sluice.sources import json_reports, sink, text_reports, xml_reports
 
-KEY, STATUS = F.col("o_orderkey"), F.col("o_orderstatus")
+
+
+def _key() -> Column:
+    return F.col("o_orderkey")
+
+
+def _status() -> Column:
+    return F.col("o_orderstatus")
 
 
 def _text(*parts) -> Column:
@@ -22,14 +29,14 @@ def _reports(spark, d, item: Column, before, after, joint: str = "", where: str
     """One report per customer; `before` and `after` may use n (orders) and failed (orders of status F)."""
     o = table(spark, d, "orders").where(where)
     g = o.groupBy("o_custkey").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(KEY.alias("k"), item.alias("x")))), lambda r: r["x"]), joint).alias("items"), F.count(F.lit(1)).alias("n"), F.count_if(STATUS == "F").alias("failed")
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(_key().alias("k"), item.alias("x")))), lambda r: r["x"]), joint).alias("items"), F.count(F.lit(1)).alias("n"), F.count_if(_status() == "F").alias("failed")
     )
     return g.select(F.col("o_custkey").alias("report_id"), _text(*before, F.col("items"), *after).alias("content"))
 
 
 def _junit(spark, d):
-    body = F.when(STATUS == "F", _text('<failure message="', F.col("o_orderpriority"), '" type="T"/>')).when(STATUS == "P", "").otherwise("<skipped/>")
-    item = _text('<testcase classname="C', KEY % 10, '" name="t', KEY, '" file="f', KEY % 3, '">', body, "</testcase>")
+    body = F.when(_status() == "F", _text('<failure message="', F.col("o_orderpriority"), '" type="T"/>')).when(_status() == "P", "").otherwise("<skipped/>")
+    item = _text('<testcase classname="C', _key() % 10, '" name="t', _key(), '" file="f', _key() % 3, '">', body, "</testcase>")
     wrong = F.when(F.col("o_custkey") % 7 == 0, 1).otherwise(0)
     return _reports(spark, d, item, ['<testsuites><testsuite name="s" tests="', F.col("n") + wrong, '" failures="', F.col("failed"), '">'], ["</testsuite></testsuites>"])
 
@@ -51,7 +58,7 @@ def src4(spark, d):
 
 @query("src5_checkstyle", "SELECT o_custkey AS report_id, 'R.' || o_orderpriority AS rule, CASE WHEN o_orderkey % 4 > 0 THEN o_orderkey % 4 END AS line, 'm ' || o_orderkey AS message FROM orders")
 def src5(spark, d):
-    item = _text('<error line="', KEY % 4, '" message="m ', KEY, '" source="R.', F.col("o_orderpriority"), '"/>')
+    item = _text('<error line="', _key() % 4, '" message="m ', _key(), '" source="R.', F.col("o_orderpriority"), '"/>')
     return xml_reports.checkstyle(_reports(spark, d, item, ['<checkstyle version="1"><file name="a">'], ["</file></checkstyle>"]))[0].select("report_id", "rule", "line", "message")
 
 
@@ -59,7 +66,7 @@ def src5(spark, d):
 def src6(spark, d):
     o = table(spark, d, "orders")
     v = o.where("o_orderstatus <> 'F'").groupBy("o_custkey").agg(F.array_join(F.collect_list(_text('<violation beginline="1" rule="', F.col("o_orderpriority"), '"> text</violation>')), "").alias("v"))
-    s = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_join(F.collect_list(_text('<suppressedviolation filename="x" suppressiontype="a" msg="', KEY, '"/>')), "").alias("s"))
+    s = o.where("o_orderstatus = 'F'").groupBy("o_custkey").agg(F.array_join(F.collect_list(_text('<suppressedviolation filename="x" suppressiontype="a" msg="', _key(), '"/>')), "").alias("s"))
     none = F.lit("")
     raw = v.join(s, "o_custkey", "full").select(F.col("o_custkey").alias("report_id"), _text('<pmd version="6"><file name="a">', F.coalesce("v", none), "</file>", F.coalesce("s", none), "</pmd>").alias("content"))
     return xml_reports.pmd(raw)[0].groupBy("report_id", "rule").agg(F.count(F.lit(1)).alias("n"))
@@ -67,15 +74,15 @@ def src6(spark, d):
 
 @query("src8_spotbugs", "SELECT o_custkey AS report_id, o_orderpriority AS rule, 'b' AS file, o_orderkey % 90 + 1 AS line, CASE WHEN o_orderstatus = 'F' THEN 'long' ELSE 'short' END AS message FROM orders")
 def src8(spark, d):
-    long = F.when(STATUS == "F", "<LongMessage>long</LongMessage>").otherwise("")
-    item = _text('<BugInstance type="', F.col("o_orderpriority"), '"><ShortMessage>short</ShortMessage>', long, '<SourceLine sourcepath="a" start="9"/><SourceLine sourcepath="b" start="', KEY % 90 + 1, '" primary="true"/></BugInstance>')
+    long = F.when(_status() == "F", "<LongMessage>long</LongMessage>").otherwise("")
+    item = _text('<BugInstance type="', F.col("o_orderpriority"), '"><ShortMessage>short</ShortMessage>', long, '<SourceLine sourcepath="a" start="9"/><SourceLine sourcepath="b" start="', _key() % 90 + 1, '" primary="true"/></BugInstance>')
     return xml_reports.spotbugs(_reports(spark, d, item, ['<BugCollection version="4">'], ["</BugCollection>"]))[0].select("report_id", "rule", "file", "line", "message")
 
 
 def _sarif(spark, d):
-    kind = F.when(STATUS == "P", ',"kind":"pass"').otherwise("")
-    hushed = F.when(KEY % 9 == 0, ',"suppressions":[{"kind":"inSource"}]').otherwise("")
-    item = _text('{"ruleIndex":0,"message":{"id":"d","arguments":["', KEY, '","', F.col("o_orderpriority"), '"]},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"a"},"region":{"startLine":', KEY % 50 + 1, "}}}]", kind, hushed, "}")
+    kind = F.when(_status() == "P", ',"kind":"pass"').otherwise("")
+    hushed = F.when(_key() % 9 == 0, ',"suppressions":[{"kind":"inSource"}]').otherwise("")
+    item = _text('{"ruleIndex":0,"message":{"id":"d","arguments":["', _key(), '","', F.col("o_orderpriority"), '"]},"locations":[{"physicalLocation":{"artifactLocation":{"uri":"a"},"region":{"startLine":', _key() % 50 + 1, "}}}]", kind, hushed, "}")
     head = '{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"T","rules":[{"id":"R","messageStrings":{"d":{"text":"{0} is {1}"}}}]}},"results":['
     return _reports(spark, d, item, [head], ["]}]}"], ",")
 
@@ -92,14 +99,14 @@ def src9_summary(spark, d):
 
 @query("src12_lcov", "SELECT o_custkey AS report_id, o_orderkey % 5 + 1 AS line, sum(o_orderkey % 3) AS hits, 2 AS branches_found, max(o_orderkey % 2) AS branches_hit FROM orders GROUP BY ALL")
 def src12(spark, d):
-    line = KEY % 5 + 1
-    item = _text("SF:a.c\nDA:", line, ",", KEY % 3, "\nBRDA:", line, ",0,0,", F.when(KEY % 2 == 1, "1").otherwise("-"), "\nBRDA:", line, ",0,1,-\nend_of_record\n")
+    line = _key() % 5 + 1
+    item = _text("SF:a.c\nDA:", line, ",", _key() % 3, "\nBRDA:", line, ",0,0,", F.when(_key() % 2 == 1, "1").otherwise("-"), "\nBRDA:", line, ",0,1,-\nend_of_record\n")
     return text_reports.lcov(_reports(spark, d, item, [], []))[0].select("report_id", "line", "hits", "branches_found", "branches_hit")
 
 
 @query("src13_cobertura", "SELECT o_custkey AS report_id, o_orderkey AS line, o_orderkey % 3 AS hits, CASE WHEN o_orderkey % 2 = 0 THEN 2 ELSE 0 END AS branches_found, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS branches_hit FROM orders WHERE o_custkey % 8 <> 0")
 def src13(spark, d):
-    item = _text('<line number="', KEY, '" hits="', KEY % 3, '"', F.when(KEY % 2 == 0, ' condition-coverage="50% (1/2)"').otherwise(""), "/>")
+    item = _text('<line number="', _key(), '" hits="', _key() % 3, '"', F.when(_key() % 2 == 0, ' condition-coverage="50% (1/2)"').otherwise(""), "/>")
     valid = F.col("n") + F.when(F.col("o_custkey") % 8 == 0, 1).otherwise(0)
     raw = _reports(spark, d, item, ['<coverage lines-valid="', valid, '"><packages><package><classes><class filename="a"><lines>'], ["</lines></class></classes></package></packages></coverage>"])
     return xml_reports.cobertura(raw)[0].select("report_id", "line", "hits", "branches_found", "branches_hit")
@@ -107,48 +114,48 @@ def src13(spark, d):
 
 @query("src14_jacoco", "SELECT o_custkey AS report_id, 'p/A' AS file, o_orderkey AS line, o_orderkey % 3 AS hits, 4 AS branches_found, o_orderkey % 4 AS branches_hit FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 97 = 0)")
 def src14(spark, d):
-    missed = F.when(KEY % 97 == 0, 0 - KEY % 3).otherwise(1)
-    item = _text('<line nr="', KEY, '" mi="', missed, '" ci="', KEY % 3, '" mb="', 4 - KEY % 4, '" cb="', KEY % 4, '"/>')
+    missed = F.when(_key() % 97 == 0, 0 - _key() % 3).otherwise(1)
+    item = _text('<line nr="', _key(), '" mi="', missed, '" ci="', _key() % 3, '" mb="', 4 - _key() % 4, '" cb="', _key() % 4, '"/>')
     return xml_reports.jacoco(_reports(spark, d, item, ['<report name="r"><package name="p"><sourcefile name="A">'], ["</sourcefile></package></report>"]))[0]
 
 
 @query("src15_coverage_py", "SELECT o_custkey AS report_id, 'f' || o_orderkey AS file, l AS line, CASE WHEN l = 1 THEN 1 ELSE 0 END AS hits, CASE WHEN l = 1 THEN 2 ELSE 0 END AS branches_found, CASE WHEN l = 1 THEN 1 ELSE 0 END AS branches_hit, l = 3 AS excluded FROM orders, (SELECT unnest([1, 2, 3]) AS l)")
 def src15(spark, d):
-    item = _text('"f', KEY, '":{"executed_lines":[1],"missing_lines":[2],"excluded_lines":[3],"executed_branches":[[1,2]],"missing_branches":[[1,3]]}')
+    item = _text('"f', _key(), '":{"executed_lines":[1],"missing_lines":[2],"excluded_lines":[3],"executed_branches":[[1,2]],"missing_branches":[[1,3]]}')
     return json_reports.coverage_py(_reports(spark, d, item, ['{"meta":{"format":3},"totals":{"covered_lines":', F.col("n"), '},"files":{'], ["}}"], ","))[0]
 
 
 @query("src16_clippy", "SELECT o_custkey AS report_id, 'clippy::' || o_orderpriority AS rule, o_orderkey % 70 + 1 AS line FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 83 = 0)")
 def src16(spark, d):
-    code = F.when(KEY % 83 == 0, "E0001").otherwise(_text("clippy::", F.col("o_orderpriority")))
-    level = F.when(KEY % 83 == 0, "error").otherwise("warning")
-    item = _text('{"reason":"compiler-message","message":{"message":"m","level":"', level, '","code":{"code":"', code, '"},"spans":[{"file_name":"a","line_start":', KEY % 70 + 1, ',"is_primary":true}]}}\n')
+    code = F.when(_key() % 83 == 0, "E0001").otherwise(_text("clippy::", F.col("o_orderpriority")))
+    level = F.when(_key() % 83 == 0, "error").otherwise("warning")
+    item = _text('{"reason":"compiler-message","message":{"message":"m","level":"', level, '","code":{"code":"', code, '"},"spans":[{"file_name":"a","line_start":', _key() % 70 + 1, ',"is_primary":true}]}}\n')
     return json_reports.cargo_clippy(_reports(spark, d, item, [], ['{"reason":"build-finished","success":true}\n']))[0].select("report_id", "rule", "line")
 
 
 @query("src17_eslint", "SELECT o_custkey AS report_id, 'f' || o_orderkey AS file, o_orderpriority AS rule, 2 AS line FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 89 = 0)")
 def src17(spark, d):
-    item = _text('{"filePath":"f', KEY, '","errorCount":', F.when(KEY % 89 == 0, 3).otherwise(1), ',"warningCount":0,"messages":[{"ruleId":"', F.col("o_orderpriority"), '","severity":2,"message":"m","line":2}]}')
+    item = _text('{"filePath":"f', _key(), '","errorCount":', F.when(_key() % 89 == 0, 3).otherwise(1), ',"warningCount":0,"messages":[{"ruleId":"', F.col("o_orderpriority"), '","severity":2,"message":"m","line":2}]}')
     return json_reports.eslint(_reports(spark, d, item, ["["], ["]"], ","))[0].select("report_id", "file", "rule", "line")
 
 
 @query("src18_golangci", "SELECT o_custkey AS report_id, CASE WHEN o_orderkey % 2 = 0 THEN 'SA' || (o_orderkey % 10) ELSE 'lll' END AS rule, count(*) AS n FROM orders WHERE o_orderkey % 3 <> 0 GROUP BY ALL")
 def src18(spark, d):
-    text = F.when(KEY % 2 == 0, _text("SA", KEY % 10, ": old")).otherwise("long: line")
-    item = _text('{"FromLinter":"', F.when(KEY % 3 == 0, "other").otherwise("lll"), '","Text":"', text, '","Pos":{"Filename":"a","Line":1}}')
+    text = F.when(_key() % 2 == 0, _text("SA", _key() % 10, ": old")).otherwise("long: line")
+    item = _text('{"FromLinter":"', F.when(_key() % 3 == 0, "other").otherwise("lll"), '","Text":"', text, '","Pos":{"Filename":"a","Line":1}}')
     return json_reports.golangci(_reports(spark, d, item, ['{"Report":{},"Issues":['], ["]}"], ","), ["lll"])[0].groupBy("report_id", "rule").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("src19_ruff", "SELECT o_custkey AS report_id, 'F' || (o_orderkey % 900) AS rule, o_orderkey % 60 + 1 AS line FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 101 = 0)")
 def src19(spark, d):
-    code = F.when(KEY % 101 == 0, "null").otherwise(_text('"F', KEY % 900, '"'))
-    item = _text('{"code":', code, ',"filename":"a","message":"m","location":{"row":', KEY % 60 + 1, "}}")
+    code = F.when(_key() % 101 == 0, "null").otherwise(_text('"F', _key() % 900, '"'))
+    item = _text('{"code":', code, ',"filename":"a","message":"m","location":{"row":', _key() % 60 + 1, "}}")
     return json_reports.ruff(_reports(spark, d, item, ["["], ["]"], ","))[0].select("report_id", "rule", "line")
 
 
 @query("src20_pyright", "SELECT o_custkey AS report_id, o_orderkey % 60 + 1 AS line FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 9 <> 0")
 def src20(spark, d):
-    item = _text('{"file":"a","severity":"warning","message":"m","rule":"', F.when(KEY % 2 == 0, "reportDeprecated").otherwise("other"), '","range":{"start":{"line":', KEY % 60, "}}}")
+    item = _text('{"file":"a","severity":"warning","message":"m","rule":"', F.when(_key() % 2 == 0, "reportDeprecated").otherwise("other"), '","range":{"start":{"line":', _key() % 60, "}}}")
     total = F.col("n") + F.when(F.col("o_custkey") % 9 == 0, 1).otherwise(0)
     raw = _reports(spark, d, item, ['{"summary":{"errorCount":0,"informationCount":0,"warningCount":', total, '},"generalDiagnostics":['], ["]}"], ",")
     return json_reports.pyright(raw)[0].select("report_id", "line")
@@ -156,28 +163,28 @@ def src20(spark, d):
 
 @query("src21_javac", "SELECT o_custkey AS report_id, CASE WHEN o_orderkey % 2 = 0 THEN 'removal' ELSE 'deprecation' END AS rule, 'f() ' || o_orderkey AS message FROM orders WHERE o_custkey % 6 <> 0")
 def src21(spark, d):
-    item = _text("A.java:7: warning: [", F.when(KEY % 2 == 0, "removal").otherwise("deprecation"), "] f() ", KEY, "\n")
+    item = _text("A.java:7: warning: [", F.when(_key() % 2 == 0, "removal").otherwise("deprecation"), "] f() ", _key(), "\n")
     note = F.when(F.col("o_custkey") % 6 == 0, "Note: A.java uses deprecated API.\n").otherwise("")
     return text_reports.javac(_reports(spark, d, item, [], [note, F.col("n"), " warnings\n"]))[0].select("report_id", "rule", "message")
 
 
 @query("src22_diagnostics", "SELECT o_custkey AS report_id, 't' AS tool, o_orderpriority AS rule, 'f' || (o_orderkey % 5) AS file FROM orders WHERE o_custkey % 4 <> 0")
 def src22(spark, d):
-    item = _text('{"rule":"', F.col("o_orderpriority"), '","file":"f', KEY % 5, '","line":1,"message":"m"}')
+    item = _text('{"rule":"', F.col("o_orderpriority"), '","file":"f', _key() % 5, '","line":1,"message":"m"}')
     raw = _reports(spark, d, item, ['{"tool":"t","executed":5,"failures":', F.when(F.col("o_custkey") % 4 == 0, 6).otherwise(0), ',"issues":['], ["]}"], ",")
     return json_reports.diagnostics(raw)[0].select("report_id", "tool", "rule", "file")
 
 
 @query("src23_tool_facts", "SELECT o_custkey AS report_id, CAST(o_orderkey AS VARCHAR) AS id, (o_orderkey % 1000) / 8.0 AS value FROM orders WHERE o_custkey % 3 <> 0")
 def src23(spark, d):
-    item = _text('{"id":"', KEY, '","file":"a","metric":"m","value":"', ((KEY % 1000).cast("double") / 8).cast("decimal(10,3)"), '","unit":"u","measurement":"e"}')
+    item = _text('{"id":"', _key(), '","file":"a","metric":"m","value":"', ((_key() % 1000).cast("double") / 8).cast("decimal(10,3)"), '","unit":"u","measurement":"e"}')
     raw = _reports(spark, d, item, ['{"project":"p","target":"', F.when(F.col("o_custkey") % 3 == 0, "x").otherwise("t"), '","metrics":['], ["]}"], ",")
     return json_reports.tool_facts(raw, "p", "t")[0].select("report_id", "id", F.col("value").cast("double").alias("value"))
 
 
 @query("src24_api_compatibility", "SELECT DISTINCT o_custkey AS report_id, 'c.' || (o_orderkey % 20) AS class, CASE WHEN o_orderkey % 20 % 2 = 0 THEN 'CLASS_INCOMPATIBLE' ELSE 'REMOVED' END AS rule FROM orders WHERE o_orderkey % 20 % 3 <> 0")
 def src24(spark, d):
-    c = KEY % 20
+    c = _key() % 20
     state = F.when(c % 3 == 0, "true").otherwise("false")
     member = F.when(c % 2 == 1, '<member name="m" binaryCompatible="false" sourceCompatible="false" change="REMOVED"/>').otherwise("")
     item = _text('<class fullyQualifiedName="c.', c, '" binaryCompatible="', state, '" sourceCompatible="true">', member, "</class>")
