@@ -98,8 +98,7 @@ def binary_files(added: DataFrame, limit: int = 4096) -> DataFrame:
     cut = lambda n: F.is_valid_utf8(head.substr(F.lit(1), F.greatest(F.octet_length(head) - n, F.lit(0))).cast("string"))
     valid = F.is_valid_utf8(head.cast("string")) | ~whole & (cut(1) | cut(2) | cut(3))
     suffix = T.extension(F.col("path")).isin(BINARY_SUFFIXES)
-    nul = F.instr(F.hex(head), "00") > 0
-    nul = nul & F.hex(head).rlike("^(?:[0-9A-F]{2})*?00")
+    nul = head.cast("string").contains("\0")
     reason = F.when(suffix, "suffix").when(nul, "nul").when(~valid, "utf8")
     return added.withColumn("reason", reason).where("reason is not null")
 
