@@ -73,8 +73,15 @@ def map_report_paths(reported: DataFrame, inventory: DataFrame, keys: Sequence[s
 
 
 def map_with_roots(reported: DataFrame, inventory: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """JOIN-5. root + "/" + file must name exactly one file over all roots (keys, root)."""
-    tried = reported.select(*keys, "file").distinct().join(roots, list(keys)) if keys else reported.select("file").distinct().crossJoin(F.broadcast(roots.limit(64)))
+    """JOIN-5. root + "/" + file must name exactly one file over all roots (keys, root); without keys, of 64 roots at most."""
+    names = reported.select(*keys, "file").distinct()
+    if keys:
+        tried = names.join(roots, list(keys))
+    else:
+        few = [r["root"] for r in roots.select("root").distinct().limit(65).collect()]
+        if len(few) > 64:
+            raise ValueError("more than 64 roots")
+        tried = names.withColumn("root", F.explode(F.array(*[F.lit(r) for r in few])))
     tried = tried.withColumn("path", F.when(F.col("root") == "", F.col("file")).otherwise(F.concat_ws("/", "root", "file")))
     hit = tried.join(inventory.select(*keys, "path").distinct(), [*keys, "path"], "left_semi").groupBy(*keys, "file").agg(F.countDistinct("path").alias("candidates"), F.min("path").alias("path"))
     out = reported.select(*keys, "file").distinct().join(hit, [*keys, "file"], "left")

@@ -340,7 +340,11 @@ def dif2(spark, d):
     return diff.line_diff(pairs.join(old, "path").join(new, "path")).groupBy("path", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dif3_tree_digest")
+@query(
+    "dif3_tree_digest",
+    "SELECT sum(n) AS files, 'sha256:' || sha256(string_agg(leaf, ',' ORDER BY part)) AS digest FROM (SELECT substr(sha256(path), 1, 3) AS part, count(*) AS n, sha256(string_agg(leaf, ',' ORDER BY path)) AS leaf FROM "
+    "(SELECT path, sha256(concat_ws(chr(10), octet_length(encode(path)), path, 0, octet_length(encode(content)), sha256(content))) AS leaf FROM head) GROUP BY 1)",
+)
 def dif3(spark, d):
     return diff.tree_digest(A.head_files(spark, d))
 

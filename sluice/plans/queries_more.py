@@ -290,7 +290,10 @@ def fn8(spark, d):
     return table(spark, d, "documents").select("doc_id", T.has_cjk(F.col("text")).alias("cjk"), T.ascii_words(F.col("text")).alias("words"))
 
 
-@query("fn9_truncate")
+@query(
+    "fn9_truncate",
+    "SELECT doc_id, n, octet_length(encode(left(text, n))) AS bytes FROM (SELECT doc_id, text, (SELECT max(k) FROM range(0, 257) r(k) WHERE k <= length(text) AND octet_length(encode(left(text, k))) <= 256) AS n FROM documents)",
+)
 def fn9(spark, d):
     t = T.truncate_utf8(F.col("text"))
     return table(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.octet_length(t).alias("bytes"))
