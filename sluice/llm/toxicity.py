@@ -1,33 +1,37 @@
-"""Toxicity from class-conditional Kneser-Ney models.
-
-Two models, of toxic and of ordinary text, give every word a log-likelihood after its predecessor. Counts are numbers of
-documents an expression occurs in (its distinct contexts), discounted as in Kneser-Ney and filled up from the counts that
-both classes share. A word backs off from pair to word to the word's first letters; an expression keeps counts of its own
-only if the two classes differ in it beyond chance (likelihood-ratio pruning), and is else as likely in both models. The
-score is the calibrated difference of the two log-likelihoods per word.
+"""Toxicity from class-conditional counts, shrunk along pair, word and prefix.
+
+This is not Kneser-Ney: counts are numbers of documents an expression occurs in, not distinct predecessors. Taken from it
+are the discount and the backing off. The log ratio of an expression in toxic and ordinary text comes from both classes'
+discounted counts, filled up by what was discounted and by SHARED documents dealt to the classes as the shorter
+expression tells: a pair's as its two words, a word's as its first letters, those as the labels. It is mixed with the
+shorter expression's by the odds that the classes differ from what that tells: the Bayes factor of any share of toxic
+documents against the share told, times the prior odds. So a chance word is shrunk, by one rule at every size, and none
+is dropped. The score is the calibrated sum of the log ratios of each word after its
+predecessor, per word; training documents are calibrated with their own counts taken away.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import xxhash
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.llm.shared import table
 
 DISCOUNT = 0.75
-BACKOFF = 0.2  # weight of the shared counts per unit of discount
-EVIDENCE = 18.0  # least likelihood ratio of an expression with counts of its own, for FEW toxic rows or fewer
-FEW = 250  # beyond, it grows in proportion, as true evidence does: with more rows, rarer words would pass by chance
+SHARED = 1.0  # documents of the shorter expression's ratio that each expression's counts are filled up with
+PRIOR = -11.0  # log odds, before any count, that the classes differ from what the shorter expression tells
 TRAIN_ROWS = 30_000  # labelled rows to fit on, by the order of their hashes: the bound of the sample
-MODEL_ROWS = 50_000  # expressions with counts of their own, by evidence: the bound of the model
 PREFIX = 5
 THRESHOLD = 0.3
 BINS = 400
+CHUNK = 500  # documents looked at together
 
 _WORDS = re.compile(r"[^\W\d_]+").findall
 
@@ -36,54 +40,110 @@ def words(text: str | None) -> list[str]:
     return _WORDS((text or "").lower())
 
 
-def _expressions(ws: list[str]) -> set[str]:
-    """Words, "first second" pairs and "prefix*"."""
-    return {*ws, *(f"{a} {b}" for a, b in zip(ws, ws[1:], strict=False)), *(f"{w[:PREFIX]}*" for w in ws if len(w) > PREFIX)}
+def _key(expression: str) -> int:
+    """Words and "prefix*" by their hash, "first second" pairs by the mixed hashes of their words."""
+    if " " in expression:
+        a, b = (np.array([_key(w)], np.uint64) for w in expression.split(" "))
+        return int(_pairs(a, b)[0])
+    return xxhash.xxh64_intdigest(expression.encode("utf-8", "surrogatepass"))
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def emit(found: dict[int, Counter]) -> pa.RecordBatch:
-        keys = list(found[0].keys() | found[1].keys())
-        counts = [pa.array([found[y][k] for k in keys], pa.int64()) for y in (0, 1)]
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *counts], ["expression", "ordinary", "toxic"])
+def _pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x ^ (x >> np.uint64(29))
+
+
+def _keys(texts: list[str | None]) -> tuple[np.ndarray, ...]:
+    """Document, word, prefix and whether there is one, of each word in turn."""
+    cut = [words(t) for t in texts]
+    known: dict[str, int] = {}
+    at = np.array([known.setdefault(w, len(known)) for ws in cut for w in ws], np.int64)
+    word = np.fromiter(map(_key, known), np.uint64, len(known))
+    long = np.fromiter((len(w) > PREFIX for w in known), bool, len(known))
+    prefix = np.fromiter((_key(f"{w[:PREFIX]}*") if len(w) > PREFIX else 0 for w in known), np.uint64, len(known))
+    return np.repeat(np.arange(len(cut)), [len(ws) for ws in cut]), word[at], prefix[at], long[at]
 
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The number of ordinary and toxic documents that hold each expression."""
     for b in batches:
-        rows = list(zip(b.column("text").to_pylist(), b.column("toxic").to_pylist(), strict=True))
-        for at in range(0, len(rows), 500):
-            found = {0: Counter(), 1: Counter()}
-            for text, toxic in rows[at : at + 500]:
-                found[toxic].update(_expressions(words(text)))
-            yield emit(found)
+        texts, toxic = b.column("text").to_pylist(), b.column("toxic").to_numpy()
+        for at in range(0, len(texts), CHUNK):
+            doc, word, prefix, long = _keys(texts[at : at + CHUNK])
+            near = np.flatnonzero(doc[1:] == doc[:-1])
+            key = np.concatenate([word, prefix[long], _pairs(word[near], word[near + 1])])
+            doc = np.concatenate([doc, doc[long], doc[near]])
+            order = np.lexsort((doc, key))
+            key, doc = key[order], doc[order]
+            once = np.append(True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1]))[: len(key)]
+            key, bad = key[once], toxic[at : at + CHUNK][doc[once]].astype(np.int64)
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])[: len(key)])
+            c1 = np.add.reduceat(bad, starts) if len(key) else bad
+            n = np.diff(np.append(starts, len(key)))
+            yield pa.RecordBatch.from_arrays([pa.array(key[starts].view(np.int64)), pa.array(n - c1), pa.array(c1)], ["key", "c0", "c1"])
 
 
 class Model:
-    """log P(expression | toxic) - log P(expression | ordinary) of the expressions that were kept."""
+    """Log ratios of expressions in toxic and ordinary text: given as they are, or made from counts when looked up."""
 
     def __init__(self, rows: list[tuple[str, float]]):
-        self.word = {e: x for e, x in rows if " " not in e and not e.endswith("*")}
-        self.prefix = {e[:-1]: x for e, x in rows if e.endswith("*")}
-        self.pair = {tuple(e.split(" ")): x for e, x in rows if " " in e}
-        self.firsts = {a for a, _ in self.pair}
+        rows = sorted((_key(e), x) for e, x in rows)
+        self.keys, self.ratios = np.array([k for k, _ in rows], np.uint64), np.array([x for _, x in rows], float)
+
+    @classmethod
+    def of_counts(cls, keys: np.ndarray, c0: np.ndarray, c1: np.ndarray, n0: int, n1: int) -> Model:
+        self, order = cls([]), np.argsort(keys)
+        self.keys, self.ratios, self.c0, self.c1, self.n0, self.n1 = keys[order], None, c0[order], c1[order], n0, n1
+        self.chosen = np.append(0.0, np.cumsum(np.log(np.arange(1, n0 + n1 + 1))))  # log factorials
+        return self
+
+    def _factor(self, c0: np.ndarray, c1: np.ndarray, share: np.ndarray | float) -> np.ndarray:
+        """Log Bayes factor of an unknown share of toxic documents against the given one."""
+        f = self.chosen
+        return f[c0] + f[c1] - f[c0 + c1] - np.log(c0 + c1 + 1) - c1 * np.log(share) - c0 * np.log1p(-share)
+
+    def _level(self, keys: np.ndarray, shorter: np.ndarray, own: np.ndarray | None) -> np.ndarray:
+        """Log ratios of the expressions, given those that the shorter ones tell. own: the label of a training document,
+        whose counts are taken away."""
+        if not len(self.keys) or not len(keys):
+            return shorter
+        distinct, back = np.unique(keys, return_inverse=True)
+        at = np.minimum(np.searchsorted(self.keys, distinct), len(self.keys) - 1)
+        seen, at = (self.keys[at] == distinct)[back], at[back]
+        if self.ratios is not None:
+            return np.where(seen, self.ratios[at], shorter)
+        out, at, shorter_seen = shorter.copy(), at[seen], shorter[seen]
+        c0, c1 = self.c0[at].astype(np.int64), self.c1[at].astype(np.int64)
+        if own is not None:
+            c0, c1 = c0 - (own[seen] == 0), c1 - (own[seen] == 1)
+        odds = self.n1 / self.n0 * np.exp(np.clip(shorter_seen, -30, 30))
+        share = np.clip(odds / (1 + odds), 1e-12, 1 - 1e-12)
+        differ = 1 / (1 + np.exp(-np.clip(self._factor(c0, c1, share) + PRIOR, -50, 50)))
+        free = SHARED + np.minimum(c0, DISCOUNT) + np.minimum(c1, DISCOUNT)
+        ratio = np.log((np.maximum(c1 - DISCOUNT, 0) + free * share) / self.n1) - np.log((np.maximum(c0 - DISCOUNT, 0) + free * (1 - share)) / self.n0)
+        out[seen] = differ * ratio + (1 - differ) * shorter_seen
+        return out
+
+    def differences(self, texts: list[str | None], own: np.ndarray | None = None) -> np.ndarray:
+        """Mean over each text's words of how much likelier they are, after their predecessors, in toxic text."""
+        parts = [np.zeros(0)]
+        for at in range(0, len(texts), CHUNK):
+            doc, word, prefix, long = _keys(texts[at : at + CHUNK])
+            mine = None if own is None else own[at : at + CHUNK][doc]
+            alone = np.zeros(len(word))
+            alone[long] = self._level(prefix[long], alone[long], None if own is None else mine[long])
+            alone = self._level(word, alone, mine)
+            near = np.flatnonzero(doc[1:] == doc[:-1])
+            both = self._level(_pairs(word[near], word[near + 1]), alone[near] + alone[near + 1], None if own is None else mine[near])
+            gain = alone.copy()
+            gain[near + 1] = both - alone[near]
+            n = len(texts[at : at + CHUNK])
+            parts.append(np.bincount(doc, gain, n) / np.maximum(np.bincount(doc, minlength=n), 1))
+        return np.concatenate(parts)
 
     def difference(self, text: str | None) -> float:
-        """Mean over the words of how much likelier they are in the toxic model."""
-        ws = words(text)
-        total, word, prefix = 0.0, self.word, self.prefix
-        for w, n in Counter(ws).items():
-            got = word.get(w)
-            if got is None and len(w) > PREFIX:
-                got = prefix.get(w[:PREFIX])
-            if got:
-                total += n * got
-        if self.firsts:
-            for a, b in zip(ws, ws[1:], strict=False):
-                if a in self.firsts and (both := self.pair.get((a, b))) is not None:
-                    total += both - self._alone(a) - self._alone(b)
-        return total / max(len(ws), 1)
-
-    def _alone(self, w: str) -> float:
-        got = self.word.get(w)
-        return got if got is not None else self.prefix.get(w[:PREFIX], 0.0) if len(w) > PREFIX else 0.0
+        return float(self.differences([text])[0])
 
 
 def _scale(difference: float) -> float:
@@ -91,10 +151,13 @@ def _scale(difference: float) -> float:
     return math.copysign(math.log1p(1000 * abs(difference)), difference)
 
 
-def _scored(model: Model):
+def _scored(model):
+    """model: the broadcast of one. Rows with a label are training rows."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [_scale(model.difference(t)) for t in b.column("text").to_pylist()]
+            own = b.column("toxic").to_numpy() if "toxic" in b.schema.names else None
+            x = [_scale(v) for v in model.value.differences(b.column("text").to_pylist(), own).tolist()]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in b.schema.names if c != "text"), pa.array(x, pa.float64())], [*(c for c in b.schema.names if c != "text"), "x"])
 
     return run
@@ -132,10 +195,11 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit(""))) % 4 == 2
 
 
-def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float, float]:
-    """Fits on at most TRAIN_ROWS labelled rows outside the held-out quarter. Labels that are null are left out, a
-    document labelled twice is toxic if one label says so, labels without a document do nothing. Without a label of
-    either class every document scores the share of toxic labels, or 0."""
+def fit(docs: DataFrame, labels: DataFrame) -> tuple[Broadcast, float, float]:
+    """The model, broadcast, and its calibration. Fits on at most TRAIN_ROWS labelled rows outside the held-out quarter.
+    Labels that are null are left out, a document labelled twice is toxic if one label says so, labels without a document
+    do nothing. Without a label of either class every document scores the share of toxic labels, or 0."""
+    send = docs.sparkSession.sparkContext.broadcast
     marked = labels.where("toxic is not null and doc_id is not null").where(~held_out(F.col("doc_id")))
     marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max(F.when(F.col("toxic") > 0, 1).otherwise(0)).alias("toxic"))
     sample = marked.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)
@@ -144,24 +208,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[Model, float, float]:
     n = {r["toxic"]: r["n"] for r in train.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n0, n1 = n.get(0, 0), n.get(1, 0)
     if not n0 or not n1:
-        return Model([]), (30.0 if n1 else -30.0), 0.0
-    counts = train.mapInArrow(_count, "expression string, ordinary long, toxic long").groupBy("expression").agg(
-        F.sum("ordinary").alias("c0"), F.sum("toxic").alias("c1")
-    )
-    share = (F.col("c0") + F.col("c1")) / (n0 + n1)
-
-    def part(c: str, size: int) -> Column:
-        return F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * size))).otherwise(0.0)
-
-    def rate(c: str, size: int) -> Column:
-        return (F.greatest(F.col(c) - DISCOUNT, F.lit(0.0)) + DISCOUNT * BACKOFF * size * share) / size
-
-    evidence = 2 * (part("c0", n0) + part("c1", n1))
-    kept = counts.where(F.col("c0") + F.col("c1") > 1).select(
-        "expression", F.log(rate("c1", n1) / rate("c0", n0)).alias("difference"), evidence.alias("evidence")
-    )
-    kept = kept.where(F.col("evidence") >= EVIDENCE * max(1.0, n1 / FEW)).orderBy(F.col("evidence").desc(), "expression").limit(MODEL_ROWS)
-    model = Model([(r["expression"], r["difference"]) for r in kept.select("expression", "difference").collect()])
+        return send(Model([])), (30.0 if n1 else -30.0), 0.0
+    counts = train.mapInArrow(_count, "key long, c0 long, c1 long").groupBy("key").agg(
+        F.sum("c0").cast("int").alias("c0"), F.sum("c1").cast("int").alias("c1")
+    ).toArrow()
+    key, c0, c1 = (counts.column(c).to_numpy() for c in ("key", "c0", "c1"))
+    model = send(Model.of_counts(key.view(np.uint64), c0, c1, n0, n1))
     low, width = -7.0, 14.0 / BINS
     spot = F.least(F.greatest(F.floor((F.col("x") - low) / width), F.lit(0)), F.lit(BINS - 1))
     cells = train.mapInArrow(_scored(model), "toxic int, x double").groupBy(spot.alias("bin"), "toxic").agg(F.avg("x").alias("x"), F.count(F.lit(1)).alias("n")).collect()
@@ -186,7 +238,7 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [a + b * _scale(model.difference(t)) for t in batch.column("text").to_pylist()]
+            x = [a + b * _scale(v) for v in model.value.differences(batch.column("text").to_pylist()).tolist()]
             clean = [1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) < threshold for v in x]
             yield batch.filter(pa.array(clean, pa.bool_()))
 

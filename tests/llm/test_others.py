@@ -178,6 +178,25 @@ def test_expressions_back_off():
     assert m.difference("") == m.difference(None) == m.difference("123 --") == 0.0
 
 
+def test_every_toxic_expression_counts_at_every_size(spark):
+    rnd = random.Random(5)
+    docs, labels = [], []
+    for i in range(6000):
+        bad = i % 10 == 0
+        words = [f"w{rnd.randrange(400)}" for _ in range(12)] + (["vile"] if bad and i % 20 else []) + ([f"rare{i // 20 % 60}"] if bad else [])
+        docs.append((i, " ".join(words)))
+        labels.append((i, int(bad)))
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    model, _, b = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert b > 0
+    for k in range(60):  # each in about eight toxic training rows and no other; a bar that grows with the rows drops them
+        assert model.value.difference(f"rare{k}") > 0.5
+    assert model.value.difference("unseen words here") == 0.0
+    # what is in one document only is shrunk, and kept
+    one = toxicity.Model.of_counts(np.array([toxicity._key("once")], np.uint64), np.array([0]), np.array([1]), 900, 100)
+    assert 0 < one.difference("once") < 0.5 and one.differences(["once"], np.array([1])).tolist() == [0.0]
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
 def test_pipeline_against_its_stages(spark):
     import corpus_pipeline as cp
