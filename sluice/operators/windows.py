@@ -6,6 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.llm.mixing import _running
+from sluice.llm.shared import keep, partitions
+
 
 def attempt_audit(attempts: DataFrame, keys: Sequence[str] = (), limit: int = 3, max_attempts: int = 10, max_ms: int = 3_600_000) -> DataFrame:
     """WIN-2. attempts (keys, assignment, number, elapsed_ms, debt array<string> or null) -> per attempt: elapsed so far,
@@ -63,17 +66,37 @@ def output_budget(rows: DataFrame, size: Column, keys: Sequence[str], order: Seq
     return out.where("_fits").drop("_n", "_used", "_fits")
 
 
-def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[str], budget: int, most: int = 256) -> DataFrame:
-    """WIN-7. In order, each item that still fits is kept; a large one is skipped and later smaller ones may fit. Sections
-    hold at most `most` candidates, as no more than that many lines are ever shown; items beyond cannot be kept."""
-    n = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    items = rows.withColumn("_n", n).where(F.col("_n") <= most).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(F.col("_n").alias("n"), F.col(size).cast("long").alias("s")))).alias("_items"))
-    zero = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<int>").alias("kept"))
-    fold = F.aggregate(
-        "_items", zero,
-        lambda a, x: F.when(a["used"] + x["s"] <= budget, F.struct((a["used"] + x["s"]).alias("used"), F.concat(a["kept"], F.array(x["n"].cast("int"))).alias("kept"))).otherwise(a),
+def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:
+    """WIN-7. In order, each item that still fits is kept; a large one is skipped and later smaller ones may fit. Sizes are
+    not negative; a null size never fits.
+
+    In rounds: of the items left, the prefix that fits is kept, by running sums made in pieces; then those after it stay that
+    are no larger than what is left, until there are none."""
+    slim = rows.select(*keys, *[c for c in order if c not in keys], F.col(size).cast("long").alias("_s"))
+    dealt = slim.repartitionByRange(partitions(rows.sparkSession), *keys, *order).withColumn("_piece", F.spark_partition_id())
+    items = _running(keep(dealt, "items"), list(keys), "_piece", list(order), F.lit(1), "_n").select(*keys, "_piece", (F.col("_n") + 1).alias("_n"), "_s")
+    items = keep(items, "numbered")
+    here = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
+    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
+    sections = keep(items.groupBy(*keys).agg(F.lit(budget).cast("long").alias("_left")), "sections")
+    left, live, taken = sections.withColumn("_at", F.lit(0).cast("long")), items, None
+    while True:
+        known = left.select(*here, "_left", "_at")
+        live = live.join(known, same).where("_n > _at and _s <= _left").select(*items.columns, "_left", "_at")
+        live = keep(_running(live, list(keys), "_piece", ["_n"], F.col("_s"), "_before"), "live")
+        if live.isEmpty():
+            break
+        fits = live.where("_before + _s <= _left").select(*items.columns)
+        taken = fits if taken is None else taken.unionByName(fits)
+        used = live.where("_before + _s <= _left").groupBy(*keys).agg((F.first("_left") - F.sum("_s")).alias("_left"), F.max("_n").alias("_at"))
+        left, live = keep(used, "left"), live.where("_before + _s > _left").select(*items.columns)
+    taken = items.limit(0) if taken is None else taken
+    kept = taken.groupBy(*keys).agg(F.sum("_s").alias("used"), F.sort_array(F.collect_list("_n")).alias("_kept"))
+    kept = kept.select(*here, "used", "_kept")
+    places = F.coalesce(F.array_join(F.transform("_kept", lambda x: x.cast("string")), ","), F.lit(""))
+    return sections.join(kept, same, "left").select(
+        *keys, F.coalesce("used", F.lit(0)).cast("long").alias("used"), F.coalesce(F.size("_kept"), F.lit(0)).alias("kept"), places.alias("places")
     )
-    return items.select(*keys, fold.alias("_f")).select(*keys, F.col("_f.used").alias("used"), F.size("_f.kept").alias("kept"), F.array_join(F.transform("_f.kept", lambda x: x.cast("string")), ",").alias("places"))
 
 
 def first_observations(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = 64) -> DataFrame:

@@ -130,6 +130,24 @@ def test_greedy_fit_skips_what_is_too_large(spark):
     assert rows(windows.greedy_fit(t, "size", ["k"], ["n"], 10), "used", "places") == [(10, "1,3,4")]
 
 
+def test_greedy_fit_looks_at_every_row(spark):
+    import random
+
+    rnd, want, made = random.Random(4), [], []
+    for k in ("a", "b", None, "none"):
+        used, places = 0, []
+        for n in range(1, 701):
+            size = 5000 if k == "none" else 2000 if 3 < n < 400 else rnd.choice([None, 0, 1, 7, 60, 300, 900])
+            made.append((k, n, size))
+            if size is not None and used + size <= 3000:
+                used, places = used + size, [*places, n]
+        want.append((k, used, len(places), ",".join(map(str, places))))
+    assert any(int(p.split(",")[-1]) > 256 for *_, p in want if p)
+    rnd.shuffle(made)
+    got = windows.greedy_fit(df(spark, made, "k string, n int, size int"), "size", ["k"], ["n"], 3000).collect()
+    assert {(r.k, r.used, r.kept, r.places) for r in got} == set(want) and len(got) == 4
+
+
 def test_sets_of_nothing(spark):
     none, some = df(spark, [], "x int"), df(spark, [(1,)], "x int")
     assert rows(sets.subset(none, some), "lacking", "subset") == [(0, True)]
