@@ -8,14 +8,13 @@ from __future__ import annotations
 
 import html
 import re
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.llm.shared import table
 
-DEEPEST = 200  # elements nested deeper hang from their ancestor at this depth
 WIDEST = 60  # characters a cell is padded to; longer cells run over
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -91,13 +90,13 @@ def parse(source: str) -> Node:
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
-        stack[min(len(stack), DEEPEST) - 1].children.append(node)
+        stack[-1].children.append(node)
         if tag not in VOID:
             stack.append(node)
 
     for kind, value, rest in _tokens(source):
         if kind == "text":
-            stack[min(len(stack), DEEPEST) - 1].children.append(value)
+            stack[-1].children.append(value)
         elif kind == "open":
             if value == "html":
                 continue
@@ -194,7 +193,8 @@ def _stray(text: str) -> Node:
     return node
 
 
-def _table(node: Node) -> list[str]:
+def _table(node: Node) -> Generator:
+    """The lines of a table, as a step of _run."""
     captions: list[Node] = []
     grid = []
     for row in _rows(node, captions):
@@ -202,7 +202,10 @@ def _table(node: Node) -> list[str]:
         captions += [c for c in row.children if isinstance(c, Node) and visible(c) and c.tag not in ("td", "th")]
         captions += [_stray(c) for c in row.children if isinstance(c, str) and c.strip()]
         spans = [int(x) if re.fullmatch(r"[1-9]\d?", x := c.attrs.get("colspan", "")) else 1 for c in cells]
-        grid.append([(render(c).split("\n"), span) for c, span in zip(cells, spans, strict=True)])
+        shown = []
+        for c in cells:
+            shown.append((yield _text(c)).split("\n"))
+        grid.append(list(zip(shown, spans, strict=True)))
     width: dict[int, int] = {}
     for cells in grid:
         at = 0
@@ -210,7 +213,9 @@ def _table(node: Node) -> list[str]:
             if span == 1:
                 width[at] = max(width.get(at, 0), min(WIDEST, max(map(len, lines))))
             at += span
-    out = [x for c in captions for x in render(c).split("\n")]
+    out = []
+    for c in captions:
+        out += (yield _text(c)).split("\n")
     for cells in grid:
         for k in range(max((len(lines) for lines, _ in cells), default=0)):
             line, at = "", 0
@@ -222,7 +227,8 @@ def _table(node: Node) -> list[str]:
     return [x for x in out if x]
 
 
-def _render(node: Node, page: _Page, pre: bool, depth: int) -> None:
+def _render(node: Node, page: _Page, pre: bool, depth: int) -> Generator:
+    """Puts the children on the page, as a step of _run."""
     number = int(node.attrs["start"]) if re.fullmatch(r"\d{1,6}", node.attrs.get("start", "")) else 1
     for child in node.children:
         if isinstance(child, str):
@@ -248,14 +254,14 @@ def _render(node: Node, page: _Page, pre: bool, depth: int) -> None:
             continue
         elif tag == "table":
             page.end(2)
-            for x in _table(child):
+            for x in (yield _table(child)):
                 page.line(x)
             page.end(2)
         elif tag == "details" and "open" not in child.attrs:
             shown = Node("details", {})
             shown.children = [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]
             page.end(1)
-            _render(shown, page, pre, depth)
+            yield _render(shown, page, pre, depth)
             page.end(1)
         elif tag == "li":
             margin, ordered = page.margin, node.tag == "ol"
@@ -263,33 +269,50 @@ def _render(node: Node, page: _Page, pre: bool, depth: int) -> None:
             number += 1
             page.end(1)
             page.marker, page.margin = margin + mark, margin + " " * len(mark)
-            _render(child, page, pre, depth + 1)
+            yield _render(child, page, pre, depth + 1)
             page.end(1)
             page.marker, page.margin = "", margin
         elif tag in ("blockquote", "dd"):
             margin = page.margin
             page.end(2 if tag == "blockquote" else 1)
             page.margin = margin + "  "
-            _render(child, page, pre, depth + 1)
+            yield _render(child, page, pre, depth + 1)
             page.end(2 if tag == "blockquote" else 1)
             page.margin = margin
         elif tag in BLOCK:
             gap = 1 if tag in ("ul", "ol", "menu") and depth or tag not in SPACED else 2
             page.end(gap)
-            _render(child, page, pre or tag in ("pre", "textarea"), depth)
+            yield _render(child, page, pre or tag in ("pre", "textarea"), depth)
             page.end(gap)
         else:
-            _render(child, page, pre, depth)
+            yield _render(child, page, pre, depth)
             if tag in ("td", "th"):
                 page.space = True
 
 
-def render(node: Node) -> str:
+def _text(node: Node) -> Generator:
     page = _Page()
-    _render(node, page, False, 0)
+    yield _render(node, page, False, 0)
     return page.text()
 
 
+def _run(step: Generator):
+    """Runs a step and the steps that it yields on a stack of its own, as elements may be nested deeper than calls."""
+    steps, value = [step], None
+    while steps:
+        try:
+            steps.append(steps[-1].send(value))
+            value = None
+        except StopIteration as e:
+            steps.pop()
+            value = e.value
+    return value
+
+
+def render(node: Node) -> str:
+    return _run(_text(node))
+
+
 def extract(source: str | None) -> str:
     return render(parse(source or ""))
 

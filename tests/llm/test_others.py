@@ -116,6 +116,11 @@ def test_rendering_never_fails_and_keeps_every_word():
     html_text.extract("<" * 10_000 + "<a href=\"" * 100)
 
 
+def test_deep_elements_stay_hidden_and_laid_out():
+    got = html_text.extract("<span>" * 300 + "a<script>leak()</script><div style='display:none'>no</div><pre>x  y\n z</pre><style>.q{}</style><table><tr><td>c<td>d</table>b")
+    assert got == "a\n\nx  y\n z\n\nc  d\n\nb"
+
+
 def test_near_vectors_against_all_pairs(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     base = rnd.normal(size=(30, 8))
