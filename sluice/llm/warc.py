@@ -2,7 +2,7 @@
 
 The reader checks each member and record (gzip checksum, version line, lengths, closing line ends, block digest). Where a
 check fails it looks for the next gzip member or version line that holds a valid record, goes on from there, and logs the
-bytes between as a quarantined gap.
+bytes between as a quarantined gap. Within a member of many records it does so in the content.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compress(b"", 1, 31)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
+_VERSION = re.compile(rb"WARC/1\.[01]\r\n")
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _RECORDS = (
     "path string, gap boolean, start long, stop long, reason string, page_id long, url string, record_type string, "
@@ -103,48 +104,73 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     return head, stop + 4
 
 
-def _member_at(data: memoryview, at: int) -> tuple[bytes, int]:
-    """A gzip member's content and where it ends."""
+def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str]:
+    """A gzip member's content, where it ends, and why it is broken, if it is: then the content is what could be unpacked."""
     unpack, out, step = zlib.decompressobj(31), [], 8192
     while not unpack.eof:
         if at >= len(data):
-            raise ValueError("member cut short")
-        out.append(unpack.decompress(data[at : at + step]))
+            return b"".join(out), len(data), "member cut short"
+        before = unpack.copy()
+        try:
+            out.append(unpack.decompress(data[at : at + step]))
+        except zlib.error as e:
+            for k in range(at, min(at + step, len(data))):
+                try:
+                    out.append(before.decompress(data[k : k + 1]))
+                except zlib.error:
+                    break
+            return b"".join(out), at, f"bad member: {e}"
         at, step = at + step, min(2 * step, 1 << 20)
-    return b"".join(out), min(at, len(data)) - len(unpack.unused_data)
+    return b"".join(out), min(at, len(data)) - len(unpack.unused_data), ""
 
 
-def _records_at(data: bytes, view: memoryview, at: int) -> tuple[list[dict], int]:
-    if data[at : at + 3] != MAGIC:
-        head, stop = _parse(data, at)
-        return [head], stop
-    try:
-        content, stop = _member_at(view, at)
-    except zlib.error as e:
-        raise ValueError(f"bad member: {e}") from None
-    heads, inner = [], 0
-    while inner < len(content):
-        head, inner = _parse(content, inner)
-        heads.append(head)
-    return heads, stop
+def _within(content: bytes) -> list[tuple[int, int, str, dict | None]]:
+    """Records and gaps of a member's content, by its own offsets."""
+    out, at, bad, why = [], 0, None, ""
+    while at < len(content):
+        try:
+            head, stop = _parse(content, at)
+        except ValueError as e:
+            bad, why = (at, str(e)) if bad is None else (bad, why)
+            found = _VERSION.search(content, at + 1)
+            at = found.start() if found else len(content)
+            continue
+        if bad is not None:
+            out.append((bad, at, why, None))
+            bad = None
+        out.append((at, stop, "", head))
+        at = stop
+    return out if bad is None else [*out, (bad, len(content), why, None)]
 
 
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict | None]]:
-    """(start, stop, reason, record): records in order, and between them the gaps, whose record is None."""
+    """(start, stop, reason, record): records in order, and between them the gaps, whose record is None. A gap within a
+    member has the member's place, and its offsets in the content as part of the reason. The records that a broken member
+    still holds come before its gap, whose place includes them."""
     view, at, bad, why = memoryview(data), 0, None, ""
     while at < len(data):
-        try:
-            heads, stop = _records_at(data, view, at)
-        except ValueError as e:
-            bad, why = (at, str(e)) if bad is None else (bad, why)
+        inner, failed = [], ""
+        if data[at : at + 3] == MAGIC:
+            content, stop, failed = _member_at(view, at)
+            inner = _within(content)
+            if inner and all(head is None for *_, head in inner):
+                inner, failed = [], failed or inner[0][2]
+        else:
+            try:
+                head, stop = _parse(data, at)
+                inner = [(0, 0, "", head)]
+            except ValueError as e:
+                failed = str(e)
+        if failed:
             found = _START.search(data, at + 1)
-            at = found.start() if found else len(data)
-            continue
-        if bad is not None:
+            stop = found.start() if found else len(data)
+        if bad is not None and (inner or not failed):
             yield bad, at, why, None
             bad = None
-        for head in heads:
-            yield at, stop, "", head
+        for a, z, reason, head in inner:
+            yield at, stop, reason and f"{reason} (bytes {a} to {z} of the member's content)", head
+        if failed and bad is None:
+            bad, why = at, failed
         at = stop
     if bad is not None:
         yield bad, len(data), why, None

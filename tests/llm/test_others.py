@@ -82,6 +82,23 @@ def test_salvage_of_large_and_mixed_input():
     assert list(warc.salvage(b"")) == []
 
 
+def test_salvage_within_a_member_of_many_records():
+    def ids(data):
+        items = list(warc.salvage(data))
+        return [warc._page(h.get("warc-record-id")) for *_, h in items if h is not None], [(a, z, why) for a, z, why, h in items if h is None]
+
+    whole = [_record(i, os.urandom(3000)) for i in range(6)]
+    damaged = whole[2][:-20] + b"x" + whole[2][-19:]
+    data = gzip.compress(b"".join([*whole[:2], damaged, *whole[3:]]))
+    a, z = len(b"".join(whole[:2])), len(b"".join(whole[:3]))
+    assert ids(data + whole[0]) == ([0, 1, 3, 4, 5, 0], [(0, len(data), f"block digest differs (bytes {a} to {z} of the member's content)")])
+    data = gzip.compress(b"".join(whole))
+    got, gaps = ids(data[: len(data) * 3 // 4])
+    assert got == [0, 1, 2, 3] and gaps[-1] == (0, len(data) * 3 // 4, "member cut short")
+    got, gaps = ids(data[:-8] + b"12345678" + warc.member(_record(9)))  # checksum
+    assert got == [0, 1, 2, 3, 4, 5, 9] and gaps[-1][:2] == (0, len(data))
+
+
 @pytest.mark.parametrize(("source", "want"), [
     (None, ""), ("", ""), ("plain", "plain"), ("a<b>b</b> c", "ab c"), ("<p>one<p>two", "one\n\ntwo"), ("a<br>b", "a\nb"), ("<div>a</div><div>b</div>", "a\nb"), ("<script>x</script>a<style>y</style>", "a"),
     ("<p hidden>a</p><p style='display: none'>b</p>c", "c"), ("<!-- <p>x</p> -->y", "y"), ("&lt;&eacute;&#65;", "<éA"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
