@@ -3,36 +3,51 @@ reach the driver."""
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from sluice.tables import keep
+
 
 def _checkpointed(df: DataFrame) -> DataFrame:
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    return keep(df, "graph")
 
 
-def closure(edges: DataFrame, roots: DataFrame, most: int = 10_000) -> DataFrame:
-    """GRF-1, GRF-4. edges (id, depends_on), roots (root) -> (root, id, depth): all ids that each root reaches, itself at 0,
-    at the least number of steps. Cycles end, as only new ids go on."""
-    e = edges.select(F.col("id").alias("_from"), F.col("depends_on").alias("_to")).distinct()
+def closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
+    """GRF-1. edges (id, depends_on), roots (root) -> (root, id, depth): all ids that each root reaches, itself at 0, at the
+    least number of steps. Cycles end, as only new ids go on."""
+    e = _checkpointed(edges.select(F.col("id").alias("_from"), F.col("depends_on").alias("_to")).distinct())
     seen = _checkpointed(roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct())
-    front = seen
-    for depth in range(1, most):
+    front, parts, depth = seen, [seen], 1
+    while True:
         step = front.join(e, front.id == e._from).select("root", F.col("_to").alias("id"), F.lit(depth).alias("depth")).distinct()
         front = _checkpointed(step.join(seen, ["root", "id"], "left_anti"))
         if front.isEmpty():
             return seen
-        seen = _checkpointed(seen.unionByName(front))
-    raise ValueError(f"paths longer than {most}")
+        parts, depth = [*parts, front], depth + 1
+        seen = reduce(DataFrame.unionByName, parts)
+        if len(parts) == 16:  # few files to read, and what was seen is rewritten once in a while only
+            seen = _checkpointed(seen)
+            parts = [seen]
+
+
+def reached(edges: DataFrame, starts: DataFrame) -> DataFrame:
+    """Distinct ids that any start (id) reaches, the starts among them. Only ids are kept, not who reaches them."""
+    e = _checkpointed(edges.select(F.col("id").alias("_from"), F.col("depends_on").alias("_to")).distinct())
+    front = _checkpointed(starts.select("id").distinct())
+    parts = [front]
+    while True:
+        seen = reduce(DataFrame.unionByName, parts)
+        front = _checkpointed(front.join(e, front.id == e._from).select(F.col("_to").alias("id")).distinct().join(seen, "id", "left_anti"))
+        if front.isEmpty():
+            return seen
+        parts = [*parts, front] if len(parts) < 16 else [_checkpointed(seen), front]
 
 
 def prerequisites(edges: DataFrame, selected: DataFrame) -> DataFrame:
     """GRF-4. Every check that a selected one (id) rests on, however far, and the selected ones themselves."""
-    return closure(edges, selected.select(F.col("id").alias("root"))).select("id").distinct()
+    return reached(edges, selected)
 
 
 def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -43,26 +58,25 @@ def levels(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     known = nodes.select(F.col("id").alias("depends_on")).distinct()
     unknown = e.join(known, "depends_on", "left_anti").select("id", F.lit("unknown").alias("gap")).distinct()
     e = _checkpointed(e.join(known, "depends_on", "left_semi").select("id", "depends_on"))
-    left = _checkpointed(nodes.select("id").distinct())
-    done = None
-    level = 0
-    while True:
-        blocked = e.join(left.select(F.col("id").alias("depends_on")), "depends_on", "left_semi").select("id").distinct()
-        ready = _checkpointed(left.join(blocked, "id", "left_anti"))
+    left, done, level = nodes.select("id").distinct(), [], 0
+    while True:  # one table a level: who is still left, and who of them waits for another one that is
+        blocked = e.join(left.select(F.col("id").alias("depends_on")), "depends_on", "left_semi").select("id", F.lit(True).alias("waits")).distinct()
+        marked = _checkpointed(left.join(blocked, "id", "left"))
+        ready = marked.where("waits is null")
+        left = marked.where("waits").select("id")
         if ready.isEmpty():
             break
-        placed = ready.select("id", F.lit(level).alias("level"))
-        done = placed if done is None else done.unionByName(placed)
-        left, level = _checkpointed(left.join(ready, "id", "left_anti")), level + 1
+        done, level = [*done, ready.select("id", F.lit(level).alias("level"))], level + 1
     cycle = left.select("id", F.lit("cycle").alias("gap"))
-    return done if done is not None else nodes.select("id", F.lit(0).alias("level")).limit(0), repeated.unionByName(unknown).unionByName(cycle)
+    placed = reduce(DataFrame.unionByName, done) if done else nodes.select("id", F.lit(0).alias("level")).limit(0)
+    return placed, repeated.unionByName(unknown).unionByName(cycle)
 
 
 def blocked(checks: DataFrame, edges: DataFrame) -> DataFrame:
     """GRF-3. checks (id, passed) -> checks that rest, however far, on one that did not pass."""
     back = edges.select(F.col("depends_on").alias("id"), F.col("id").alias("depends_on"))
-    bad = checks.where("not passed").select(F.col("id").alias("root"))
-    return closure(back, bad).where("depth > 0").select("id").distinct()
+    first = back.join(checks.where("not passed").select("id"), "id").select(F.col("depends_on").alias("id"))
+    return reached(back, first)
 
 
 def origins(commits: DataFrame, entities: DataFrame, order: DataFrame) -> DataFrame:
@@ -98,7 +112,7 @@ def contaminated(cases: DataFrame, derived: DataFrame) -> DataFrame:
     evidence, or share a source with it."""
     bad = cases.where("kind in ('generated', 'tuning')")
     back = derived.select(F.col("depends_on").alias("id"), F.col("id").alias("depends_on"))
-    down = closure(back, bad.select(F.col("id").alias("root"))).select("id").distinct()
+    down = reached(back, bad)
     free = cases.where("kind = 'independent'")
     by_descent = free.join(down, "id", "left_semi").select("id", F.lit("descends").alias("why"))
     by_source = free.join(bad.select("source").distinct(), "source", "left_semi").select("id", F.lit("shares_source").alias("why"))

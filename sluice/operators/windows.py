@@ -6,8 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.llm.mixing import _running
-from sluice.llm.shared import keep, partitions
+from sluice.tables import keep, partitions, running
 
 
 def attempt_audit(attempts: DataFrame, keys: Sequence[str] = (), limit: int = 3, max_attempts: int = 10, max_ms: int = 3_600_000) -> DataFrame:
@@ -74,7 +73,7 @@ def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[
     are no larger than what is left, until there are none."""
     slim = rows.select(*keys, *[c for c in order if c not in keys], F.col(size).cast("long").alias("_s"))
     dealt = slim.repartitionByRange(partitions(rows.sparkSession), *keys, *order).withColumn("_piece", F.spark_partition_id())
-    items = _running(keep(dealt, "items"), list(keys), "_piece", list(order), F.lit(1), "_n").select(*keys, "_piece", (F.col("_n") + 1).alias("_n"), "_s")
+    items = running(keep(dealt, "items"), list(keys), "_piece", list(order), F.lit(1), "_n").select(*keys, "_piece", (F.col("_n") + 1).alias("_n"), "_s")
     items = keep(items, "numbered")
     here = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
     same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
@@ -83,7 +82,7 @@ def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[
     while True:
         known = left.select(*here, "_left", "_at")
         live = live.join(known, same).where("_n > _at and _s <= _left").select(*items.columns, "_left", "_at")
-        live = keep(_running(live, list(keys), "_piece", ["_n"], F.col("_s"), "_before"), "live")
+        live = keep(running(live, list(keys), "_piece", ["_n"], F.col("_s"), "_before"), "live")
         if live.isEmpty():
             break
         fits = live.where("_before + _s <= _left").select(*items.columns)

@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.plans import adapters as A
 from sluice.plans.adapters import table
 from sluice.plans.queries import query
 from sluice.sources import json_reports, sink, text_reports, xml_reports
-
+from sluice.tables import fresh_path
 
 
 def _key() -> Column:
@@ -194,13 +192,7 @@ def src24(spark, d):
 @query("snk1_report_sink", "SELECT repo, count(*) AS checks, sum(finding_count) AS findings FROM checks GROUP BY repo")
 def snk1(spark, d):
     """Writes checks by repository and reads them back."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not root:
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-"))
-        root = spark.sparkContext.getCheckpointDir()
-    at = f"{root.rstrip('/')}/report-{uuid.uuid4().hex}"
+    at = fresh_path(spark, "report")
     checks = A.checks(spark, d).withColumn("group", F.col("repo") % 16).repartition("group")
     sink.write_report({"checks": checks}, at, keys=["group"])
     return spark.read.parquet(f"{at}/checks").groupBy("repo").agg(F.count(F.lit(1)).alias("checks"), F.sum("finding_count").alias("findings"))
