@@ -11,7 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from sluice.llm import exact_dedup, mixing, pieces, simhash, toxicity
-from sluice.llm.shared import keep, table
+from sluice.tables import keep, table
 
 #: Differing bits of near copies, over five-word shingles. Most pairs of a similarity of 0.8 and more differ in more bits
 #: than the three of the plain query; with seven, four segments are indexed.
