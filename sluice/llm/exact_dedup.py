@@ -14,7 +14,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.llm.shared import keep, partitions, table
+from sluice.tables import keep, partitions, table
 
 MAX_DEPTH = 16  # bits of the directory: at most 65,536 slots
 

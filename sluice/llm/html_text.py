@@ -13,7 +13,7 @@ from collections.abc import Generator, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.llm.shared import table
+from sluice.tables import table
 
 WIDEST = 60  # characters a cell is padded to; longer cells run over
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.llm.shared import keep, partitions, table
+from sluice.tables import keep, partitions, running, table
 
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's own size
@@ -45,20 +45,6 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return rows.select("source", "source_size", target.cast("double").alias("target"))
 
 
-def _running(rows: DataFrame, keys: list[str], part: str, order: list[str], value: Column, name: str) -> DataFrame:
-    """Adds the sum of `value` over the rows before, by keys and in (part, order): summed within each part, then over the
-    parts' totals, so that no key's rows meet in one task."""
-    sums = rows.groupBy(*keys, part).agg(F.sum(value).alias("_sum"))
-    before = Window.partitionBy(*keys).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
-    first = sums.select(*[F.col(k).alias(f"_{k}") for k in keys], F.col(part).alias("_part"), F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy(*keys, part).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = rows.withColumn("_within", F.coalesce(F.sum(value).over(within), F.lit(0)))
-    same = F.col(part) == F.col("_part")
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    return out.join(first, same).withColumn(name, F.col("_first") + F.col("_within")).drop("_within", "_part", "_first", *[f"_{k}" for k in keys])
-
-
 def _many(rows: DataFrame, count: str, out: str, n: int, *keys: str) -> DataFrame:
     """A row for each number from 0 to count - 1, by way of chunks that are dealt out before they grow."""
     chunks = rows.where(f"{count} > 0").withColumn("_c", F.explode(F.expr(f"sequence(0L, ({count} - 1) div {CHUNK})")))
@@ -102,7 +88,7 @@ def mix(
     goals = goals.withColumn("draws", F.least("draws", F.col("blocks") * most))
     slim = goals.select(F.col("source").alias("_source"), "blocks", "draws", "source_size", "target")
 
-    laid = _running(rows.where("size > 0"), ["source"], "part", ["doc_id", "size", "text_hash"], F.col("size"), "start")
+    laid = running(rows.where("size > 0"), ["source"], "part", ["doc_id", "size", "text_hash"], F.col("size"), "start")
     laid = keep(laid, "laid")  # a source's starts differ
     spans = laid.withColumn("block", F.explode(F.expr(f"sequence(start div {block}, (start + size - 1) div {block})"))).select(
         "source", "block", "doc_id", "text_hash", "start",
@@ -112,7 +98,7 @@ def mix(
     blocks = _many(slim.select("_source", "blocks"), "blocks", "block", n, "_source").select(F.col("_source").alias("source"), "block")
     blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "block")).withColumn("part", F.shiftrightunsigned("key", 54))
     blocks = keep(blocks, "blocks")  # else the planner takes the rows of a count for as few as the counts
-    places = _running(blocks, ["source"], "part", ["key", "block"], F.lit(1), "place").select("source", "block", "place")
+    places = running(blocks, ["source"], "part", ["key", "block"], F.lit(1), "place").select("source", "block", "place")
     draws = _many(slim.select("_source", "blocks", "draws"), "draws", "draw", n, "_source").select(
         F.col("_source").alias("d_source"), (F.col("draw") % F.col("blocks")).alias("d_place"), "draw",
         F.pmod(F.xxhash64(F.lit(seed + 1), "_source", "draw"), F.lit(shards)).cast("int").alias("shard"),
@@ -131,7 +117,7 @@ def mix(
     none = rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
     out = some.unionByName(none).join(slim, F.col("source").eqNullSafe(F.col("_source")))
     numbered = drawn.withColumn("key", F.xxhash64(F.lit(seed + 2), "source", "draw")).withColumn("part", F.shiftrightunsigned("key", 54))
-    slots = _running(numbered, ["shard"], "part", ["key", "source", "draw"], F.lit(1), "slot")
+    slots = running(numbered, ["shard"], "part", ["key", "source", "draw"], F.lit(1), "slot")
     return {
         "documents": out.select("doc_id", "size", "source", "source_size", "target", "taken"),
         "slots": slots.select("shard", "slot", "source", "block", "place"),

@@ -22,7 +22,7 @@ import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.llm.shared import table
+from sluice.tables import table
 
 codecs.register_error("sluice_each_byte", lambda error: ("\ufffd", error.start + 1))
 

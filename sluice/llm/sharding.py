@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.llm.shared import table
+from sluice.tables import table
 
 MULTIPLIER = 2862933555777941757  # of the generator in the published algorithm
 STEPS = 256  # jumps grow as the logarithm of the count; a key that would need more raises an error

@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.llm.components import components
-from sluice.llm.shared import keep, partitions, table
+from sluice.tables import keep, partitions, table
 
 MAX_BITS = 3
 SEED = 42

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from sluice.llm.shared import keep, partitions, table
+from sluice.tables import keep, partitions, table
 
 LENGTH = 100  # bytes of a string that counts
 GRAM = 32  # bytes of an anchor

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from sluice.llm.shared import fresh_path, keep, table
+from sluice.tables import fresh_path, keep, table
 
 REVISIT_FROM = 100  # payload bytes
 RECORDS_PER_FILE = 2000

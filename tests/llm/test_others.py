@@ -7,11 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from llm_rows import SCHEMA, EDGES
 from sluice.llm import embedding_dedup, html_text, toxicity, warc
-from sluice.llm.shared import fresh_path
+from sluice.tables import fresh_path
 
 DATA = "/root/testdata/sf0.001"
 BIG = "<p>" + "x" * 200 + "</p>"
@@ -194,10 +195,56 @@ def test_toxicity_of_edge_rows(spark):
         assert kept.columns == e.columns and kept.count() == sum(not r.predicted for r in rows)
 
 
-def test_expressions_back_off():
-    m = toxicity.Model([("vile", 3.0), ("vilex*", 2.0), ("so vile", 4.0), ("mild", -1.0)])
-    assert m.difference("vile mild") == 1.0 and m.difference("Vilexyz") == 2.0 and m.difference("so vile") == pytest.approx(2.0)
-    assert m.difference("") == m.difference(None) == m.difference("123 --") == 0.0
+def _kneser_ney(texts, train, strength):
+    """P_c(w | v) by order 1 and 2, straight from the definition."""
+    cut = lambda t: toxicity.words(pa.array([t]))[0].as_py() if toxicity.words(pa.array([t]))[0].as_py() != [""] else []
+    n = Counter(w for t in texts for w in cut(t))
+    n_p, types = Counter(), Counter()
+    for w, k in n.items():
+        n_p[w[:5]] += k
+        types[w[:5]] += 1
+    models = []
+    for c in (0, 1):
+        pair = Counter((v, w) for t, y in train if y == c for v, w in zip([None, *cut(t)], cut(t)))
+        models.append((pair, Counter(w for _, w in pair), Counter(v for v, _ in pair)))
+    known = {w for m in models for w in m[1]}
+
+    def p(c, v, w, order):
+        pair, before, after = models[c]
+        begun = Counter(x[:5] for x in before)
+        share = types[w[:5]] / len(n) if any(x[:5] == w[:5] for x in known) else 1.0
+        part = n[w] / n_p[w[:5]] if w in known else 1.0
+        d, t = 0.75, strength
+        base = (max(begun[w[:5]] - d, 0) + (d * len(begun) + t * len(before)) * share) / ((1 + t) * len(before))
+        alone = (max(before[w] - d, 0) + (d * len(before) + t * len(pair)) * base * part) / ((1 + t) * len(pair))
+        total = sum(k for (a, _), k in pair.items() if a == v)
+        if order == 1 or not total:
+            return alone
+        return (max(pair[v, w] - d, 0) + (d * after[v] + t * total) * alone) / ((1 + t) * total)
+
+    return p, cut
+
+
+def test_models_against_the_definition(spark):
+    rnd = random.Random(8)
+    stock = ["vile", "vilest", "vilely", "mild", "mildly", "so", "É", "straße", "x1y"]
+    make = lambda k: " ".join(rnd.choice(stock[:k]) for _ in range(rnd.randint(0, 9)))
+    train = [(make(9 if i % 3 else 4), int(i % 3 == 0)) for i in range(30)] + [(None, 0), ("", 1), ("12 --", 1)]
+    texts = [t for t, _ in train] + ["unseen vilified words so mild", "mildewed so so", None, "VILE!", "novel"]
+    model = toxicity.count(spark.createDataFrame([(t,) for t in texts], "text string"), spark.createDataFrame(train, "text string, toxic int"))
+    for strength in (0.25, 4.0):
+        p, cut = _kneser_ney(texts, train, strength)
+        for order in (1, 2):
+            for share in (0.03, 1.0):
+                got = model.evidence(pa.array(texts, pa.string()), [(order, strength, share)])[:, 0]
+                for x, t in zip(got, texts, strict=True):
+                    ws = cut(t)
+                    ratios = [p(1, v, w, order) / p(0, v, w, order) for v, w in zip([None, *ws], ws)]
+                    assert x == pytest.approx(sum(np.log(1 - share + share * r) for r in ratios) / max(len(ws), 1), abs=1e-9)
+    p, _ = _kneser_ney([t for t, _ in train], train, 1.0)
+    vocabulary = {w for t, _ in train for w in cut(t)}
+    for c in (0, 1):  # each context's probabilities sum to one over all words
+        assert sum(p(c, "so", w, 2) for w in vocabulary) == pytest.approx(1.0) and sum(p(c, None, w, 1) for w in vocabulary) == pytest.approx(1.0)
 
 
 def test_every_toxic_expression_counts_at_every_size(spark):
@@ -205,18 +252,16 @@ def test_every_toxic_expression_counts_at_every_size(spark):
     docs, labels = [], []
     for i in range(6000):
         bad = i % 10 == 0
-        words = [f"w{rnd.randrange(400)}" for _ in range(12)] + (["vile"] if bad and i % 20 else []) + ([f"rare{i // 20 % 60}"] if bad else [])
+        words = [f"w{chr(97 + rnd.randrange(20))}{chr(97 + rnd.randrange(20))}" for _ in range(12)] + (["vile"] if bad and i % 20 else []) + ([f"rare{chr(97 + i // 20 % 20)}{'xyz'[i // 400 % 3]}"] if bad else [])
         docs.append((i, " ".join(words)))
         labels.append((i, int(bad)))
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    model, _, b = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int"))
-    assert b > 0
-    for k in range(60):  # each in about eight toxic training rows and no other; a bar that grows with the rows drops them
-        assert model.value.difference(f"rare{k}") > 0.5
-    assert model.value.difference("unseen words here") == 0.0
-    # what is in one document only is shrunk, and kept
-    one = toxicity.Model.of_counts(np.array([toxicity._key("once")], np.uint64), np.array([0]), np.array([1]), 900, 100)
-    assert 0 < one.difference("once") < 0.5 and one.differences(["once"], np.array([1])).tolist() == [0.0]
+    scorer = toxicity.fit(d, spark.createDataFrame(labels, "doc_id long, toxic int")).value
+    assert scorer.b > 0
+    rare = [f"rare{chr(97 + k)}{x}" for k in range(20) for x in "xyz"]
+    assert (scorer.model.evidence(pa.array(rare), [(1, 0.25, 1.0)])[:, 0] > 0.5).all()  # each in few toxic rows and no other
+    assert scorer.model.evidence(pa.array(["rarest"]), [(1, 0.25, 1.0)])[0, 0] > 0  # unseen: by its beginning
+    assert (scorer.scores(pa.array(["wab " * 12 + x for x in rare])) > scorer.scores(pa.array(["wab " * 13]))[0]).all()
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
