@@ -1,9 +1,11 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
 Each source's documents are laid end to end and cut into blocks of a fixed number of words. A source's target gives its
-number of draws; every draw is dealt to an output shard at random, so a shard's counts by source are multinomial given
-those totals and the totals hold exactly. Draw j of a source with n blocks takes the block at place j mod n of the
-source's pseudorandom order of blocks (the order of their hashes), found by an equality join on (source, place).
+number of draws. How many of them go to each output shard is drawn: every draw chooses a shard at random and the choices are
+counted, so a shard's counts by source are multinomial given those totals, and the totals hold exactly. The counts give each
+shard a range of each source's draws, and all else is arithmetic: draw j of a source with n blocks takes block
+permuted(j mod n), and its slot is a permuted place of the shard. Blocks and documents meet by an equality join on the
+block's index.
 """
 
 from __future__ import annotations
@@ -15,8 +17,10 @@ from sluice.tables import keep, partitions, running, table
 WEIGHTS = (5, 2, 1)
 MOST = 3  # times a source's own size
 BLOCK = 32  # words
-PARTS = 1024  # pieces in which a source's documents and blocks are numbered
+PART = 1 << 16  # rows of one piece in which documents are laid end to end
+ROUNDS = 24  # of a permutation of indices
 WORD = r"[^\x20\x09-\x0D]+"
+SPACED = rf"[\x20\x09-\x0D]*{WORD}(?:[\x20\x09-\x0D]+\z)?"  # a word with the white space before it, the last one with all
 CHUNK = 1 << 16  # draws made from one row
 
 
@@ -53,6 +57,18 @@ def _many(rows: DataFrame, count: str, out: str, n: int, *keys: str) -> DataFram
     return chunks.withColumn(out, F.explode(F.sequence(F.col("_c") * CHUNK, last))).drop("_c")
 
 
+def permuted(index: Column, n: Column, key: Column) -> Column:
+    """The place of `index` in a pseudorandom permutation of 0 to n - 1 that `key` names, by swapping or not: each round pairs
+    x with (k - x) mod n and a hash of the pair says whether to swap, so every round is a permutation of exactly n."""
+
+    def step(x: Column, r: Column) -> Column:
+        other = F.pmod(F.pmod(F.xxhash64(key, r), n) - x, n)
+        swap = F.xxhash64(key, r, F.greatest(x, other)) < 0
+        return F.when(swap, other).otherwise(x)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), index.cast("long"), step)
+
+
 def mix(
     docs: DataFrame,
     weights: tuple[int, ...] = WEIGHTS,
@@ -65,11 +81,12 @@ def mix(
     source_col: str = "source",
 ) -> dict[str, DataFrame]:
     """"documents": doc_id, size, source, source_size, target, taken, one row per input row. "slots": the mix itself:
-    shard, slot (gapless from 0), source, block, place. "spans": which words of which document fill each block.
+    shard, slot (gapless from 0), source, block, draw. "spans": which words of which document fill each block; "uses": how
+    often each block is drawn.
 
     Sizes count runs of characters outside space and \\x09-\\x0D; a null text counts none. A null source is a source of
     its own, last in order. Rows without words take nothing. Repeated rows are laid down one by one. Null ids come first
-    in their source. An empty table gives empty tables."""
+    in their source. An empty table gives empty tables. Sources are few: their table is sorted in one task."""
     spark = docs.sparkSession
     n = partitions(spark)
     rows = docs.select(
@@ -78,7 +95,9 @@ def mix(
         F.coalesce(F.regexp_count(F.col(text_col).cast("string"), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
-    rows = keep(rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS))), "sizes")
+    rows = keep(rows, "sizes")
+    parts = 1 << max(4, (rows.count() // PART).bit_length())
+    rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     goals = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     goals = goals.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
     # whole rounds take every word; what is left of the target is so many more blocks
@@ -95,19 +114,23 @@ def mix(
         F.expr(f"greatest(start, block * {block})").alias("from_word"),
         F.expr(f"least(start + size, (block + 1) * {block})").alias("to_word"),
     )
-    blocks = _many(slim.select("_source", "blocks"), "blocks", "block", n, "_source").select(F.col("_source").alias("source"), "block")
-    blocks = blocks.withColumn("key", F.xxhash64(F.lit(seed), "source", "block")).withColumn("part", F.shiftrightunsigned("key", 54))
-    blocks = keep(blocks, "blocks")  # else the planner takes the rows of a count for as few as the counts
-    places = running(blocks, ["source"], "part", ["key", "block"], F.lit(1), "place").select("source", "block", "place")
-    draws = _many(slim.select("_source", "blocks", "draws"), "draws", "draw", n, "_source").select(
-        F.col("_source").alias("d_source"), (F.col("draw") % F.col("blocks")).alias("d_place"), "draw",
-        F.pmod(F.xxhash64(F.lit(seed + 1), "_source", "draw"), F.lit(shards)).cast("int").alias("shard"),
+
+    draws = _many(slim.select("_source", "blocks", "draws"), "draws", "draw", n, "_source")
+    chosen = F.pmod(F.xxhash64(F.lit(seed), "_source", "draw"), F.lit(shards)).cast("int")
+    counts = keep(draws.groupBy("_source", "blocks", chosen.alias("shard")).agg(F.count(F.lit(1)).alias("n")), "counts")  # sources x shards
+    earlier = lambda by, order: F.coalesce(F.sum("n").over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = counts.select(
+        "*", earlier("_source", "shard").alias("first_draw"), earlier("shard", "_source").alias("first_slot"), F.sum("n").over(Window.partitionBy("shard")).alias("slots")
+    )
+    drawn = _many(keep(ranges, "ranges"), "n", "k", n, "_source", "shard").withColumn("draw", F.col("first_draw") + F.col("k"))
+    drawn = drawn.select(
+        "shard", permuted(F.col("first_slot") + F.col("k"), F.col("slots"), F.xxhash64(F.lit(seed + 1), "shard")).alias("slot"),
+        F.col("_source").alias("source"), permuted(F.col("draw") % F.col("blocks"), F.col("blocks"), F.xxhash64(F.lit(seed + 2), "_source")).alias("block"), "draw",
     )
-    drawn = draws.join(places.hint("merge"), F.col("d_source").eqNullSafe(F.col("source")) & (F.col("d_place") == F.col("place")))
-    drawn = keep(drawn.select("shard", "source", "draw", "block", "place"), "draws")
     uses = drawn.groupBy("source", "block").agg(F.count(F.lit(1)).alias("uses")).select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "uses")
+    uses = keep(uses, "uses")  # else the planner takes the rows of a count for as few as the counts
     taken = (
-        spans.join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
+        spans.join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
         .groupBy("source", "start")
         .agg(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")).alias("taken"))
         .select(F.col("source").alias("t_source"), F.col("start").alias("t_start"), "taken")
@@ -116,36 +139,42 @@ def mix(
     some = some.select("doc_id", "source", "size", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
     none = rows.where("size = 0").select("doc_id", "source", "size", F.lit(0).cast("long").alias("taken"))
     out = some.unionByName(none).join(slim, F.col("source").eqNullSafe(F.col("_source")))
-    numbered = drawn.withColumn("key", F.xxhash64(F.lit(seed + 2), "source", "draw")).withColumn("part", F.shiftrightunsigned("key", 54))
-    slots = running(numbered, ["shard"], "part", ["key", "source", "draw"], F.lit(1), "slot")
     return {
         "documents": out.select("doc_id", "size", "source", "source_size", "target", "taken"),
-        "slots": slots.select("shard", "slot", "source", "block", "place"),
+        "slots": drawn,
         "spans": spans,
         "uses": uses.select(F.col("u_source").alias("source"), F.col("u_block").alias("block"), "uses"),
     }
 
 
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix as documents, all columns as in docs: a document's text becomes the words that the mix takes from it, in
-    order, each piece as often as its block is drawn, joined by spaces; n_chars, if there, is its new length. Documents of
-    which nothing is taken go. Rows with one id, source and text become one row with the pieces of all."""
+    """The mix as documents, all columns as in docs. A document is given as often as the block of its that is drawn most; the
+    k-th time with the words of the blocks that are drawn k times or more, in order and with the white space before them, so
+    that a document whose blocks are all drawn comes whole and nothing stands twice within a text. n_chars, if there, is the
+    new length. Documents of which nothing is taken go. Rows with one id, source and text are repeats of one row; each is
+    given by what is taken of it, with the other columns of one of them. A null text has no words and goes; an empty table
+    gives an empty table."""
     made = mix(docs, **options)
     uses = made["uses"].select(F.col("source").alias("u_source"), F.col("block").alias("u_block"), "uses")
-    pieces = made["spans"].join(uses, F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
-    piece = F.struct("start", "block", (F.col("from_word") - F.col("start")).alias("skip"), (F.col("to_word") - F.col("from_word")).alias("words"), "uses")
-    pieces = pieces.groupBy("doc_id", "source", "text_hash").agg(F.sort_array(F.collect_list(piece)).alias("_pieces"))
-    pieces = pieces.select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("text_hash").alias("_hash"), "_pieces")
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & F.col("source").cast("string").eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_hash"))
-    found = docs.withColumn("_own", F.xxhash64(F.col("text").cast("string"))).dropDuplicates(["doc_id", "source", "_own"]).join(pieces, same)
-    words = F.regexp_extract_all(F.col("text").cast("string"), F.lit(WORD), F.lit(0))
-    found = found.select("*", F.explode(F.array(words)).alias("_words"))  # cut once a row; else the planner would cut for every piece
-    taken = F.transform("_pieces", lambda p: F.array_join(F.flatten(F.array_repeat(F.slice("_words", (p["skip"] + 1).cast("int"), p["words"].cast("int")), p["uses"].cast("int"))), " "))
-    text = F.array_join(taken, " ")
-    if "n_chars" in docs.columns:
-        kind = docs.schema["n_chars"].dataType
-        return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
-    return found.withColumn("text", text).select(*docs.columns)
+    pieces = made["spans"].join(uses.hint("merge"), F.col("source").eqNullSafe(F.col("u_source")) & (F.col("block") == F.col("u_block")))
+    piece = F.struct((F.col("from_word") - F.col("start")).cast("int").alias("skip"), (F.col("to_word") - F.col("from_word")).cast("int").alias("words"), "uses")
+    pieces = pieces.groupBy("doc_id", "source", "text_hash", "start").agg(F.sort_array(F.collect_list(piece)).alias("pieces"), F.max("uses").alias("times"))
+    name = lambda i, s, h: F.xxhash64(i, i.isNull(), s, s.isNull(), h)
+    pieces = pieces.select(name(F.col("doc_id"), F.col("source"), F.col("text_hash")).alias("name"), F.col("doc_id").alias("p_id"), F.col("source").alias("p_source"), F.col("text_hash").alias("p_hash"), "pieces", "times")
+    i, s, h = F.col("doc_id").cast("long"), F.col("source").cast("string"), F.xxhash64(F.col("text").cast("string"))
+    row = docs.select(F.struct("*").alias("row"), i.alias("id"), s.alias("source_"), h.alias("hash"), name(i, s, h).alias("key"))
+    row = row.repartition(partitions(docs.sparkSession), "key").dropDuplicates(["key", "id", "source_", "hash"])  # one shuffle with the join
+    same = (F.col("key") == F.col("name")) & F.col("id").eqNullSafe(F.col("p_id")) & F.col("source_").eqNullSafe(F.col("p_source")) & (F.col("hash") == F.col("p_hash"))
+    found = row.join(pieces.hint("merge"), same)
+    words = F.regexp_extract_all(F.col("row.text").cast("string"), F.lit(SPACED), F.lit(0))
+    found = found.select("row", "pieces", "times", F.explode(F.array(words)).alias("words"))  # cut once a row; else the planner would cut for every piece
+    found = found.select("row", "pieces", "words", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))).alias("time"))
+    again = F.filter("pieces", lambda p: p["uses"] >= F.col("time"))
+    text = F.array_join(F.flatten(F.transform(again, lambda p: F.slice("words", p["skip"] + 1, p["words"]))), "")
+    found = found.select("row", text.alias("text"))
+    length = {"n_chars": F.length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
+    new = {"text": F.col("text").cast(docs.schema["text"].dataType), **length}
+    return found.select(*[new.get(c, F.col("row").getField(c)).alias(c) for c in docs.columns])
 
 
 def op8_mixing(spark, sf_dir: str) -> DataFrame:

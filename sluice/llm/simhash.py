@@ -3,6 +3,7 @@
 A 64-bit fingerprint is cut into fewer segments than bits may differ, so that one of them differs by at most one bit: two
 segments for three bits, four for seven. Each fingerprint is indexed under every segment with one position made a
 wildcard; rows of equal variants meet, and the whole fingerprints are compared. Only distinct fingerprints are indexed.
+On request candidates are verified by the Jaccard similarity of their shingles before they count as links.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ from sluice.tables import keep, partitions, table
 
 MAX_BITS = 3
 SEED = 42
+BLOCK_SHINGLES = 1 << 22  # shingles of a group's candidates in one block of the check of similarities
 RUN_LIMIT = 1 << 16  # distinct fingerprints of one variant held by a task; larger runs are cut finer in another pass
 
 
@@ -45,7 +47,7 @@ def _fingerprints(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.fromiter((fingerprint(t, width) for t in b.column("text").to_pylist()), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("sha"), pa.array(fp.view(np.int64))], ["doc_id", "sha", "fp"])
 
     return run
 
@@ -146,30 +148,109 @@ def near_links(fps: DataFrame, bits: int = MAX_BITS, limit: int = RUN_LIMIT) ->
     return edges
 
 
-def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = MAX_BITS) -> DataFrame:
-    """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id (the least doc_id reachable).
+def _shingles(width: int):
+    """Texts -> the sorted 64-bit hashes of their distinct shingles."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = []
+            for t in b.column("text").to_pylist():
+                words = (t or "").encode("utf-8", "surrogatepass").lower().split()
+                last = max(len(words) - width + 1, 1) if words else 0
+                h = {xxhash.xxh64_intdigest(b" ".join(words[i : i + width]), SEED) for i in range(last)}
+                sets.append(np.sort(np.fromiter(h, np.uint64, len(h))).view(np.int64))
+            offsets = np.cumsum([0, *map(len, sets)])
+            lists = pa.LargeListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int64), *sets]))).cast(pa.list_(pa.int64()))
+            keep_ = [b.column(c) for c in ("component", "node", "fp")]
+            yield pa.RecordBatch.from_arrays([*keep_, lists, pa.array(np.diff(offsets))], ["component", "node", "fp", "shingles", "n"])
+
+    return run
+
+
+def _verify(bits: int, least: float):
+    """A block, or two, of a group of candidates -> verified links (a, b) that join all texts that are linked within it.
+    Breadth first: a text that is reached is compared with those not reached yet, by bits, by sizes, then by shingles."""
+
+    def run(t: pa.Table) -> pa.Table:
+        node, fp = t.column("node").to_numpy(), t.column("fp").to_numpy().view(np.uint64)
+        lists = t.column("shingles").combine_chunks()
+        flat, at = lists.flatten().to_numpy(), np.append(0, np.cumsum(t.column("n").to_numpy()))
+        sets = [flat[a:z] for a, z in zip(at[:-1], at[1:], strict=True)]
+        size, rest, edges = np.diff(at), np.arange(len(node)), []
+        while len(rest) > 1:
+            queue, rest = [rest[0]], rest[1:]
+            while queue and len(rest):
+                one = queue.pop()
+                low, high = np.minimum(size[rest], size[one]), np.maximum(size[rest], size[one])
+                near = np.flatnonzero((np.bitwise_count(fp[rest] ^ fp[one]) <= bits) & (low >= least * high - 1e-9))
+                hit = np.zeros(len(rest), bool)
+                for k in near.tolist():
+                    other = rest[k]
+                    shared = len(np.intersect1d(sets[one], sets[other], assume_unique=True))
+                    hit[k] = shared >= least * (size[one] + size[other] - shared) - 1e-9
+                queue.extend(rest[hit])
+                edges += [(node[one], node[x]) for x in rest[hit]]
+                rest = rest[~hit]
+        a, b = zip(*edges, strict=True) if edges else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def _verified(candidates: DataFrame, width: int, bits: int, least: float) -> DataFrame:
+    """candidates (component, node, fp, text) -> edges (a, b) of nodes within `bits` and at or above the similarity of
+    shingles, enough of them to join all that are linked. A large group is cut into blocks of bounded size, and each pair of
+    blocks is one piece of work."""
+    sets = keep(candidates.mapInArrow(_shingles(width), "component long, node long, fp long, shingles array<long>, n long"), "shingles")
+    blocks = sets.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 8) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    dealt = sets.join(keep(blocks, "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
+    work = dealt.withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "node", "fp", "shingles", "n")
+    return work.groupBy("component", "i", "j").applyInArrow(_verify(bits, least), "a long, b long")
+
+
+def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
+    """One row per input row: doc_id, fingerprint (16 lowercase hex digits), component_id (the least doc_id reachable), and
+    text_sha256, which with the id names the row.
+
+    Texts link by their fingerprints alone, or with a similarity by the Jaccard of their distinct shingles too.
     A null or wordless text has fingerprint zero and is linked like any other. Null ids never name a component unless
     nothing else is there. Repeated rows keep one row each; an empty table gives an empty table."""
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    fps = keep(rows.mapInArrow(_fingerprints(width), "doc_id long, fp long"), "fingerprints")
-    distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("sha", F.sha2("text", 256))
+    fps = keep(rows.mapInArrow(_fingerprints(width), "doc_id long, sha string, fp long"), "fingerprints")
+    distinct = keep(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min("sha").alias("one"), F.max("sha").alias("other")), "distinct")
     linked = keep(components(near_links(distinct.select("fp"), bits)), "components")
-    named = distinct.join(linked, distinct.fp == linked.node, "left").select(
-        "fp", "least", F.coalesce("component", "fp").alias("component")
-    )
-    least = keep(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
-    names = keep(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "names")
-    return fps.join(names, "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = distinct.join(linked, distinct.fp == linked.node, "left").select("fp", "least", F.coalesce("component", "fp").alias("component"), (F.col("node").isNotNull() | (F.col("one") != F.col("other"))).alias("several"))
+    if similarity is None:
+        least = keep(named.groupBy("component").agg(F.min("least").alias("component_id")), "least")
+        names = keep(named.select("fp", "component").join(least, "component").select("fp", "component_id"), "names")
+        out = fps.join(names, "fp")
+    else:
+        some = keep(named.where("several").select("fp", "component"), "candidates")
+        texts = fps.join(some, "fp").groupBy("sha", "fp", "component").agg(F.min("doc_id").alias("least"))
+        texts = keep(texts.withColumn("node", F.monotonically_increasing_id()), "texts")  # one for equal texts
+        whole = rows.select(F.col("sha").alias("s"), "text", F.col("doc_id").alias("i"))
+        whole = whole.join(texts, (F.col("s") == F.col("sha")) & F.col("i").eqNullSafe(F.col("least"))).dropDuplicates(["node"])
+        edges = _verified(whole.select("component", "node", "fp", "text"), width, bits, similarity)
+        joined = keep(components(keep(edges, "verified")), "verified-components")
+        groups = texts.join(joined.withColumnRenamed("component", "root"), "node", "left").select("sha", "least", F.coalesce("root", "node").alias("root"))
+        ids = keep(groups.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+        names = keep(groups.join(ids, "root").select("sha", "component_id"), "names")
+        alone = fps.groupBy("sha").agg(F.min("doc_id").alias("own"))  # texts without a candidate: equal ones are a group
+        out = fps.join(keep(alone.join(names, "sha", "left").select("sha", F.when(F.col("component_id").isNull(), F.col("own")).otherwise(F.col("component_id")).alias("component_id")), "named"), "sha")
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", F.col("sha").alias("text_sha256"))
 
 
-def drop_near_copies(docs: DataFrame, width: int = 5, bits: int = MAX_BITS) -> DataFrame:
-    """The rows of docs, all columns as they are, whose id is the least of their group."""
-    groups = near_groups(docs, width=width, bits=bits).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    return docs.join(keep(groups.select(F.col("doc_id").alias("_id")).distinct(), "kept"), F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))).select(*docs.columns)
+def drop_near_copies(docs: DataFrame, width: int = 5, bits: int = MAX_BITS, similarity: float | None = None) -> DataFrame:
+    """The rows of docs, all columns as they are, that name their group: those of its least id, and of these, if several
+    texts have it, the one of the least hash. Of rows repeated with one id and text one stays."""
+    groups = near_groups(docs, width=width, bits=bits, similarity=similarity).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    stays = keep(groups.groupBy("component_id").agg(F.min("text_sha256").alias("sha")), "kept")
+    row = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("id"), F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256).alias("own"))
+    found = row.join(stays, F.col("id").eqNullSafe(F.col("component_id")) & (F.col("own") == F.col("sha")))
+    return found.dropDuplicates(["id", "own"]).select("row.*")
 
 
 def op10_simhash(spark, sf_dir: str) -> DataFrame:
-    return near_groups(table(spark, sf_dir, "documents"), width=3)
+    return near_groups(table(spark, sf_dir, "documents"), width=3).drop("text_sha256")

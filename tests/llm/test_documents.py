@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from llm_rows import CLASHING, EDGES
 from sluice.llm import exact_dedup, mixing, pieces, sharding, simhash, suffix_dedup
@@ -20,7 +21,7 @@ ALL = pytest.mark.parametrize("extra", CLASHING[:3])
 def test_empty_tables(no_docs):
     for out in (
         exact_dedup.exact_groups(no_docs), simhash.near_groups(no_docs), sharding.assign(no_docs), mixing.mix(no_docs)["documents"], mixing.mix(no_docs)["slots"], pieces.digests(no_docs), suffix_dedup.remove_repeats(no_docs),
-        exact_dedup.drop_copies(no_docs), simhash.drop_near_copies(no_docs), mixing.mixed_documents(no_docs), pieces.encode(no_docs),
+        exact_dedup.drop_copies(no_docs), simhash.drop_near_copies(no_docs), simhash.drop_near_copies(no_docs, similarity=0.8), mixing.mixed_documents(no_docs), pieces.encode(no_docs),
     ):
         assert out.count() == 0
 
@@ -107,6 +108,49 @@ def test_links_of_dense_groups(spark, bits, limit):
     assert got == {(a, label[a]) for a in signed if len(near[a]) > 1}
 
 
+def _near_by_text(docs, width, bits, least):
+    """Groups of rows whose texts are within the bits and the Jaccard of shingles, chained: id -> least id."""
+    sets, fps = {}, {}
+    for _, t in docs:
+        w = (t or "").lower().split()
+        sets[t or ""] = {tuple(w[i : i + width]) for i in range(max(len(w) - width + 1, 1))} if w else set()
+        fps[t or ""] = _fingerprint(t, width)
+    link = lambda a, b: a == b or ((fps[a] ^ fps[b]).bit_count() <= bits and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) - 1e-9)
+    group = {t: {t} for t in sets}
+    for a in sets:
+        for b in sets:
+            if group[a] is not group[b] and link(a, b):
+                group[a] |= group[b]
+                for t in group[b]:
+                    group[t] = group[a]
+    least_of = {id(g): min((i for i, t in docs if (t or "") in g and i is not None), default=None) for g in group.values()}
+    return [(i, least_of[id(group[t or ""])]) for i, t in docs]
+
+
+@pytest.mark.parametrize("block", [1 << 22, 300])
+def test_near_groups_by_similarity(spark, monkeypatch, block):
+    monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
+    rnd = random.Random(6)
+    docs = []
+    for i in range(30):
+        words = [f"w{rnd.randrange(3000)}" for _ in range(rnd.randint(5, 120))]
+        for _ in range(rnd.randint(1, 6)):
+            docs.append((len(docs) * 3 % 101 + 1, " ".join(words)))
+            words = [w if rnd.random() > 0.02 else "new" for w in words]
+    docs += [(500, None), (501, ""), (501, ""), (None, docs[0][1]), (None, "alone here"), (7, "some other text of its own"), (7, docs[5][1])]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("sha", F.lit(1)).withColumn("node", F.lit(2))
+    want = _near_by_text(docs, 5, 7, 0.8)
+    got = simhash.near_groups(df, bits=7, similarity=0.8).collect()
+    assert Counter((r.doc_id, r.component_id) for r in got) == Counter(want)
+    kept = simhash.drop_near_copies(df, bits=7, similarity=0.8)
+    assert kept.columns == df.columns
+    rows = [(r.doc_id, r.text) for r in kept.collect()]
+    assert sorted(i for i, _ in rows if i is not None) == sorted({g for _, g in want if g is not None}) and len(rows) == len({g for _, g in want})
+    of = dict(zip(((i, t or "") for i, t in docs), (g for _, g in want), strict=True))
+    assert all(of[i, t or ""] == i for i, t in rows)  # the row that stays is of the group it names
+    assert simhash.near_groups(df.limit(0), bits=7, similarity=0.8).count() == 0
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(50)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7), (3, 4)]
     got = {(r.node, r.component) for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
@@ -182,18 +226,38 @@ def test_mix(edge_docs, extra):
         assert sorted(x.slot for x in slots if x.shard == shard) == list(range(sum(x.shard == shard for x in slots)))
 
 
+def test_permutations_of_indices(spark):
+    for n in (1, 2, 3, 10, 97, 256):
+        for key in (3, 4):
+            got = [r[0] for r in spark.range(n).select(mixing.permuted(F.col("id"), F.lit(n).cast("long"), F.lit(key))).collect()]
+            assert sorted(got) == list(range(n))
+            assert n < 90 or sum(abs(a - b) == 1 for a, b in zip(got, got[1:])) < 12
+
+
 def test_mixed_texts_hold_what_was_taken(spark):
     rnd = random.Random(4)
-    docs = [(i, " ".join(f"d{i}w{k}" for k in range(rnd.randint(0, 90))), "en", rnd.choice("abc"), 0) for i in range(60)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long")
+    space = lambda: rnd.choice([" ", "\n\n", "\t- ", "  "])
+    docs = [(i, rnd.choice(["", "\n "]) + "".join(f"d{i}w{k}" + space() for k in range(rnd.randint(0, 90))), "en", rnd.choice("abc"), 0, "x") for i in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long, row string")
     taken = {r.doc_id: r.taken for r in mixing.mix(df)["documents"].collect()}
     out = mixing.mixed_documents(df)
     assert out.columns == df.columns
-    rows = out.collect()
-    assert {r.doc_id for r in rows} == {i for i, n in taken.items() if n}
-    for r in rows:
-        assert len(r.text.split()) == taken[r.doc_id] and r.n_chars == len(r.text)
-        assert set(r.text.split()) <= {f"d{r.doc_id}w{k}" for k in range(90)}
+    texts: dict = {}
+    for r in out.collect():
+        assert r.n_chars == len(r.text) and r.row == "x"
+        texts.setdefault(r.doc_id, []).append(r.text)
+    assert {i for i in texts} == {i for i, n in taken.items() if n}
+    whole = {i: t for i, t, *_ in docs}
+    for i, several in texts.items():
+        assert sum(len(t.split(" ")) > 0 and _words(t) for t in several) == taken[i] and len(several) <= 3
+        for t in several:
+            names = [w for w in t.replace("-", " ").split()]
+            assert len(set(names)) == len(names)  # nothing stands twice in a text
+            assert names == [w for w in whole[i].replace("-", " ").split() if w in names]
+            assert _words(t) < _words(whole[i]) or t == whole[i]
+    same = spark.createDataFrame([(1, "a b\nc", "en", "s", 5)] * 2 + [(None, "x  y", "en", None, 4), (2, None, None, None, None)], "doc_id long, text string, lang string, source string, n_chars long")
+    got = mixing.mixed_documents(same, block=1).collect()
+    assert {r.text for r in got} <= {"a b\nc", "x  y"} and Counter(r.text for r in got)["a b\nc"] >= 2
 
 
 @pytest.fixture(scope="module")
