@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import tempfile
+import threading
 import uuid
 from collections.abc import Sequence
 
@@ -22,29 +23,36 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-_made: list[str] = []  # scratch paths of this driver
+_local = threading.local()
+
+
+def _made() -> list[str]:
+    """Scratch paths that this thread of the driver made."""
+    if not hasattr(_local, "made"):
+        _local.made = []
+    return _local.made
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    _made.append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-    return _made[-1]
+    _made().append(f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+    return _made()[-1]
 
 
 def scratch_paths() -> int:
-    """A mark for drop_scratch: how many scratch paths were made so far."""
-    return len(_made)
+    """A mark for drop_scratch: how many scratch paths this thread made so far."""
+    return len(_made())
 
 
 def drop_scratch(spark: SparkSession, since: int = 0, but: Sequence[str] = ()) -> None:
-    """Deletes the scratch paths made since a mark, but for some. Call it once nothing reads them any more: results are lazy."""
-    left = _made[:since]
-    for path in _made[since:]:
+    """Deletes the scratch paths that this thread made since a mark, but for some. Call it once nothing reads them any more: results are lazy."""
+    left = _made()[:since]
+    for path in _made()[since:]:
         if path in but:
             left.append(path)
             continue
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
-    _made[:] = left
+    _made()[:] = left
 
 
 def keep(df: DataFrame, name: str) -> DataFrame:
