@@ -5,23 +5,43 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from sluice.functions.text import lines
-from sluice.sources.common import line, split
+from sluice.sources.common import blank, line, split
 
 
 def lcov(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-12, AGG-7. Sections from SF to end_of_record: hits add by line over sections of a file, a branch is hit if one of
-    its records says so; a section that is not closed, or a record outside one, is a gap."""
+    """SRC-12, AGG-7, AGG-15. Sections from SF to end_of_record: hits add by line over sections of a file, a branch is hit if
+    one of its records says so. No section, one that is not closed, without a file or with several, records outside sections,
+    malformed or repeated records, branches on lines without one, an empty section that does not say LF:0, and counters (LF,
+    LH, BRF, BRH) that differ are gaps."""
     rows = raw.withColumn("s", F.split("content", r"(?m)^end_of_record\r?$", -1)).withColumn("ok", F.size("s") > 1)
-    last = F.element_at("s", -1)
-    body = F.slice("s", 1, F.size("s") - 1)
-    good, gaps = split(rows, {"open section": F.trim(F.regexp_replace(last, r"\s+", " ")) != "", "section without file": F.exists(body, lambda x: ~x.rlike(r"(?m)^SF:.+$"))})
-    sec = good.select("report_id", F.explode(F.slice("s", 1, F.size("s") - 1)).alias("x")).select("report_id", F.regexp_extract("x", r"(?m)^SF:(.+?)\r?$", 1).alias("file"), F.explode(lines(F.col("x"))).alias("l"))
-    da = sec.where("l like 'DA:%'").select("report_id", "file", F.regexp_extract("l", r"^DA:(\d+),(\d+)", 1).cast("int").alias("line"), F.regexp_extract("l", r"^DA:(\d+),(\d+)", 2).cast("long").alias("hits"))
-    da = da.groupBy("report_id", "file", "line").agg(F.sum("hits").alias("hits"))
-    br = sec.where("l like 'BRDA:%'").select(
-        "report_id", "file", F.regexp_extract("l", r"^BRDA:(\d+),", 1).cast("int").alias("line"), F.regexp_extract("l", r"^BRDA:\d+,([^,]+,[^,]+),", 1).alias("branch"), F.regexp_extract("l", r",([^,]+)$", 1).rlike("^[1-9]").alias("hit")
+    cut = lambda x: F.filter(lines(x), lambda l: l.rlike(r"^(?:SF|DA|BRDA|LF|LH|BRF|BRH):"))
+    of = lambda ls, kind: F.transform(F.filter(ls, lambda l: l.startswith(f"{kind}:")), lambda l: F.substring(l, len(kind) + 2, 1 << 30))
+    field = lambda x, i: F.get(F.split(x, ",", -1), F.lit(i))
+    section = lambda ls: F.struct(
+        of(ls, "SF").alias("files"), F.get(ls, F.lit(0)).startswith("SF:").alias("first"),
+        F.transform(of(ls, "DA"), lambda x: F.struct(F.when(F.size(F.split(x, ",", -1)).isin(2, 3), field(x, 0).try_cast("int")).alias("line"), field(x, 1).try_cast("long").alias("hits"))).alias("da"),
+        F.transform(of(ls, "BRDA"), lambda x: F.struct(
+            F.when((F.size(F.split(x, ",", -1)) == 4) & ~blank(field(x, 1)) & ~blank(field(x, 2)), field(x, 0).try_cast("int")).alias("line"), F.concat_ws(",", field(x, 1), field(x, 2)).alias("branch"),
+            F.when(field(x, 3) == "-", F.lit(False)).otherwise(field(x, 3).try_cast("long") > 0).alias("hit"))).alias("br"),
+        *[of(ls, k).alias(k) for k in ("LF", "LH", "BRF", "BRH")],
     )
-    br = br.groupBy("report_id", "file", "line", "branch").agg(F.bool_or("hit").alias("hit")).groupBy("report_id", "file", "line").agg(F.count(F.lit(1)).alias("branches_found"), F.count_if("hit").alias("branches_hit"))
+    body = F.transform(F.slice("s", 1, F.greatest(F.size("s") - 1, F.lit(0))), lambda x: section(cut(x)))
+    rows = rows.withColumn("sections", body).withColumn("after", F.element_at("s", -1))
+    twice = lambda a: F.size(F.array_distinct(a)) != F.size(a)
+    some = lambda bad: F.exists("sections", bad)
+    counter = lambda x, k, n: (F.size(x[k]) > 1) | (F.size(x[k]) == 1) & F.coalesce(F.get(x[k], F.lit(0)).try_cast("int") != n, F.lit(True))
+    good, gaps = split(rows, {
+        "open section": ~blank(F.regexp_replace("after", r"\s+", " ")), "section without file": some(lambda x: (F.size(x["files"]) != 1) | blank(F.get(x["files"], F.lit(0))) | ~F.coalesce(x["first"], F.lit(False))),
+        "record": some(lambda x: F.exists(x["da"], lambda d: F.coalesce((d["line"] < 1) | (d["hits"] < 0), F.lit(True))) | F.exists(x["br"], lambda b: F.coalesce(b["line"] < 1, F.lit(True)) | b["hit"].isNull())),
+        "record given twice": some(lambda x: twice(F.transform(x["da"], lambda d: d["line"])) | twice(F.transform(x["br"], lambda b: F.struct(b["line"], b["branch"])))),
+        "branch without line": some(lambda x: F.size(F.array_except(F.transform(x["br"], lambda b: b["line"]), F.transform(x["da"], lambda d: d["line"]))) > 0),
+        "empty section": some(lambda x: (F.size(x["da"]) == 0) & ~F.coalesce(F.get(x["LF"], F.lit(0)) == "0", F.lit(False))),
+        "counters differ": some(lambda x: counter(x, "LF", F.size(x["da"])) | counter(x, "LH", F.size(F.filter(x["da"], lambda d: d["hits"] > 0))) | counter(x, "BRF", F.size(x["br"])) | counter(x, "BRH", F.size(F.filter(x["br"], lambda b: b["hit"])))),
+    })
+    sec = good.select("report_id", F.explode("sections").alias("x")).select("report_id", F.get("x.files", F.lit(0)).alias("file"), "x.da", "x.br")
+    da = sec.select("report_id", "file", F.explode("da").alias("d")).groupBy("report_id", "file", F.col("d.line").alias("line")).agg(F.sum("d.hits").alias("hits"))
+    br = sec.select("report_id", "file", F.explode("br").alias("b")).groupBy("report_id", "file", F.col("b.line").alias("line"), F.col("b.branch").alias("branch")).agg(F.bool_or("b.hit").alias("hit"))
+    br = br.groupBy("report_id", "file", "line").agg(F.count(F.lit(1)).alias("branches_found"), F.count_if("hit").alias("branches_hit"))
     out = da.join(br, ["report_id", "file", "line"], "left")
     return out.select("report_id", "file", "line", "hits", F.coalesce("branches_found", F.lit(0)).alias("branches_found"), F.coalesce("branches_hit", F.lit(0)).alias("branches_hit")), gaps
 

@@ -29,13 +29,13 @@ CASES = {
     ),
     "cobertura": (
         lambda raw: x.cobertura(raw),
-        ['<coverage lines-valid="2" lines-covered="1"><packages><package><classes><class filename="a.py"><lines><line number="1" hits="2"/><line number="2" hits="0" condition-coverage="50% (1/2)"/></lines></class></classes></package></packages></coverage>','<coverage lines-valid="9" lines-covered="1"><packages></packages></coverage>'],
-        [[('0', 'a.py', 1, 2, 0, 0), ('0', 'a.py', 2, 0, 2, 1)], [('1', 'totals differ')]],
+        ['<coverage lines-valid="3" branches-covered="3"><packages><package name="k"><classes><class filename="k/u.py"><methods><method name="f"><lines><line number="4" hits="7"/></lines></method></methods><lines><line number="4" hits="7" branch="true" condition-coverage="75% (3/4)"/><line number="5" hits="0"/></lines></class><class filename="v.py"><lines><line number="4" hits="1" branch="false"/></lines></class></classes></package></packages></coverage>','<coverage lines-valid="9" lines-covered="1"><packages></packages></coverage>'],
+        [[('0', 'k/u.py', 4, 7, 4, 3), ('0', 'k/u.py', 5, 0, 0, 0), ('0', 'v.py', 4, 1, 0, 0)], [('1', 'totals differ')]],
     ),
     "jacoco": (
         lambda raw: x.jacoco(raw),
-        ['<report name="r"><package name="p/q"><sourcefile name="A.java"><line nr="3" mi="0" ci="4" mb="1" cb="1"/></sourcefile></package></report>'],
-        [[('0', 'p/q/A.java', 3, 4, 2, 1)], []],
+        ['<report name="all"><group name="g"><group name="h"><package name="k/m"><sourcefile name="Z.java"><line nr="8" mi="2" ci="5" mb="0" cb="3"/><line nr="9" mi="6"/><counter type="INSTRUCTION" missed="8" covered="5"/><counter type="LINE" missed="1" covered="1"/><counter type="BRANCH" missed="0" covered="3"/></sourcefile><counter type="INSTRUCTION" missed="8" covered="5"/><counter type="LINE" missed="1" covered="1"/><counter type="BRANCH" missed="0" covered="3"/></package><counter type="INSTRUCTION" missed="8" covered="5"/><counter type="LINE" missed="1" covered="1"/><counter type="BRANCH" missed="0" covered="3"/></group><counter type="INSTRUCTION" missed="8" covered="5"/><counter type="LINE" missed="1" covered="1"/><counter type="BRANCH" missed="0" covered="3"/></group><counter type="INSTRUCTION" missed="8" covered="5"/><counter type="LINE" missed="1" covered="1"/><counter type="BRANCH" missed="0" covered="3"/><counter type="METHOD" missed="1" covered="0"/></report>'],
+        [[('0', 'k/m/Z.java', 8, 5, 3, 3), ('0', 'k/m/Z.java', 9, 0, 0, 0)], []],
     ),
     "api": (
         lambda raw: x.api_compatibility(raw),
@@ -100,6 +100,93 @@ CASES = {
 }
 
 
+def _with(text, *changes):
+    for old, new in changes:
+        assert old in text, old
+        text = text.replace(old, new, 1)
+    return text
+
+
+GOOD = {name: reports[0] for name, (_, reports, _) in CASES.items()}
+#: Reports that lack evidence or contradict themselves, by format: each must be a gap for this reason.
+GAPS = {
+    "junit": [
+        ("<html/>", "wrong root"), ("<testsuites><testcase name='a'/></testsuites>", "out of place"), ("<testsuite errors='5'/>", "counters differ"), ("<testsuite skipped='1'><testcase name='a'/></testsuite>", "counters differ"),
+        ("<testsuites tests='3'><testsuite><testsuite tests='1'><testcase name='a'/></testsuite></testsuite></testsuites>", "counters differ"), ("<testsuite><failure/></testsuite>", "out of place"), ("<testsuite tests='x'/>", "counters differ"),
+        ("<testsuite><testcase name='a'><failure/><skipped/></testcase></testsuite>", "contradictory outcomes"), ("<testsuite><testcase name='a'><error/><error/></testcase></testsuite>", "contradictory outcomes"), ("", "malformed"), ("<testsuite><testcase line='x'/></testsuite>", "line"),
+    ],
+    "checkstyle": [("<html/>", "wrong root"), ("<checkstyle><error source='r' message='m'/></checkstyle>", "out of place"), ("<checkstyle><file><error source='r' message='m'/></file></checkstyle>", "file without name"), ("<checkstyle><file name='a'><exception>boom</exception></file></checkstyle>", "execution error"), (_with(GOOD["checkstyle"], ('line="3"', 'line="x"')), "line"), (_with(GOOD["checkstyle"], (' source="S.R"', "")), "error without source")],
+    "pmd": [("<html/>", "wrong root"), ("<pmd><error filename='a' msg='m'/></pmd>", "execution error"), ("<pmd><configerror rule='r' msg='m'/></pmd>", "execution error"), ("<pmd><violation rule='r'>t</violation></pmd>", "out of place"), (_with(GOOD["pmd"], (' msg="x"', "")), "suppression without fields"), (_with(GOOD["pmd"], (' rule="R"', "")), "rule or message")],
+    "spotbugs": [("<html/>", "wrong root"), ("<BugCollection><Errors><Error><ErrorMessage>m</ErrorMessage></Error></Errors></BugCollection>", "execution error"), ("<BugCollection><Project><BugInstance type='t'/></Project></BugCollection>", "out of place"), ("<BugCollection><BugInstance/></BugCollection>", "bug without type")],
+    "cobertura": [
+        ("<html/>", "wrong root"), ("<coverage/>", "no file"), (_with(GOOD["cobertura"], ('branches-covered="3"', 'branches-covered="4"')), "branch totals differ"), (_with(GOOD["cobertura"], ("75% (3/4)", "75% (1/4)")), "branches"), (_with(GOOD["cobertura"], ('number="5"', 'number="4"')), "line given twice"),
+        (_with(GOOD["cobertura"], ('condition-coverage="75% (3/4)"', "")), "branches"), (_with(GOOD["cobertura"], ("<packages>", "<packages><line number='1' hits='1'/>")), "out of place"), (_with(GOOD["cobertura"], ('number="5"', 'number="x"')), "line"),
+    ],
+    "jacoco": [
+        ("<html/>", "wrong root"), ("<report/>", "no source file"), ("<report><group name='g'/></report>", "no source file"), (_with(GOOD["jacoco"], ('mi="2"', 'mi="3"')), "counters differ"), (_with(GOOD["jacoco"], ('missed="0" covered="3"/></group>', 'missed="0" covered="2"/></group>')), "counters differ"),
+        (_with(GOOD["jacoco"], ('nr="9"', 'nr="8"')), "line given twice"), (_with(GOOD["jacoco"], (' mi="6"', "")), "line without instructions"), (_with(GOOD["jacoco"], ('mi="6"', 'mi="6" cb="1"')), "branches"), (_with(GOOD["jacoco"], ("<group name=\"g\">", "<group name=\"g\"><line nr=\"1\"/>")), "out of place"), ("<report", "malformed"),
+    ],
+    "api": [("<html/>", "wrong root"), ("<japicmp/>", "no class"), (_with(GOOD["api"], ('fullyQualifiedName="B"', 'fullyQualifiedName="A"')), "class given twice"), (_with(GOOD["api"], (' binaryCompatible="false" sourceCompatible="true"/>', ' binaryCompatible="false"/>')), "flags"), (_with(GOOD["api"], ('"B" binaryCompatible="false"', '"B" binaryCompatible="true"')), "member contradicts class")],
+    "sarif": [
+        ("[]", "malformed"), ('{"version":"2.1.0"}', "no run"), ('{"version":"2.1.0","runs":[]}', "no run"), (_with(GOOD["sarif"], ('"name":"T",', "")), "run without tool"), ('{"version":"2.1.0","runs":[{"tool":{"driver":{"name":"T"}}}]}', "run without results"),
+        (_with(GOOD["sarif"], ('"results":', '"invocations":[{"executionSuccessful":false}],"results":')), "run failed"), (_with(GOOD["sarif"], ('"results":', '"invocations":[{}],"results":')), "run failed"),
+        (_with(GOOD["sarif"], ('"results":', '"invocations":[{"executionSuccessful":true,"toolExecutionNotifications":[{"level":"error"}]}],"results":')), "run failed"), (_with(GOOD["sarif"], ('"results":', '"externalPropertyFileReferences":{"results":"x"},"results":')), "external properties"),
+        (_with(GOOD["sarif"], ('"results":', '"baselineGuid":"x","results":')), "baseline"), (_with(GOOD["sarif"], ('"kind":"pass"', '"kind":"review"')), "undecided"), (_with(GOOD["sarif"], ('"kind":"pass"', '"kind":"odd"')), "kind"), (_with(GOOD["sarif"], ('"x","y"', '"x"')), "message"), (_with(GOOD["sarif"], ('"ruleIndex":0', '"ruleIndex":4')), "rule"),
+        (_with(GOOD["sarif"], ('"ruleIndex":0', '"ruleIndex":0,"ruleId":"Q"')), "rule"), (_with(GOOD["sarif"], ('"startLine":3', '"startLine":3,"endLine":2')), "location"), (_with(GOOD["sarif"], ('"uri":"a.c"', '"uri":""')), "location"), (_with(GOOD["sarif"], ('"rules":[', '"rules":[{"id":"R1"},')), "rules"), ('{"version":"2.1.0","runs":', "malformed"),
+    ],
+    "covpy": [
+        ("{}", "format"), ('{"meta":{"format":3},"totals":{"covered_lines":0,"num_statements":0}}', "no file"), (_with(GOOD["covpy"], ('"missing_lines":[3],', "")), "lists missing"), (_with(GOOD["covpy"], ('"missing_lines":[3]', '"missing_lines":[2]')), "lists overlap"), (_with(GOOD["covpy"], ('"excluded_lines":[]', '"excluded_lines":[3]')), "lists overlap"),
+        (_with(GOOD["covpy"], ("[1,2],", "[1,1],")), "lists repeat"), (_with(GOOD["covpy"], ("[[1,2]]", "[[3,2]]")), "branches"), (_with(GOOD["covpy"], ('"num_statements":3', '"num_statements":4')), "totals differ"), (_with(GOOD["covpy"], (',"totals":{"covered_lines":2,"num_statements":3}', "")), "no totals"), ("[]", "malformed"),
+    ],
+    "clippy": [("", "malformed"), ("{}", "malformed")],
+    "eslint": [
+        ("[]", "no file"), (_with(GOOD["eslint"], ('"errorCount":1', '"errorCount":2')), "counts differ"), ('[{"filePath":"a.js","errorCount":2,"warningCount":0}]', "no messages"), (_with(GOOD["eslint"], ('"errorCount":1,', "")), "counts differ"), (_with(GOOD["eslint"], ('"filePath":"a.js",', "")), "file without path"),
+        (_with(GOOD["eslint"], ('"errorCount":1', '"fatalErrorCount":1,"errorCount":1')), "fatal"), (_with(GOOD["eslint"], ('"ruleId":"r"', '"ruleId":null')), "message"), (_with(GOOD["eslint"], ('"line":3', '"line":0')), "message"), ("[{", "malformed"),
+    ],
+    "golangci": [("{}", "no report"), ('{"Report":{}}', "no issues"), ('{"Report":{"Linters":[{"Name":"lll"}]},"Issues":[]}', "linters"), ('{"Report":{"Error":"x"},"Issues":[]}', "error"), (_with(GOOD["golangci"], ('"Line":2', '"Line":0')), "issue"), (_with(GOOD["golangci"], ('"lll"', '"typecheck"')), "typecheck")],
+    "ruff": [("{}", "malformed"), (_with(GOOD["ruff"], ('"row":1', '"col":1')), "entry")],
+    "pyright": [("{}", "no diagnostics"), ('{"generalDiagnostics":[]}', "no summary"), ('{"generalDiagnostics":[],"summary":{}}', "counts differ"), ('{"generalDiagnostics":[],"summary":{"errorCount":0,"warningCount":0,"informationCount":0,"filesAnalyzed":0}}', "no file"), (_with(GOOD["pyright"], ('"file":"a.py",', "")), "diagnostic"), (_with(GOOD["pyright"], ('"warning"', '"hint"')), "counts differ")],
+    "diag": [("{}", "no issues"), ('{"issues":[]}', "no tool"), (_with(GOOD["diag"], ('"line":1', '"line":0')), "issue"), (_with(GOOD["diag"], ('"line":1', '"line":1,"locations":[{"file":"b","line":1}]')), "issue")],
+    "facts": [("{}", "envelope"), ('{"project":"p","target":"t"}', "no facts"), (_with(GOOD["facts"], ('"1.50"', '"1.5x"')), "value"), (_with(GOOD["facts"], ('"project"', '"complete":false,"project"')), "incomplete"), ('{"project":"p","target":"t","clones":[{"id":"1","similarity":"2","left":{"file":"a","start":1,"end":2,"nodes":1},"right":{"file":"b","start":1,"end":2,"nodes":1}}]}', "clone pair")],
+    "lcov": [
+        ("", "malformed"), ("DA:1,1\nend_of_record\n", "section without file"), ("SF:a\nDA:1,1\nLF:2\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nLH:0\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nBRF:1\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nBRDA:1,0,0,1\nBRH:0\nend_of_record\n", "counters differ"),
+        ("SF:a\nend_of_record\n", "empty section"), ("SF:a\nDA:1,1\nDA:1,2\nend_of_record\n", "record given twice"), ("SF:a\nDA:1,1\nBRDA:2,0,0,1\nend_of_record\n", "branch without line"), ("SF:a\nDA:x,1\nend_of_record\n", "record"), ("SF:a\nDA:1,1\nBRDA:1,0,1\nend_of_record\n", "record"), ("SF:a\nSF:b\nDA:1,1\nend_of_record\n", "section without file"), ("SF:a\nDA:1,1\nend_of_record\nDA:2,2\n", "open section"),
+    ],
+}
+
+
+@pytest.mark.parametrize("name", GAPS)
+def test_missing_evidence_is_never_clean(spark, name):
+    cases = [*GAPS[name], (None, "malformed")]
+    raw = spark.createDataFrame([(str(i), s) for i, (s, _) in enumerate(cases)], "report_id string, content string")
+    facts, gaps, *_ = CASES[name][0](raw)
+    assert facts.count() == 0
+    got = {r.report_id: r.reason for r in gaps.collect()}
+    assert [(s, got.get(str(i))) for i, (s, _) in enumerate(cases)] == cases
+
+
+def test_nested_suites(spark):
+    deep = "<testsuite tests='1' failures='1'>" * 300 + "<testcase file='f' classname='C' name='n' line='7'><failure type='T'>why</failure></testcase>" + "</testsuite>" * 300
+    ns = "<?xml version='1.0'?><!-- a --><testsuites xmlns='urn:x'><testsuite><testcase name='m' file='g'><skipped/></testcase></testsuite></testsuites>"
+    raw = spark.createDataFrame([("0", deep), ("1", ns)], "report_id string, content string")
+    facts, gaps = x.junit(raw)
+    assert [tuple(r) for r in facts.collect()] == [("0", "junit", "failure", "f", 7, "why", "C#n")] and gaps.count() == 0
+    cases = {(r.report_id, r.name, r.outcome) for r in x.junit_cases(raw)[0].collect()}
+    assert cases == {("0", "n", "failure"), ("1", "m", "skipped")}
+    raw = spark.createDataFrame([("0", "<testsuite><testcase name='m'/></testsuite>")], "report_id string, content string")
+    assert [r.reason for r in x.junit_cases(raw)[1].collect()] == ["case without file or name"] and x.junit(raw)[1].count() == 0
+
+
+def test_clone_pairs_and_classes(spark):
+    side = '{"file":"%s","start":1,"end":9,"nodes":4}'
+    raw = spark.createDataFrame([("0", '{"project":"p","target":"t","clones":[{"id":"1","similarity":"0.85","left":%s,"right":%s}]}' % (side % "a", side % "b"))], "report_id string, content string")
+    assert [tuple(r) for r in j.tool_clones(raw, "p", "t")[0].collect()] == [("0", "1", Decimal("0.850000000000000000"), "a", 1, 9, 4, "b", 1, 9, 4)]
+    raw = spark.createDataFrame([(k, GOOD["api"]) for k in "012"], "report_id string, content string")
+    expected = spark.createDataFrame([("0", "A"), ("0", "B"), ("1", "A")], "report_id string, class string")
+    facts, gaps = x.api_compatibility(raw, expected=expected)
+    assert {r.report_id for r in facts.collect()} == {"0"} and {(r.report_id, r.reason) for r in gaps.collect()} == {("1", "other classes than expected"), ("2", "other classes than expected")}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_reader(spark, name):
     read, reports, want = CASES[name]
