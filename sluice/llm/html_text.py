@@ -1,7 +1,9 @@
 """Layout-aware rendering of HTML to text.
 
-A tree builder supplies implied tags and drops stray ones; visibility rules leave out what a browser would not show; the
-renderer keeps block spacing, list markers and nesting, preformatted lines, and table columns aligned by padding.
+A tree builder supplies implied tags and drops stray ones; visibility rules leave out what a browser would not show: by
+element, attribute, style and the page's own style sheets, as far as their selectors are of one element. The renderer keeps
+block spacing, list markers and nesting, preformatted lines, and table columns aligned by padding, with cells that span rows
+or columns in their place.
 """
 
 from __future__ import annotations
@@ -15,14 +17,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.tables import table
 
-WIDEST = 60  # characters a cell is padded to; longer cells run over
+WRAP = 60  # characters of a table's column: longer lines of cells are wrapped at spaces, a longer word has a line of its own
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title select".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())  # a blank line around
 BLOCK = SPACED | frozenset(
-    "html body div section article aside header footer nav main address form li dt dd tr caption details summary figcaption legend center option hgroup search dialog menu thead tbody tfoot".split()
+    "html body div section article aside header footer nav main address form li dt dd tr caption details summary figcaption legend center hgroup search dialog menu thead tbody tfoot".split()
 )
 #: What an opening tag ends: the open elements it closes, and those that it does not look beyond.
 _TABLE = frozenset(["table"])
@@ -30,18 +32,73 @@ CLOSES: dict[str, tuple[frozenset[str], frozenset[str]]] = {
     "li": (frozenset(["li"]), frozenset(["ul", "ol", "menu"]) | _TABLE),
     "dt": (frozenset(["dt", "dd"]), frozenset(["dl"]) | _TABLE),
     "dd": (frozenset(["dt", "dd"]), frozenset(["dl"]) | _TABLE),
-    "option": (frozenset(["option"]), frozenset(["select", "datalist"])),
+    "option": (frozenset(["option"]), frozenset(["select", "datalist", "optgroup"])),
+    "optgroup": (frozenset(["option", "optgroup"]), frozenset(["select", "datalist"])),
     "td": (frozenset(["td", "th"]), frozenset(["tr"]) | _TABLE),
     "th": (frozenset(["td", "th"]), frozenset(["tr"]) | _TABLE),
     "tr": (frozenset(["tr", "caption", "colgroup"]), _TABLE),
     **{x: (frozenset(["tbody", "thead", "tfoot", "caption", "colgroup"]), _TABLE) for x in ("tbody", "thead", "tfoot")},
     "body": (frozenset(["head"]), frozenset()),
 }
-BARRIER = frozenset(["table", "td", "th", "button", "caption"])  # a paragraph's end tag is not implied beyond these
+BARRIER = frozenset(["table", "td", "th", "button", "caption", "select", "datalist", "object", "template", "svg"])  # a paragraph's end tag is not implied beyond these
 
 _TOKEN = re.compile(r"<!--(?:.*?-->|.*$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)>?", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
+_DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)", re.I)
+_SELECTOR = re.compile(r"(?:\*|[a-z][a-z0-9-]*)?(?:[.#][A-Za-z_-][\w-]*)*", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
+
+
+def declared(style: str) -> dict[str, str]:
+    """display and visibility as a style sets them, the last one of each."""
+    return {k.lower(): v.lower() for k, v in _DECLARED.findall(_COMMENT.sub(" ", style))}
+
+
+class Sheet:
+    """The rules of a page's style sheets that hide or show: those for a tag, classes and an id of one element. Rules of
+    media other than screens, and other selectors, are left out."""
+
+    def __init__(self):
+        self.rules: dict[str, list[tuple]] = {}
+        self.count = 0
+
+    def add(self, css: str) -> None:
+        css, at = _COMMENT.sub(" ", css), 0
+        while (brace := css.find("{", at)) >= 0:
+            head = css[at:brace].rsplit(";", 1)[-1].strip()
+            depth, end = 1, brace + 1
+            while end < len(css) and depth:
+                depth += {"{": 1, "}": -1}.get(css[end], 0)
+                end += 1
+            body, at = css[brace + 1 : end - 1 if depth == 0 else end], end
+            if head.startswith("@"):
+                media = head.lower().split()
+                if media[0] == "@media" and "not" not in media and (len(media) == 1 or {"all", "screen", "all,", "screen,"} & set(media)):
+                    self.add(body)
+            elif found := declared(body):
+                for selector in head.split(","):
+                    self._rule(selector.strip(), found)
+
+    def _rule(self, selector: str, found: dict[str, str]) -> None:
+        if not selector or not _SELECTOR.fullmatch(selector):
+            return
+        tag = re.match(r"[^.#]*", selector)[0].lower()
+        names = re.findall(r"([.#])([\w-]+)", selector)
+        classes, ids = {n for k, n in names if k == "."}, {n for k, n in names if k == "#"}
+        self.count += 1
+        key = f"#{min(ids)}" if ids else f".{min(classes)}" if classes else tag
+        self.rules.setdefault(key, []).append((len(ids), len(classes), tag not in ("", "*"), self.count, tag, classes, ids, found))
+
+    def style(self, node: Node) -> dict[str, str]:
+        if not self.rules:
+            return {}
+        classes, own = set(node.attrs.get("class", "").split()), node.attrs.get("id", "")
+        fits = [r for key in (f"#{own}", *(f".{c}" for c in classes), node.tag, "*") for r in self.rules.get(key, ()) if r[4] in ("", "*", node.tag) and r[5] <= classes and r[6] <= {own}]
+        out: dict[str, str] = {}
+        for r in sorted(fits, key=lambda r: r[:4]):
+            out |= r[7]
+        return out
 
 
 class Node:
@@ -53,7 +110,7 @@ class Node:
 
 def _tokens(source: str) -> Iterator[tuple[str, str, str]]:
     """("text" or "open" or "close", text or name, attributes)."""
-    at, lower = 0, source.lower()
+    at = 0
     while at < len(source):
         m = _TOKEN.search(source, at)
         if not m:
@@ -66,8 +123,8 @@ def _tokens(source: str) -> Iterator[tuple[str, str, str]]:
         name = m[2].lower()
         yield ("close" if m[1] else "open"), name, m[3]
         if not m[1] and name in RAW:
-            end = lower.find(f"</{name}", at)
-            end = len(source) if end < 0 else end
+            close = _END[name].search(source, at)
+            end = close.start() if close else len(source)
             body = source[at:end]
             yield "text", html.unescape(body) if name in ("textarea", "title") else body, ""
             at = end
@@ -78,20 +135,26 @@ def _tokens(source: str) -> Iterator[tuple[str, str, str]]:
 def parse(source: str) -> Node:
     root = Node("html", {})
     stack = [root]
+    places: dict[str, list[int]] = {}  # where elements of each name are open
+
+    def last(names: frozenset[str]) -> int:
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
 
     def close(names: frozenset[str], stop: frozenset[str]) -> bool:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].tag in names:
-                del stack[k:]
-                return True
-            if stack[k].tag in stop:
-                return False
-        return False
+        """Closes the innermost open element of these names, unless one of `stop` is open within it."""
+        k = last(names)
+        if not k or k < last(stop):
+            return False
+        for node in stack[k:]:
+            places[node.tag].pop()
+        del stack[k:]
+        return True
 
     def push(tag: str, attrs: dict[str, str]) -> None:
         node = Node(tag, attrs)
         stack[-1].children.append(node)
         if tag not in VOID:
+            places.setdefault(tag, []).append(len(stack))
             stack.append(node)
 
     for kind, value, rest in _tokens(source):
@@ -122,11 +185,24 @@ def parse(source: str) -> Node:
     return root
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node, sheet: Sheet) -> tuple[bool, bool | None]:
+    """Whether an element is displayed, and whether it says that it is visible (None: as what it stands in)."""
     a = node.attrs
-    if node.tag in HIDDEN or "hidden" in a or node.tag == "dialog" and "open" not in a:
-        return False
-    return not ("style" in a and _UNSEEN.search(a["style"]))
+    style = {**sheet.style(node), **(declared(a["style"]) if "style" in a else {})}
+    by_itself = not ("hidden" in a or node.tag == "dialog" and "open" not in a)
+    shown = node.tag not in HIDDEN and (style["display"] != "none" if "display" in style else by_itself)
+    seen = {"hidden": False, "collapse": False, "visible": True}.get(style.get("visibility", ""))
+    return shown, seen
+
+
+def sheets(root: Node) -> Sheet:
+    out, todo = Sheet(), [root]
+    while todo:
+        node = todo.pop()
+        if node.tag == "style" and re.fullmatch(r"\s*|.*\b(?:all|screen)\b.*", node.attrs.get("media", ""), re.I | re.S):
+            out.add("".join(c for c in node.children if isinstance(c, str)))
+        todo += [c for c in reversed(node.children) if isinstance(c, Node)]
+    return out
 
 
 class _Page:
@@ -137,6 +213,10 @@ class _Page:
         self.now, self.margin, self.marker = "", "", ""
         self.gap, self.space = 0, False
 
+    def br(self) -> None:
+        """Ends the line; a second one leaves a blank line."""
+        self.end(1 if self.now.strip() else 2)
+
     def words(self, text: str) -> None:
         parts = text.split()
         if not parts:
@@ -172,19 +252,23 @@ class _Page:
         return "\n".join(self.lines)
 
 
-def _rows(node: Node, captions: list[Node]) -> Iterator[Node]:
-    for child in node.children:
-        if isinstance(child, Node) and visible(child):
-            if child.tag == "tr":
-                yield child
-            elif child.tag in ("tbody", "thead", "tfoot"):
-                yield from _rows(child, captions)
-            elif child.tag == "caption":
-                captions.append(child)
-            elif child.tag not in VOID:  # what a table may not hold is shown before it
-                captions.append(child)
-        elif isinstance(child, str) and child.strip():
-            captions.append(_stray(child))
+def _rows(node: Node, sheet: Sheet, captions: list[Node]) -> Iterator[tuple[Node, int]]:
+    """The rows of a table with the number of their section; what a table may not hold is shown before it."""
+    todo, section = [(c, 0) for c in reversed(node.children)], 0
+    while todo:
+        child, of = todo.pop()
+        if isinstance(child, str):
+            if child.strip():
+                captions.append(_stray(child))
+        elif not displayed(child, sheet)[0]:
+            continue
+        elif child.tag == "tr":
+            yield child, of
+        elif child.tag in ("tbody", "thead", "tfoot"):
+            section += 1
+            todo += [(c, section) for c in reversed(child.children)]
+        elif child.tag not in VOID:
+            captions.append(child)
 
 
 def _stray(text: str) -> Node:
@@ -193,45 +277,108 @@ def _stray(text: str) -> Node:
     return node
 
 
-def _table(node: Node) -> Generator:
+def _span(value: str | None, most: int) -> int:
+    return min(int(value), most) if re.fullmatch(r"\d{1,9}", value or "") else 1
+
+
+def _wrapped(line: str) -> list[str]:
+    """A line in parts of WRAP characters at most, cut at spaces; a longer word is a part of its own."""
+    if len(line) <= WRAP:
+        return [line]
+    lead = line[: len(line) - len(line.lstrip())]
+    out, now = [], lead
+    for word in line.split():
+        if now.strip() and len(now) + 1 + len(word) > WRAP:
+            out.append(now)
+            now = ""
+        now += (" " if now.strip() else "") + word
+    return [*out, now]
+
+
+def place(rows: list[tuple[int, list[tuple[int, int]]]]) -> list[list[int]]:
+    """rows: (section, cells as (columns, rows) they span) -> the column where each cell begins. A cell that spans rows, to
+    the end of its section at most (0: all the way), keeps its columns from the cells of the rows below."""
+    out, taken, now = [], {}, None
+    for section, cells in rows:
+        if section != now:
+            taken, now = {}, section  # column -> rows it is still taken for
+        at, places, fresh = 0, [], {}
+        for columns, down in cells:
+            while taken.get(at, 0):
+                at += 1
+            places.append(at)
+            for c in range(at, at + columns) if down != 1 else ():
+                fresh[c] = max(fresh.get(c, 0), (1 << 30) if down == 0 else down)
+            at += columns
+        out.append(places)
+        taken = {c: n - 1 for c, n in {**taken, **fresh}.items() if n > 1}
+    return out
+
+
+def _table(node: Node, seen: bool, sheet: Sheet) -> Generator:
     """The lines of a table, as a step of _run."""
     captions: list[Node] = []
-    grid = []
-    for row in _rows(node, captions):
-        cells = [c for c in row.children if isinstance(c, Node) and visible(c) and c.tag in ("td", "th")]
-        captions += [c for c in row.children if isinstance(c, Node) and visible(c) and c.tag not in ("td", "th")]
-        captions += [_stray(c) for c in row.children if isinstance(c, str) and c.strip()]
-        spans = [int(x) if re.fullmatch(r"[1-9]\d?", x := c.attrs.get("colspan", "")) else 1 for c in cells]
-        shown = []
-        for c in cells:
-            shown.append((yield _text(c)).split("\n"))
-        grid.append(list(zip(shown, spans, strict=True)))
+    rows, shown = [], []
+    for row, section in _rows(node, sheet, captions):
+        says = displayed(row, sheet)[1]
+        cells, texts = [], []
+        for c in row.children:
+            if isinstance(c, str):
+                captions += [_stray(c)] if c.strip() else []
+            elif not displayed(c, sheet)[0]:
+                continue
+            elif c.tag not in ("td", "th"):
+                captions.append(c)
+            else:
+                cells.append((max(1, _span(c.attrs.get("colspan"), 1000)), _span(c.attrs.get("rowspan"), 65534)))
+                own = displayed(c, sheet)[1]
+                state = own if own is not None else says if says is not None else seen
+                texts.append([x for line in (yield _text(c, state, sheet)).split("\n") for x in _wrapped(line)])
+        rows.append((section, cells))
+        shown.append(texts)
+    starts = place(rows)
     width: dict[int, int] = {}
-    for cells in grid:
-        at = 0
-        for lines, span in cells:
-            if span == 1:
-                width[at] = max(width.get(at, 0), min(WIDEST, max(map(len, lines))))
-            at += span
+    for (_, cells), places, texts in zip(rows, starts, shown, strict=True):
+        for (columns, _), at, lines in zip(cells, places, texts, strict=True):
+            if columns == 1:
+                width[at] = max(width.get(at, 0), min(WRAP, max(map(len, lines))))
+    for (_, cells), places, texts in zip(rows, starts, shown, strict=True):
+        for (columns, _), at, lines in zip(cells, places, texts, strict=True):
+            if columns > 1:  # the last of the columns that a wide cell spans takes what the others lack
+                over = [c for c in range(at, at + columns) if c in width]
+                lacks = min(WRAP, max(map(len, lines))) - sum(width[c] for c in over) - 2 * max(len(over) - 1, 0)
+                if lacks > 0:
+                    width[over[-1] if over else at] = lacks + (width[over[-1]] if over else 0)
+    offset, at = {}, 0  # columns that no cell begins in, or only wide ones do, take no room of their own
+    for c in sorted({*width, *(p for places in starts for p in places)}):
+        offset[c] = at
+        at += width[c] + 2 if c in width else 0
     out = []
     for c in captions:
-        out += (yield _text(c)).split("\n")
-    for cells in grid:
-        for k in range(max((len(lines) for lines, _ in cells), default=0)):
-            line, at = "", 0
-            for lines, span in cells:
-                room = sum(width.get(i, 0) for i in range(at, at + span)) + 2 * (span - 1)
-                line += (lines[k] if k < len(lines) else "").ljust(room) + "  "
-                at += span
+        own = displayed(c, sheet)[1]
+        out += (yield _text(c, seen if own is None else own, sheet)).split("\n")
+    for places, texts in zip(starts, shown, strict=True):
+        for k in range(max(map(len, texts), default=0)):
+            line = ""
+            for at, lines in zip(places, texts, strict=True):
+                if k >= len(lines) or not lines[k]:
+                    continue
+                if line and len(line) + 2 > offset[at]:  # what stands before runs over: go on in the next line
+                    if len(line) > offset[at] or offset[at] == 0:
+                        out.append(line)
+                        line = ""
+                line = line.ljust(offset[at]) + lines[k]
             out.append(line.rstrip())
-    return [x for x in out if x]
+    return [x for x in out if x.strip()]
 
 
-def _render(node: Node, page: _Page, pre: bool, depth: int) -> Generator:
-    """Puts the children on the page, as a step of _run."""
-    number = int(node.attrs["start"]) if re.fullmatch(r"\d{1,6}", node.attrs.get("start", "")) else 1
+def _render(node: Node, page: _Page, pre: bool, depth: int, seen: bool, sheet: Sheet) -> Generator:
+    """Puts the children on the page, as a step of _run. seen: whether text that stands here is visible."""
+    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,6}", node.attrs.get("start", "")) else 1
     for child in node.children:
         if isinstance(child, str):
+            if not seen:
+                continue
             if pre:
                 *ended, last = child.split("\n")
                 for x in ended:
@@ -246,53 +393,60 @@ def _render(node: Node, page: _Page, pre: bool, depth: int) -> Generator:
                 page.words(child)
             continue
         tag = child.tag
-        if not visible(child):
+        shown, says = displayed(child, sheet)
+        if not shown:
             continue
+        state = seen if says is None else says
         if tag == "br":
-            page.end(1)
+            page.br()
         elif tag == "wbr" or tag in VOID - {"hr"}:
             continue
         elif tag == "table":
             page.end(2)
-            for x in (yield _table(child)):
+            for x in (yield _table(child, state, sheet)):
                 page.line(x)
             page.end(2)
         elif tag == "details" and "open" not in child.attrs:
-            shown = Node("details", {})
-            shown.children = [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]
+            summary = Node("details", {})
+            summary.children = [c for c in child.children if isinstance(c, Node) and c.tag == "summary"][:1]
             page.end(1)
-            yield _render(shown, page, pre, depth)
+            yield _render(summary, page, pre, depth, state, sheet)
             page.end(1)
         elif tag == "li":
             margin, ordered = page.margin, node.tag == "ol"
+            number = int(child.attrs["value"]) if ordered and re.fullmatch(r"-?\d{1,6}", child.attrs.get("value", "")) else number
             mark = f"{number}. " if ordered else "- "
             number += 1
             page.end(1)
             page.marker, page.margin = margin + mark, margin + " " * len(mark)
-            yield _render(child, page, pre, depth + 1)
+            yield _render(child, page, pre, depth + 1, state, sheet)
             page.end(1)
             page.marker, page.margin = "", margin
         elif tag in ("blockquote", "dd"):
             margin = page.margin
             page.end(2 if tag == "blockquote" else 1)
             page.margin = margin + "  "
-            yield _render(child, page, pre, depth + 1)
+            yield _render(child, page, pre, depth + 1, state, sheet)
             page.end(2 if tag == "blockquote" else 1)
             page.margin = margin
+        elif tag == "textarea":
+            page.end(1)
+            yield _render(child, page, True, depth, state, sheet)
+            page.end(1)
         elif tag in BLOCK:
             gap = 1 if tag in ("ul", "ol", "menu") and depth or tag not in SPACED else 2
             page.end(gap)
-            yield _render(child, page, pre or tag in ("pre", "textarea"), depth)
+            yield _render(child, page, pre or tag == "pre", depth, state, sheet)
             page.end(gap)
         else:
-            yield _render(child, page, pre, depth)
+            yield _render(child, page, pre, depth, state, sheet)
             if tag in ("td", "th"):
                 page.space = True
 
 
-def _text(node: Node) -> Generator:
+def _text(node: Node, seen: bool, sheet: Sheet) -> Generator:
     page = _Page()
-    yield _render(node, page, False, 0)
+    yield _render(node, page, False, 0, seen, sheet)
     return page.text()
 
 
@@ -310,7 +464,7 @@ def _run(step: Generator):
 
 
 def render(node: Node) -> str:
-    return _run(_text(node))
+    return _run(_text(node, True, sheets(node)))
 
 
 def extract(source: str | None) -> str:
@@ -324,8 +478,9 @@ def _extracted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
-    """One row per input row: page_id, text. A null or empty html gives an empty text; repeated rows are rendered each; an
-    empty table gives an empty table; broken markup never fails."""
+    """One row per input row: page_id, text. A null or empty html gives an empty text; null ids stay null; repeated rows are
+    rendered each; an empty table gives an empty table; further columns are ignored; long pages are rendered whole, in time
+    and memory that grow with their length; broken markup never fails."""
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(html_col).cast("string").alias("html"))
     return rows.mapInArrow(_extracted, "page_id long, text string")
 

@@ -139,6 +139,110 @@ def test_deep_elements_stay_hidden_and_laid_out():
     assert got == "a\n\nx  y\n z\n\nc  d\n\nb"
 
 
+@pytest.mark.parametrize(("source", "want"), [
+    ("<p>\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130</p><script>x</script>abc", "\u0130\u0130\u0130\u0130\u0130\u0130\u0130\u0130\n\nabc"), ("<script>a</SCRIPT >b</scripty>c", "bc"),
+    ("<p>a<select><option>One</select>b", "ab"), ("<p>a<select><optgroup><option>One<option>Two</select>b<datalist><option>x</datalist>c", "abc"),
+    ("<i>" * 400 + "<div style='display:none'>" + "<i>" * 400 + "SECRET", ""), ("a<br><br>b<br>c<br><br><br>d", "a\n\nb\nc\n\nd"),
+    ("<div style='visibility:hidden'>a<b style='visibility:visible'>b</b>c</div>d", "b\nd"), ("<div style='display:none'>a<b style='display:block;visibility:visible'>b</b></div>d", "d"),
+    ("<style>.x{display:none} #y{visibility:hidden} p.z{color:red;display:none}</style><b class='w x'>a</b><b id=y>b</b><b class=z>c</b><p class=z>d</p>", "c"),
+    ("<style media=print>b{display:none}</style><style>@media print{i{display:none}} @media screen{u{display:none}} /* b{display:none} */ div b{display:none}</style><b>a</b><i>b</i><u>c</u>", "ab"),
+    ("<style>b{display:none} b.on{display:inline}</style><b>a</b><b class=on>b</b><b style='display:inline'>c</b>", "bc"), ("<textarea>a\n  b</textarea>c", "a\n  b\nc"),
+    ("<table><tr><td rowspan=2>AA<td>B<td>C<tr><td>D<td>E</table>", "AA  B  C\n    D  E"), ("<table><tr><td>a<td rowspan=0>b<tr><td>c<tr><td>d<td>e</table>", "a  b\nc\nd     e"),
+    ("<table><thead><tr><td rowspan=9>h<td>i</thead><tbody><tr><td>j<td>k</table>", "h  i\nj  k"), ("<ol><li value=7>a<li>b</ol>", "7. a\n8. b"),
+])
+def test_what_a_browser_shows(source, want):
+    assert html_text.extract(source) == want
+
+
+def test_long_cells_keep_the_columns():
+    words = " ".join(f"w{i}" for i in range(60))
+    got = html_text.extract(f"<table><tr><td>{words}<td>r1<tr><td>{'x' * 90}<td>r2<tr><td>c<td>r3</table>")
+    lines = got.split("\n")
+    at = {line.index(r) for r in ("r1", "r2", "r3") for line in lines if r in line.split()}
+    assert len(at) == 1 and "x" * 90 in lines and " ".join(got.replace("r1", "").replace("r2", "").replace("r3", "").split()) == f"{words} {'x' * 90} c"
+    assert len(html_text.extract("<table>" + f"<tr><td>{'y' * 5000}<td>z" * 500 + "</table>")) < 5200 * 500  # no padding by the longest word
+
+
+def _tree(rnd, depth, words, shown):
+    """Markup of a random tree; the words that are to be seen are appended in order."""
+    out = ""
+    for _ in range(rnd.randint(1, 4)):
+        r = rnd.random()
+        if r < 0.4 or depth > 12:
+            words.append(w := f"w{len(words)}q" if shown[0] and shown[1] else None)
+            out += f" {w or 'hidden'} "
+            continue
+        display, state, attribute = shown[0], shown[1], ""
+        k = rnd.random()
+        if k < 0.1:
+            display, attribute = False, rnd.choice([" hidden", " style='display : NONE'", " class='gone a'"])
+        elif k < 0.2:
+            state, attribute = False, " style='color:red; visibility:hidden'"
+        elif k < 0.3:
+            state, attribute = True, rnd.choice([" style='visibility:visible'", " id=seen"])
+        tag = rnd.choice(["div", "span", "b", "section", "ul", "blockquote", "article"])
+        out += f"<{tag}{attribute}>{_tree(rnd, depth + 1, words, (display, state))}</{tag}>"
+    return out
+
+
+def test_random_trees_show_what_is_visible():
+    rnd = random.Random(12)
+    for _ in range(300):
+        words: list = []
+        body = _tree(rnd, 0, words, (True, True))
+        wrapped = "<u>" * 250 + body if rnd.random() < 0.2 else body
+        got = html_text.extract("<style>.gone{display:none}#seen{visibility:visible}</style>" + wrapped)
+        assert got.split() == [w for w in words if w], body
+
+
+def test_random_tables_keep_their_columns():
+    rnd = random.Random(13)
+    for _ in range(300):
+        rows, source = [], "<table>"
+        for r in range(rnd.randint(1, 6)):
+            source += "<tr>"
+            rows.append([])
+            for c in range(rnd.randint(0, 5)):
+                wide, down = (rnd.choice([1, 1, 1, 2, 3]) for _ in range(2))
+                rows[-1].append((f"r{r}c{c}" + "x" * rnd.randint(0, 9), wide, down))
+                source += f"<td colspan={wide} rowspan={down}>{rows[-1][-1][0]}"
+        used, begins = set(), {}
+        for r, cells in enumerate(rows):  # the grid, square by square
+            c = 0
+            for name, wide, down in cells:
+                while (r, c) in used:
+                    c += 1
+                begins[name] = (r, c)
+                used |= {(r + i, c + k) for i in range(down) for k in range(wide)}
+                c += wide
+        got = html_text.extract(source + "</table>").split("\n")
+        assert " ".join(got).split() == [n for cells in rows for n, *_ in cells]
+        at: dict = {}
+        for name, (_, c) in begins.items():
+            at.setdefault(c, set()).add(next(line.index(name) for line in got if name in line.split()))
+        assert all(len(x) == 1 for x in at.values()), (source, got)
+        assert [min(at[c]) for c in sorted(at)] == sorted(min(at[c]) for c in at)
+
+
+def test_pages_through_spark(spark):
+    html = "<p>one<table><tr><td>a<td>b</table>"
+    rows = [(1, html, "x"), (1, html, "x"), (None, html, None), (2, None, None), (3, "", None), (4, "<b>" + "long text " * 60_000, None)]
+    df = spark.createDataFrame(rows, "page_id long, html string, text string").withColumnRenamed("text", "n_chars")
+    got = Counter((r.page_id, r.text) for r in html_text.extract_pages(df).collect())
+    assert got == Counter((i, html_text.extract(h)) for i, h, _ in rows) and len(max((t for _, t in got), key=len)) == len("long text " * 60_000) - 1
+
+
+def test_rendering_takes_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        html_text.extract("<p><table><tr><td>" + "<span>" * n + "<div>x" * n + "<b class=k>" * n)
+        return time.perf_counter() - began
+
+    assert seconds(8000) < 20 * max(seconds(2000), 0.01)
+
+
 def test_near_vectors_against_all_pairs(spark, monkeypatch):
     rnd = np.random.default_rng(3)
     base = rnd.normal(size=(30, 8))
