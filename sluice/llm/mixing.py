@@ -96,7 +96,7 @@ def mix(
         F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"),
     )
     rows = keep(rows, "sizes")
-    parts = 1 << max(4, (rows.count() // PART).bit_length())
+    parts = 1 << max(8, (rows.count() // PART).bit_length())
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(parts)))
     goals = keep(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most), "targets")
     goals = goals.withColumn("blocks", F.expr(f"(source_size + {block - 1}) div {block}"))
