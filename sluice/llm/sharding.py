@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from sluice.tables import table
 
 MULTIPLIER = 2862933555777941757  # of the generator in the published algorithm
-STEPS = 256  # jumps grow as the logarithm of the count; a key that would need more raises an error
+STEPS = 256  # jumps grow as the logarithm of the count, twice 31 at most on average; a key that needs more is an error, not a guess
 
 
 def _next(key: Column) -> Column:
@@ -57,8 +57,8 @@ def jump(key: Column, shards: int) -> Column:
 def assign(docs: DataFrame, shards: int = 16, parts: int = 1024, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, size (UTF-8 bytes + 1), text_crc32, law = 'key', shard, slot, grown_shard.
 
-    Slots number a shard's rows from 0 without gaps, by (doc_id mod parts, doc_id, size, crc): each shard is numbered in
-    `parts` pieces, whose counts (shards * parts rows) give the first slot of each. A null text has size 1 and the CRC of
+    Slots number a shard's rows from 0 without gaps, by (hash mod parts, doc_id, size, crc): each shard is numbered in
+    `parts` pieces, dealt by a hash of all three, whose counts (shards * parts rows) give the first slot of each. A null text has size 1 and the CRC of
     the empty text. A null id hashes as 0 and comes first. Repeated rows get slots of their own."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     key = F.coalesce(F.col(id_col).cast("long"), F.lit(0).cast("long"))
@@ -66,9 +66,8 @@ def assign(docs: DataFrame, shards: int = 16, parts: int = 1024, id_col: str = "
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text).cast("long").alias("text_crc32"),
-        F.pmod(key, F.lit(parts)).alias("part"),
         jump(key, shards).alias("to"),
-    ).select("doc_id", "size", "text_crc32", "part", F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"))
+    ).select("doc_id", "size", "text_crc32", F.pmod(F.xxhash64("doc_id", "size", "text_crc32"), F.lit(parts)).alias("part"), F.col("to.shard").alias("shard"), F.col("to.grown").alias("grown_shard"))
     counts = rows.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first"))
