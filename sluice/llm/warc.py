@@ -18,12 +18,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from sluice.tables import fresh_path, keep, table
 
 REVISIT_FROM = 100  # payload bytes
-RECORDS_PER_FILE = 2000
+FILE_BYTES = 32 << 20  # a file ends with the record that reaches this
+MEMBER_BYTES = 1 << 30  # content of a gzip member that is unpacked; what is larger is quarantined
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compress(b"", 1, 31)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 _VERSION = re.compile(rb"WARC/1\.[01]\r\n")
+_HEAD_END = re.compile(rb"\r\n\r\n|WARC/1\.[01]\r\n")  # what comes first
 _START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
 _RECORDS = (
     "path string, gap boolean, start long, stop long, reason string, page_id long, url string, record_type string, "
@@ -54,18 +56,34 @@ def member(record: bytes) -> bytes:
     return packed if packed[-1] == 0 else packed + EMPTY_MEMBER
 
 
-def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True)
-        made = [member(record_bytes(p, u, html.encode(), d, r, v))[:-1] for p, u, html, d, r, v in rows]
-        yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["member"])
+def _members(file_bytes: int):
+    """The members of a file as one row, but for the last zero byte."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            rows = zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html", "digest", "refers_to", "revisit")), strict=True)
+            for p, u, html, d, r, v in rows:
+                held.append(member(record_bytes(p, u, html.encode(), d, r, v)))
+                size += len(held[-1])
+                if size >= file_bytes:
+                    yield file(held)
+                    held, size = [], 0
+        if held:
+            yield file(held)
+
+    def file(held: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1]], pa.binary())], ["member"])
+
+    return run
 
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url") -> None:
+def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html_col: str = "html", url_col: str = "url", file_bytes: int = FILE_BYTES) -> None:
     """Writes a record per row under `path`. Of equal payloads of at least REVISIT_FROM bytes the least id's row is the
     response and the others revisit it; rows that share that id are all responses; null ids revisit unless the whole
-    group is null. A null html is an empty payload. Spark's text sink ends each row with the zero byte that the member
-    lacks, so the files are plain concatenated members, in whatever store Spark writes to."""
+    group is null. A null html is an empty payload; repeated rows give a record each, an empty table an empty folder; long
+    pages are written whole, and files end by bytes. Further columns are ignored. Spark's text sink ends each row with the
+    zero byte that its last member lacks, so the files are plain concatenated members, in whatever store Spark writes to."""
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
     url = F.col(url_col).cast("string") if url_col in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), url.alias("url"), html.alias("html"), F.sha2(html, 256).alias("digest"))
@@ -77,19 +95,20 @@ def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", html_co
     marked = rows.join(groups.select("digest", "first"), "digest", "left")
     revisit = F.col("first").isNotNull() & ~F.col("first").eqNullSafe(F.col("page_id"))
     marked = marked.select("page_id", "url", "html", "digest", F.col("first").alias("refers_to"), revisit.alias("revisit"))
-    lines = marked.mapInArrow(_members, "member binary").select(F.col("member").cast("string").alias("value"))
-    lines.write.option("lineSep", "\u0000").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    lines = marked.mapInArrow(_members(file_bytes), "member binary").select(F.col("member").cast("string").alias("value"))
+    lines.write.option("lineSep", "\u0000").option("maxRecordsPerFile", 1).text(path)
 
 
 def _parse(data: bytes, at: int) -> tuple[dict, int]:
     """The record at this offset and where it ends; ValueError if a check fails."""
     if not re.match(rb"WARC/1\.[01]\r\n", data[at : at + 10]):
         raise ValueError("no version line")
-    body = data.find(b"\r\n\r\n", at)
-    if body < 0:
+    end = _HEAD_END.search(data, at + 8)
+    if not end:
         raise ValueError("header without an end")
-    if re.search(rb"WARC/1\.[01]\r\n", data[at + 10 : body]):
+    if end[0] != b"\r\n\r\n":
         raise ValueError("version line within a header")
+    body = end.start()
     lines = data[at:body].decode("utf-8", "replace").split("\r\n")[1:]
     head = {k.strip().lower(): v.strip() for k, sep, v in (x.partition(":") for x in lines) if sep}
     if not head.get("content-length", "").isdigit():
@@ -106,13 +125,16 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
 
 def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str]:
     """A gzip member's content, where it ends, and why it is broken, if it is: then the content is what could be unpacked."""
-    unpack, out, step = zlib.decompressobj(31), [], 8192
+    unpack, out, step, size = zlib.decompressobj(31), [], 8192, 0
     while not unpack.eof:
+        if size > MEMBER_BYTES:
+            return b"", at, "member too large"
         if at >= len(data):
             return b"".join(out), len(data), "member cut short"
         before = unpack.copy()
         try:
             out.append(unpack.decompress(data[at : at + step]))
+            size += len(out[-1])
         except zlib.error as e:
             for k in range(at, min(at + step, len(data))):
                 try:
@@ -218,14 +240,18 @@ def _salvaged(payloads: bool):
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """All records and gaps of the archives under `path`: rows with gap = true hold a quarantined byte range [start, stop)
-    of a file and the first failed check; the others a record. Files may hold plain records, members, or both."""
+    of a file and the first failed check; the others a record. Files may hold plain records, members, or both; each is read
+    whole by one task, so none may have more than 2 GiB. An empty folder gives an empty table."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_salvaged(payloads), _RECORDS)
 
 
 def op1_warc(spark, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "warc")
     write_archives(table(spark, sf_dir, "pages"), path)
-    return read_archives(spark, path, payloads=False).where("not gap").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = read_archives(spark, path, payloads=False)
+    lost = F.raise_error(F.concat(F.lit("a gap in an archive: "), F.col("reason"), F.lit(" in "), F.col("path")))  # these archives are whole
+    page = F.when(F.col("gap"), lost).otherwise(F.col("page_id"))
+    return rows.select(page.cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE = """
