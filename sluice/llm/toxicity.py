@@ -14,7 +14,8 @@ of a context's weight goes to its backoff beyond the discounts.
 
 A toxic text is taken as a mixture, as few of its words are: Q(w | v) = (1 - M) P_ordinary(w | v) + M P_toxic(w | v). A
 text's evidence is the mean over its words of log Q(w | v) - log P_ordinary(w | v), that is the difference of both
-length-normalised log-likelihoods. T, M and the order (2, or 1 for P_c(w) alone) are those of a fixed grid whose logistic
+length-normalised log-likelihoods. Words of which neither class has seen so much as
+the beginning are left at 0. T, M and the order (2, or 1 for P_c(w) alone) are those of a fixed grid whose logistic
 calibration fits best, on labelled rows that the counts do not hold.
 """
 
@@ -151,13 +152,15 @@ class Model:
         return Model(self.words, self.prefixes)
 
     def _alone(self, word: np.ndarray, prefix: np.ndarray, strength: float) -> list[np.ndarray]:
-        """P_c(w). Where neither class has seen a word or a beginning, its share stands as one in both, as it is alike."""
+        """P_c(w). Where neither class has seen a word, its share stands as one in both, as it is alike; a word of which they
+        have not seen the beginning either is one that the models do not tell about, and as likely in both."""
         own, begin = self.words.find(word), self.prefixes.find(prefix)
-        share, base = np.where(own[0] + own[1] > 0, own[2], 1.0), np.where(begin[0] + begin[1] > 0, begin[2], 1.0)
+        share, known = np.where(own[0] + own[1] > 0, own[2], 1.0), begin[0] + begin[1] > 0
         out = []
         for c, (tokens, types, begun) in enumerate(zip(self.tokens, self.types, self.begun, strict=True)):
-            p = (np.maximum(begin[c] - DISCOUNT, 0) + (DISCOUNT * begun + strength * types) * base) / ((1 + strength) * types)
-            out.append((np.maximum(own[c] - DISCOUNT, 0) + (DISCOUNT * types + strength * tokens) * p * share) / ((1 + strength) * tokens))
+            p = (np.maximum(begin[c] - DISCOUNT, 0) + (DISCOUNT * begun + strength * types) * begin[2]) / ((1 + strength) * types)
+            p = (np.maximum(own[c] - DISCOUNT, 0) + (DISCOUNT * types + strength * tokens) * p * share) / ((1 + strength) * tokens)
+            out.append(np.where(known, p, 1.0))
         return out
 
     def gains(self, cut: Cut, order: int, strength: float) -> np.ndarray:
@@ -171,7 +174,7 @@ class Model:
             for c in (0, 1):
                 n = np.maximum(context[c], 1)
                 after = (np.maximum(pair[c] - DISCOUNT, 0) + (DISCOUNT * context[2 + c] + strength * n) * alone[c]) / ((1 + strength) * n)
-                alone[c] = np.where(context[c] > 0, after, alone[c])
+                alone[c] = np.where((context[c] > 0) & (alone[c] < 1), after, alone[c])
         return (np.log(alone[1]) - np.log(alone[0]))[back]
 
     def evidence(self, texts: pa.Array, settings: Sequence[tuple[int, float, float]]) -> np.ndarray:
