@@ -43,10 +43,36 @@ def test_exact_groups(edge_docs, extra):
     assert exact_dedup.drop_copies(edge_docs[extra]).count() == len(texts)
 
 
-def test_directory_splits_only_overfull_buckets():
-    got = exact_dedup.build_directory({0: 5, 1: 1, 8: 3, 9: 3}, 4, depth=4)
-    assert got == [(0, 4), (1, 4), (2, 3), (4, 2), (8, 4), (9, 4), (10, 3), (12, 2)]
-    assert sum(1 << (4 - d) for _, d in got) == 16
+@pytest.mark.parametrize("capacity", [1, 3])
+def test_directory_splits_only_overfull_buckets(spark, capacity):
+    rnd = random.Random(9)
+    keys = sorted({rnd.getrandbits(64) for _ in range(40)} | {(7 << 60) + i for i in range(9)} | {(1 << 64) - 1, (1 << 64) - 2, 0})
+    inside = lambda bits, depth: [k for k in keys if k >> (64 - depth) == bits]
+    count = lambda halves: [len(inside(*b)) for b in halves]
+    want = exact_dedup.grow(count, len(keys), capacity)
+    assert sum(1 << (64 - d) for _, d in want) == 1 << 64  # the buckets cover all keys
+    for bits, depth in want:
+        assert len(inside(bits, depth)) <= capacity or depth == 64
+        assert depth == 0 or len(inside(bits >> 1, depth - 1)) > capacity  # no split without need
+    signed = [(k - (1 << 64) if k >> 63 else k,) for k in keys]
+    df = spark.createDataFrame(signed, "h long")
+    assert exact_dedup._directory(df, capacity) == want
+    starts = exact_dedup._starts(want)
+    for k, at in zip(keys, exact_dedup._bucket(starts, np.array(keys, np.uint64).view(np.int64)), strict=True):
+        assert k in inside(*want[at])
+
+
+def test_exact_groups_of_many_buckets(spark, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD", 100)
+    docs = [(i, f"text {i % 37}" if i % 3 else "hot") for i in range(400)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").withColumn("row", F.lit(1)).withColumn("id", F.lit(2))
+    got = exact_dedup.exact_groups(df, capacity=2).collect()
+    best, size = {}, Counter(t for _, t in docs)
+    for i, t in docs:
+        best[t] = max(best.get(t, -1), i)
+    assert Counter((r.doc_id, r.keep_id, r.group_size) for r in got) == Counter((i, best[t], size[t]) for i, t in docs)
+    kept = exact_dedup.drop_copies(df)
+    assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == set(best.values())
 
 
 def _fingerprint(text, width):

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 
 from llm_rows import SCHEMA, EDGES
-from sluice.llm import embedding_dedup, html_text, toxicity, warc
+from sluice.llm import embedding_dedup, html_text, simhash, toxicity, warc
 from sluice.tables import fresh_path
 
 DATA = "/root/testdata/sf0.001"
@@ -100,6 +100,35 @@ def test_salvage_within_a_member_of_many_records():
     assert got == [0, 1, 2, 3, 4, 5, 9] and gaps[-1][:2] == (0, len(data))
 
 
+def test_false_starts_take_time_in_proportion():
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        items = list(warc.salvage(b"WARC/1.1\r\n" * n + _record(1)))
+        assert len(items) == 2 and items[1][3]
+        return time.perf_counter() - began
+
+    assert seconds(32_000) < 20 * max(seconds(4_000), 0.01)
+
+
+def test_large_members_are_quarantined(monkeypatch):
+    monkeypatch.setattr(warc, "MEMBER_BYTES", 100_000)
+    data = warc.member(_record(1)) + gzip.compress(bytes(10_000_000)) + warc.member(_record(2))
+    items = list(warc.salvage(data))
+    assert [warc._page(h.get("warc-record-id")) for *_, h in items if h is not None] == [1, 2] and [why for *_, why, h in items if h is None] == ["member too large"]
+
+
+def test_files_end_by_bytes(spark):
+    pages = spark.createDataFrame([(i, os.urandom(400).hex(), "x", "y") for i in range(40)], "page_id long, html string, member string, gap string").coalesce(1)
+    path = fresh_path(spark, "warc-test")
+    warc.write_archives(pages, path, file_bytes=2000)
+    files = [f for f in os.listdir(path.removeprefix("file:")) if f.startswith("part-")]
+    assert len(files) > 5
+    got = warc.read_archives(spark, path).collect()
+    assert sorted(r.page_id for r in got) == list(range(40)) and not any(r.gap for r in got)
+
+
 @pytest.mark.parametrize(("source", "want"), [
     (None, ""), ("", ""), ("plain", "plain"), ("a<b>b</b> c", "ab c"), ("<p>one<p>two", "one\n\ntwo"), ("a<br>b", "a\nb"), ("<div>a</div><div>b</div>", "a\nb"), ("<script>x</script>a<style>y</style>", "a"),
     ("<p hidden>a</p><p style='display: none'>b</p>c", "c"), ("<!-- <p>x</p> -->y", "y"), ("&lt;&eacute;&#65;", "<éA"), ("<ul><li>a<li>b<ul><li>c</ul></ul>", "- a\n- b\n  - c"), ("<ol start=3><li>a<li>b</ol>", "3. a\n4. b"),
@@ -314,9 +343,11 @@ def _kneser_ney(texts, train, strength):
     known = {w for m in models for w in m[1]}
 
     def p(c, v, w, order):
+        if not any(x[:5] == w[:5] for x in known):
+            return 1.0  # neither model tells about it
         pair, before, after = models[c]
         begun = Counter(x[:5] for x in before)
-        share = types[w[:5]] / len(n) if any(x[:5] == w[:5] for x in known) else 1.0
+        share = types[w[:5]] / len(n)
         part = n[w] / n_p[w[:5]] if w in known else 1.0
         d, t = 0.75, strength
         base = (max(begun[w[:5]] - d, 0) + (d * len(begun) + t * len(before)) * share) / ((1 + t) * len(before))
@@ -368,25 +399,86 @@ def test_every_toxic_expression_counts_at_every_size(spark):
     assert (scorer.scores(pa.array(["wab " * 12 + x for x in rare])) > scorer.scores(pa.array(["wab " * 13]))[0]).all()
 
 
+def _stage_rows(extra="row"):
+    rnd = random.Random(21)
+    stock = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(300)]
+    rows = []
+    for i in range(120):
+        words = [rnd.choice(stock) for _ in range(rnd.randint(20, 60))]
+        if i % 4 == 0:
+            words[::7] = ["scurvy"] * len(words[::7])
+        text = rnd.choice([" ", "\n", "  "]).join(words)
+        rows.append((i, text, "en", "ab"[i % 2], len(text), 1))
+        if i % 5 == 1:
+            rows.append((1000 + i, text, "de", "b", len(text), 2))  # a copy
+        if i % 6 == 1:
+            words[len(words) // 2] = "other"
+            rows.append((2000 + i, " ".join(words), "en", None, 0, 3))  # a near copy
+    rows += [(3000, None, None, None, None, None), (3001, "", "en", "a", 0, 1), (None, "text without an id and some more words", "fr", "c", 1, 1)] + [(3002, "twice the same row of the table", "en", "a", 5, 1)] * 2
+    return rows, f"doc_id long, text string, lang string, source string, n_chars long, {extra} int"
+
+
+@pytest.mark.parametrize("extra", ["row", "_id", "_sha", "_hash", "_words", "_pieces", "_source", "key", "sha"])
+def test_pipeline_stages_against_brute_force(spark, extra, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline as cp
+    from sluice.llm import pieces
+
+    rows, schema = _stage_rows(extra)
+    docs = spark.createDataFrame(rows, schema)
+    if extra in ("row", "_id"):  # labels are read as a table
+        labels = [(i, 0, int(i % 4 == 0)) for i, *_ in rows if i is not None and i < 120]
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+        clean = cp.drop_toxic(spark, docs, str(tmp_path))
+        assert clean.columns == docs.columns
+        stay, left = Counter(r for r in rows if "scurvy" not in (r[1] or "")), Counter(map(tuple, clean.collect()))
+        assert not left - stay and (stay - left).total() <= 2  # few rows to learn from
+        assert cp.drop_toxic(spark, docs.limit(0), str(tmp_path)).count() == 0
+    rows = [r for r in rows if "scurvy" not in (r[1] or "")]
+    docs = spark.createDataFrame(rows, schema)
+    once = cp.drop_copies(spark, docs, "")
+    best = {}
+    for i, t, *_ in rows:
+        best[t or ""] = max([i, best.get(t or "")], key=lambda x: (x is not None, x))
+    got = once.collect()
+    assert once.columns == docs.columns and Counter((r.doc_id, r.text or "") for r in got) == Counter((i, t) for t, i in best.items()) and {tuple(r) for r in got} <= set(rows)
+    rows = [tuple(r) for r in got]
+    docs = spark.createDataFrame(rows, schema)
+    near = cp.drop_near_copies(spark, docs, "")
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := (t or "").lower().split()) else set() for i, t, *_ in rows}
+    fps = {i: simhash.fingerprint(t, 5) for i, t, *_ in rows}
+    label = {i: i for i in sets}
+    low = lambda *x: min(x, key=lambda v: (v is None, v))
+    linked = lambda a, b: (fps[a] ^ fps[b]).bit_count() <= 7 and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    while (new := {a: low(label[a], *(label[b] for b in sets if b != a and linked(a, b))) for a in sets}) != label:
+        label = new
+    got = near.collect()
+    assert near.columns == docs.columns and {tuple(r) for r in got} == {r for r in rows if label[r[0]] == r[0]} and len(got) < len(rows)
+    rows = [tuple(r) for r in got]
+    docs = spark.createDataFrame(rows, schema)
+    mixed = cp.mix_sources(spark, docs, "")
+    assert mixed.columns == docs.columns
+    whole, got = {r[0]: r for r in rows}, mixed.collect()
+    for r in got:
+        was = whole[r.doc_id]
+        assert (r.lang, r.source, r[5]) == (was[2], was[3], was[5]) and r.n_chars == len(r.text) and r.text.split() and len(r.text) <= len(was[1])
+    assert max(Counter(r.doc_id for r in got).values()) <= 3 and any(r.text == whole[r.doc_id][1] for r in got)
+    library = sentencepiece.SentencePieceProcessor(model_file=pieces.default_model())
+    out = cp.encode_pieces(spark, spark.createDataFrame([tuple(r) for r in got], schema), "")
+    assert Counter((r.doc_id, r.n_tokens) for r in out.collect()) == Counter((r.doc_id, len(library.encode(r.text))) for r in got)
+    for stage in (cp.drop_copies, cp.drop_near_copies, cp.mix_sources, cp.encode_pieces):
+        assert stage(spark, docs.limit(0), "").count() == 0
+
+
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
-def test_pipeline_against_its_stages(spark):
+def test_pipeline_runs_its_stages(spark):
     import corpus_pipeline as cp
-    from sluice.llm import exact_dedup, mixing, pieces, simhash
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    score = {r.doc_id: r.predicted for r in toxicity.score(docs, spark.read.parquet(f"{DATA}/labels.parquet")).collect()}
-    clean = {r.doc_id: r.text for r in docs.collect() if not score[r.doc_id]}
-    best = {t: max(i for i, x in clean.items() if x == t) for t in clean.values()}
-    fp = {i: simhash.fingerprint(t, 5) for t, i in best.items()}
-    label = {i: i for i in fp}
-    near = {a: [b for b in fp if (fp[a] ^ fp[b]).bit_count() <= cp.NEAR_BITS] for a in fp}
-    while (new := {a: min(label[b] for b in near[a]) for a in fp}) != label:
-        label = new
-    kept = {i for i in label if label[i] == i}
-    left = docs.where(docs.doc_id.isin(sorted(kept)))
-    mixed = {r.doc_id: r.text for r in mixing.mixed_documents(left).collect()}
-    model = pieces.load(pieces.default_model())
-    got = {r.doc_id: r.n_tokens for r in cp.run(spark, DATA).collect()}
-    assert got == {i: len(model.encode(t)) for i, t in mixed.items()}
     assert [n for n, _ in cp.STAGES] == ["toxicity", "exact dedup", "SimHash near-dedup", "mixing sources", "SentencePiece"]
-    assert exact_dedup.drop_copies(docs).columns == docs.columns
+    for _, stage in cp.STAGES:
+        before, docs = docs.columns, stage(spark, docs, DATA)
+        docs = spark.createDataFrame(docs.collect(), docs.schema)
+        assert docs.columns == before or stage is cp.STAGES[-1][1]
+    assert Counter(map(tuple, cp.run(spark, DATA).collect())) == Counter(map(tuple, docs.collect()))
