@@ -93,6 +93,11 @@ def truncate_utf8(text: Column, most: int = 256) -> Column:
     return F.when(F.octet_length(text) <= most, text).otherwise(head.cast("string"))
 
 
+def truncated_utf8(text: Column, most: int = 256) -> Column:
+    """FN-9. struct<text, truncated>: the prefix of truncate_utf8, and whether something was cut off."""
+    return F.struct(truncate_utf8(text, most).alias("text"), (F.octet_length(text) > most).alias("truncated"))
+
+
 def one_line(text: Column, most: int = 512) -> Column:
     """Control characters and line separators become spaces; cut to `most` characters with an ellipsis."""
     flat = F.regexp_replace(text, r"[\x00-\x1F\x7F-\x9F\x{2028}\x{2029}]", " ")

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-import difflib
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
@@ -45,31 +44,84 @@ def snapshot_diff(base: DataFrame, head: DataFrame, keys: Sequence[str] = ()) ->
     return both.unionByName(moved)
 
 
+def _middle(a: list[int], b: list[int]) -> tuple[int, int]:
+    """A point in the middle of a shortest edit script, met by two greedy searches from both ends, in linear space."""
+    n, m = len(a), len(b)
+    delta, most = n - m, (n + m + 1) // 2
+    forth, back = {1: 0}, {1: 0}
+    for d in range(most + 1):
+        for k in range(-d, d + 1, 2):
+            if k < -m or k > n:
+                continue
+            x = forth[k + 1] if k == -d or (k != d and forth.get(k - 1, -1) < forth.get(k + 1, -1)) else forth.get(k - 1, -1) + 1
+            if k != -d and x < forth.get(k - 1, -1) + 1:
+                x = forth[k - 1] + 1
+            while 0 <= x < n and 0 <= x - k < m and a[x] == b[x - k]:
+                x += 1
+            forth[k] = x
+            if delta % 2 and abs(delta - k) < d and x + back.get(delta - k, -1) >= n:
+                return x, x - k
+        for k in range(-d, d + 1, 2):
+            if k < -m or k > n:
+                continue
+            x = back[k + 1] if k == -d or (k != d and back.get(k - 1, -1) < back.get(k + 1, -1)) else back.get(k - 1, -1) + 1
+            while 0 <= x < n and 0 <= x - k < m and a[n - 1 - x] == b[m - 1 - (x - k)]:
+                x += 1
+            back[k] = x
+            if not delta % 2 and abs(delta - k) <= d and x + forth.get(delta - k, -1) >= n:
+                return n - x, m - (x - k)
+    return n, m
+
+
+def edits(old: list, new: list) -> tuple[list[int], list[int]]:
+    """Places removed from old and added to new by a shortest edit script. What stands on one side only is set aside first."""
+    both = set(old) & set(new)
+    left, right = [i for i, x in enumerate(old) if x in both], [i for i, x in enumerate(new) if x in both]
+    names = {x: i for i, x in enumerate(both)}
+    a, b = [names[old[i]] for i in left], [names[new[i]] for i in right]
+    gone, fresh, boxes = set(range(len(old))) - set(left), set(range(len(new))) - set(right), [(0, len(a), 0, len(b))]
+    while boxes:
+        i, j, m, n = boxes.pop()
+        while i < j and m < n and a[i] == b[m]:
+            i, m = i + 1, m + 1
+        while i < j and m < n and a[j - 1] == b[n - 1]:
+            j, n = j - 1, n - 1
+        if i == j or m == n:
+            gone.update(left[i:j])
+            fresh.update(right[m:n])
+            continue
+        x, y = _middle(a[i:j], b[m:n])
+        if (x, y) in ((0, 0), (j - i, n - m)):  # nothing in common
+            gone.update(left[i:j])
+            fresh.update(right[m:n])
+        else:
+            boxes += [(i, i + x, m, m + y), (i + x, j, m + y, n)]
+    return sorted(gone), sorted(fresh)
+
+
 def line_diff(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """DIF-2. pairs (keys, path, old, new) -> keys, path, op (added, removed), line_no. Files with a NUL byte have none.
 
-    Longest matching blocks by difflib without its junk heuristics; among equally long alignments another program may pick
-    other equal lines, but each result turns the old text into the new one."""
+    Lines end with \\n, \\r\\n or \\r and are compared with their ends, so a last line that gets an end is another line. The
+    shortest edit script is found by greedy search from both ends, in linear space: time grows with the length times the
+    number of edits. Only changed files are cut into lines; each is one task's work, as its edits depend on one another."""
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in [*keys, "path"]) + ", op string, line_no int"
+    lead = [*keys, "path"]
 
-    def cut(t: str) -> list[str]:
-        t = t[:-1] if t.endswith("\n") else t
-        return [x.removesuffix("\r") for x in t.split("\n")] if t else []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.itertuples(index=False):
-                if "\0" in (row.old or "") or "\0" in (row.new or ""):
-                    continue
-                old, new = cut(row.old or ""), cut(row.new or "")
-                lead = tuple(getattr(row, k) for k in [*keys, "path"])
-                for tag, i, j, m, n in difflib.SequenceMatcher(None, old, new, autojunk=False).get_opcodes():
-                    if tag != "equal":
-                        out += [(*lead, "removed", x + 1) for x in range(i, j)] + [(*lead, "added", x + 1) for x in range(m, n)]
-            yield pd.DataFrame(out, columns=[*keys, "path", "op", "line_no"])
-
-    return pairs.select(*keys, "path", "old", "new").mapInPandas(run, schema)
+            rows, ops, numbers = [], [], []
+            for i, (old, new) in enumerate(zip(b.column("_old").to_pylist(), b.column("_new").to_pylist(), strict=True)):
+                gone, fresh = edits(old or [], new or [])
+                rows += [i] * (len(gone) + len(fresh))
+                ops += ["removed"] * len(gone) + ["added"] * len(fresh)
+                numbers += [x + 1 for x in (*gone, *fresh)]
+            taken = [b.column(c).take(pa.array(rows, pa.int64())) for c in lead]
+            yield pa.RecordBatch.from_arrays([*taken, pa.array(ops, pa.string()), pa.array(numbers, pa.int32())], [*lead, "op", "line_no"])
+
+    cut = lambda c: F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[^\r\n]*(?:\r\n|\r|\n)|[^\r\n]+"), F.lit(0))
+    changed = pairs.where(~F.col("old").eqNullSafe(F.col("new")) & ~F.coalesce(F.col("old").contains("\0"), F.lit(False)) & ~F.coalesce(F.col("new").contains("\0"), F.lit(False)))
+    return changed.select(*lead, cut(F.col("old")).alias("_old"), cut(F.col("new")).alias("_new")).mapInArrow(run, schema)
 
 
 def tree_digest(files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

@@ -110,9 +110,10 @@ def oversized_files(added: DataFrame, limit: int = 1_048_576, allow: list[str] |
 
 def pattern_findings(lines: DataFrame, kind: str | None = None, rules: list | None = None) -> DataFrame:
     """FLT-10, FLT-11. lines (.., path, language, line_no, text) -> one row per (line, rule, pattern), all rules in one scan.
-    source-pattern rules expect added lines, file-pattern rules the lines of added files; a pattern given twice counts once."""
+    source-pattern rules expect added lines, file-pattern rules the lines of added files; a pattern given twice counts once.
+    rules None are all rules; of an empty list, or a kind that no rule has, there are no findings."""
     hits = []
-    for rule, of, severity, required, paths, patterns in rules or PATTERN_RULES:
+    for rule, of, severity, required, paths, patterns in PATTERN_RULES if rules is None else rules:
         if kind and of != kind:
             continue
         for lang, several in patterns.items():
@@ -120,7 +121,8 @@ def pattern_findings(lines: DataFrame, kind: str | None = None, rules: list | No
                 applies = F.col("text").rlike(pattern) & T.any_glob(F.col("path"), paths)
                 applies = applies if lang == "all" else (F.col("language") == lang) & applies
                 hits.append(F.when(applies, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(required).alias("required"), F.lit(number).alias("pattern"))))
-    rows = lines.withColumn("_hit", F.explode(F.filter(F.array(*hits), lambda h: h.isNotNull())))
+    none = F.array().cast("array<struct<rule: string, severity: string, required: boolean, pattern: int>>")
+    rows = lines.withColumn("_hit", F.explode(F.filter(F.array(*hits) if hits else none, lambda h: h.isNotNull())))
     return rows.select(*lines.columns, "_hit.*")
 
 
@@ -236,13 +238,14 @@ def triggered(checks: DataFrame, changes: DataFrame, keys: Sequence[str] = ()) -
     keys, id, evidence (least path): a change fits an input, or a path and the language. The checks are few and rule data;
     each change is tested against them in its own row, without a join."""
     # the pattern side is the policy's rules, read in the driver and compiled to literals
-    out = None
-    for c in checks.collect():
+    out = []
+    for c in checks.select("id", "paths", "inputs", "languages").collect():
         fits = lambda xs, empty: F.col("path").rlike("|".join(f"(?:{x})" for x in xs)) if xs else F.lit(empty)
         lang = F.col("language").isin(list(c["languages"])) if c["languages"] else F.lit(True)
         hit = F.when(fits(c["inputs"], False) | fits(c["paths"], not c["inputs"]) & lang, F.lit(c["id"]))
-        out = [*(out or []), hit]
-    rows = changes.withColumn("id", F.explode(F.filter(F.array(*out), lambda x: x.isNotNull())))
+        out.append(hit)
+    none = F.array().cast(f"array<{checks.schema['id'].dataType.simpleString()}>")
+    rows = changes.withColumn("id", F.explode(F.filter(F.array(*out) if out else none, lambda x: x.isNotNull())))
     return rows.groupBy(*keys, "id").agg(F.min("path").alias("evidence"), F.count(F.lit(1)).alias("changes"))
 
 

@@ -7,17 +7,25 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 BUCKET = 64  # lines: a range is filed under each bucket it touches, so that range joins are equality joins
-
-
-def _bucketed(ranges: DataFrame, start: str, end: str) -> DataFrame:
-    return ranges.withColumn("_bucket", F.explode(F.sequence((F.col(start) / BUCKET).cast("int"), (F.col(end) / BUCKET).cast("int"))))
+LEVELS = 5  # buckets of 64, 64**2 .. 64**5 lines: a range takes those that it touches 65 of at most
 
 
 def range_overlap(ranges: DataFrame, lines: DataFrame, keys: Sequence[str], start: str = "start_line", end: str = "end_line", line: str = "line_no") -> DataFrame:
-    """JOIN-2. Rows of `ranges` whose inclusive range holds one of the lines of the same keys."""
-    l = lines.select(*keys, F.col(line).alias("_line"), (F.col(line) / BUCKET).cast("int").alias("_bucket")).distinct()
+    """JOIN-2. Rows of `ranges` whose inclusive range holds one of the lines of the same keys. A range that ends before it
+    starts, or lacks an end, holds none. However long it is, a range becomes 65 rows at most: long ones are filed under larger
+    buckets, and lines under the sizes that occur, which is one number that the driver asks for."""
+    a, z = F.col(start).cast("long"), F.col(end).cast("long")
     ranges = ranges.withColumn("_row", F.monotonically_increasing_id())
-    hit = _bucketed(ranges, start, end).join(l, [*keys, "_bucket"]).where((F.col("_line") >= F.col(start)) & (F.col("_line") <= F.col(end)))
+    level = F.lit(LEVELS - 1)
+    for n in range(LEVELS - 2, -1, -1):
+        level = F.when(z - a < BUCKET ** (n + 2), n).otherwise(level)
+    sound = ranges.where(a <= z).withColumn("_level", level)
+    highest = sound.agg(F.max("_level")).first()[0] or 0
+    width = F.pow(F.lit(BUCKET), F.col("_level") + 1).cast("long")
+    filed = sound.withColumn("_bucket", F.explode(F.sequence(F.floor(a / width), F.floor(z / width))))
+    l = lines.select(*keys, F.col(line).cast("long").alias("_line")).distinct().withColumn("_level", F.explode(F.array(*[F.lit(n) for n in range(highest + 1)])))
+    l = l.withColumn("_bucket", F.floor(F.col("_line") / width))
+    hit = filed.join(l, [*keys, "_level", "_bucket"]).where((F.col("_line") >= a) & (F.col("_line") <= z))
     return hit.dropDuplicates(["_row"]).select(*[c for c in ranges.columns if c != "_row"])
 
 
@@ -176,11 +184,14 @@ def clause_status(clauses: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def obligation_conflicts(obligations: DataFrame, most: int = 128) -> DataFrame:
-    """JOIN-18. must against must_not of the same trimmed text; a report of the first `most` pairs by id."""
+    """JOIN-18. must against must_not of the same trimmed text; a report of the first `most` pairs by id, each with the number
+    of all conflicts, which is counted by text without making the pairs."""
     t = obligations.withColumn("_t", F.trim("text"))
     a = t.where("modality = 'must'").select("_t", F.col("id").alias("must"))
     b = t.where("modality = 'must_not'").select("_t", F.col("id").alias("must_not"))
-    return a.join(b, "_t").select("must", "must_not", F.col("_t").alias("text")).orderBy("must", "must_not").limit(most)
+    n = a.groupBy("_t").agg(F.count(F.lit(1)).alias("_a")).join(b.groupBy("_t").agg(F.count(F.lit(1)).alias("_b")), "_t")
+    total = n.agg(F.coalesce(F.sum(F.col("_a") * F.col("_b")), F.lit(0)).alias("conflicts"))  # one row
+    return a.join(b, "_t").select("must", "must_not", F.col("_t").alias("text")).orderBy("must", "must_not").limit(most).join(F.broadcast(total))
 
 
 def obligation_status(obligations: DataFrame, sources: DataFrame, adoptions: DataFrame, checks: DataFrame) -> DataFrame:

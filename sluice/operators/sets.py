@@ -19,9 +19,13 @@ def difference(expected: DataFrame, observed: DataFrame) -> DataFrame:
 
 
 def subset(left: DataFrame, right: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """SET-3. One row: how many distinct left rows lack in right, and whether none does."""
-    lost = left.distinct().join(right.select(*left.columns).distinct(), left.columns, "left_anti")
-    return lost.groupBy(*keys).agg(F.count(F.lit(1)).alias("lacking"), (F.count(F.lit(1)) == 0).alias("subset"))
+    """SET-3. One row, or one for each of left's keys: how many distinct left rows lack in right, and whether none does. Nulls
+    are equal."""
+    mine, theirs = left.distinct().alias("a"), right.select(*left.columns).distinct().withColumn("_there", F.lit(True)).alias("b")
+    same = reduce(lambda x, y: x & y, [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in left.columns])
+    lacks = F.count_if(F.col("_there").isNull())
+    rows = mine.join(theirs, same, "left").select(*[F.col(f"a.{k}") for k in keys], "_there")
+    return rows.groupBy(*keys).agg(lacks.alias("lacking"), (lacks == 0).alias("subset"))
 
 
 def equal(left: DataFrame, right: DataFrame) -> DataFrame:

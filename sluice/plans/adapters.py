@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import text as T
 from sluice.operators import diff, gates
+from sluice.tables import keep
 
 Facts = Callable[[SparkSession, str], DataFrame]
 
@@ -45,12 +46,14 @@ def head_lines(spark, d):
 
 
 def added_lines(spark, d):
-    """All lines of added files and the last line of modified ones: exact here, as the edit is an appended line."""
+    """All lines of added files, and those of modified ones that the line diff finds."""
     kinds = changes(spark, d).where("kind in ('added', 'modified')").select("path", "kind")
-    files = head_files(spark, d).join(kinds, "path")
-    n = T.lines(F.col("content"))
-    rows = files.select("path", "kind", F.size(n).alias("of"), F.posexplode(n).alias("n", "text"))
-    return rows.where("kind = 'added' or n + 1 = of").select("path", "kind", (F.col("n") + 1).alias("line_no"), "text")
+    files = keep(head_files(spark, d).join(kinds, "path"), "changed")
+    old = base_files(spark, d).select("path", F.col("content").alias("old"))
+    fresh = diff.line_diff(files.where("kind = 'modified'").select("path", F.col("content").alias("new")).join(old, "path")).where("op = 'added'").select("path", "line_no")
+    added, edited = (numbered(files.where(F.col("kind") == k)) for k in ("added", "modified"))
+    edited = edited.join(fresh, ["path", "line_no"])
+    return added.withColumn("kind", F.lit("added")).unionByName(edited.withColumn("kind", F.lit("modified"))).select("path", "kind", "line_no", "text")
 
 
 def issues(spark, d):
@@ -163,7 +166,7 @@ CTE: dict[str, str] = {
     "FROM gone g FULL JOIN fresh f ON g.was = f.now AND g.n = f.n",
     "lined": f"SELECT path, {_LINES} AS l FROM head",
     "head_lines": "SELECT path, unnest(l) AS text, generate_subscripts(l, 1) AS line_no, len(l) AS of FROM lined",
-    "added_lines": "SELECT h.path, c.kind, h.line_no, h.text FROM head_lines h JOIN changes c ON c.path = h.path WHERE c.kind = 'added' OR c.kind = 'modified' AND h.line_no = h.of",
+    "added_lines": "SELECT h.path, c.kind, h.line_no, h.text FROM head_lines h JOIN changes c ON c.path = h.path WHERE c.kind = 'added' OR c.kind = 'modified' AND h.line_no >= h.of - 1",
     "issues": "SELECT CASE WHEN event_id * 2 <= (SELECT max(event_id) FROM events) THEN 'base' ELSE 'head' END AS side, event_id, "
     "nullif(event_type, 'view') AS tool, 'r' || (user_id % 7) AS rule, CAST(user_id AS VARCHAR) AS file FROM events",
     "counts_b": "SELECT tool, rule, count(*) AS n FROM issues WHERE side = 'base' GROUP BY ALL",

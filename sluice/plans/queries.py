@@ -332,7 +332,8 @@ def dif1(spark, d):
     return A.changes(spark, d)
 
 
-@query("dif2_line_diff", "SELECT path, 'added' AS op, count(*) AS n FROM added_lines WHERE kind = 'modified' GROUP BY path")
+# a last line without an end gets one, so it is another line
+@query("dif2_line_diff", "SELECT path, 'added' AS op, count(*) AS n FROM added_lines WHERE kind = 'modified' GROUP BY path UNION ALL SELECT path, 'removed' AS op, 1 AS n FROM changes JOIN base USING (path) WHERE kind = 'modified' AND content <> '' AND NOT suffix(content, chr(10))")
 def dif2(spark, d):
     pairs = A.changes(spark, d).where("kind = 'modified'").select("path")
     old = A.base_files(spark, d).select("path", F.col("content").alias("old"))
@@ -340,6 +341,30 @@ def dif2(spark, d):
     return diff.line_diff(pairs.join(old, "path").join(new, "path")).groupBy("path", "op").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    "dif2_edited_lines",
+    r"SELECT path, op, line_no FROM (WITH l AS (SELECT doc_id, unnest(range(1, len(a) + 1)) AS k, len(a) AS n FROM (SELECT doc_id, CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n') END AS a FROM documents)), "
+    "new AS (SELECT doc_id, k, 0 AS sub, k % 11 = 5 AS fresh FROM l WHERE k % 7 <> 3 AND NOT (k = 1 AND n >= 4) UNION ALL SELECT doc_id, k, 1, true FROM l WHERE k % 7 <> 3 AND k % 13 = 4 "
+    "UNION ALL SELECT doc_id, n + 1, 0, true FROM l WHERE k = 1 AND n >= 4) "
+    "SELECT CAST(doc_id AS VARCHAR) AS path, 'removed' AS op, k AS line_no FROM l WHERE k % 7 = 3 OR k % 11 = 5 OR (k = 1 AND n >= 4) "
+    "UNION ALL SELECT CAST(doc_id AS VARCHAR), 'added', line_no FROM (SELECT doc_id, fresh, row_number() OVER (PARTITION BY doc_id ORDER BY k, sub) AS line_no FROM new) WHERE fresh)",
+)
+def dif2_edits(spark, d):
+    """Every document against itself with lines deleted, edited, inserted and the first one moved to the end."""
+    docs = table(spark, d, "documents").where("text is not null").select(F.col("doc_id").cast("string").alias("path"), T.lines(F.col("text")).alias("l"))
+    old = F.transform("l", lambda x, i: F.concat((i + 1).cast("string"), F.lit(":"), F.regexp_replace(x, "\r", "")))
+
+    def edited(x, i):
+        k, none = i + 1, F.array().cast("array<string>")
+        line = F.array(F.when(k % 11 == 5, F.concat(x, F.lit(" edited"))).otherwise(x))
+        return F.when(k % 7 == 3, none).otherwise(F.concat(line, F.when(k % 13 == 4, F.array(F.concat(F.lit("new "), k.cast("string")))).otherwise(none)))
+
+    docs = docs.withColumn("old", old).withColumn("new", F.flatten(F.transform("old", edited)))
+    moved = F.when(F.size("l") >= 4, F.concat(F.slice("new", 2, F.size("new")), F.slice("new", 1, 1))).otherwise(F.col("new"))
+    ended = lambda a: F.array_join(F.transform(a, lambda x: F.concat(x, F.lit("\n"))), "")
+    return diff.line_diff(docs.select("path", ended(F.col("old")).alias("old"), ended(moved).alias("new")))
+
+
 @query(
     "dif3_tree_digest",
     "SELECT sum(n) AS files, 'sha256:' || sha256(string_agg(leaf, ',' ORDER BY part)) AS digest FROM (SELECT substr(sha256(path), 1, 3) AS part, count(*) AS n, sha256(string_agg(leaf, ',' ORDER BY path)) AS leaf FROM "
@@ -524,10 +549,10 @@ def join17(spark, d):
     return scope.clause_status(clauses, table(spark, d, "orders").select((F.col("o_orderkey") % 4001).alias("check"), s.alias("status")))
 
 
-@query("join18_obligation_conflicts", "SELECT a.p_partkey AS must, b.p_partkey AS must_not FROM part a JOIN part b ON trim(a.p_name) = trim(b.p_name) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 ORDER BY must, must_not LIMIT 128")
+@query("join18_obligation_conflicts", "SELECT a.p_partkey AS must, b.p_partkey AS must_not, count(*) OVER () AS conflicts FROM part a JOIN part b ON trim(a.p_name) = trim(b.p_name) WHERE a.p_partkey % 2 = 0 AND b.p_partkey % 2 = 1 ORDER BY must, must_not LIMIT 128")
 def join18(spark, d):
     p = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") % 2 == 0, "must").otherwise("must_not").alias("modality"), F.concat(F.lit(" "), "p_name").alias("text"))
-    return scope.obligation_conflicts(p).select("must", "must_not")
+    return scope.obligation_conflicts(p).select("must", "must_not", "conflicts")
 
 
 @query("join19_obligation_status", "SELECT o_orderkey AS id, CASE WHEN o_custkey % 5 = 0 THEN 'source_invalid' WHEN o_orderkey % 3 = 0 THEN 'unadopted' WHEN o_orderkey % 7 = 0 THEN 'stale' WHEN o_orderpriority = '5-LOW' THEN 'unavailable' ELSE 'ready' END AS status FROM orders")

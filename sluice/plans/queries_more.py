@@ -91,7 +91,13 @@ def win6(spark, d):
     return windows.output_budget(docs, F.octet_length("text"), ["source"], ["doc_id"], 8, 20_000).select("source", "doc_id", "complete")
 
 
-@query("win7_greedy_fit")
+@query(
+    "win7_greedy_fit",
+    "SELECT source, used, kept, places FROM (WITH RECURSIVE r AS (SELECT source, octet_length(encode(text)) AS size, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents), "
+    "f AS (SELECT source, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept, '' AS places FROM (SELECT DISTINCT source FROM r) UNION ALL "
+    "SELECT f.source, r.n, f.used + CASE WHEN f.used + r.size <= 10000 THEN r.size ELSE 0 END, f.kept + CASE WHEN f.used + r.size <= 10000 THEN 1 ELSE 0 END, f.places || CASE WHEN f.used + r.size <= 10000 THEN CASE WHEN f.kept > 0 THEN ',' ELSE '' END || r.n ELSE '' END "
+    "FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source AND r.n = f.n + 1) SELECT source, arg_max(used, n) AS used, arg_max(kept, n) AS kept, arg_max(places, n) AS places FROM f GROUP BY source)",
+)
 def win7(spark, d):
     docs = table(spark, d, "documents").withColumn("bytes", F.octet_length("text"))
     return windows.greedy_fit(docs, "bytes", ["source"], ["doc_id"], 10_000)
@@ -291,11 +297,11 @@ def fn8(spark, d):
 
 @query(
     "fn9_truncate",
-    "SELECT doc_id, n, octet_length(encode(left(text, n))) AS bytes FROM (SELECT doc_id, text, (SELECT max(k) FROM range(0, 257) r(k) WHERE k <= length(text) AND octet_length(encode(left(text, k))) <= 256) AS n FROM documents)",
+    "SELECT doc_id, n, octet_length(encode(left(text, n))) AS bytes, octet_length(encode(text)) > 256 AS truncated FROM (SELECT doc_id, text, (SELECT max(k) FROM range(0, 257) r(k) WHERE k <= length(text) AND octet_length(encode(left(text, k))) <= 256) AS n FROM documents)",
 )
 def fn9(spark, d):
-    t = T.truncate_utf8(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.length(t).alias("n"), F.octet_length(t).alias("bytes"))
+    t = T.truncated_utf8(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.length(t["text"]).alias("n"), F.octet_length(t["text"]).alias("bytes"), t["truncated"].alias("truncated"))
 
 
 @query("fn10_one_line", r"SELECT doc_id, length(t) AS n, sha256(CASE WHEN length(t) > 512 THEN left(t, 512) || '…' ELSE t END) AS digest FROM (SELECT doc_id, regexp_replace(text, '[\x00-\x1F\x7F-\x{9F}\x{2028}\x{2029}]', ' ', 'g') AS t FROM documents)")

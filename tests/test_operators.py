@@ -1,3 +1,4 @@
+import random
 from decimal import Decimal
 
 import pytest
@@ -29,6 +30,53 @@ def test_snapshot_diff_of_nothing(spark):
     assert diff.snapshot_diff(empty, empty, ["repo"]).count() == 0
 
 
+def test_shortest_edits():
+    rnd = random.Random(3)
+    for _ in range(2000):
+        k = rnd.choice([1, 2, 3, 8])
+        a, b = ([rnd.randrange(k) for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        gone, fresh = diff.edits(a, b)
+        left = [x for i, x in enumerate(a) if i not in gone]
+        assert left == [x for i, x in enumerate(b) if i not in fresh]
+        t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                t[i + 1][j + 1] = t[i][j] + 1 if x == y else max(t[i][j + 1], t[i + 1][j])
+        assert len(left) == t[-1][-1]
+    many = [f"line {i}" for i in range(60_000)]
+    assert diff.edits(many, [x for i, x in enumerate(many) if i % 1000] + ["end"]) == (list(range(0, 60_000, 1000)), [60_000 - 60])
+    assert diff.edits(many, [x + "!" for x in many]) == (list(range(60_000)), list(range(60_000)))
+
+
+def test_line_ends_are_part_of_lines(spark):
+    pairs = df(spark, [("a", "x", "x\n"), ("b", "x\r\ny\n", "x\ny\n"), ("c", "x\ry", "x\rz\ry"), ("d", "", None)], "path string, old string, new string")
+    assert rows(diff.line_diff(pairs), "path", "op", "line_no") == sorted([("a", "removed", 1), ("a", "added", 1), ("b", "removed", 1), ("b", "added", 1), ("c", "added", 2)], key=str)
+
+
+def test_rules_without_rows(spark):
+    lines = df(spark, [("a.py", "python", 1, "TODO eval(x)")], "path string, language string, line_no int, text string")
+    assert rules.pattern_findings(lines, rules=[]).count() == 0 and rules.pattern_findings(lines, kind="no such kind").count() == 0
+    none = df(spark, [], "id string, paths array<string>, inputs array<string>, languages array<string>")
+    assert rules.triggered(none, df(spark, [("a.py", "python")], "path string, language string")).count() == 0
+
+
+def test_subset_by_keys(spark):
+    left = df(spark, [("a", 1), ("a", 2), ("b", 1), (None, None)], "k string, v int")
+    right = df(spark, [("a", 1), ("b", 1), (None, None)], "k string, v int")
+    assert rows(sets.subset(left, right, ["k"]), "k", "lacking", "subset") == sorted([("a", 1, False), ("b", 0, True), (None, 0, True)], key=str)
+    assert rows(sets.subset(left, left), "lacking", "subset") == [(0, True)]
+
+
+def test_long_and_impossible_ranges(spark):
+    ranges = df(spark, [("p", "all", 0, 2**31 - 1), ("p", "one", 7, 7), ("p", "back", 9, 3), ("p", "open", 5, None), ("p", "mid", 5000, 90_000), ("q", "all", 0, 2**31 - 1)], "path string, id string, start_line int, end_line int")
+    lines = df(spark, [("p", 7), ("p", 80_000)], "path string, line_no int")
+    assert rows(scope.range_overlap(ranges, lines, ["path"]), "id") == [("all",), ("mid",), ("one",)]
+    spread = df(spark, [("p", str(a), a * 37, a * 37 + a * a) for a in range(300)], "path string, id string, start_line int, end_line int")
+    few = df(spark, [("p", x) for x in (5, 4000, 30_000, 70_001)], "path string, line_no int")
+    want = sorted((str(a),) for a in range(300) if any(a * 37 <= x <= a * 37 + a * a for x in (5, 4000, 30_000, 70_001)))
+    assert rows(scope.range_overlap(spread, few, ["path"]), "id") == want
+
+
 def test_line_diff_gives_a_valid_script(spark):
     pairs = df(spark, [("p", "a\nb\nc\n", "a\nx\nc\nd\n"), ("z", "a\0", "b"), ("e", None, "n\n")], "path string, old string, new string")
     assert rows(diff.line_diff(pairs), "path", "op", "line_no") == sorted([("p", "removed", 2), ("p", "added", 2), ("p", "added", 4), ("e", "added", 1)], key=str)
