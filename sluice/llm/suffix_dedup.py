@@ -7,7 +7,7 @@ on 8-byte characters down to a shallow depth, blind tries for the groups that st
 for what stands before the anchors, backwards. Two windows with an anchor at offset o are equal if the two sorted orders
 show common prefixes of 100 - o bytes after and o bytes before the anchor. Every window but the first of its class is
 removed. Anchors with very many contexts are settled by window hashes instead, with a grouped minimum that no single task
-holds.
+holds. Contexts count as equal by two independent hashes, of 64 and 40 bits, and windows by two of 64 bits.
 """
 
 from __future__ import annotations
@@ -29,15 +29,16 @@ SHALLOW = 4  # 8-byte characters sorted before blind tries take over
 MANY = 128  # contexts of one anchor string that are sorted as suffixes; beyond, window hashes
 CHUNK = 1 << 20  # bytes hashed at a time
 
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
 _NONE = np.zeros(0, np.int64)
 
 
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+@lru_cache(maxsize=2)
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    base = _BASES[which]
+    up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
     up[0] = down[0] = 1
-    return np.multiply.accumulate(up), np.multiply.accumulate(down), np.random.default_rng(7).integers(1, 1 << 63, 256).astype(np.uint64)
+    return np.multiply.accumulate(up), np.multiply.accumulate(down), np.random.default_rng(7 + which).integers(1, 1 << 63, 256).astype(np.uint64)
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -54,15 +55,15 @@ def _slide(a: np.ndarray, width: int, best: np.ufunc) -> np.ndarray:
 
 
 class Hashed:
-    """Texts laid end to end, with the hash of any of their strings at hand."""
+    """Texts laid end to end, with the hash of any of their strings at hand; `which` of two independent ones."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], which: int = 0):
         self.data = np.frombuffer(b"".join(texts), np.uint8)
         self.stops = np.cumsum([len(t) for t in texts])
         self.starts = self.stops - [len(t) for t in texts]
         n = len(self.data)
         room = max(2 * CHUNK, 1 << (n + 1).bit_length())
-        up, self.down, of_byte = _powers(room)
+        up, self.down, of_byte = _powers(room, which)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(of_byte[self.data] * up[:n], out=self.sums[1:])
 
@@ -70,10 +71,11 @@ class Hashed:
         return _mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
     def anchors(self) -> tuple[np.ndarray, ...]:
-        """text index, place in the text, key and context hash of every anchor, and its reach before and after."""
+        """text index, place in the text, key and context hash of every anchor, and its reach before and after, last with
+        40 bits of a second hash."""
         n = len(self.data)
         if n < LENGTH:
-            return (_NONE,) * 6
+            return (_NONE,) * 5
         h = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
         whole = np.zeros(n - GRAM + 1, bool)
         window = np.zeros(n - LENGTH + 1, bool)
@@ -90,7 +92,9 @@ class Hashed:
         before = np.minimum(at - self.starts[text], REACH)
         after = np.minimum(self.stops[text] - at, LENGTH)
         context = self.hash(at - before, at + after) ^ _mixed((before * 256 + after).astype(np.uint64))
-        return text, at - self.starts[text], h[at].view(np.int64), context.view(np.int64), before, after
+        again = Hashed([self.data.tobytes()], 1).hash(at - before, at + after) >> np.uint64(24)
+        reach = (again.astype(np.int64) << 16) | (before * 256 + after)
+        return text, at - self.starts[text], h[at].view(np.int64), context.view(np.int64), reach
 
 
 def _merged(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -117,14 +121,19 @@ def _chunks(docs: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[b
             at, size = i + 1, 0
 
 
-_ANCHOR = "kind int, key long, context long, doc long, place int, stop int"
+_ANCHOR = "kind int, key long, context long, doc long, place int, stop long"
 _NAMES = ["kind", "key", "context", "doc", "place", "stop"]
-FOUND, GONE, SORT, HOT = 0, 1, 2, 3  # an anchor; an interval to remove; an anchor to sort; one of very many
+FOUND, GONE, SORT, HOT = 0, 1, 2, 3  # an anchor (stop: its reach); an interval to remove; an anchor to sort; one of very many
+
+
+def _reach(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Before and after."""
+    return stop >> 8 & 0xFF, stop & 0xFF
 
 
 def _table(kind: int, key, context, doc, place, stop) -> pa.RecordBatch:
     n = len(doc)
-    cols = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, context, doc)), *(pa.array(np.asarray(x).astype(np.int32)) for x in (place, stop))]
+    cols = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, context, doc)), pa.array(np.asarray(place).astype(np.int32)), pa.array(np.asarray(stop, np.int64))]
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
@@ -133,25 +142,26 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         parts = []
         for doc, texts in _chunks(b.column("doc").to_pylist(), [t.encode() for t in b.column("text").to_pylist()]):
-            text, place, key, context, before, after = Hashed(texts).anchors()
-            parts.append((key, context, doc[text], place, before, after))
+            text, place, key, context, reach = Hashed(texts).anchors()
+            parts.append((key, context, reach, doc[text], place))
         if not parts:
             continue
-        key, context, doc, place, before, after = (np.concatenate(x) for x in zip(*parts, strict=True))
-        order = np.lexsort((place, doc, context, key))
+        key, context, reach, doc, place = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((place, doc, reach, context, key))
         once = np.ones(len(key), bool)  # a row that is given twice has its anchors once
         once[1:] = (key[order][1:] != key[order][:-1]) | (doc[order][1:] != doc[order][:-1]) | (place[order][1:] != place[order][:-1])
-        key, context, doc, place, before, after = (x[order[once]] for x in (key, context, doc, place, before, after))
+        key, context, reach, doc, place = (x[order[once]] for x in (key, context, reach, doc, place))
         first = np.ones(len(key), bool)
-        first[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1])
-        yield _table(FOUND, key[first], context[first], doc[first], place[first], before[first] * 256 + after[first])
+        first[1:] = (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (reach[1:] != reach[:-1])
+        yield _table(FOUND, key[first], context[first], doc[first], place[first], reach[first])
         rest = ~first
+        before, after = _reach(reach)
         gone = _merged(doc[rest], (place - before)[rest], (place - np.maximum(0, LENGTH - after) + LENGTH)[rest])
         yield _table(GONE, gone[0], np.zeros(len(gone[0])), *gone)
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors in (key, context, doc, place) order. Of equal contexts all but the first go; an anchor string with one
+    """Anchors in (key, context, stop, doc, place) order. Of equal contexts all but the first go; an anchor string with one
     context only is done; the first anchors of the others go on, up to MANY as SORT, else all as HOT."""
     now, last, held, hot = None, None, [], False
     for b in batches:
@@ -163,14 +173,14 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(key):
             continue
         same = np.zeros(len(key), bool)
-        same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1])
+        same[1:] = (key[1:] == key[:-1]) & (context[1:] == context[:-1]) & (stop[1:] == stop[:-1])
         again = same.copy()  # but for an anchor that is given twice
         again[1:] &= (doc[1:] != doc[:-1]) | (place[1:] != place[:-1])
-        if last is not None and (key[0], context[0]) == last[:2]:
-            same[0], again[0] = True, (doc[0], place[0]) != last[2:]
-        last = (key[-1], context[-1], doc[-1], place[-1])
+        if last is not None and (key[0], context[0], stop[0]) == last[:3]:
+            same[0], again[0] = True, (doc[0], place[0]) != last[3:]
+        last = (key[-1], context[-1], stop[-1], doc[-1], place[-1])
         if again.any():
-            before, after = stop[again] // 256, stop[again] % 256
+            before, after = _reach(stop[again])
             yield _table(GONE, key[again], context[again], doc[again], place[again] - before, place[again] - np.maximum(0, LENGTH - after) + LENGTH)
         key, doc, place = (x[~same] for x in (key, doc, place))
         if not len(key):
@@ -207,29 +217,29 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(SORT, k, np.zeros(len(k)), d, p, np.zeros(len(k)))
 
 
-_SPOTS = "hot boolean, key long, doc long, place int, before binary, after binary"
+_SPOTS = "hot boolean, key long, twin long, doc long, place int, before binary, after binary"
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What stands before (backwards) and after each anchor to sort; for anchors of very many contexts instead all windows
     around them, as hash and start, each once per text."""
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
 
     def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hot", "key", "doc", "place", "before", "after"])
+        cols = list(zip(*rows, strict=True)) or [()] * 7
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hot", "key", "twin", "doc", "place", "before", "after"])
 
     for b in batches:
         rows: list[tuple] = []
         for doc, text, wants in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wants")), strict=True):
             t = text.encode()
-            rows += [(False, w["key"], doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]) for w in wants if w["kind"] == SORT]
+            rows += [(False, w["key"], 0, doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]) for w in wants if w["kind"] == SORT]
             hot = np.array([w["place"] for w in wants if w["kind"] == HOT], np.int64)
             if len(hot):
                 start = np.unique((hot[:, None] - np.arange(REACH + 1)).ravel())
                 start = start[(start >= 0) & (start + LENGTH <= len(t))]
-                value = Hashed([t]).hash(start, start + LENGTH).view(np.int64)
-                rows += [(True, h, doc, at, None, None) for h, at in zip(value.tolist(), start.tolist(), strict=True)]
+                one, two = (Hashed([t], which).hash(start, start + LENGTH).view(np.int64).tolist() for which in (0, 1))
+                rows += [(True, h, g, doc, at, None, None) for h, g, at in zip(one, two, start.tolist(), strict=True)]
             if len(rows) > 20_000:
                 yield batch(rows)
                 rows = []
@@ -417,16 +427,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         same = F.col("doc_id").eqNullSafe(F.col("i")) & (F.xxhash64("text") == F.col("h"))
         rows = rows.join(names.withColumnRenamed("doc_id", "i"), same).select("doc_id", "text", "doc")
     found = rows.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_find, _ANCHOR)
-    found = found.repartition(n, "key").sortWithinPartitions("key", "context", "doc", "place")
+    found = found.repartition(n, "key").sortWithinPartitions("key", "context", "stop", "doc", "place")
     settled = keep(found.mapInArrow(_settle, _ANCHOR), "settled")
 
     wants = settled.where(F.col("kind").isin(SORT, HOT)).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("wants"))
     spots = keep(rows.select("doc", "text").join(wants, "doc").select("doc", "text", "wants").mapInArrow(_spots, _SPOTS), "spots")
-    ordered = spots.where("not hot").drop("hot").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "doc long, start int, stop int")
-    windows = spots.where("hot").select("key", "doc", F.col("place").alias("start"))
-    first = keep(windows.groupBy("key").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
-    again = windows.join(first, "key").where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
-    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), "stop").unionByName(ordered).unionByName(again)
+    ordered = spots.where("not hot").drop("hot", "twin").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "doc long, start int, stop int")
+    windows = spots.where("hot").select("key", "twin", "doc", F.col("place").alias("start"))
+    first = keep(windows.groupBy("key", "twin").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
+    again = windows.join(first, ["key", "twin"]).where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
+    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), F.col("stop").cast("int").alias("stop")).unionByName(ordered).unionByName(again)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     return rows.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, stop: int>>"
