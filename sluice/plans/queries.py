@@ -784,7 +784,12 @@ def agg26(spark, d):
     return stats.stability(c, ["cohort"])
 
 
-@query("join15_agg27_cohort_comparison")
+@query(
+    "join15_agg27_cohort_comparison",
+    "SELECT a.cohort, a.workflow, a.items = b.items AS comparable, CASE WHEN a.items = b.items AND b.median <> 0 THEN round(a.median / b.median, 6) END AS median_ratio, CASE WHEN a.items = b.items AND b.cost <> 0 THEN round(a.cost / b.cost, 6) END AS cost_ratio "
+    "FROM (SELECT cohort, workflow, median(elapsed) AS median, sum(findings) AS cost, list_sort(list(input_id)) AS items FROM (SELECT c_mktsegment AS cohort, unnest(CASE WHEN c_mktsegment = 'BUILDING' AND c_custkey % 2 = 1 THEN [1, 7] ELSE [c_custkey % 2] END) AS workflow, c_acctbal AS elapsed, c_custkey % 4 AS findings, c_nationkey AS input_id FROM customer) GROUP BY ALL) a "
+    "JOIN (SELECT c_mktsegment AS cohort, median(c_acctbal) AS median, sum(c_custkey % 4) AS cost, list_sort(list(c_nationkey)) AS items FROM customer WHERE c_custkey % 2 = 1 GROUP BY ALL) b ON a.cohort = b.cohort WHERE a.workflow <> 1",
+)
 def join15(spark, d):
     rows = _cohort_rows(spark, d)
     rows = rows.unionByName(rows.where("cohort = 'BUILDING' and workflow = 1").withColumn("workflow", F.lit(7).cast("long")))

@@ -400,9 +400,10 @@ def grf8(spark, d):
 
 @query(
     "st1_attempt_stream",
-    "SELECT assignment, number, elapsed, progress, streak FROM (SELECT *, number - coalesce(max(CASE WHEN progress THEN number END) OVER (PARTITION BY assignment ORDER BY number), 0) AS streak FROM "
+    "SELECT *, concat_ws(',', CASE WHEN number > stop_after THEN 'continued_after_no_progress' END, CASE WHEN number > 10 OR elapsed > 3600000 THEN 'attempt_or_time_budget_exceeded' END) AS deviations FROM ("
+    "SELECT assignment, number, elapsed, progress, streak, min(CASE WHEN streak >= 3 THEN number END) OVER (PARTITION BY assignment ORDER BY number) AS stop_after FROM (SELECT *, number - coalesce(max(CASE WHEN progress THEN number END) OVER (PARTITION BY assignment ORDER BY number), 0) AS streak FROM "
     "(SELECT assignment, number, CAST(sum(elapsed_ms) OVER (PARTITION BY assignment ORDER BY number) AS BIGINT) AS elapsed, coalesce(size < last_value(size IGNORE NULLS) OVER (PARTITION BY assignment ORDER BY number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS progress FROM "
-    "(SELECT *, CASE WHEN event_type <> 'view' THEN (event_id * 7) % 5 END AS size FROM attempts)))",
+    "(SELECT *, CASE WHEN event_type <> 'view' THEN (event_id * 7) % 5 END AS size FROM attempts))))",
 )
 def st1(spark, d):
     """The batch audit's rows from a stream over files of attempts in the shared folder."""
@@ -414,4 +415,4 @@ def st1(spark, d):
     stream = spark.readStream.schema(rows.schema).parquet(f"{at}/in")
     out = audit_stream(stream).writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).start()
     out.awaitTermination()
-    return spark.read.parquet(f"{at}/out").select("assignment", "number", "elapsed", "progress", "streak")
+    return spark.read.parquet(f"{at}/out").select("assignment", "number", "elapsed", "progress", "streak", "stop_after", "deviations")
