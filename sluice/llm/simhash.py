@@ -20,7 +20,7 @@ from sluice.tables import keep, partitions, table
 
 MAX_BITS = 3
 SEED = 42
-BLOCK_SHINGLES = 1 << 22  # shingles of a group's candidates in one block of the check of similarities
+BLOCK_SHINGLES = 1 << 17  # shingles of a group's candidates in one block of the check of similarities
 RUN_LIMIT = 1 << 16  # distinct fingerprints of one variant held by a task; larger runs are cut finer in another pass
 
 
