@@ -190,8 +190,10 @@ def new_issues(base: DataFrame, head: DataFrame, keys: Sequence[str] = ()) -> Da
 
 def inventory_by_reason(rows: DataFrame, keys: Sequence[str] = (), most: int = 64) -> DataFrame:
     """DIF-7, SRT-4. rows (keys, reason, path) -> full count by reason and its first `most` paths, with a flag if cut."""
-    n = F.row_number().over(Window.partitionBy(*keys, "reason").orderBy("path"))
-    shown = rows.withColumn("_n", n).groupBy(*keys, "reason").agg(
-        F.count(F.lit(1)).alias("paths"), F.array_sort(F.collect_list(F.when(F.col("_n") <= most, F.col("path")))).alias("shown")
-    )
-    return shown.withColumn("truncated", F.col("paths") > most)
+    by = [*keys, "reason"]
+    n = F.row_number().over(Window.partitionBy(*by).orderBy("path"))
+    # rows are limited before they are dealt, so that a large group does not meet in one task
+    first = rows.withColumn("_n", n).where(F.col("_n") <= most).groupBy(*by).agg(F.array_sort(F.collect_list("path")).alias("shown"))
+    paths = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("paths"))
+    out = paths.alias("p").join(first.alias("f"), _same("p", "f", by)).select("p.*", "shown")
+    return out.withColumn("truncated", F.col("paths") > most)

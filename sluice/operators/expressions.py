@@ -32,14 +32,28 @@ class Kind:
 BOOL, NUMBER, STRING = Kind("bool"), Kind("number"), Kind("string")
 
 
+_SEEN = "array<struct<path: string, bindings: map<string, string>>>"
+
+
 @dataclass(frozen=True)
 class Expr:
+    """`why` tells, where a boolean is false, which parts of it are: an array of (path, bindings), from what is bound and the
+    expression's path. Without it the expression is a part that is not looked into."""
+
     kind: Kind
     build: Callable[[dict[str, Column]], Column]
+    why: Callable[[dict[str, Column], str], Column] | None = None
 
     def column(self, bound: dict[str, Column] | None = None) -> Column:
         return self.build(bound or {})
 
+    def seen(self, bound: dict[str, Column], path: str) -> Column:
+        if self.why:
+            return self.why(bound, path)
+        held = F.create_map(*[c for name, x in bound.items() for c in (F.lit(name), F.to_json(F.struct(x.alias("value"))))]) if bound else F.create_map()
+        one = F.array(F.struct(F.lit(path).alias("path"), held.cast("map<string, string>").alias("bindings")))
+        return F.when(~F.coalesce(self.build(bound), F.lit(False)), one.cast(_SEEN)).otherwise(F.array().cast(_SEEN))
+
 
 def _need(ok: bool, what: str) -> None:
     if not ok:
@@ -82,18 +96,21 @@ def get(name: str, of: Expr) -> Expr:
     return Expr(kinds[name], lambda b: of.build(b)[name])
 
 
-def _bools(args: tuple[Expr, ...], join) -> Expr:
+def _bools(args: tuple[Expr, ...], join, every: bool) -> Expr:
     _need(1 <= len(args) <= 64 and all(a.kind == BOOL for a in args), "1 to 64 booleans")
-    return Expr(BOOL, lambda b: reduce(join, [a.build(b) for a in args]))
+    build = lambda b: reduce(join, [a.build(b) for a in args])
+    parts = lambda b, path: F.concat(*[a.seen(b, f"{path}/{i}") for i, a in enumerate(args)])
+    why = parts if every else lambda b, path: F.when(~F.coalesce(build(b), F.lit(False)), parts(b, path)).otherwise(F.array().cast(_SEEN))
+    return Expr(BOOL, build, why)
 
 
 def all_of(*args: Expr) -> Expr:
     """EXP-5."""
-    return _bools(args, lambda x, y: x & y)
+    return _bools(args, lambda x, y: x & y, True)
 
 
 def any_of(*args: Expr) -> Expr:
-    return _bools(args, lambda x, y: x | y)
+    return _bools(args, lambda x, y: x | y, False)
 
 
 def negate(arg: Expr) -> Expr:
@@ -125,7 +142,9 @@ def _quantified(many: Expr, name: str, body: Callable[[Expr], Expr], f, kind: Ki
 
 def for_all(many: Expr, name: str, body: Callable[[Expr], Expr]) -> Expr:
     """EXP-7. True of an empty collection."""
-    return _quantified(many, name, body, F.forall, BOOL)
+    made = _quantified(many, name, body, F.forall, BOOL)
+    inner = body(var(name, _element(many)))
+    return Expr(BOOL, made.build, lambda b, path: F.flatten(F.transform(many.build(b), lambda x: inner.seen({**b, name: x}, f"{path}/each"))))
 
 
 def for_any(many: Expr, name: str, body: Callable[[Expr], Expr]) -> Expr:
@@ -206,3 +225,12 @@ def evaluate(df: DataFrame, rule: Expr, out: str = "holds") -> DataFrame:
     """EXP-20. The rows with the rule's value; rows that fail it are its observations (see windows.first_observations)."""
     _need(rule.kind == BOOL, "a rule is a boolean")
     return df.withColumn(out, rule.column())
+
+
+def observations(df: DataFrame, rule: Expr, most: int = 64) -> DataFrame:
+    """EXP-20. The rows that fail the rule, with `observed`: its first `most` false parts, as (path of the part in the rule, what
+    All had bound there, as JSON), and `omitted`, the number of others. A path names arguments by number and the body of an
+    All as `each`."""
+    _need(rule.kind == BOOL, "a rule is a boolean")
+    rows = df.withColumn("_seen", rule.seen({}, "")).where(F.size("_seen") > 0)
+    return rows.withColumn("observed", F.slice("_seen", 1, most)).withColumn("omitted", F.greatest(F.size("_seen") - most, F.lit(0))).drop("_seen")

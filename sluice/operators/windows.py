@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -99,10 +100,12 @@ def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[
 
 
 def first_observations(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = 64) -> DataFrame:
-    """WIN-9. The first `most` rows of each group, with the number of all."""
-    w = Window.partitionBy(*keys)
-    out = rows.withColumn("_n", F.row_number().over(w.orderBy(*order))).withColumn("observed", F.count(F.lit(1)).over(w))
-    return out.where(F.col("_n") <= most).drop("_n")
+    """WIN-9. The first `most` rows of each group, with the number of all. Rows are counted and limited before they are dealt,
+    so that a large group does not meet in one task."""
+    first = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= most).drop("_n").alias("r")
+    of = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("observed")).alias("g")
+    same = reduce(lambda a, b: a & b, [F.col(f"r.{k}").eqNullSafe(F.col(f"g.{k}")) for k in keys], F.lit(True))
+    return first.join(of, same).select("r.*", "observed")
 
 
 def newest_page(rows: DataFrame, order: Sequence[str], offset: int, size: int) -> DataFrame:

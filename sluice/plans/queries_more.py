@@ -247,6 +247,25 @@ def exp20(spark, d):
     return windows.first_observations(X.evaluate(e, rule).where("not holds"), ["user_id"], ["event_id"]).select("user_id", "event_id", "observed")
 
 
+@query(
+    "exp20_traces",
+    "SELECT user_id, path, type, count(*) AS n FROM (SELECT user_id, event_type AS type, unnest(list_filter([CASE WHEN NOT round(value, 2) < 90 THEN '/0/each/0' END, CASE WHEN event_type IN ('error', 'signup') THEN '/0/each/1/0' END, CASE WHEN event_type IN ('error', 'signup') THEN '/0/each/1/1' END], lambda x: x IS NOT NULL)) AS path FROM events "
+    "UNION ALL SELECT user_id, NULL, '/1' FROM events GROUP BY user_id HAVING count(*) >= 40) GROUP BY ALL",
+)
+def exp20_traces(spark, d):
+    """Which parts of a rule are false in each user's events, and of which event."""
+    e = X.source("events", _RECORD)
+    rule = X.all_of(
+        X.for_all(e, "x", lambda x: X.all_of(
+            X.compare("lt", X.get("amount", x), _points(90)),
+            X.any_of(X.negate(X.one_of(X.get("type", x), X.literal("error"), X.literal("signup"))), X.compare("eq", X.get("type", x), X.literal("nothing"))),
+        )),
+        X.compare("lt", X.count(e), X.literal(40)),
+    )
+    rows = X.observations(_sessions(spark, d), rule, most=1 << 30).select("user_id", F.explode("observed").alias("o"))
+    return rows.select("user_id", "o.path", F.get_json_object(F.element_at("o.bindings", "x"), "$.value.type").alias("type")).groupBy("user_id", "path", "type").agg(F.count(F.lit(1)).alias("n"))
+
+
 # --- functions -----------------------------------------------------------------------------------------------------------
 
 
@@ -328,6 +347,47 @@ def fn13(spark, d):
     return table(spark, d, "pages").select("page_id", T.marker_line(F.element_at(names, (F.col("page_id") % 4 + 1).cast("int")), "@ai").alias("marker"))
 
 
+# The same functions on the words and lines of real texts, where most have another form.
+
+A.CTE["spoken"] = r"SELECT doc_id, unnest(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS w FROM documents"
+A.CTE["written"] = r"SELECT doc_id, unnest(CASE WHEN text = '' THEN [] ELSE string_split_regex(regexp_replace(text, '\r?\n\z', ''), '\r?\n') END) AS l FROM documents"
+
+
+def _spoken(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(F.filter(F.split("text", r"\s+", -1), lambda x: x != "")).alias("w"))
+
+
+def _written(spark, d):
+    return table(spark, d, "documents").select("doc_id", F.explode(T.lines(F.col("text"))).alias("l"))
+
+
+@query("fn3_extensions_of_words", r"SELECT lower(regexp_extract(w, '[^/](\.[^./]+)$', 1)) AS ext, count(*) AS n FROM spoken GROUP BY ALL")
+def fn3_words(spark, d):
+    return _spoken(spark, d).groupBy(T.extension(F.col("w")).alias("ext")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fn7_decimals_in_texts", r"SELECT doc_id, count(*) AS words, count(v) AS decimals, CAST(max(v) AS DOUBLE) AS largest FROM (SELECT doc_id, CASE WHEN regexp_matches(w, '^-?(?:0|[1-9][0-9]*)(?:\.[0-9]{1,18})?$') THEN try_cast(w AS DECIMAL(38, 18)) END AS v FROM spoken) GROUP BY doc_id")
+def fn7_words(spark, d):
+    w = _spoken(spark, d).select("doc_id", T.exact_decimal(F.col("w")).alias("v"))
+    return w.groupBy("doc_id").agg(F.count(F.lit(1)).alias("words"), F.count("v").alias("decimals"), F.max("v").cast("double").alias("largest"))
+
+
+@query(
+    "fn12_interpreters_of_lines",
+    r"SELECT doc_id, program, count(*) AS n FROM (SELECT doc_id, CASE WHEN e <> '' THEN e ELSE regexp_extract(s, '^#!\s*(?:\S*/)?([^\s/]+)', 1) END AS program FROM "
+    r"(SELECT *, regexp_extract(s, '^#!\s*\S*/env\s+(?:-S\s+)?(?:\S+=\S*\s+)*([^\s/]+)', 1) AS e FROM (SELECT doc_id, CASE length(l) % 3 WHEN 0 THEN '#!/usr/bin/env ' WHEN 1 THEN '#! /opt/' ELSE '' END || l AS s FROM written))) GROUP BY ALL",
+)
+def fn12_lines(spark, d):
+    n = F.length("l") % 3
+    s = F.concat(F.when(n == 0, "#!/usr/bin/env ").when(n == 1, "#! /opt/").otherwise(""), "l")
+    return _written(spark, d).select("doc_id", T.interpreter(s).alias("program")).groupBy("doc_id", "program").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("fn13_markers_in_texts", r"SELECT doc_id, count(*) AS lines, count(*) FILTER (WHERE regexp_matches(l, '^[\s/*#]*De(?:$|[ :(])')) AS markers FROM written GROUP BY doc_id")
+def fn13_lines(spark, d):
+    return _written(spark, d).groupBy("doc_id").agg(F.count(F.lit(1)).alias("lines"), F.count_if(T.marker_line(F.col("l"), "De")).alias("markers"))
+
+
 # --- graphs --------------------------------------------------------------------------------------------------------------
 
 
