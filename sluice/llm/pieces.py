@@ -27,7 +27,7 @@ from sluice.tables import table
 codecs.register_error("sluice_each_byte", lambda error: ("\ufffd", error.start + 1))
 
 SPACE = "▁"
-REMEMBERED = 200_000  # cuts in a worker's memory; then it starts afresh
+REMEMBERED = 600_000  # cuts in a worker's memory, some 300 bytes each; then it starts afresh
 LONGEST_REMEMBERED = 48
 
 
@@ -76,13 +76,16 @@ class PieceModel:
 
     def merged(self, text: str) -> list[str]:
         """Merges by best score, then leftmost, until none is left; for the few characters of a token pair."""
-        parts = list(text)
+        parts, score = list(text), self.score.get
         while True:
-            best = max(((self.score[m], -k) for k in range(len(parts) - 1) if (m := parts[k] + parts[k + 1]) in self.score), default=None)
+            best, at = None, 0
+            for k in range(len(parts) - 1):
+                found = score(parts[k] + parts[k + 1])
+                if found is not None and (best is None or found > best):
+                    best, at = found, k
             if best is None:
                 return parts
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
     def _compatible(self, left: int, right: int) -> bool:
         a, b = self.piece[left], self.piece[right]
