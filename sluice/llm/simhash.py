@@ -20,7 +20,8 @@ from sluice.tables import keep, partitions, table
 
 MAX_BITS = 3
 SEED = 42
-BLOCK_SHINGLES = 1 << 17  # shingles of a group's candidates in one block of the check of similarities
+BLOCK_SHINGLES = (1 << 15, 1 << 22)  # of a group's candidates in one block: from the first on it is cut, the second is a block's most
+BLOCKS = 32  # into which a group is cut for speed; more only as its size demands, as each pair of blocks is compared
 RUN_LIMIT = 1 << 16  # distinct fingerprints of one variant held by a task; larger runs are cut finer in another pass
 
 
@@ -202,7 +203,9 @@ def _verified(candidates: DataFrame, width: int, bits: int, least: float) -> Dat
     shingles, enough of them to join all that are linked. A large group is cut into blocks of bounded size, and each pair of
     blocks is one piece of work."""
     sets = keep(candidates.mapInArrow(_shingles(width), "component long, node long, fp long, shingles array<long>, n long"), "shingles")
-    blocks = sets.groupBy("component").agg(F.ceil(F.sum(F.col("n") + 8) / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    small, most = BLOCK_SHINGLES
+    size = F.sum(F.col("n") + 8)
+    blocks = sets.groupBy("component").agg(F.greatest(F.ceil(size / most), F.least(F.ceil(size / small), F.lit(BLOCKS))).cast("int").alias("blocks"))
     dealt = sets.join(keep(blocks, "blocks"), "component").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda x: F.struct(F.least(x, F.col("block")).alias("i"), F.greatest(x, F.col("block")).alias("j")))
     work = dealt.withColumn("pair", F.explode(pairs)).select("component", "pair.i", "pair.j", "node", "fp", "shingles", "n")

@@ -153,7 +153,7 @@ def _near_by_text(docs, width, bits, least):
     return [(i, least_of[id(group[t or ""])]) for i, t in docs]
 
 
-@pytest.mark.parametrize("block", [1 << 17, 300])
+@pytest.mark.parametrize("block", [(1 << 15, 1 << 22), (100, 1 << 22), (100, 200)])
 def test_near_groups_by_similarity(spark, monkeypatch, block):
     monkeypatch.setattr(simhash, "BLOCK_SHINGLES", block)
     rnd = random.Random(6)
