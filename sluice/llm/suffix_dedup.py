@@ -7,7 +7,7 @@ on 8-byte characters down to a shallow depth, blind tries for the groups that st
 for what stands before the anchors, backwards. Two windows with an anchor at offset o are equal if the two sorted orders
 show common prefixes of 100 - o bytes after and o bytes before the anchor. Every window but the first of its class is
 removed. Anchors with very many contexts are settled by window hashes instead, with a grouped minimum that no single task
-holds. Contexts count as equal by two independent hashes, of 64 and 40 bits, and windows by two of 64 bits.
+holds. Contexts count as equal by two independent hashes, of 64 and 17 bits, and windows by two of 64 bits.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ class Hashed:
 
     def anchors(self) -> tuple[np.ndarray, ...]:
         """text index, place in the text, key and context hash of every anchor, and its reach before and after, last with
-        40 bits of a second hash."""
+        17 bits of a second hash."""
         n = len(self.data)
         if n < LENGTH:
             return (_NONE,) * 5
@@ -92,8 +92,8 @@ class Hashed:
         before = np.minimum(at - self.starts[text], REACH)
         after = np.minimum(self.stops[text] - at, LENGTH)
         context = self.hash(at - before, at + after) ^ _mixed((before * 256 + after).astype(np.uint64))
-        again = Hashed([self.data.tobytes()], 1).hash(at - before, at + after) >> np.uint64(24)
-        reach = (again.astype(np.int64) << 16) | (before * 256 + after)
+        again = Hashed([self.data.tobytes()], 1).hash(at - before, at + after) >> np.uint64(47)
+        reach = (again.astype(np.int64) << 14) | (before << 7) | after  # 31 bits
         return text, at - self.starts[text], h[at].view(np.int64), context.view(np.int64), reach
 
 
@@ -121,19 +121,19 @@ def _chunks(docs: list, texts: list[bytes]) -> Iterator[tuple[np.ndarray, list[b
             at, size = i + 1, 0
 
 
-_ANCHOR = "kind int, key long, context long, doc long, place int, stop long"
+_ANCHOR = "kind int, key long, context long, doc long, place int, stop int"
 _NAMES = ["kind", "key", "context", "doc", "place", "stop"]
 FOUND, GONE, SORT, HOT = 0, 1, 2, 3  # an anchor (stop: its reach); an interval to remove; an anchor to sort; one of very many
 
 
 def _reach(stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Before and after."""
-    return stop >> 8 & 0xFF, stop & 0xFF
+    return stop >> 7 & 0x7F, stop & 0x7F
 
 
 def _table(kind: int, key, context, doc, place, stop) -> pa.RecordBatch:
     n = len(doc)
-    cols = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, context, doc)), pa.array(np.asarray(place).astype(np.int32)), pa.array(np.asarray(stop, np.int64))]
+    cols = [pa.array(np.full(n, kind, np.int32)), *(pa.array(np.asarray(x, np.int64)) for x in (key, context, doc)), *(pa.array(np.asarray(x).astype(np.int32)) for x in (place, stop))]
     return pa.RecordBatch.from_arrays(cols, _NAMES)
 
 
@@ -436,7 +436,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     windows = spots.where("hot").select("key", "twin", "doc", F.col("place").alias("start"))
     first = keep(windows.groupBy("key", "twin").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
     again = windows.join(first, ["key", "twin"]).where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
-    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), F.col("stop").cast("int").alias("stop")).unionByName(ordered).unionByName(again)
+    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), "stop").unionByName(ordered).unionByName(again)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     return rows.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, stop: int>>"
