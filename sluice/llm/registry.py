@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sluice.llm import embedding_dedup, exact_dedup, html_text, mixing, pieces, sharding, simhash, suffix_dedup, toxicity, warc
+from sluice.llm import alignment, embedding_dedup, exact_dedup, html_text, mixing, pieces, sharding, simhash, substring_dedup, suffix_dedup, toxicity, warc, whitening
 
 QUERIES = {
     "op1_warc": warc.op1_warc,
@@ -15,10 +15,14 @@ QUERIES = {
     "op8_mixing": mixing.op8_mixing,
     "op9_toxicity": toxicity.op9_toxicity,
     "op10_simhash": simhash.op10_simhash,
+    "op11_substring_dedup": substring_dedup.op11_substring_dedup,
+    "op12_whitening": whitening.op12_whitening,
+    "op13_alignment": alignment.op13_alignment,
 }
 
 ORACLE_SQL = {
     "op1_warc": warc.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op6_embeddings": embedding_dedup.ORACLE,
+    "op11_substring_dedup": substring_dedup.ORACLE,
 }
