@@ -187,8 +187,14 @@ def _golangci(spark, d):
 @query("src19_ruff", "SELECT o_custkey AS report_id, 'F' || (o_orderkey % 900) AS rule, o_orderkey % 60 + 1 AS line FROM orders WHERE o_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderkey % 101 = 0)")
 def src19(spark, d):
     code = F.when(_key() % 101 == 0, "null").otherwise(_text('"F', _key() % 900, '"'))
-    item = _text('{"code":', code, ',"filename":"a","message":"m","location":{"row":', _key() % 60 + 1, "}}")
-    return json_reports.ruff(_reports(spark, d, item, ["["], ["]"], ","))[0].select("report_id", "rule", "line")
+    return json_reports.ruff(_ruff(spark, d, code))[0].select("report_id", "rule", "line")
+
+
+def _ruff(spark, d, code=None):
+    code = _text('"F', _key() % 900, '"') if code is None else code
+    row = _key() % 60 + 1
+    item = _text('{"code":', code, ',"filename":"a","message":"m","location":{"row":', row, ',"column":5},"end_location":{"row":', row, ',"column":9}}')
+    return _reports(spark, d, item, ["["], ["]"], ",")
 
 
 @query("src20_pyright", "SELECT o_custkey AS report_id, o_orderkey % 60 + 1 AS line FROM orders WHERE o_orderkey % 2 = 0 AND o_custkey % 9 <> 0")
@@ -204,16 +210,39 @@ def _pyright(spark, d):
 
 @query("src21_javac", "SELECT o_custkey AS report_id, CASE WHEN o_orderkey % 2 = 0 THEN 'removal' ELSE 'deprecation' END AS rule, 'f() ' || o_orderkey AS message FROM orders WHERE o_custkey % 6 <> 0")
 def src21(spark, d):
-    item = _text("A.java:7: warning: [", F.when(_key() % 2 == 0, "removal").otherwise("deprecation"), "] f() ", _key(), "\n")
+    return text_reports.javac(_javac(spark, d))[0].select("report_id", "rule", "message")
+
+
+def _javac(spark, d):
+    item = _text("A.java:7: warning: [", F.when(_key() % 2 == 0, "removal").otherwise("deprecation"), "] f() ", _key(), "\n  a.f();\n   ^\n")
     note = F.when(F.col("o_custkey") % 6 == 0, "Note: A.java uses deprecated API.\n").otherwise("")
-    return text_reports.javac(_reports(spark, d, item, [], [note, F.col("n"), " warnings\n"]))[0].select("report_id", "rule", "message")
+    return _reports(spark, d, item, [], [note, F.col("n"), F.when(F.col("n") == 1, " warning\n").otherwise(" warnings\n")])
+
+
+@query(
+    "src21_javac_gaps",
+    """SELECT DISTINCT o_custkey AS report_id, CASE o_custkey % 7 WHEN 0 THEN 'unexpected line' WHEN 1 THEN 'caret' WHEN 2 THEN 'text after the total' WHEN 3 THEN 'cut'
+    WHEN 4 THEN 'total differs' WHEN 5 THEN 'place' ELSE 'malformed' END AS reason FROM orders WHERE o_custkey % 6 <> 0""",
+)
+def src21_gaps(spark, d):
+    """Compiler errors, carets that are missing, text after the total, a file that was cut, a wrong total, a line 0, no text."""
+    which = F.col("report_id") % 7
+    content = (
+        F.when(which == 0, F.concat(F.lit("A.java:1: error: cannot find symbol\n  x();\n  ^\n"), "content")).when(which == 1, F.regexp_replace("content", r"\n   \^\n", "\n"))
+        .when(which == 2, F.concat("content", F.lit("more\n"))).when(which == 3, F.expr("substring(content, 1, length(content) - 1)"))
+        .when(which == 4, F.regexp_replace("content", r"\n(\d+ warnings?\n)$", "\n1$1")).when(which == 5, F.regexp_replace("content", ":7:", ":0:"))
+    )
+    return text_reports.javac(_javac(spark, d).where("report_id % 6 <> 0").withColumn("content", content))[1]
 
 
 @query("src22_diagnostics", "SELECT o_custkey AS report_id, 't' AS tool, o_orderpriority AS rule, 'f' || (o_orderkey % 5) AS file FROM orders WHERE o_custkey % 4 <> 0")
 def src22(spark, d):
+    return json_reports.diagnostics(_diagnostics(spark, d))[0].select("report_id", "tool", "rule", "file")
+
+
+def _diagnostics(spark, d):
     item = _text('{"rule":"', F.col("o_orderpriority"), '","file":"f', _key() % 5, '","line":1,"message":"m"}')
-    raw = _reports(spark, d, item, ['{"tool":"t","executed":5,"failures":', F.when(F.col("o_custkey") % 4 == 0, 6).otherwise(0), ',"issues":['], ["]}"], ",")
-    return json_reports.diagnostics(raw)[0].select("report_id", "tool", "rule", "file")
+    return _reports(spark, d, item, ['{"tool":"t","executed":5,"failures":', F.when(F.col("o_custkey") % 4 == 0, 6).otherwise(0), ',"issues":['], ["]}"], ",")
 
 
 @query("src23_tool_facts", "SELECT o_custkey AS report_id, CAST(o_orderkey AS VARCHAR) AS id, (o_orderkey % 1000) / 8.0 AS value FROM orders WHERE o_custkey % 3 <> 0")
@@ -291,6 +320,43 @@ for _name in SPOILED:
     _spoiled(_name)
 
 
+#: JSON reports that are more than one whole value: writer, reader, and the reports that the writer itself makes gaps of.
+WHOLE = {
+    "src9_sarif_whole": (_sarif, json_reports.sarif, None), "src15_coverage_py_whole": (_coverage_py, json_reports.coverage_py, None), "src17_eslint_whole": (_eslint, json_reports.eslint, "o_orderkey % 89 = 0"),
+    "src18_golangci_whole": (_golangci, lambda raw: json_reports.golangci(raw, ["lll"]), None), "src19_ruff_whole": (_ruff, json_reports.ruff, None), "src20_pyright_whole": (_pyright, json_reports.pyright, "o_custkey % 9 = 0"),
+    "src22_diagnostics_whole": (_diagnostics, json_reports.diagnostics, "o_custkey % 4 = 0"), "src23_tool_facts_whole": (_facts, lambda raw: json_reports.tool_facts(raw, "p", "t"), "o_custkey % 3 = 0"),
+}
+
+
+def _not_whole(name: str) -> None:
+    """A fifth each of the reports go on after their value (text; a second value) or have a key twice: all malformed."""
+    write, read, other = WHOLE[name]
+    bad = f"SELECT DISTINCT o_custkey AS report_id FROM orders WHERE o_custkey % 5 NOT IN (1, 2, 3){f' AND {other}' if other else ''}"
+
+    def run(spark, d):
+        which = F.col("report_id") % 5
+        twice = F.concat(F.expr("substring_index(content, '{', 1)"), F.lit('{"twice":0,"twice":[1],'), F.expr("substring(content, instr(content, '{') + 1)"))
+        content = F.when(which == 1, F.concat("content", F.lit(" boom ]"))).when(which == 2, F.concat("content", "content")).when(which == 3, twice).otherwise(F.col("content"))
+        return read(write(spark, d).withColumn("content", content))[1].groupBy("report_id").agg(F.bool_and(F.col("reason") == "malformed").alias("malformed"))
+
+    query(name, f"SELECT DISTINCT o_custkey AS report_id, true AS malformed FROM orders WHERE o_custkey % 5 IN (1, 2, 3) UNION ALL SELECT report_id, false FROM ({bad if other else bad + ' AND false'})")(run)
+
+
+for _name in WHOLE:
+    _not_whole(_name)
+
+
+@query(
+    "src12_branch_coverage",
+    "SELECT o_custkey AS report_id, true AS branch_coverage FROM orders GROUP BY o_custkey HAVING o_custkey % 3 = 0 OR bool_and(o_orderkey % 2 = 1) ORDER BY ALL",
+)
+def src12_branches(spark, d):
+    """Branches count as measured only if every section counts them: here two thirds of the reports lose BRF where a branch
+    was not taken."""
+    content = F.when(F.col("report_id") % 3 > 0, F.regexp_replace("content", r"BRF:2\nBRH:0\n", "")).otherwise(F.col("content"))
+    return text_reports.lcov_branch_coverage(_lcov(spark, d).withColumn("content", content)).where("branch_coverage")
+
+
 @query(
     "src12_lcov_gaps",
     "SELECT DISTINCT o_custkey AS report_id, CASE o_custkey % 5 WHEN 1 THEN 'counters differ' WHEN 2 THEN 'open section' ELSE 'malformed' END AS reason FROM orders WHERE o_custkey % 5 IN (1, 2, 3)",

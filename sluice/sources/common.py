@@ -22,19 +22,43 @@ def parsed_xml(raw: DataFrame, roots: str, schema: str) -> DataFrame:
     """report_id, r, ok, root: r holds the root element's attributes (_name) and children; ok is false for malformed text,
     and `root` true if the root element is one of `roots`."""
     r = F.from_xml("content", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt", "mode": "PERMISSIVE"})
-    out = raw.withColumn("r", r).withColumn("root", F.regexp_extract("content", _ROOT, 1).isin(roots.split()))
+    out = once(raw, "r", r).withColumn("root", F.regexp_extract("content", _ROOT, 1).isin(roots.split()))
     return out.withColumn("ok", F.col("r").isNotNull() & F.col("r._corrupt").isNull())
 
 
+def once(rows: DataFrame, name: str, value: Column) -> DataFrame:
+    """Adds a column that is computed once a row however often it is used: a generator's output, unlike a projected column, is
+    not put in place of its uses when filters and projections are moved."""
+    made = f"_{name}_once"
+    return rows.select("*", F.explode(F.array(F.struct(value.alias("it")))).alias(made)).withColumn(name, F.col(f"{made}.it")).drop(made)
+
+
+def _bare(text: Column) -> Column:
+    """How many brackets, commas, colons and values a JSON text has, strings being one value each."""
+    strings = F.regexp_replace(F.regexp_replace(text, r"(?s)\\.", "e"), '"[^"]*"', "v")
+    return F.length(F.regexp_replace(F.regexp_replace(strings, r'[^\s\[\]{}:,"]+', "v"), r"\s+", ""))
+
+
+def whole_json(text: Column) -> Column:
+    """Whether a text is one JSON value and nothing else, and no object in it has a key twice. A parser stops at the end of the
+    first value; what follows shows in that the text has more parts than the value written anew. Values beyond 128 MiB, and
+    ones nested deeper than the parser goes, are not told from broken ones."""
+    value = F.try_parse_json(text)
+    return F.coalesce(_bare(F.to_json(value)) == _bare(text), F.lit(False))
+
+
 def parsed_json(raw: DataFrame, schema: str) -> DataFrame:
-    """As parsed_xml; a top-level array is read with a schema of the form array<...> and then has no corrupt marker."""
+    """As parsed_xml; the text must be one value from its first to its last character."""
     first = "[" if schema.startswith("array") else "{"
-    out = raw.withColumn("root", F.ltrim("content").startswith(first))
+    content = F.col("content").cast("string")
+    root = content.rlike(rf"^[ \t\r\n]*\{first}")
     if first == "[":
-        out = out.withColumn("r", F.from_json("content", schema))
-        return out.withColumn("ok", F.col("r").isNotNull() & F.col("root") & F.rtrim("content").endswith("]"))
-    out = out.withColumn("r", F.from_json("content", f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}))
-    return out.withColumn("ok", F.col("r").isNotNull() & F.col("r._corrupt").isNull())
+        parsed = F.struct(F.from_json(content, schema).alias("r"), whole_json(content).alias("whole"))
+        out = once(raw, "parsed", parsed).select("*", root.alias("root"), F.col("parsed.r").alias("r"), F.col("parsed.whole").alias("ok")).drop("parsed")
+        return out.withColumn("ok", F.col("ok") & F.col("r").isNotNull() & F.col("root"))
+    parsed = F.struct(F.from_json(content, f"{schema}, _corrupt string", {"columnNameOfCorruptRecord": "_corrupt"}).alias("r"), whole_json(content).alias("whole"))
+    out = once(raw, "parsed", parsed).select("*", root.alias("root"), F.col("parsed.r").alias("r"), F.col("parsed.whole").alias("ok")).drop("parsed")
+    return out.withColumn("ok", F.col("ok") & F.col("r").isNotNull() & F.col("r._corrupt").isNull())
 
 
 def tags(name: str) -> Column:

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.sources.common import blank, differs, line, parsed_json, split
+from sluice.sources.common import blank, differs, line, once, parsed_json, split, whole_json
 
 
 def _issue(rows: DataFrame, tool: Column, rule: Column, file: Column, at: Column, message: Column) -> DataFrame:
@@ -90,7 +90,7 @@ def sarif(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         return F.struct(u["tool"]["driver"]["name"].alias("name"), F.transform(u["results"], lambda x: result(u, by_id, x)).alias("found"))
 
     # repeated rule ids are gaps by now: the map of the ids has each key once
-    read_runs = sound.select("report_id", F.posexplode("runs").alias("run", "u")).select("report_id", "run", read(F.col("u")).alias("u"))
+    read_runs = once(sound.select("report_id", F.posexplode("runs").alias("run", "each")), "u", read(F.col("each"))).select("report_id", "run", "u")
     why = lambda found: F.try_element_at(F.filter(F.transform(found, lambda x: x["why"]), lambda w: w.isNotNull()), F.lit(1))
     per_run = read_runs.select("report_id", "run", "u.name", "u.found", why(F.col("u.found")).alias("why"))
     bad = per_run.where("why is not null").groupBy("report_id").agg(F.min_by("why", "run").alias("reason"))
@@ -119,7 +119,7 @@ def coverage_py(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
         e["key"].alias("file"), e["value"]["executed_lines"].alias("executed"), e["value"]["missing_lines"].alias("missing"), F.coalesce(e["value"]["excluded_lines"], none).alias("excluded"),
         F.array_except(e["value"]["executed_lines"], F.coalesce(e["value"]["excluded_lines"], none)).alias("hit"), F.coalesce(e["value"]["executed_branches"], arcs).alias("taken"), F.coalesce(e["value"]["missing_branches"], arcs).alias("untaken"), e["value"]["summary"].alias("summary"),
     )
-    rows = rows.withColumn("files", F.transform(F.map_entries("r.files"), file))
+    rows = once(rows, "files", F.transform(F.map_entries("r.files"), file))
     repeats = lambda a: F.size(F.array_distinct(a)) != F.size(a)
     count = {
         "covered_lines": lambda e: F.size(e["hit"]), "num_statements": lambda e: F.size(e["hit"]) + F.size(e["missing"]), "missing_lines": lambda e: F.size(e["missing"]), "excluded_lines": lambda e: F.size(e["excluded"]),
@@ -151,7 +151,9 @@ def cargo_clippy(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     with whether a lint was denied."""
     m = "struct<reason: string, success: boolean, message: struct<message: string, level: string, code: struct<code: string>, spans: array<struct<file_name: string, line_start: int, is_primary: boolean>>>>"
     texts = F.filter(F.split("content", "\n"), lambda x: F.trim(x) != "")
-    rows = raw.withColumn("r", F.transform(texts, lambda x: F.from_json(x, m))).withColumn("ok", (F.size("r") > 0) & F.forall("r", lambda x: x["reason"].isNotNull()))
+    read = F.transform(texts, lambda x: F.struct(F.from_json(x, m).alias("x"), whole_json(x).alias("whole")))
+    rows = once(raw, "lines", read).withColumn("ok", (F.size("lines") > 0) & F.forall("lines", lambda l: l["whole"] & l["x"]["reason"].isNotNull()))
+    rows = rows.withColumn("r", F.transform("lines", lambda l: l["x"]))
     ends = F.size(F.filter("r", lambda x: x["reason"] == "build-finished"))
     last = F.try_element_at("r", F.lit(-1))
     denied = F.exists("r", lambda x: F.coalesce((x["reason"] == "compiler-message") & (x["message"]["level"] == "error"), F.lit(False)))
@@ -200,11 +202,18 @@ def golangci(raw: DataFrame, enabled: list[str]) -> tuple[DataFrame, DataFrame]:
 
 
 def ruff(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """SRC-19. Entries without a code, a file, a message or a row, and syntax or input errors, are gaps."""
-    rows = parsed_json(raw, "array<struct<code: string, filename: string, message: string, location: struct<row: int>>>")
+    """SRC-19. Entries without a code, a file, a message, a place to begin or a place to end, that end before they begin, and
+    syntax or input errors, are gaps."""
+    place = "struct<row: long, column: long>"
+    rows = parsed_json(raw, f"array<struct<code: string, filename: string, message: string, location: {place}, end_location: {place}>>")
+
+    def range_of(x: Column) -> Column:
+        a, z = x["location"], x["end_location"]
+        return (a["row"] > 0) & (a["column"] > 0) & (z["column"] > 0) & ((z["row"] > a["row"]) | (z["row"] == a["row"]) & (z["column"] >= a["column"]))
+
     good, gaps = split(rows, {
-        "syntax or io error": F.exists("r", lambda x: x["code"].isNull() | x["code"].isin("E902", "E999", "invalid-syntax", "io-error")),
-        "entry": F.exists("r", lambda x: blank(x["filename"]) | blank(x["message"]) | ~F.coalesce(x["location"]["row"] > 0, F.lit(False))),
+        "syntax or io error": F.exists("r", lambda x: blank(x["code"]) | x["code"].isin("E902", "E999", "invalid-syntax", "io-error")),
+        "entry": F.exists("r", lambda x: blank(x["filename"]) | blank(x["message"]) | ~F.coalesce(range_of(x), F.lit(False))),
     })
     x = good.select("report_id", F.explode("r").alias("x"))
     return _issue(x, F.lit("ruff"), F.col("x.code"), F.col("x.filename"), F.col("x.location.row"), F.col("x.message")), gaps

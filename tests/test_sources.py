@@ -69,7 +69,7 @@ CASES = {
     ),
     "ruff": (
         lambda raw: j.ruff(raw),
-        ['[{"code":"F401","filename":"a.py","message":"m","location":{"row":1}}]','[{"code":null,"filename":"a.py","message":"m","location":{"row":1}}]'],
+        ['[{"code":"F401","filename":"a.py","message":"m","location":{"row":1,"column":5},"end_location":{"row":1,"column":9}}]','[{"code":null,"filename":"a.py","message":"m","location":{"row":1}}]'],
         [[('0', 'ruff', 'F401', 'a.py', 1, 'm', None)], [('1', 'syntax or io error')]],
     ),
     "pyright": (
@@ -94,7 +94,7 @@ CASES = {
     ),
     "javac": (
         lambda raw: t.javac(raw),
-        ['A.java:3: warning: [deprecation] f() is old\n1 warning\n','Note: A.java uses deprecated API.\n'],
+        ['A.java:3: warning: [deprecation] f() is old\n  f();\n   ^\n1 warning\n','Note: A.java uses deprecated API.\n'],
         [[('0', 'javac', 'deprecation', 'A.java', 3, 'f() is old', None)], [('1', 'note')]],
     ),
 }
@@ -144,13 +144,19 @@ GAPS = {
         (_with(GOOD["eslint"], ('"errorCount":1', '"fatalErrorCount":1,"errorCount":1')), "fatal"), (_with(GOOD["eslint"], ('"ruleId":"r"', '"ruleId":null')), "message"), (_with(GOOD["eslint"], ('"line":3', '"line":0')), "message"), ("[{", "malformed"),
     ],
     "golangci": [("{}", "no report"), ('{"Report":{}}', "no issues"), ('{"Report":{"Linters":[{"Name":"lll"}]},"Issues":[]}', "linters"), ('{"Report":{"Error":"x"},"Issues":[]}', "error"), (_with(GOOD["golangci"], ('"Line":2', '"Line":0')), "issue"), (_with(GOOD["golangci"], ('"lll"', '"typecheck"')), "typecheck")],
-    "ruff": [("{}", "malformed"), (_with(GOOD["ruff"], ('"row":1', '"col":1')), "entry")],
+    "ruff": [("{}", "malformed"), (_with(GOOD["ruff"], ('"row":1', '"col":1')), "entry"), (_with(GOOD["ruff"], ('"column":5', '"column":0')), "entry"), (_with(GOOD["ruff"], ('"column":9', '"column":4')), "entry"), ('[] boom ]', "malformed")],
     "pyright": [("{}", "no diagnostics"), ('{"generalDiagnostics":[]}', "no summary"), ('{"generalDiagnostics":[],"summary":{}}', "counts differ"), ('{"generalDiagnostics":[],"summary":{"errorCount":0,"warningCount":0,"informationCount":0,"filesAnalyzed":0}}', "no file"), (_with(GOOD["pyright"], ('"file":"a.py",', "")), "diagnostic"), (_with(GOOD["pyright"], ('"warning"', '"hint"')), "counts differ")],
     "diag": [("{}", "no issues"), ('{"issues":[]}', "no tool"), (_with(GOOD["diag"], ('"line":1', '"line":0')), "issue"), (_with(GOOD["diag"], ('"line":1', '"line":1,"locations":[{"file":"b","line":1}]')), "issue")],
     "facts": [("{}", "envelope"), ('{"project":"p","target":"t"}', "no facts"), (_with(GOOD["facts"], ('"1.50"', '"1.5x"')), "value"), (_with(GOOD["facts"], ('"project"', '"complete":false,"project"')), "incomplete"), ('{"project":"p","target":"t","clones":[{"id":"1","similarity":"2","left":{"file":"a","start":1,"end":2,"nodes":1},"right":{"file":"b","start":1,"end":2,"nodes":1}}]}', "clone pair")],
     "lcov": [
         ("", "malformed"), ("DA:1,1\nend_of_record\n", "section without file"), ("SF:a\nDA:1,1\nLF:2\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nLH:0\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nBRF:1\nend_of_record\n", "counters differ"), ("SF:a\nDA:1,1\nBRDA:1,0,0,1\nBRH:0\nend_of_record\n", "counters differ"),
         ("SF:a\nend_of_record\n", "empty section"), ("SF:a\nDA:1,1\nDA:1,2\nend_of_record\n", "record given twice"), ("SF:a\nDA:1,1\nBRDA:2,0,0,1\nend_of_record\n", "branch without line"), ("SF:a\nDA:x,1\nend_of_record\n", "record"), ("SF:a\nDA:1,1\nBRDA:1,0,1\nend_of_record\n", "record"), ("SF:a\nSF:b\nDA:1,1\nend_of_record\n", "section without file"), ("SF:a\nDA:1,1\nend_of_record\nDA:2,2\n", "open section"),
+        ("SF:a\nDA:1,1\nLF: 1\nend_of_record\n", "counters differ"), ("SF:a\nDA: 1,1\nend_of_record\n", "record"), ("SF:a\nDA:1,-1\nend_of_record\n", "record"), ("SF:a\nDA:1\nend_of_record\n", "record"),
+    ],
+    "javac": [
+        (" \n", "cut"), (GOOD["javac"].rstrip("\n"), "cut"), (_with(GOOD["javac"], ("1 warning\n", "")), "total differs"), (_with(GOOD["javac"], ("1 warning", "2 warnings")), "total differs"), (_with(GOOD["javac"], ("   ^\n", "")), "caret"), (_with(GOOD["javac"], (":3:", ":0:")), "place"), (_with(GOOD["javac"], (":3:", ":x:")), "place"),
+        (GOOD["javac"] + "only showing the first 1 warnings, of 2 total\n", "text after the total"), (GOOD["javac"] + "\n", "text after the total"), ("warning: [removal] gone\n1 warning\n", "warning without line"), ("Note: Some input files use or override a deprecated API.\n", "note"), ("Note: Recompile with -Xlint:removal for details.\n", "note"),
+        (_with(GOOD["javac"], ("[deprecation]", "[deprecation")), "label"), ("A.java:1: error: cannot find symbol\n1 error\n", "unexpected line"), ("A.java:1:1: compiler.warn.has.been.deprecated: Old, pkg\n1 warning\n", "unexpected line"), ("A.java:1: warning: [removal] x\n", "caret"), ("0 warnings\n", "total differs"), ("x warnings\n", "total"),
     ],
 }
 
@@ -187,6 +193,40 @@ def test_clone_pairs_and_classes(spark):
     assert {r.report_id for r in facts.collect()} == {"0"} and {(r.report_id, r.reason) for r in gaps.collect()} == {("1", "other classes than expected"), ("2", "other classes than expected")}
 
 
+#: What may not follow, or be in, a JSON report: each makes a good one malformed.
+NOT_WHOLE = [lambda s: s + " boom ]", lambda s: s + s, lambda s: s + '{"cut":', lambda s: s + "]", lambda s: s[:-1], lambda s: s.replace("{", '{"twice":1,"twice":{},', 1), lambda s: s + "] [" if s[0] == "[" else s + "} {"]
+
+
+@pytest.mark.parametrize("name", ["sarif", "covpy", "eslint", "golangci", "ruff", "pyright", "diag", "facts", "clippy"])
+def test_json_is_read_to_its_end(spark, name):
+    good = GOOD[name].rstrip("\n")
+    raw = spark.createDataFrame([(str(i), f(good)) for i, f in enumerate(NOT_WHOLE)] + [("good", f" \t{good}\r\n ")], "report_id string, content string")
+    facts, gaps, *_ = CASES[name][0](raw)
+    assert {r.report_id for r in facts.collect()} == {"good"}
+    if name != "clippy":  # a line each: what follows may be another's
+        assert {(r.report_id, r.reason) for r in gaps.collect()} == {(str(i), "malformed") for i in range(len(NOT_WHOLE))}
+
+
+@pytest.mark.parametrize(("name", "parse"), [*((n, "from_json(") for n in ("sarif", "covpy", "eslint", "pyright", "clippy")), ("cobertura", "from_xml("), ("lcov", "split(content"), ("javac", "aggregate(")])
+def test_a_report_is_parsed_once(spark, name, parse):
+    raw = spark.createDataFrame([("0", GOOD[name])], "report_id string, content string")
+    for part in CASES[name][0](raw)[:2]:
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(parse) <= 2, name  # at most once on each side of a join
+
+
+def test_javac_takes_excerpts_for_no_warnings(spark):
+    text = "warning: [options] no modules\r\na/B.java:4: warning: [removal] x] y\r\nC.java:9: warning: [deprecation] in an excerpt\r\n  ^\r\nNote: other\r\n\r\n2 warnings\r\n"
+    facts, gaps = t.javac(spark.createDataFrame([("0", text), ("1", "")], "report_id string, content string"))
+    assert [tuple(r) for r in facts.collect()] == [("0", "javac", "removal", "a/B.java", 4, "x] y", None)] and gaps.count() == 0
+
+
+def test_lcov_branch_coverage(spark):
+    counted = "SF:a\nDA:1,1\nBRDA:1,0,0,1\nBRF:1\nBRH:1\nend_of_record\n"
+    raw = spark.createDataFrame([("0", counted), ("1", counted + "SF:b\nDA:1,1\nend_of_record\n"), ("2", "SF:a\nDA:1,1\nBRF:0\nBRH:0\nend_of_record\n")], "report_id string, content string")
+    assert {(r.report_id, r.branch_coverage) for r in t.lcov_branch_coverage(raw).collect()} == {("0", True), ("1", False), ("2", False)}
+
+
 @pytest.mark.parametrize("name", CASES)
 def test_reader(spark, name):
     read, reports, want = CASES[name]
