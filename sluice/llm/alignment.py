@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from sluice.tables import keep, table
 
-BATCH = 4 << 20  # bytes of texts that are aligned together; a longer text is a batch of its own
+BATCH = 1 << 20  # bytes of texts that are aligned together; a longer text is a batch of its own
 PAIRS = 4096  # links of a group beyond which its repeated ids are folded before they are paired
 
 _ROWS = "batch long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, at array<int>, times array<long>, pairs array<long>, docs array<long>"
