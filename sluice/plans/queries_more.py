@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import diff, expressions as X, graph, rules, sets, windows
+from sluice.operators import diff, expressions as X, graph, rules, sets, statements, windows
 from sluice.plans import adapters as A
 from sluice.plans.adapters import sql, table
 from sluice.plans.queries import query
@@ -266,6 +266,53 @@ def exp20_traces(spark, d):
     return rows.select("user_id", "o.path", F.get_json_object(F.element_at("o.bindings", "x"), "$.value.type").alias("type")).groupBy("user_id", "path", "type").agg(F.count(F.lit(1)).alias("n"))
 
 
+#: Statements that a part's number chooses; {size} and {price} are the part's. Where there is a reason, it is a gap.
+_STATEMENTS = [
+    ('{"op":"all","input":{"op":"source","name":"events"},"predicate":{"op":"compare","relation":"le","left":{"op":"field","name":"amount"},"right":{"op":"number","value":{size}}}}', None),
+    ('{"op":"compare","relation":"ge","left":{"op":"count","input":{"op":"filter","input":{"op":"source","name":"events"},"as":"x","predicate":{"op":"compare","relation":"gt","left":{"op":"field","name":"amount","of":{"op":"var","name":"x"}},"right":{"op":"decimal","value":"{size}.5"}}}},"right":{"op":"number","value":10}}', None),
+    ('{"op":"contains","input":{"op":"distinct","input":{"op":"map","input":{"op":"source","name":"events"},"as":"x","body":{"op":"field","name":"type"}}},"value":{"op":"string","value":"error"}}', None),
+    ('{"op":"compare","relation":"le","left":{"op":"count","input":{"op":"source","name":"events"}},"right":{"op":"string","value":"{size}"}}', "type"),
+    ('{"op":"any","input":{"op":"source","name":"events"},"as":"x","predicate":{"op":"compare","relation":"eq","left":{"op":"field","name":"amount"},"right":{"op":"count","input":{"op":"source","name":"events"}}}}', "type"),
+    ('{"op":"any","input":{"op":"source","name":"orders{size}"},"predicate":{"op":"bool","value":true}}', "undeclared source"),
+    ('{"op":"any","input":{"op":"source","name":"events"},"as":"x","predicate":{"op":"all","input":{"op":"source","name":"events"},"as":"x","predicate":{"op":"bool","value":true}}}', "variable bound twice"),
+    ('{"op":"count","input":{"op":"source","name":"events"}} {size}', "malformed"),
+]
+_FAULTY = "CASE p_partkey % 8 " + " ".join(f"WHEN {i} THEN '{why}'" for i, (_, why) in enumerate(_STATEMENTS) if why) + " END"
+
+
+def _rules(spark, d):
+    """A rule for each part."""
+    form = F.element_at(F.array(*[F.lit(s) for s, _ in _STATEMENTS]), (F.col("p_partkey") % 8 + 1).cast("int"))
+    return table(spark, d, "part").select(F.col("p_partkey").alias("rule_id"), F.replace(form, F.lit("{size}"), F.col("p_size").cast("string")).alias("statement"))
+
+
+@query("exp21_statement_gaps", f"SELECT CAST(p_partkey AS VARCHAR) AS rule_id, {_FAULTY} AS reason FROM part WHERE {_FAULTY} IS NOT NULL")
+def exp21_gaps(spark, d):
+    return statements.check(_rules(spark, d), {"events": _RECORD})[1].select("rule_id", "reason")
+
+
+@query("exp21_statement_fields", "SELECT CAST(p_partkey AS VARCHAR) AS rule_id, CASE WHEN p_partkey % 8 = 2 THEN 'type' ELSE 'amount' END AS fields, CASE p_partkey % 8 WHEN 0 THEN 5 WHEN 1 THEN 9 ELSE 6 END AS nodes FROM part WHERE p_partkey % 8 < 3")
+def exp21_fields(spark, d):
+    good = statements.check(_rules(spark, d), {"events": _RECORD})[0]
+    return good.select("rule_id", F.array_join(F.element_at("fields", "events"), ",").alias("fields"), "nodes")
+
+
+@query(
+    "exp21_rules_on_users",
+    """WITH u AS (SELECT user_id, list(round(value, 2)) AS v, bool_or(event_type = 'error') AS e FROM events GROUP BY user_id),
+    r AS (SELECT DISTINCT p_partkey % 8 AS form, CASE WHEN p_partkey % 8 < 2 THEN p_size END AS size FROM part WHERE p_partkey % 8 < 3),
+    h AS (SELECT form, size, count(*) FILTER (WHERE CASE form WHEN 0 THEN len(list_filter(v, lambda x: x > size)) = 0 WHEN 1 THEN len(list_filter(v, lambda x: x > size + 0.5)) >= 10 ELSE e END) AS users FROM u, r GROUP BY ALL)
+    SELECT CAST(p_partkey AS VARCHAR) AS rule_id, users FROM part JOIN h ON h.form = p_partkey % 8 AND (h.size = p_size OR h.form = 2)""",
+)
+def exp21_users(spark, d):
+    """For how many users each part's rule holds."""
+    good, _ = statements.check(_rules(spark, d), {"events": _RECORD})
+    distinct = good.select(F.xxhash64("statement").cast("string").alias("rule_id"), "statement").distinct()
+    held = statements.hold(_sessions(spark, d), distinct, {"events": _RECORD}, ["user_id"])
+    users = held.groupBy("rule_id").agg(F.count_if("holds").alias("users"))
+    return good.withColumn("of", F.xxhash64("statement").cast("string")).join(users.withColumnRenamed("rule_id", "of"), "of").select("rule_id", "users")
+
+
 # --- functions -----------------------------------------------------------------------------------------------------------
 
 
