@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.tables import keep, partitions, running
+
 
 def rate(n: Column, d: Column, unknown: Column) -> Column:
     """AGG-18."""
@@ -13,12 +16,24 @@ def rate(n: Column, d: Column, unknown: Column) -> Column:
 
 
 def distribution(rows: DataFrame, value: str, keys: Sequence[str] = ()) -> DataFrame:
-    """AGG-19. Samples, unknown, median (mean of the middle two) and nearest-rank p95; null with any unknown."""
-    known = F.count_if(F.col(value).isNull()) == 0
-    return rows.groupBy(*keys).agg(
-        F.count(value).alias("samples"), F.count_if(F.col(value).isNull()).alias("unknown"),
-        F.when(known, F.median(value)).alias("median"), F.when(known, F.expr(f"percentile_disc(0.95) within group (order by {value})")).alias("p95"),
-    )
+    """AGG-19. Samples, unknown, median (mean of the middle two) and nearest-rank p95; null with any unknown.
+
+    Exact and without a buffer of a group: equal values are counted first, the counts are added up in order in range parts,
+    and the values are taken whose running counts span the wanted ranks."""
+    k = [f"_k{i}" for i in range(len(keys))]
+    same = reduce(lambda a, b: a & b, [F.col(a).eqNullSafe(F.col(b)) for a, b in zip(keys, k, strict=True)], F.lit(True))
+    named = [F.col(a).alias(b) for a, b in zip(keys, k, strict=True)]
+    totals = rows.groupBy(*keys).agg(F.count(value).alias("samples"), F.count_if(F.col(value).isNull()).alias("unknown"))
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).alias("_v")).agg(F.count(F.lit(1)).alias("_c"))
+    dealt = counts.repartitionByRange(partitions(rows.sparkSession), *keys, "_v").withColumn("_piece", F.spark_partition_id())
+    spans = running(keep(dealt, "value-counts"), list(keys), "_piece", ["_v"], F.col("_c"), "_before")
+    whole = keep(totals, "totals")
+    spans = spans.join(whole.where("unknown = 0").select(*named, F.col("samples").alias("_of")), same)
+    holds = lambda rank: (F.col("_before") < rank) & (rank <= F.col("_before") + F.col("_c"))
+    at = {"_low": F.expr("(_of + 1) div 2"), "_high": F.expr("_of div 2 + 1"), "p95": F.expr("(95 * _of + 99) div 100")}
+    found = spans.groupBy(*keys).agg(*[F.min(F.when(holds(rank), F.col("_v"))).alias(name) for name, rank in at.items()])
+    found = found.select(*named, ((F.col("_low").cast("double") + F.col("_high")) / 2).alias("median"), "p95")
+    return whole.join(found, same, "left").select(*keys, "samples", "unknown", "median", "p95")
 
 
 def success(rows: DataFrame, flag: str, keys: Sequence[str] = ()) -> DataFrame:

@@ -7,7 +7,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from sluice.tables import keep, partitions, running
+from sluice.tables import keep, numbered, partitions, running
 
 
 def attempt_audit(attempts: DataFrame, keys: Sequence[str] = (), limit: int = 3, max_attempts: int = 10, max_ms: int = 3_600_000) -> DataFrame:
@@ -66,39 +66,86 @@ def output_budget(rows: DataFrame, size: Column, keys: Sequence[str], order: Seq
     return out.where("_fits").drop("_n", "_used", "_fits")
 
 
-def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:
-    """WIN-7. In order, each item that still fits is kept; a large one is skipped and later smaller ones may fit. Sizes are
-    not negative; a null size never fits.
+def _same(keys: Sequence[str]) -> Column:
+    """Null-safe equality with what _named renamed."""
+    return reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)], F.lit(True))
+
+
+def _named(keys: Sequence[str]) -> list[Column]:
+    return [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
 
-    In rounds: of the items left, the prefix that fits is kept, by running sums made in pieces; then those after it stay that
-    are no larger than what is left, until there are none."""
-    slim = rows.select(*keys, *[c for c in order if c not in keys], F.col(size).cast("long").alias("_s"))
+
+def _fitting(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[str], budget: int) -> tuple[DataFrame, DataFrame]:
+    """(items that fit: keys, __n, __s; all items). With between 2^k and 2^(k+1) - 1 left, every item below 2^k fits as long as
+    2^k are left, and at most one larger one does, as less is left after it. So a round takes, in each section, the small items
+    in order up to the first place where less than 2^k are left or a larger item fits: running sums made in pieces and a least
+    place. After it a bit of what was left is gone for good, so there are no more rounds than the budget has bits."""
+    slim = rows.select(*keys, *[c for c in order if c not in keys], F.col(size).cast("long").alias("__s"))
     dealt = slim.repartitionByRange(partitions(rows.sparkSession), *keys, *order).withColumn("_piece", F.spark_partition_id())
-    items = running(keep(dealt, "items"), list(keys), "_piece", list(order), F.lit(1), "_n").select(*keys, "_piece", (F.col("_n") + 1).alias("_n"), "_s")
+    items = running(keep(dealt, "items"), list(keys), "_piece", list(order), F.lit(1), "__n").select(*keys, "_piece", (F.col("__n") + 1).alias("__n"), "__s")
     items = keep(items, "numbered")
-    here = [F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    same = [F.col(k).eqNullSafe(F.col(f"_k{i}")) for i, k in enumerate(keys)]
-    sections = keep(items.groupBy(*keys).agg(F.lit(budget).cast("long").alias("_left")), "sections")
-    left, live, taken = sections.withColumn("_at", F.lit(0).cast("long")), items, None
+    state = keep(items.groupBy(*keys).agg(F.lit(budget).cast("long").alias("_left"), F.lit(0).cast("long").alias("_at")), "sections")
+    live, taken = items, items.limit(0)
     while True:
-        known = left.select(*here, "_left", "_at")
-        live = live.join(known, same).where("_n > _at and _s <= _left").select(*items.columns, "_left", "_at")
-        live = keep(running(live, list(keys), "_piece", ["_n"], F.col("_s"), "_before"), "live")
+        live = live.join(state.select(*_named(keys), "_left", "_at"), _same(keys)).where("__n > _at and __s <= _left").select(*items.columns, "_left")
+        bit = F.expr("shiftleft(1L, length(bin(greatest(_left, 1L))) - 1)")
+        live = live.withColumn("_small", F.col("__s") < bit).withColumn("_bit", bit)
+        live = keep(running(live, list(keys), "_piece", ["__n"], F.when(F.col("_small"), F.col("__s")).otherwise(0), "_before"), "live")
         if live.isEmpty():
             break
-        fits = live.where("_before + _s <= _left").select(*items.columns)
-        taken = fits if taken is None else taken.unionByName(fits)
-        used = live.where("_before + _s <= _left").groupBy(*keys).agg((F.first("_left") - F.sum("_s")).alias("_left"), F.max("_n").alias("_at"))
-        left, live = keep(used, "left"), live.where("_before + _s > _left").select(*items.columns)
-    taken = items.limit(0) if taken is None else taken
-    kept = taken.groupBy(*keys).agg(F.sum("_s").alias("used"), F.sort_array(F.collect_list("_n")).alias("_kept"))
-    kept = kept.select(*here, "used", "_kept")
+        left = F.col("_left") - F.col("_before")
+        ends = F.when(F.col("_small"), (F.col("_left") > 0) & (left - F.col("__s") < F.col("_bit"))).otherwise(F.col("__s") <= left)
+        stop = keep(live.groupBy(*keys).agg(F.min(F.when(ends, F.col("__n"))).alias("_stop")), "stop").select(*_named(keys), "_stop")
+        fits = live.join(stop, _same(keys)).where("__n = _stop or _small and (_stop is null or __n < _stop)")
+        fits = keep(fits.select(*keys, "__n", "__s", "_left", "_stop"), "fits")
+        taken = taken.select(*keys, "__n", "__s").unionByName(fits.select(*keys, "__n", "__s"))
+        state = keep(fits.where("_stop is not null").groupBy(*keys).agg((F.first("_left") - F.sum("__s")).alias("_left"), F.max("_stop").alias("_at")), "left")
+        live = live.select(*items.columns)
+    return taken.select(*keys, "__n", "__s"), items
+
+
+def greedy_fit(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[str], budget: int) -> DataFrame:
+    """WIN-7. In order, each item that still fits is kept; a large one is skipped and later smaller ones may fit. keys, used,
+    kept, places (from 1, joined by commas). Sizes are not negative; a null size never fits. Takes as many rounds as the budget
+    has bits at most, however many items there are; a section is spread over tasks."""
+    taken, items = _fitting(rows, size, keys, order, budget)
+    kept = taken.groupBy(*keys).agg(F.sum("__s").alias("used"), F.sort_array(F.collect_list("__n")).alias("_kept")).select(*_named(keys), "used", "_kept")
     places = F.coalesce(F.array_join(F.transform("_kept", lambda x: x.cast("string")), ","), F.lit(""))
-    return sections.join(kept, same, "left").select(
+    return items.select(*keys).distinct().join(kept, _same(keys), "left").select(
         *keys, F.coalesce("used", F.lit(0)).cast("long").alias("used"), F.coalesce(F.size("_kept"), F.lit(0)).alias("kept"), places.alias("places")
     )
 
 
+def shared_fit(rows: DataFrame, size: str, keys: Sequence[str], section: str, order: Sequence[str], budget: int, sections: Sequence[str], cut: str | None = None) -> DataFrame:
+    """WIN-7. One budget in equal shares for the named sections, so that no section's items hide another's: keys, section, total,
+    kept, omitted, used, truncated. A section without items has a row too. truncated tells, for all sections of the keys alike,
+    whether any item was left out or the text of a kept one was shortened (`cut`, a boolean column). Items of other sections
+    count nowhere; a null `cut` counts as not shortened."""
+    mine = rows.where(F.col(section).isin(list(sections)))
+    by = [*keys, section]
+    taken, _ = _fitting(mine, size, by, order, budget // len(sections))
+    flag = F.coalesce(F.col(cut), F.lit(False)) if cut else F.lit(False)
+    used = taken.groupBy(*by).agg(F.count(F.lit(1)).alias("kept"), F.sum("__s").alias("used")).select(*_named(by), "kept", "used")
+    total = mine.groupBy(*by).agg(F.count(F.lit(1)).alias("total")).select(*_named(by), "total")
+    all_sections = rows.select(*keys).distinct().select(*keys, F.explode(F.array(*map(F.lit, sections))).alias(section))
+    out = all_sections.join(total, _same(by), "left").drop(*[f"_k{i}" for i in range(len(by))]).join(used, _same(by), "left").drop(*[f"_k{i}" for i in range(len(by))])
+    for c in ("total", "kept", "used"):
+        out = out.withColumn(c, F.coalesce(c, F.lit(0)).cast("long"))
+    out = out.withColumn("omitted", F.col("total") - F.col("kept"))
+    if cut:  # which items were kept is known by their places in order
+        placed = numbered(mine.withColumn("_cut", flag).select(*by, *[c for c in order if c not in by], "_cut"), by, list(order), "_place")
+        shortened = placed.where("_cut").select(*_named(by), F.col("_place")).join(taken, _same(by) & (F.col("_place") == F.col("__n")))
+        shortened = shortened.select(*keys).distinct().withColumn("_shortened", F.lit(True)).select(*_named(keys), "_shortened")
+    else:
+        shortened = None
+    whole = out.groupBy(*keys).agg((F.sum("omitted") > 0).alias("_omits")).select(*_named(keys), "_omits")
+    names = [f"_k{i}" for i in range(len(keys))]
+    out = out.join(whole, _same(keys)).drop(*names)
+    if shortened is not None:
+        out = out.join(shortened, _same(keys), "left").drop(*names).withColumn("_omits", F.col("_omits") | F.coalesce("_shortened", F.lit(False)))
+    return out.select(*keys, section, "total", "kept", "omitted", "used", F.col("_omits").alias("truncated"))
+
+
 def first_observations(rows: DataFrame, keys: Sequence[str], order: Sequence[str], most: int = 64) -> DataFrame:
     """WIN-9. The first `most` rows of each group, with the number of all. Rows are counted and limited before they are dealt,
     so that a large group does not meet in one task."""

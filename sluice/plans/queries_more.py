@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sluice.functions import text as T
-from sluice.operators import diff, expressions as X, graph, rules, sets, statements, windows
+from sluice.operators import diff, expressions as X, graph, rules, sets, statements, stats, windows
 from sluice.plans import adapters as A
 from sluice.plans.adapters import sql, table
 from sluice.plans.queries import query
@@ -103,6 +103,31 @@ def win7(spark, d):
     return windows.greedy_fit(docs, "bytes", ["source"], ["doc_id"], 10_000)
 
 
+@query(
+    "win7_shared_fit",
+    "WITH RECURSIVE r AS (SELECT source, doc_id % 5 AS section, least(octet_length(encode(text)), 256) AS size, octet_length(encode(text)) > 256 AS cut, row_number() OVER (PARTITION BY source, doc_id % 5 ORDER BY doc_id) AS n FROM documents), "
+    "s AS (SELECT source, section, count(*) AS total FROM r GROUP BY ALL), f AS (SELECT source, section, CAST(0 AS BIGINT) AS n, CAST(0 AS BIGINT) AS used, CAST(0 AS BIGINT) AS kept, false AS cut FROM s UNION ALL "
+    "SELECT f.source, f.section, r.n, f.used + CASE WHEN f.used + r.size <= 1024 THEN r.size ELSE 0 END, f.kept + CASE WHEN f.used + r.size <= 1024 THEN 1 ELSE 0 END, f.cut OR r.cut AND f.used + r.size <= 1024 "
+    "FROM f JOIN r ON r.source IS NOT DISTINCT FROM f.source AND r.section = f.section AND r.n = f.n + 1), "
+    "e AS (SELECT source, section, arg_max(used, n) AS used, arg_max(kept, n) AS kept, bool_or(cut) AS cut FROM f GROUP BY ALL), "
+    "g AS (SELECT q.source, q.section, coalesce(total, 0) AS total, coalesce(kept, 0) AS kept, coalesce(used, 0) AS used, coalesce(cut, false) AS cut FROM (SELECT * FROM (SELECT DISTINCT source FROM r), (SELECT unnest(range(0, 5)) AS section)) q LEFT JOIN s ON s.source IS NOT DISTINCT FROM q.source AND s.section = q.section LEFT JOIN e ON e.source IS NOT DISTINCT FROM q.source AND e.section = q.section) "
+    "SELECT source, CAST(section AS VARCHAR) AS section, total, kept, total - kept AS omitted, used, bool_or(total > kept OR cut) OVER (PARTITION BY source) AS truncated FROM g",
+)
+def win7_shares(spark, d):
+    """Texts cut to 256 bytes, in five sections that share 5,120 bytes."""
+    size = F.octet_length("text")
+    docs = table(spark, d, "documents").withColumn("bytes", F.least(size, F.lit(256))).withColumn("cut", size > 256).withColumn("section", (F.col("doc_id") % 5).cast("string"))
+    return windows.shared_fit(docs, "bytes", ["source"], "section", ["doc_id"], 5120, list("01234"), "cut")
+
+
+@query(
+    "agg19_distribution_of_values",
+    "SELECT l_returnflag, l_linestatus, count(l_extendedprice) AS samples, 0 AS unknown, median(l_extendedprice) AS median, quantile_disc(l_extendedprice, 0.95) AS p95 FROM lineitem GROUP BY ALL",
+)
+def agg19_values(spark, d):
+    return stats.distribution(table(spark, d, "lineitem"), "l_extendedprice", ["l_returnflag", "l_linestatus"])
+
+
 A.CTE["lines8"] = "SELECT l_suppkey AS path, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey, l_extendedprice) AS line_no, CASE WHEN l_linenumber = 1 THEN 'code' WHEN l_linenumber = 4 THEN 'blank' ELSE 'comment' END AS kind FROM lineitem"
 
 

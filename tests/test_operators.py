@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.operators import diff, expressions as X, gates, graph, rules, scope, sets, stats, windows
+from sluice.tables import keep
 
 
 def df(spark, rows, schema):
@@ -196,6 +197,65 @@ def test_greedy_fit_looks_at_every_row(spark):
     assert {(r.k, r.used, r.kept, r.places) for r in got} == set(want) and len(got) == 4
 
 
+def test_greedy_fit_takes_few_rounds(spark, monkeypatch):
+    made = [(n, 1 if n % 2 else 200 - n // 2) for n in range(1, 300)]
+    used, places = 0, []
+    for n, size in made:
+        if used + size <= 200:
+            used, places = used + size, [*places, n]
+    tables = []
+    monkeypatch.setattr(windows, "keep", lambda df, name: tables.append(name) or keep(df, name))
+    got = windows.greedy_fit(df(spark, made, "n int, size int"), "size", [], ["n"], 200).collect()
+    assert [(r.used, r.places) for r in got] == [(used, ",".join(map(str, places)))]
+    assert tables.count("live") <= 9  # 200 has eight bits
+
+
+def test_shared_fit(spark):
+    made = [("a", "x", i, 30, i == 1) for i in range(5)] + [("a", "y", 0, 200, False), ("a", "other", 0, 1, True), ("b", "y", 0, 10, None), (None, "x", 0, 10, True)]
+    got = windows.shared_fit(df(spark, made, "k string, s string, n int, size int, cut boolean"), "size", ["k"], "s", ["n"], 200, ["x", "y"], "cut")
+    assert rows(got, "k", "s", "total", "kept", "omitted", "used", "truncated") == sorted([("a", "x", 5, 3, 2, 90, True), ("a", "y", 1, 0, 1, 0, True), ("b", "x", 0, 0, 0, 0, False), ("b", "y", 1, 1, 0, 10, False), (None, "x", 1, 1, 0, 10, True), (None, "y", 0, 0, 0, 0, True)], key=str)
+    assert windows.shared_fit(df(spark, [], "k string, s string, n int, size int"), "size", ["k"], "s", ["n"], 200, ["x", "y"]).count() == 0
+
+
+def test_distribution_without_keys(spark):
+    t = df(spark, [(float("nan"),), (1.0,), (1.0,), (-0.5,)], "v double")
+    assert rows(stats.distribution(t, "v"), "samples", "median") == [(4, 1.0)]
+    assert stats.distribution(df(spark, [], "k string, v double"), "v", ["k"]).count() == 0
+    nulls = df(spark, [(None, 3), (None, 1), ("a", 2)], "k string, v int")
+    assert rows(stats.distribution(nulls, "v", ["k"]), "k", "median", "p95") == sorted([(None, 2.0, 3), ("a", 2.0, 2)], key=str)
+
+
+def test_shuffled_files_are_compared_by_bits():
+    import random
+    import time
+
+    rnd, began = random.Random(3), time.perf_counter()
+    old = [f"line {rnd.randrange(30_000)}" for _ in range(20_000)]
+    new = rnd.sample(old, len(old))
+    gone, fresh = diff.edits(old, new)
+    left = [x for i, x in enumerate(old) if i not in set(gone)]
+    assert left == [x for i, x in enumerate(new) if i not in set(fresh)] and len(gone) == len(fresh)
+    codes = {x: i for i, x in enumerate(old)}
+    assert len(left) == diff._common([codes[x] for x in old], [codes[x] for x in new])[-1]
+    assert time.perf_counter() - began < 60
+
+
+def test_halving_finds_shortest_scripts(monkeypatch):
+    import random
+
+    monkeypatch.setattr(diff, "FEW", 1)
+    rnd = random.Random(8)
+    for _ in range(300):
+        a, b = ([rnd.randrange(4) for _ in range(rnd.randrange(30))] for _ in range(2))
+        best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                best[i + 1][j + 1] = best[i][j] + 1 if x == y else max(best[i][j + 1], best[i + 1][j])
+        assert diff._common(a, b).tolist() == best[len(a)]
+        gone, fresh = diff.edits(a, b)
+        assert len(a) - len(gone) == len(b) - len(fresh) == best[len(a)][len(b)]
+
+
 def test_sets_of_nothing(spark):
     none, some = df(spark, [], "x int"), df(spark, [(1,)], "x int")
     assert rows(sets.subset(none, some), "lacking", "subset") == [(0, True)]
