@@ -138,7 +138,7 @@ def line_diff(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     Lines end with \\n, \\r\\n or \\r and are compared with their ends, so a last line that gets an end is another line. The
     script is a shortest one: few edits are found by greedy search from both ends; where there are many, the file is halved
     where the common lengths, a row of them held as the bits of one number, add up to the most. Space is linear and time grows
-    with the product of the lengths over the bits of a word: two shuffled files of 100,000 lines take some ten seconds. Only
+    with the product of the lengths over the bits of a word: two shuffled files of 100,000 lines take a minute. Only
     changed files are cut into lines; each is one task's work, as its edits depend on one another."""
     schema = ", ".join(f"{k} {pairs.schema[k].dataType.simpleString()}" for k in [*keys, "path"]) + ", op string, line_no int"
     lead = [*keys, "path"]

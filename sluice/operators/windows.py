@@ -95,11 +95,11 @@ def _fitting(rows: DataFrame, size: str, keys: Sequence[str], order: Sequence[st
             break
         left = F.col("_left") - F.col("_before")
         ends = F.when(F.col("_small"), (F.col("_left") > 0) & (left - F.col("__s") < F.col("_bit"))).otherwise(F.col("__s") <= left)
-        stop = keep(live.groupBy(*keys).agg(F.min(F.when(ends, F.col("__n"))).alias("_stop")), "stop").select(*_named(keys), "_stop")
+        stop = live.groupBy(*keys).agg(F.min(F.when(ends, F.col("__n"))).alias("_stop")).select(*_named(keys), "_stop")
         fits = live.join(stop, _same(keys)).where("__n = _stop or _small and (_stop is null or __n < _stop)")
         fits = keep(fits.select(*keys, "__n", "__s", "_left", "_stop"), "fits")
         taken = taken.select(*keys, "__n", "__s").unionByName(fits.select(*keys, "__n", "__s"))
-        state = keep(fits.where("_stop is not null").groupBy(*keys).agg((F.first("_left") - F.sum("__s")).alias("_left"), F.max("_stop").alias("_at")), "left")
+        state = fits.where("_stop is not null").groupBy(*keys).agg((F.first("_left") - F.sum("__s")).alias("_left"), F.max("_stop").alias("_at"))
         live = live.select(*items.columns)
     return taken.select(*keys, "__n", "__s"), items
 

@@ -8,7 +8,7 @@ from sluice.plans import adapters as A
 from sluice.plans.adapters import table
 from sluice.plans.queries import query
 from sluice.sources import json_reports, sink, text_reports, xml_reports
-from sluice.tables import fresh_path
+from sluice.tables import fresh_path, partitions
 
 
 def _key() -> Column:
@@ -25,7 +25,7 @@ def _text(*parts) -> Column:
 
 def _reports(spark, d, item: Column, before, after, joint: str = "", sums: dict[str, Column] | None = None, collect=F.collect_list) -> DataFrame:
     """One report per customer; `before` and `after` may use n (orders), failed (orders of status F) and `sums`."""
-    o = table(spark, d, "orders")
+    o = table(spark, d, "orders").repartition(partitions(spark), "o_custkey")  # reports are few bytes and much work: not fewer tasks
     g = o.groupBy("o_custkey").agg(
         F.array_join(F.transform(F.array_sort(collect(F.struct((_key() if collect is F.collect_list else F.lit(0)).alias("k"), item.alias("x")))), lambda r: r["x"]), joint).alias("items"), F.count(F.lit(1)).alias("n"), F.count_if(_status() == "F").alias("failed"),
         *[F.sum(v).alias(k) for k, v in (sums or {}).items()],

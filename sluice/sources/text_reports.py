@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from sluice.functions.text import lines
 from sluice.sources.common import blank, once, split
+from sluice.tables import keep
 
 _NUMBER = r"^\+?[0-9]+$"
 _COUNTERS = ("LF", "LH", "BRF", "BRH")
@@ -53,6 +54,7 @@ def _judged(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     why = F.coalesce(*[F.when(F.coalesce(bad, F.lit(True)), i) for i, bad in enumerate(faults.values())])
     counted = (F.size("BRF") == 1) & (F.size("BRH") == 1)
     judged = once(parsed, "why", F.struct(why.alias("why"), counted.alias("counted"))).select("report_id", F.get("files", F.lit(0)).alias("file"), "da", "br", "why.*")
+    judged = keep(judged, "lcov-sections")  # read for the verdict and for the facts
     verdict = judged.groupBy("report_id").agg(F.min("why").alias("why"), (F.bool_and("counted") & F.bool_or(F.size("br") > 0)).alias("branch_coverage"))
     reason = F.element_at(F.array(*map(F.lit, faults)), F.col("why") + 1)
     gaps = gaps.unionByName(verdict.where("why is not null").select("report_id", reason.alias("reason")))
