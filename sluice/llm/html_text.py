@@ -21,7 +21,7 @@ WRAP = 60  # characters of a table's column: longer lines of cells are wrapped a
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title select".split())
+HIDDEN = frozenset("head script style template noscript iframe noembed noframes object audio video canvas svg datalist title select rp".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl blockquote pre table figure hr fieldset".split())  # a blank line around
 BLOCK = SPACED | frozenset(
     "html body div section article aside header footer nav main address form li dt dd tr caption details summary figcaption legend center hgroup search dialog menu thead tbody tfoot".split()
@@ -47,6 +47,9 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([
 _END = {name: re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I) for name in RAW}
 _DECLARED = re.compile(r"(?:^|[;{\s])(display|visibility)\s*:\s*([a-z-]+)", re.I)
 _SELECTOR = re.compile(r"(?:\*|[a-z][a-z0-9-]*)?(?:[.#][A-Za-z_-][\w-]*)*", re.I)
+_BRACE = re.compile(r"[{}]")
+_SPACE = " \t\n\f\r"  # white space that HTML folds; no-break and other spaces are characters
+_WORD = re.compile(r"[^ \t\n\f\r]+")
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)|<!--|-->", re.S)
 
 
@@ -55,6 +58,11 @@ def declared(style: str) -> dict[str, str]:
     return {k.lower(): v.lower() for k, v in _DECLARED.findall(_COMMENT.sub(" ", style))}
 
 
+def _for_screens(head: str) -> bool:
+    media = head.lower().split()
+    return media[0] == "@media" and "not" not in media and (len(media) == 1 or bool({"all", "screen", "all,", "screen,"} & set(media)))
+
+
 class Sheet:
     """The rules of a page's style sheets that hide or show: those for a tag, classes and an id of one element. Rules of
     media other than screens, and other selectors, are left out."""
@@ -64,22 +72,31 @@ class Sheet:
         self.count = 0
 
     def add(self, css: str) -> None:
-        css, at = _COMMENT.sub(" ", css), 0
-        while (brace := css.find("{", at)) >= 0:
-            head = css[at:brace].rsplit(";", 1)[-1].strip()
-            depth, end = 1, brace + 1
-            while end < len(css) and depth:
-                depth += {"{": 1, "}": -1}.get(css[end], 0)
-                end += 1
-            body, at = css[brace + 1 : end - 1 if depth == 0 else end], end
-            if head.startswith("@"):
-                media = head.lower().split()
-                if media[0] == "@media" and "not" not in media and (len(media) == 1 or {"all", "screen", "all,", "screen,"} & set(media)):
-                    self.add(body)
-            elif found := declared(body):
+        """One pass over the braces. A block holds its own text, without the blocks in it; one that is not closed ends with the
+        sheet. Rules in a block that is not for screens, or within a selector's block, are left out."""
+        css, at, blocks = _COMMENT.sub(" ", css), 0, [("", [], True)]  # head, own text, whether rules in it count
+
+        def end() -> None:
+            head, own, _ = blocks.pop()
+            if not head.startswith("@") and blocks[-1][2] and (found := declared("".join(own))):
                 for selector in head.split(","):
                     self._rule(selector.strip(), found)
 
+        for brace in _BRACE.finditer(css):
+            text, at = css[at : brace.start()], brace.end()
+            if brace[0] == "}":
+                blocks[-1][1].append(text)
+                if len(blocks) > 1:
+                    end()
+                continue
+            own, _, head = text.rpartition(";")
+            blocks[-1][1].append(own + ";")
+            head = head.strip()
+            blocks.append((head, [], blocks[-1][2] and head.startswith("@") and _for_screens(head)))
+        blocks[-1][1].append(css[at:])
+        while len(blocks) > 1:
+            end()
+
     def _rule(self, selector: str, found: dict[str, str]) -> None:
         if not selector or not _SELECTOR.fullmatch(selector):
             return
@@ -161,7 +178,10 @@ def parse(source: str) -> Node:
         if kind == "text":
             stack[-1].children.append(value)
         elif kind == "open":
-            if value == "html":
+            attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n") else {}
+            if value == "html" or value == "body" and places.get("body"):  # there is one of each: what it lacks is added
+                only = root if value == "html" else stack[places["body"][0]]
+                only.attrs = attrs | only.attrs
                 continue
             if value in CLOSES:
                 close(*CLOSES[value])
@@ -173,7 +193,6 @@ def parse(source: str) -> Node:
                 close(frozenset(["head"]), frozenset())
             if value in ("td", "th") and stack[-1].tag in ("table", "tbody", "thead", "tfoot"):
                 push("tr", {})
-            attrs = {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(rest)} if rest.strip(" /\n") else {}
             push(value, attrs)
         elif value == "p":
             if not close(frozenset(["p"]), BARRIER):
@@ -215,17 +234,17 @@ class _Page:
 
     def br(self) -> None:
         """Ends the line; a second one leaves a blank line."""
-        self.end(1 if self.now.strip() else 2)
+        self.end(1 if self.now.strip(_SPACE) else 2)
 
     def words(self, text: str) -> None:
-        parts = text.split()
+        parts = _WORD.findall(text)
         if not parts:
             self.space = self.space or bool(text)
             return
-        lead = self.space or text[0].isspace()
+        lead = self.space or text[0] in _SPACE
         self._begin()
-        self.now += (" " if lead and self.now.strip() and not self.now.endswith(" ") else "") + " ".join(parts)
-        self.space = text[-1].isspace()
+        self.now += (" " if lead and self.now.strip(_SPACE) and not self.now.endswith(" ") else "") + " ".join(parts)
+        self.space = text[-1] in _SPACE
 
     def _begin(self) -> None:
         if not self.now:
@@ -243,8 +262,8 @@ class _Page:
 
     def end(self, gap: int) -> None:
         """Ends the line if one is begun; gap 2 asks for a blank line before the next."""
-        if self.now.strip():
-            self.lines.append(self.now.rstrip())
+        if self.now.strip(_SPACE):
+            self.lines.append(self.now.rstrip(_SPACE))
         self.now, self.space, self.gap = "", False, max(self.gap, gap)
 
     def text(self) -> str:
@@ -258,7 +277,7 @@ def _rows(node: Node, sheet: Sheet, captions: list[Node]) -> Iterator[tuple[Node
     while todo:
         child, of = todo.pop()
         if isinstance(child, str):
-            if child.strip():
+            if child.strip(_SPACE):
                 captions.append(_stray(child))
         elif not displayed(child, sheet)[0]:
             continue
@@ -285,13 +304,13 @@ def _wrapped(line: str) -> list[str]:
     """A line in parts of WRAP characters at most, cut at spaces; a longer word is a part of its own."""
     if len(line) <= WRAP:
         return [line]
-    lead = line[: len(line) - len(line.lstrip())]
+    lead = line[: len(line) - len(line.lstrip(_SPACE))]
     out, now = [], lead
-    for word in line.split():
-        if now.strip() and len(now) + 1 + len(word) > WRAP:
+    for word in _WORD.findall(line):
+        if now.strip(_SPACE) and len(now) + 1 + len(word) > WRAP:
             out.append(now)
             now = ""
-        now += (" " if now.strip() else "") + word
+        now += (" " if now.strip(_SPACE) else "") + word
     return [*out, now]
 
 
@@ -324,7 +343,7 @@ def _table(node: Node, seen: bool, sheet: Sheet) -> Generator:
         cells, texts = [], []
         for c in row.children:
             if isinstance(c, str):
-                captions += [_stray(c)] if c.strip() else []
+                captions += [_stray(c)] if c.strip(_SPACE) else []
             elif not displayed(c, sheet)[0]:
                 continue
             elif c.tag not in ("td", "th"):
@@ -368,13 +387,15 @@ def _table(node: Node, seen: bool, sheet: Sheet) -> Generator:
                         out.append(line)
                         line = ""
                 line = line.ljust(offset[at]) + lines[k]
-            out.append(line.rstrip())
-    return [x for x in out if x.strip()]
+            out.append(line.rstrip(_SPACE))
+    return [x for x in out if x.strip(_SPACE)]
 
 
 def _render(node: Node, page: _Page, pre: bool, depth: int, seen: bool, sheet: Sheet) -> Generator:
     """Puts the children on the page, as a step of _run. seen: whether text that stands here is visible."""
-    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,6}", node.attrs.get("start", "")) else 1
+    step = -1 if "reversed" in node.attrs else 1
+    first = 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" and displayed(c, sheet)[0] for c in node.children)
+    number = int(node.attrs["start"]) if re.fullmatch(r"-?\d{1,6}", node.attrs.get("start", "")) else first
     for child in node.children:
         if isinstance(child, str):
             if not seen:
@@ -384,7 +405,7 @@ def _render(node: Node, page: _Page, pre: bool, depth: int, seen: bool, sheet: S
                 for x in ended:
                     page._begin()
                     page.now += x
-                    page.lines.append(page.now.rstrip())
+                    page.lines.append(page.now.rstrip(_SPACE))
                     page.now = ""
                 if last:
                     page._begin()
@@ -416,7 +437,7 @@ def _render(node: Node, page: _Page, pre: bool, depth: int, seen: bool, sheet: S
             margin, ordered = page.margin, node.tag == "ol"
             number = int(child.attrs["value"]) if ordered and re.fullmatch(r"-?\d{1,6}", child.attrs.get("value", "")) else number
             mark = f"{number}. " if ordered else "- "
-            number += 1
+            number += step
             page.end(1)
             page.marker, page.margin = margin + mark, margin + " " * len(mark)
             yield _render(child, page, pre, depth + 1, state, sheet)
@@ -439,7 +460,11 @@ def _render(node: Node, page: _Page, pre: bool, depth: int, seen: bool, sheet: S
             yield _render(child, page, pre or tag == "pre", depth, state, sheet)
             page.end(gap)
         else:
+            if tag == "q" and state:
+                page.words("\u201c")
             yield _render(child, page, pre, depth, state, sheet)
+            if tag == "q" and state:
+                page.words("\u201d")
             if tag in ("td", "th"):
                 page.space = True
 
@@ -464,7 +489,9 @@ def _run(step: Generator):
 
 
 def render(node: Node) -> str:
-    return _run(_text(node, True, sheets(node)))
+    sheet = sheets(node)
+    shown, says = displayed(node, sheet)
+    return _run(_text(node, says is not False, sheet)) if shown else ""
 
 
 def extract(source: str | None) -> str:

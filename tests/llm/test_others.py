@@ -481,3 +481,23 @@ def test_pipeline_runs_its_stages(spark):
         docs = spark.createDataFrame(docs.collect(), docs.schema)
         assert docs.columns == before or stage is cp.STAGES[-1][1]
     assert Counter(map(tuple, cp.run(spark, DATA).collect())) == Counter(map(tuple, docs.collect()))
+
+
+def test_style_sheets_never_fail():
+    deep = "@media screen{" * 5000 + ".a{display:none}"
+    assert html_text.extract(f"<style>{deep}</style><p class=a>no<p>yes") == "yes"
+    assert html_text.extract("<style>" + "a{" * 3000 + "}" * 4000 + ".b{display:none}</style><p class=b>no<p>yes") == "yes"
+    assert html_text.extract("<style>@media print{.a{display:none}}@media screen{.b{display:none}.c{color:red;.d{display:none}}}.e{display:none;x{y:z}</style><p class=a>1<p class=b>2<p class=c>3<p class=d>4<p class=e>5") == "1\n\n3\n\n4"
+    rnd = random.Random(11)
+    for _ in range(500):
+        css = "".join(rnd.choice(["{", "}", ";", ".a", "#b", "@media ", "screen", "print", "not ", "display:none", "visibility:hidden", "/*", "*/", "<!--", ",", " ", "p", "\n"]) for _ in range(rnd.randrange(60)))
+        assert isinstance(html_text.extract(f"<style>{css}</style><p class=a id=b>text"), str)
+
+
+@pytest.mark.parametrize(("source", "want"), [
+    ("a   b　c \t\n d ", "a   b　c d "), ("<table><tr><td>a b<td>c", "a b  c"), ("<pre>a \n b </pre>", "a \n b"),
+    ("<html style='display:none'>gone", ""), ("<html style='visibility:hidden'>gone<p style='visibility:visible'>seen", "seen"), ("<p>a<html hidden>", ""), ("<body class=x><p>a<body hidden>b", ""), ("<style>.x{display:none}</style><html class=x><p>a", ""),
+    ("<ruby>a<rp>(</rp><rt>b</rt><rp>)</rp></ruby>", "ab"), ("he said <q>so it is</q>.", "he said “so it is”."), ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"), ("<ol reversed start=9><li>a<li>b</ol>", "9. a\n8. b"),
+])
+def test_spaces_roots_and_quotes(source, want):
+    assert html_text.extract(source) == want
