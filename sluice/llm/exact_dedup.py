@@ -2,9 +2,10 @@
 
 Keys are 64-bit text hashes. A bucket holds the keys that share its leading bits, so it is a key range; the directory lists
 the buckets. It starts with one, and doubles: every bucket with more distinct keys than its capacity splits by one more bit,
-round after round, until none is overfull or what is left is one key. Map tasks fold their copies of a text into one entry
-and look its bucket up in the directory; owner tasks receive whole buckets in hash order, chain the entries of one hash,
-compare them byte by byte and write the bucket's file. Documents look their group up by bucket, hash and digest.
+round after round, until none is overfull or what is left is one key. The directory is made of counts before texts move, so no
+bucket's file is written twice. Map tasks fold their copies of a text into one entry and look its bucket up in the directory;
+owner tasks receive ranges of keys, all of them alike wide, in bucket and hash order, chain the entries of one hash, compare
+them byte by byte and write what their range holds of each bucket. Documents look their group up by bucket, hash and digest.
 """
 
 from __future__ import annotations
@@ -131,7 +132,8 @@ def build_index(rows: DataFrame, keys: DataFrame, capacity: int = CAPACITY) -> t
     A text of which there are very many copies comes once from each task that read some, so its owner gets few entries."""
     starts = _starts(_directory(keys, capacity))
     entries = rows.select("doc_id", "h", "sha", "text").mapInArrow(_fold(starts, HELD), _ENTRY)
-    owned = entries.repartition(partitions(rows.sparkSession), "bucket", F.shiftright("h", 52)).sortWithinPartitions("bucket", "h")
+    n = partitions(rows.sparkSession)  # owners: the leading 32 bits of a key times n, over 2^32
+    owned = entries.repartitionById(n, F.expr(f"cast(shiftrightunsigned(shiftrightunsigned(h, 32) * {n}L, 32) as int)")).sortWithinPartitions("bucket", "h")
     return keep(owned.mapInArrow(_chain, _INDEX), "index"), starts
 
 

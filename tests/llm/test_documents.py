@@ -1,6 +1,7 @@
 """Operators on documents: the edge rows against brute force, and empty tables."""
 
 import hashlib
+import os
 import random
 import re
 import zlib
@@ -369,3 +370,30 @@ def test_deep_shallow_orders_as_sorting_does():
             a, b = order[k - 1], order[k]
             lcp = next((j for j in range(min(len(s[a]), len(s[b]))) if s[a][j] != s[b][j]), min(len(s[a]), len(s[b])))
             assert common[k] == (lcp if group[a] == group[b] else -1)
+
+
+ORACLE_SIZE = "/root/testdata/sf0.01"
+
+
+@pytest.mark.skipif(not os.path.isdir(ORACLE_SIZE), reason="no tables")
+def test_many_buckets_and_cells_at_the_size_of_the_oracle(spark):
+    """The registered queries have one bucket and one cell there; with smaller ones the results are the same."""
+    from oracle import connect, rows_of, rows_of_sql
+    from sluice.llm import embedding_dedup
+    from sluice.tables import table
+
+    con, docs = connect(ORACLE_SIZE), table(spark, ORACLE_SIZE, "documents")
+    keys = docs.select(F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).distinct()
+    directory = exact_dedup._directory(keys, 16)
+    assert len(directory) > 40 and len({depth for _, depth in directory}) > 1
+    assert rows_of(exact_dedup.exact_groups(docs, capacity=16)) == rows_of_sql(con, exact_dedup.ORACLE)
+    vectors = table(spark, ORACLE_SIZE, "embeddings")
+    assert rows_of(embedding_dedup.near_groups(vectors, cell=25, block=16)) == rows_of_sql(con, embedding_dedup.ORACLE)
+
+
+def test_owners_hold_ranges_of_keys(spark):
+    docs = spark.createDataFrame([(i, f"text {i % 300}") for i in range(900)], "doc_id long, text string")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), F.sha2("text", 256).alias("sha"), "text")
+    index, _ = exact_dedup.build_index(rows, rows.select("h").distinct(), 8)
+    by_file = index.select(F.input_file_name().alias("file"), F.expr("shiftrightunsigned(h, 1)").alias("k")).groupBy("file").agg(F.min("k").alias("low"), F.max("k").alias("high")).orderBy("low").collect()
+    assert len(by_file) == 4 and all(a.high < b.low for a, b in zip(by_file, by_file[1:], strict=False))
