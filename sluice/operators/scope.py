@@ -81,18 +81,17 @@ def map_report_paths(reported: DataFrame, inventory: DataFrame, keys: Sequence[s
 
 
 def map_with_roots(reported: DataFrame, inventory: DataFrame, roots: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """JOIN-5. root + "/" + file must name exactly one file over all roots (keys, root); without keys, of 64 roots at most."""
+    """JOIN-5. root + "/" + file must name exactly one file over all roots (keys, root). Each path is split at each of its
+    slashes into what may be a root and a file, so that both meet it by equality, however many roots there are."""
+    parts = F.split("path", "/", -1)
+    halves = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.struct(
+        F.array_join(F.slice(parts, 1, i), "/").alias("root"), F.array_join(F.slice(parts, i + 1, F.size(parts)), "/").alias("file")))
+    halves = F.concat(F.array(F.struct(F.lit("").alias("root"), F.col("path").alias("file"))), F.when(F.size(parts) > 1, halves).otherwise(F.array().cast("array<struct<root: string, file: string>>")))
     names = reported.select(*keys, "file").distinct()
-    if keys:
-        tried = names.join(roots, list(keys))
-    else:
-        few = [r["root"] for r in roots.select("root").distinct().limit(65).collect()]
-        if len(few) > 64:
-            raise ValueError("more than 64 roots")
-        tried = names.withColumn("root", F.explode(F.array(*[F.lit(r) for r in few])))
-    tried = tried.withColumn("path", F.when(F.col("root") == "", F.col("file")).otherwise(F.concat_ws("/", "root", "file")))
-    hit = tried.join(inventory.select(*keys, "path").distinct(), [*keys, "path"], "left_semi").groupBy(*keys, "file").agg(F.countDistinct("path").alias("candidates"), F.min("path").alias("path"))
-    out = reported.select(*keys, "file").distinct().join(hit, [*keys, "file"], "left")
+    split = inventory.select(*keys, "path").distinct().select(*keys, "path", F.explode(halves).alias("h")).where("h.root <> '' or h.file = path").select(*keys, "path", "h.root", "h.file")
+    hit = split.join(roots.select(*keys, "root").distinct(), [*keys, "root"], "left_semi").join(names, [*keys, "file"], "left_semi")
+    hit = hit.groupBy(*keys, "file").agg(F.countDistinct("path").alias("candidates"), F.min("path").alias("path"))
+    out = names.join(hit, [*keys, "file"], "left")
     return out.select(*keys, "file", F.when(F.col("candidates") == 1, F.col("path")).alias("path"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
 
 

@@ -256,6 +256,71 @@ def test_halving_finds_shortest_scripts(monkeypatch):
         assert len(a) - len(gone) == len(b) - len(fresh) == best[len(a)][len(b)]
 
 
+def _levels(n, edges):
+    """By relaxation; None for ids on or behind a cycle."""
+    up = {i: {b for a, b in edges if a == i and 0 <= b < n} for i in range(n)}
+    out = {}
+    while True:
+        ready = [i for i in up if i not in out and up[i] <= out.keys()]
+        if not ready:
+            return out
+        for i in ready:
+            out[i] = max((out[b] + 1 for b in up[i]), default=0)
+
+
+def test_graphs_against_plain_search(spark):
+    rnd = random.Random(7)
+    for n, m, back in ((30, 25, 0), (30, 45, 2), (12, 30, 3), (1, 0, 0), (20, 19, 0)):
+        edges = {(a, rnd.randrange(a)) for a in (rnd.randrange(1, n) for _ in range(m))} | {(rnd.randrange(n), rnd.randrange(n)) for _ in range(back)}
+        if m == 19:
+            edges = {(i, i - 1) for i in range(1, 20)} | {(3, 9)}  # a run into a circle and out of it
+        e, nodes = df(spark, [*edges], "id int, depends_on int"), df(spark, [(i,) for i in range(n)], "id int")
+        placed, gaps = graph.levels(nodes, e)
+        want = _levels(n, edges)
+        assert {r.id: r.level for r in placed.collect()} == want
+        assert {r.id for r in gaps.where("gap = 'cycle'").collect()} == set(range(n)) - want.keys()
+        dist = {}
+        for root in (0, n // 2, n - 1):
+            dist[root, root], todo = 0, [root]
+            for i in todo:
+                for b in {b for a, b in edges if a == i}:
+                    if (root, b) not in dist:
+                        dist[root, b] = dist[root, i] + 1
+                        todo.append(b)
+        roots = df(spark, sorted({(0,), (n // 2,), (n - 1,)}), "root int")
+        assert {(r.root, r.id): r.depth for r in graph.closure(e, roots).collect()} == dist
+        got = graph.reached(e, roots.select(F.col("root").alias("id"))).collect()
+        assert sorted(r.id for r in got) == sorted({i for _, i in dist})
+
+
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
+    tables = []
+    monkeypatch.setattr(graph, "keep", lambda frame, name: tables.append(name) or keep(frame, name))
+    ids = spark.range(10_000).select(F.col("id"))
+    e = ids.where("id > 0").select("id", (F.col("id") - 1).alias("depends_on"))
+    placed, gaps = graph.levels(ids, e)
+    assert placed.where("level <> id").isEmpty() and placed.count() == 10_000 and gaps.isEmpty()
+    assert len(tables) < 30
+    tables.clear()
+    depth = graph.closure(e, df(spark, [(9_999,), (5,)], "root long"))
+    assert depth.where("depth <> root - id").isEmpty() and depth.count() == 10_006 and len(tables) < 40
+
+
+def test_origins_along_runs_and_merges(spark):
+    commits = df(spark, [("a", []), ("b", ["a"]), ("c", ["b"]), ("d", ["b"]), ("m", ["c", "d"]), ("n", ["m"])], "oid string, parents array<string>")
+    entities = df(spark, [(o, "e", x) for o, x in (("a", "1"), ("b", "1"), ("c", "2"), ("d", "2"), ("m", "2"), ("n", "2"))] + [("n", "f", "9")], "oid string, entity string, bytes string")
+    order = df(spark, [(o, i) for i, o in enumerate("abcdmn")], "oid string, level int")
+    got = rows(graph.origins(commits, entities, order), "oid", "entity", "origin")
+    assert got == sorted([("a", "e", "a"), ("b", "e", "a"), ("c", "e", "c"), ("d", "e", "d"), ("m", "e", "c"), ("m", "e", "d"), ("n", "e", "c"), ("n", "e", "d"), ("n", "f", "n")], key=str)
+
+
+def test_many_roots(spark):
+    inventory = df(spark, [(f"r{i}/src/a.py",) for i in range(100)] + [("r7/b.py",), ("c.py",), ("r1/x/c.py",)], "path string")
+    roots = df(spark, [(f"r{i}/src",) for i in range(100)] + [("r7",), ("",), ("r1/x",)], "root string")
+    got = rows(scope.map_with_roots(df(spark, [("a.py",), ("b.py",), ("c.py",), ("r5/src/a.py",), ("none",)], "file string"), inventory, roots), "file", "path", "candidates")
+    assert got == sorted([("a.py", None, 100), ("b.py", "r7/b.py", 1), ("c.py", None, 2), ("r5/src/a.py", "r5/src/a.py", 1), ("none", None, 0)], key=str)
+
+
 def test_sets_of_nothing(spark):
     none, some = df(spark, [], "x int"), df(spark, [(1,)], "x int")
     assert rows(sets.subset(none, some), "lacking", "subset") == [(0, True)]
