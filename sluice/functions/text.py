@@ -137,3 +137,45 @@ def fields(text: Column) -> Column:
         ),
     )
     return F.map_from_entries(entries)
+
+
+def required_texts(pattern: str) -> tuple[tuple[str, ...], bool] | None:
+    """Texts of which every match of a regex holds at least one, and whether in any case; None if there are none of two
+    characters or more. Of what must be in a match the set is taken whose shortest text is longest."""
+    from re import _constants as c, _parser
+
+    try:
+        tree = _parser.parse(pattern)
+    except re.error:  # another engine's syntax
+        return None
+    fold = bool(tree.state.flags & re.IGNORECASE)
+
+    def best(sets: list[frozenset[str]]) -> frozenset[str] | None:
+        return max(sets, key=lambda s: (min(map(len, s)), -len(s)), default=None)
+
+    def of(items) -> frozenset[str] | None:
+        found, run = [], ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                run += chr(arg)
+                continue
+            if op is c.AT:  # takes no room
+                continue
+            found, run = [*found, frozenset([run])] if run else found, ""
+            inner = None
+            if op is c.SUBPATTERN:
+                inner = of(arg[3])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and arg[0] >= 1:
+                inner = of(arg[2])
+            elif op is c.ATOMIC_GROUP:
+                inner = of(arg)
+            elif op is c.BRANCH:
+                parts = [of(x) for x in arg[1]]
+                inner = None if None in parts else frozenset().union(*parts)
+            found += [inner] if inner else []
+        return best([*found, frozenset([run])] if run else found)
+
+    texts = of(tree)
+    if not texts or min(map(len, texts)) < 2 or fold and not all(x.isascii() or x.lower() == x.upper() for x in texts):
+        return None
+    return tuple(sorted({x.lower() if fold else x for x in texts})), fold

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -111,14 +112,19 @@ def oversized_files(added: DataFrame, limit: int = 1_048_576, allow: list[str] |
 def pattern_findings(lines: DataFrame, kind: str | None = None, rules: list | None = None) -> DataFrame:
     """FLT-10, FLT-11. lines (.., path, language, line_no, text) -> one row per (line, rule, pattern), all rules in one scan.
     source-pattern rules expect added lines, file-pattern rules the lines of added files; a pattern given twice counts once.
-    rules None are all rules; of an empty list, or a kind that no rule has, there are no findings."""
+    rules None are all rules; of an empty list, or a kind that no rule has, there are no findings.
+
+    A pattern is tried only on lines that hold a text which all its matches must hold; these are plain searches."""
     hits = []
+    folded = F.lower("text")
     for rule, of, severity, required, paths, patterns in PATTERN_RULES if rules is None else rules:
         if kind and of != kind:
             continue
         for lang, several in patterns.items():
             for number, pattern in enumerate(dict.fromkeys(several)):
                 applies = F.col("text").rlike(pattern) & T.any_glob(F.col("path"), paths)
+                if needs := T.required_texts(pattern):
+                    applies = reduce(lambda a, b: a | b, [(folded if needs[1] else F.col("text")).contains(x) for x in needs[0]]) & applies
                 applies = applies if lang == "all" else (F.col("language") == lang) & applies
                 hits.append(F.when(applies, F.struct(F.lit(rule).alias("rule"), F.lit(severity).alias("severity"), F.lit(required).alias("required"), F.lit(number).alias("pattern"))))
     none = F.array().cast("array<struct<rule: string, severity: string, required: boolean, pattern: int>>")

@@ -165,17 +165,70 @@ def flt10(spark, d):
     return rules.pattern_findings(lines, "source-pattern", [r for r in rules.PATTERN_RULES if r[0] in wanted]).select("path", "line_no", "rule", "pattern")
 
 
-@query("flt10_all_rules_one_scan")
+def _sample(pattern: str) -> str:
+    """A text that a pattern matches: first alternatives, fewest repeats. Empty for syntax that Python lacks."""
+    from re import _constants as c, _parser, error
+
+    def one(items) -> str:
+        out = ""
+        for op, arg in items:
+            if op is c.LITERAL:
+                out += chr(arg)
+            elif op in (c.NOT_LITERAL, c.ANY):
+                out += "~"
+            elif op is c.IN:
+                kind, first = arg[0]
+                out += {c.LITERAL: lambda x: chr(x), c.RANGE: lambda x: chr(x[0]), c.CATEGORY: lambda x: {c.CATEGORY_SPACE: " ", c.CATEGORY_DIGIT: "7"}.get(x, "w"), c.NEGATE: lambda x: "~"}[kind](first)
+            elif op is c.SUBPATTERN:
+                out += one(arg[3])
+            elif op is c.BRANCH:
+                out += one(arg[1][0])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT):
+                out += one(arg[2]) * max(arg[0], 0)
+        return out
+
+    try:
+        return one(_parser.parse(pattern))
+    except error:
+        return ""
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+#: A text for each pattern and a language that it is for, in the order of the rules: added lines are mixed with them, as the
+#: tables hold prose. Half of the files stand below tests.
+_SAMPLES = [(_sample(p), "python" if lang == "all" else lang) for r in rules.PATTERN_RULES for lang, ps in r[5].items() for p in ps]
+_PICK = f"(line_no + length(path) * 7) % {len(_SAMPLES)} + 1"
+_CODE = f"""SELECT CASE WHEN length(path) % 2 = 0 THEN 'tests/' || path ELSE path END AS path, kind, line_no, list_extract([{', '.join(_quoted(lang) for _, lang in _SAMPLES)}], {_PICK}) AS language,
+CASE WHEN line_no % 3 = 0 THEN text ELSE list_extract([{', '.join(_quoted(x) for x, _ in _SAMPLES)}], {_PICK}) || ' ' || text END AS text FROM added_lines"""
+
+
+def _all_patterns(kind: str) -> str:
+    """path, line_no, rule and severity of every pattern of a kind, each tried on each line."""
+    cases = [
+        f"CASE WHEN regexp_matches(text, {_quoted(p)}){'' if lang == 'all' else f' AND language = {_quoted(lang)}'}{" AND starts_with(path, 'tests/')" if paths else ''} THEN {{'rule': {_quoted(rule)}, 'severity': {_quoted(severity)}}} END"
+        for rule, of, severity, _, paths, patterns in rules.PATTERN_RULES if of == kind for lang, several in patterns.items() for p in dict.fromkeys(several)
+    ]
+    return f"SELECT path, line_no, h.rule, h.severity FROM (SELECT path, line_no, unnest(list_filter([{', '.join(cases)}], lambda x: x IS NOT NULL)) AS h FROM ({_CODE}) {'' if kind == 'source-pattern' else 'WHERE kind = ' + _quoted('added')})"
+
+
+def _code_lines(spark, d):
+    pick = lambda k: F.element_at(F.array(*[F.lit(x[k]) for x in _SAMPLES]), ((F.col("line_no") + F.length("path") * 7) % len(_SAMPLES) + 1).cast("int"))
+    text = F.when(F.col("line_no") % 3 == 0, F.col("text")).otherwise(F.concat(pick(0), F.lit(" "), "text"))
+    path = F.when(F.length("path") % 2 == 0, F.concat(F.lit("tests/"), "path")).otherwise(F.col("path"))
+    return A.added_lines(spark, d).select(path.alias("path"), "kind", "line_no", pick(1).alias("language"), text.alias("text"))
+
+
+@query("flt10_all_rules_one_scan", f"SELECT rule, severity, count(*) AS findings, count(DISTINCT path) AS files FROM ({_all_patterns('source-pattern')}) GROUP BY ALL")
 def flt10_all(spark, d):
-    langs = F.array(*[F.lit(x) for x in ("python", "java", "typescript", "go", "rust", "shell", "c", "cpp")])
-    lines = A.added_lines(spark, d).withColumn("language", F.element_at(langs, (F.pmod(F.xxhash64("path"), F.lit(8)) + 1).cast("int")))
-    return rules.pattern_findings(lines, "source-pattern").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("files"))
+    return rules.pattern_findings(_code_lines(spark, d), "source-pattern").groupBy("rule", "severity").agg(F.count(F.lit(1)).alias("findings"), F.countDistinct("path").alias("files"))
 
 
-@query("flt11_file_patterns", "SELECT path, line_no, 'no-test-sleep' AS rule FROM added_lines WHERE kind = 'added' AND false UNION ALL SELECT path, line_no, 'no-print' FROM added_lines WHERE kind = 'added' AND regexp_matches(text, '^\\s*print\\s*\\(')")
+@query("flt11_file_patterns", f"SELECT path, line_no, rule FROM ({_all_patterns('file-pattern')})")
 def flt11(spark, d):
-    lines = A.added_lines(spark, d).where("kind = 'added'").withColumn("language", F.lit("python"))
-    return rules.pattern_findings(lines, "file-pattern", [r for r in rules.PATTERN_RULES if r[0] in ("no-print", "no-test-sleep")]).select("path", "line_no", "rule")
+    return rules.pattern_findings(_code_lines(spark, d).where("kind = 'added'"), "file-pattern").select("path", "line_no", "rule")
 
 
 @query("flt12_shebang", "SELECT path, text FROM head_lines JOIN (SELECT path FROM changes WHERE kind = 'added') USING (path) WHERE line_no = 1 AND NOT starts_with(text, '#!')")

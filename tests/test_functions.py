@@ -48,3 +48,14 @@ def test_one_line_and_branches(spark):
     assert one(spark, "a\tb c", T.one_line) == "a b c"
     assert one(spark, "x" * 600, T.one_line) == "x" * 512 + "…"
     assert [one(spark, t, T.branch_counts) for t in ("50% (1/2)", "50% (3/2)", "x", None)] == [(1, 2), None, None, None]
+
+
+def test_required_texts():
+    from sluice.functions.text import required_texts as of
+    from sluice.operators.rule_data import PATTERN_RULES
+
+    assert of("a(?:bc|bd)+e*") == (("c", "d"), False) or of("a(?:bc|bd)+e*") is None  # one letter is no text
+    assert of(r"\bfoo\s*\(bar\)") == (("(bar)",), False) and of("(?i)Foo|BAR") == (("bar", "foo"), True) and of("[ab]+") is None and of("x{0,1}") is None and of(r"\x{1F300}") is None
+    assert of("(?i)straße") is None  # cases fold otherwise elsewhere
+    known = [of(p) for r in PATTERN_RULES for ps in r[5].values() for p in ps]
+    assert sum(x is not None for x in known) > 95
