@@ -10,7 +10,7 @@ from __future__ import annotations
 import hashlib
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Generator, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -19,7 +19,9 @@ from sluice.tables import fresh_path, keep, table
 
 REVISIT_FROM = 100  # payload bytes
 FILE_BYTES = 32 << 20  # a file ends with the record that reaches this
-MEMBER_BYTES = 1 << 30  # content of a gzip member that is unpacked; what is larger is quarantined
+HELD_BYTES = 64 << 20  # content of a gzip member that is held whole; a larger one is unpacked twice, its records as they come
+RECORD_BYTES = 1 << 30  # a record that says it is longer is quarantined, and it alone
+PIECE = 1 << 20  # bytes unpacked at a time
 MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = zlib.compress(b"", 1, 31)
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -123,27 +125,92 @@ def _parse(data: bytes, at: int) -> tuple[dict, int]:
     return head, stop + 4
 
 
-def _member_at(data: memoryview, at: int) -> tuple[bytes, int, str]:
-    """A gzip member's content, where it ends, and why it is broken, if it is: then the content is what could be unpacked."""
-    unpack, out, step, size = zlib.decompressobj(31), [], 8192, 0
+def _unpacked(data: memoryview, at: int) -> Generator[bytes, None, tuple[int, str]]:
+    """The content of the gzip member at this offset, PIECE bytes at most at a time; returns where it ends and why it is broken,
+    if it is, after what could be unpacked."""
+    unpack, step = zlib.decompressobj(31), 8192
     while not unpack.eof:
-        if size > MEMBER_BYTES:
-            return b"", at, "member too large"
         if at >= len(data):
-            return b"".join(out), len(data), "member cut short"
-        before = unpack.copy()
-        try:
-            out.append(unpack.decompress(data[at : at + step]))
-            size += len(out[-1])
-        except zlib.error as e:
-            for k in range(at, min(at + step, len(data))):
-                try:
-                    out.append(before.decompress(data[k : k + 1]))
-                except zlib.error:
-                    break
-            return b"".join(out), at, f"bad member: {e}"
+            return len(data), "member cut short"
+        rest = data[at : at + step]
+        while len(rest) and not unpack.eof:
+            before = unpack.copy()
+            try:
+                piece = unpack.decompress(rest, PIECE)
+            except zlib.error as e:
+                for k in range(len(rest)):
+                    try:
+                        piece = before.decompress(rest[k : k + 1])
+                    except zlib.error:
+                        break
+                    yield piece
+                return at, f"bad member: {e}"
+            yield piece
+            rest = unpack.unconsumed_tail
         at, step = at + step, min(2 * step, 1 << 20)
-    return b"".join(out), min(at, len(data)) - len(unpack.unused_data), ""
+    return min(at, len(data)) - len(unpack.unused_data), ""
+
+
+def _member_at(data: memoryview, at: int) -> tuple[bytes | None, int, str]:
+    """A gzip member's content (None if it is more than HELD_BYTES), where it ends, and why it is broken, if it is."""
+    out, size, pieces = [], 0, _unpacked(data, at)
+    while True:
+        try:
+            piece = next(pieces)
+        except StopIteration as e:
+            return (None if size > HELD_BYTES else b"".join(out)), *e.value
+        size += len(piece)
+        out.append(piece)
+        if size > HELD_BYTES:
+            out.clear()
+
+
+def _streamed(pieces: Iterator[bytes]) -> Iterator[tuple[int, int, str, dict | None]]:
+    """As _within, of content that arrives in pieces. Held are the bytes from the record in hand on, no more."""
+    held, base, done = bytearray(), 0, False  # base: the offset of held[0]
+
+    def more(size: int) -> None:
+        nonlocal done
+        while len(held) < size and not done:
+            piece = next(pieces, None)
+            if piece is None:
+                done = True
+            else:
+                held.extend(piece)
+
+    bad, why = None, ""
+    while True:
+        more(PIECE)
+        if not held:
+            break
+        end = _HEAD_END.search(held, 8, PIECE) if _VERSION.match(held) else None
+        declared = re.search(rb"(?i)\r\ncontent-length:\s*(\d+)\s*\r\n", held[: end.start() + 2]) if end else None
+        size = end.end() + int(declared[1]) + 4 if declared and end[0] == b"\r\n\r\n" else 0
+        try:
+            if size > RECORD_BYTES:
+                raise ValueError("record too large")
+            more(size)
+            head, stop = _parse(bytes(held[: size or PIECE]), 0)
+        except ValueError as e:
+            bad, why = (base, str(e)) if bad is None else (bad, why)
+            found = _VERSION.search(held, 1)
+            while not found and not done:  # nine bytes stay, as a version line may be cut
+                base += max(0, len(held) - 9)
+                del held[: max(0, len(held) - 9)]
+                more(len(held) + PIECE)
+                found = _VERSION.search(held, 1)
+            cut = found.start() if found else len(held)
+            base += cut
+            del held[:cut]
+            continue
+        if bad is not None:
+            yield bad, base, why, None
+            bad = None
+        yield base, base + stop, "", head
+        base += stop
+        del held[:stop]
+    if bad is not None:
+        yield bad, base, why, None
 
 
 def _within(content: bytes) -> list[tuple[int, int, str, dict | None]]:
@@ -168,12 +235,25 @@ def _within(content: bytes) -> list[tuple[int, int, str, dict | None]]:
 def salvage(data: bytes) -> Iterator[tuple[int, int, str, dict | None]]:
     """(start, stop, reason, record): records in order, and between them the gaps, whose record is None. A gap within a
     member has the member's place, and its offsets in the content as part of the reason. The records that a broken member
-    still holds come before its gap, whose place includes them."""
+    still holds come before its gap, whose place includes them. Members of any size are read: of one that is larger than
+    HELD_BYTES only the record in hand is held."""
     view, at, bad, why = memoryview(data), 0, None, ""
     while at < len(data):
         inner, failed = [], ""
         if data[at : at + 3] == MAGIC:
             content, stop, failed = _member_at(view, at)
+            if content is None:  # records go on as they are found, whatever comes after them
+                if bad is not None:
+                    yield bad, at, why, None
+                    bad = None
+                for a, z, reason, head in _streamed(_unpacked(view, at)):
+                    yield at, stop, reason and f"{reason} (bytes {a} to {z} of the member's content)", head
+                if failed:
+                    found = _START.search(data, max(stop, at + 1))
+                    yield at, found.start() if found else len(data), failed, None
+                    stop = found.start() if found else len(data)
+                at = stop
+                continue
             inner = _within(content)
             if inner and all(head is None for *_, head in inner):
                 inner, failed = [], failed or inner[0][2]

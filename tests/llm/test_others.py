@@ -112,11 +112,40 @@ def test_false_starts_take_time_in_proportion():
     assert seconds(32_000) < 20 * max(seconds(4_000), 0.01)
 
 
-def test_large_members_are_quarantined(monkeypatch):
-    monkeypatch.setattr(warc, "MEMBER_BYTES", 100_000)
-    data = warc.member(_record(1)) + gzip.compress(bytes(10_000_000)) + warc.member(_record(2))
-    items = list(warc.salvage(data))
-    assert [warc._page(h.get("warc-record-id")) for *_, h in items if h is not None] == [1, 2] and [why for *_, why, h in items if h is None] == ["member too large"]
+def test_large_members_are_read_as_they_come(monkeypatch):
+    whole = [_record(i, os.urandom(3000)) for i in range(40)]
+    damaged = whole[7][:-20] + b"x" + whole[7][-19:]
+    content = b"".join([*whole[:7], damaged, b"junk WARC/1.0\r\n", *whole[8:]])
+    packed = gzip.compress(content)
+    cases = [content, packed, packed + warc.member(_record(99)), packed[: len(packed) // 2], packed[:-8] + b"12345678" + warc.member(_record(99)), warc.member(_record(1)) + gzip.compress(bytes(300_000)) + warc.member(_record(2)), gzip.compress(content + b"WARC/1.1\r\n" * 3)]
+
+    def found(data):
+        items = list(warc.salvage(data))
+        return [warc._page(h.get("warc-record-id")) for *_, h in items if h is not None], sorted((a, why) for a, _, why, h in items if h is None)
+
+    want = [found(c) for c in cases]
+    monkeypatch.setattr(warc, "HELD_BYTES", 10_000)
+    monkeypatch.setattr(warc, "PIECE", 5_000)
+    got = [found(c) for c in cases]
+    assert [g[0] for g in got] == [w[0] for w in want]
+    for k in (0, 1, 2, 3, 4, 6):
+        assert got[k][1] == want[k][1], k
+    assert got[5][1][0][1].startswith("no version line")  # of the zeros
+    monkeypatch.setattr(warc, "RECORD_BYTES", 10_000)
+    large = gzip.compress(b"".join([*whole[:3], _record(50, os.urandom(20_000)), *whole[3:6]]))
+    ids, gaps = found(large)
+    assert ids == [0, 1, 2, 3, 4, 5] and len(gaps) == 1 and gaps[0][1].startswith("record too large")
+
+
+def test_unpacked_content_is_not_held():
+    import tracemalloc
+
+    data = gzip.compress(b"".join(_record(i, bytes(50_000)) for i in range(4000)))  # 200 MB
+    tracemalloc.start()
+    n = sum(head is not None for *_, head in warc.salvage(data))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n == 4000 and peak < 130 << 20
 
 
 def test_files_end_by_bytes(spark):
