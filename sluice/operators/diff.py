@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from sluice.tables import keep, numbered
+
 
 def _same(left: str, right: str, cols: Sequence[str]) -> Column:
     out = F.lit(True)
@@ -205,22 +208,30 @@ def match_entities(base: DataFrame, head: DataFrame, keys: Sequence[str] = ()) -
     return found.unionByName(new)
 
 
+def _beyond(base: DataFrame, head: DataFrame, by: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
+    """The head rows beyond the number of base rows of their group, in order. Rows are numbered, in range parts of all of them,
+    only in groups that have some rows that are old and some that are new."""
+    slim = [F.col(c).alias(f"_b{i}") for i, c in enumerate(by)]
+    same = reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"_b{i}")) for i, c in enumerate(by)])
+    names = [f"_b{i}" for i in range(len(by))]
+    was = base.groupBy(*by).agg(F.count(F.lit(1)).alias("_was")).select(*slim, "_was")
+    now = head.groupBy(*by).agg(F.count(F.lit(1)).alias("_now"))
+    mixed = keep(now.join(was, same).where("_now > _was").select(*names, "_was"), "mixed")
+    fresh = head.join(was.select(*names), same, "left_anti")
+    some = numbered(head.join(mixed, same).drop(*names), by, order, "_nth").where("_nth > _was").select(*head.columns)
+    return fresh.unionByName(some)
+
+
 def new_texts(base: DataFrame, head: DataFrame, keys: Sequence[str] = (), text: str = "text", order: Sequence[str] = ("ord",)) -> DataFrame:
     """DIF-5, SET-7. The head rows beyond the number of equal texts in base; the first ones in order count as old."""
-    was = base.groupBy(*keys, text).agg(F.count(F.lit(1)).alias("_was"))
-    n = F.row_number().over(Window.partitionBy(*keys, text).orderBy(*order))
-    now = head.withColumn("_n", n).alias("h")
-    out = now.join(was.alias("b"), _same("h", "b", [*keys, text]), "left").where(F.col("_n") > F.coalesce("_was", F.lit(0)))
-    return out.select("h.*").drop("_n")
+    return _beyond(base, head, [*keys, text], list(order))
 
 
 def new_issues(base: DataFrame, head: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """DIF-6. base, head (keys, fingerprint, ord, retained in head) -> head rows that no baseline occurrence covers.
     Retained historical issues use up the credits of a fingerprint first."""
-    was = base.groupBy(*keys, "fingerprint").agg(F.count(F.lit(1)).alias("_was"))
-    n = F.row_number().over(Window.partitionBy(*keys, "fingerprint").orderBy(F.col("retained").desc(), "ord"))
-    out = head.withColumn("_n", n).join(was, [*keys, "fingerprint"], "left").where(F.col("_n") > F.coalesce("_was", F.lit(0)))
-    return out.drop("_n", "_was")
+    first = head.withColumn("_late", F.when(F.col("retained"), 0).otherwise(1))
+    return _beyond(base, first, [*keys, "fingerprint"], ["_late", "ord"]).drop("_late")
 
 
 def inventory_by_reason(rows: DataFrame, keys: Sequence[str] = (), most: int = 64) -> DataFrame:

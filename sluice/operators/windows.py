@@ -57,13 +57,20 @@ def execution_order(runs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def output_budget(rows: DataFrame, size: Column, keys: Sequence[str], order: Sequence[str], records: int = 10_000, total: int = 8 << 20) -> DataFrame:
-    """WIN-6. The longest prefix within both limits, each record one byte more than its text; `complete` says if it is all."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    n, used = F.row_number().over(w), F.sum(size + 1).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    fits = (F.col("_n") <= records) & (F.col("_used") <= total)
-    out = rows.withColumn("_n", n).withColumn("_used", used).withColumn("_fits", fits)
-    out = out.withColumn("complete", F.min("_fits").over(Window.partitionBy(*keys)))
-    return out.where("_fits").drop("_n", "_used", "_fits")
+    """WIN-6. The longest prefix within both limits, each record one byte more than its text; `complete` says if it is all.
+    Sizes are not negative; a null size, and all that follows it, does not fit. Places and sizes are added up in range parts,
+    so that a large section is spread over tasks."""
+    named = rows.withColumn("__b", size.cast("long") + 1)
+    by = [F.col(c) for c in [*keys, *order]]
+    dealt = named.repartitionByRange(partitions(rows.sparkSession), *by).sortWithinPartitions(*by).withColumn("__at", F.monotonically_increasing_id())
+    placed = keep(dealt.withColumn("__piece", F.shiftright("__at", 33)), "output")
+    unknown = F.when(F.col("__b").isNull(), total + 1).otherwise(F.col("__b"))
+    placed = running(running(placed, list(keys), "__piece", ["__at"], F.lit(1), "__n"), list(keys), "__piece", ["__at"], unknown, "__used")
+    fits = F.coalesce((F.col("__n") < records) & (F.col("__used") + F.col("__b") <= total), F.lit(False))
+    placed = keep(placed.withColumn("__fits", fits), "fitted")
+    whole = placed.groupBy(*keys).agg(F.min("__fits").alias("complete")).select(*_named(keys), "complete")
+    out = placed.where("__fits").join(whole, _same(keys)).select(*rows.columns, "complete")
+    return out
 
 
 def _same(keys: Sequence[str]) -> Column:

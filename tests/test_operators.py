@@ -256,6 +256,25 @@ def test_halving_finds_shortest_scripts(monkeypatch):
         assert len(a) - len(gone) == len(b) - len(fresh) == best[len(a)][len(b)]
 
 
+def test_output_budget(spark):
+    made = [("a", i, 9) for i in range(12)] + [("b", 1, 200), ("b", 2, 1), (None, 1, 5), ("n", 1, 5), ("n", 2, None), ("n", 3, 5)]
+    got = rows(windows.output_budget(df(spark, made, "k string, n int, size int"), F.col("size"), ["k"], ["n"], 4, 100), "k", "n", "complete")
+    assert got == sorted([*[("a", i, False) for i in range(4)], (None, 1, True), ("n", 1, False)], key=str)
+    got = rows(windows.output_budget(df(spark, made, "k string, n int, size int"), F.col("size"), ["k"], ["n"], 40, 100), "k", "n")
+    assert got == sorted([*[("a", i) for i in range(10)], (None, 1), ("n", 1)], key=str)
+    assert windows.output_budget(df(spark, [], "k string, n int, size int"), F.col("size"), ["k"], ["n"], 4, 100).count() == 0
+
+
+def test_new_texts_and_issues_of_groups(spark):
+    base = df(spark, [("r", "x", 1), ("r", "x", 2), ("r", None, 1), ("r", "gone", 1)], "k string, text string, ord int")
+    head = df(spark, [("r", "x", i) for i in range(5)] + [("r", None, 7), ("r", None, 8), ("r", "new", 1), ("r", "new", 1), ("s", "x", 1)], "k string, text string, ord int")
+    assert rows(diff.new_texts(base, head, ["k"]), "k", "text", "ord") == sorted([("r", "x", 2), ("r", "x", 3), ("r", "x", 4), ("r", None, 8), ("r", "new", 1), ("r", "new", 1), ("s", "x", 1)], key=str)
+    b = df(spark, [("f", 1), ("g", 1)], "fingerprint string, ord int")
+    h = df(spark, [("f", 1, False), ("f", 2, True), ("g", 1, None), ("h", 1, True)], "fingerprint string, ord int, retained boolean")
+    assert rows(diff.new_issues(b, h), "fingerprint", "ord") == [("f", 1), ("h", 1)]
+    assert diff.new_texts(base, head.limit(0), ["k"]).count() == 0 and diff.new_issues(b.limit(0), h).count() == 4
+
+
 def _levels(n, edges):
     """By relaxation; None for ids on or behind a cycle."""
     up = {i: {b for a, b in edges if a == i and 0 <= b < n} for i in range(n)}
