@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from sluice.functions import text as T
-from sluice.operators import diff, expressions as X, gates, graph, rules, scope, sets, stats, windows
+from sluice.operators import diff, expressions as X, gates, globs, graph, rules, scope, sets, stats, windows
 from sluice.plans import adapters as A
 from sluice.plans.adapters import sql, table
 
@@ -534,6 +534,25 @@ def join7(spark, d):
     return A.head_files(spark, d).select("path", F.explode(F.filter(hits, lambda x: x.isNotNull())).alias("number"))
 
 
+_GLOBS = r"""SELECT p_partkey AS number, CASE p_partkey % 6 WHEN 0 THEN 'src' || (p_size % 8) || '/*/' || p_partkey || '.txt' WHEN 1 THEN 'src' || (p_size % 8) || '/en/**' WHEN 2 THEN '**/' || p_partkey || '.txt'
+WHEN 3 THEN '**/?' || (p_size % 10) || '*.txt' WHEN 4 THEN 'src' || p_size || '/{en,de}/*' || (p_partkey % 10) || '.txt' ELSE 'moved/**/*[' || (p_size % 5) || '-' || (p_size % 5 + 2) || '].*' END AS "glob",
+CASE p_partkey % 6 WHEN 0 THEN '^src' || (p_size % 8) || '/[^/]*/' || p_partkey || '\.txt$' WHEN 1 THEN '^src' || (p_size % 8) || '/en/.*$' WHEN 2 THEN '^([^/]+/)*' || p_partkey || '\.txt$'
+WHEN 3 THEN '^([^/]+/)*[^/]' || (p_size % 10) || '[^/]*\.txt$' WHEN 4 THEN '^src' || p_size || '/(en|de)/[^/]*' || (p_partkey % 10) || '\.txt$' ELSE '^moved/([^/]+/)*[^/]*[' || (p_size % 5) || '-' || (p_size % 5 + 2) || ']\.[^/]*$' END AS regex FROM part"""
+
+
+@query("join7_glob_table", f'SELECT number, "glob", count(*) AS paths FROM head JOIN ({_GLOBS}) g ON regexp_matches(path, regex) GROUP BY ALL')
+def join7_table(spark, d):
+    """A glob for each part, on all files."""
+    k, size = F.col("p_partkey"), F.col("p_size")
+    text = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    form = [
+        text("src", size % 8, "/*/", k, ".txt"), text("src", size % 8, "/en/**"), text("**/", k, ".txt"), text("**/?", size % 10, "*.txt"), text("src", size, "/{en,de}/*", k % 10, ".txt"),
+        text("moved/**/*[", size % 5, "-", size % 5 + 2, "].*"),
+    ]
+    table_of = table(spark, d, "part").select(k.alias("number"), F.element_at(F.array(*form), (k % 6 + 1).cast("int")).alias("glob"))
+    return globs.glob_matches(A.head_files(spark, d).select("path"), table_of).groupBy("number", "glob").agg(F.count(F.lit(1)).alias("paths"))
+
+
 @query("join8_module_owner", f"SELECT path, CASE WHEN count(DISTINCT m.root) = 1 THEN min(m.root) END AS root, count(DISTINCT m.root) AS owners FROM (SELECT DISTINCT path FROM ({_TREE})) t LEFT JOIN (SELECT 'src/' || p_brand AS dir, 'm' || p_brand AS root FROM part UNION SELECT 'src', 'top' UNION SELECT 'lib', 'lib') m ON starts_with(t.path, m.dir || '/') GROUP BY path")
 def join8(spark, d):
     m = table(spark, d, "part").select(F.concat(F.lit("src/"), "p_brand").alias("test_source_root"), F.concat(F.lit("m"), "p_brand").alias("root")).distinct()
