@@ -177,7 +177,8 @@ def run_summary(results: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 def missing_metrics(entities: DataFrame, metrics: DataFrame, facts: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """AGG-17. Gaps: (entity, metric) pairs without a fact. metrics is the list of wanted metrics, a few rows of rule data."""
-    wanted = entities.select(*keys, "id").distinct().withColumn("metric", F.explode(F.array(*[F.lit(r[0]) for r in metrics.select("metric").distinct().collect()])))
+    listed = metrics.agg(F.sort_array(F.collect_set("metric")).alias("_metrics"))  # one row
+    wanted = entities.select(*keys, "id").distinct().crossJoin(listed).select(*keys, "id", F.explode("_metrics").alias("metric"))
     return wanted.join(facts.select(*keys, "id", "metric").distinct(), [*keys, "id", "metric"], "left_anti")
 
 
