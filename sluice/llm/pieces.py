@@ -27,7 +27,7 @@ from sluice.tables import table
 codecs.register_error("sluice_each_byte", lambda error: ("\ufffd", error.start + 1))
 
 SPACE = "▁"
-REMEMBERED = 600_000  # cuts in a worker's memory, some 300 bytes each; then it starts afresh
+REMEMBERED = 150_000  # cuts in a worker's memory, some 300 bytes each; then it starts afresh
 LONGEST_REMEMBERED = 48
 
 
