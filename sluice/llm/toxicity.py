@@ -39,7 +39,7 @@ TRAIN_ROWS = 12_500  # labelled rows to fit on, by the order of their hashes: th
 CALIBRATE = 5  # one of so many labelled rows calibrates, the others are counted
 PREFIX = 5  # letters of a word's beginning
 THRESHOLD = 0.3
-CHUNK = 1 << 22  # bytes of text looked at together
+CHUNK = 1 << 20  # bytes of text looked at together
 
 START = np.uint64(0)  # the predecessor of a first word
 
