@@ -53,8 +53,21 @@ def glob_matches(paths: DataFrame, globs: DataFrame, keys: Sequence[str] = (), p
     Each distinct glob is read once, where it is; a path brings its last segment, that segment's ending, and its leading
     directories, as many rows as it is deep and two. Globs that begin and end in wildcards (**/*, *a*/b*) meet every path. Null
     paths and globs fit nothing; repeated rows give a row each; empty tables give an empty table."""
-    wanted = globs.where(F.col(glob).isNotNull())
-    read = wanted.select(F.col(glob).cast("string").alias("glob")).distinct().mapInArrow(_looked_up, "glob string, regex string, kind string, text string")
+    out = paths.select(*keys, path).join(_fits(paths, globs, path, glob), F.col(path) == F.col("_path"))
+    return _with_globs(out, globs, keys, glob).select(*keys, path, *[c for c in globs.columns if c not in keys])
+
+
+def glob_counts(paths: DataFrame, globs: DataFrame, keys: Sequence[str] = (), path: str = "path", glob: str = "glob", name: str = "paths") -> DataFrame:
+    """The rows of globs that a path fits, each with how many rows of paths do: as counting the rows of glob_matches, but
+    counted by distinct glob before the rows that repeat it are met, so that a glob of many rows is not paired with its paths."""
+    fits = _fits(paths, globs, path, glob)
+    n = paths.select(*keys, path).join(fits, F.col(path) == F.col("_path")).groupBy(*keys, "_glob").agg(F.count(F.lit(1)).alias("_n"))
+    return _with_globs(n, globs, keys, glob).select(*keys, *[c for c in globs.columns if c not in keys], F.col("_n").alias(name))
+
+
+def _fits(paths: DataFrame, globs: DataFrame, path: str, glob: str) -> DataFrame:
+    """(_path, _glob), each path with each glob that it fits, both distinct and whatever their keys."""
+    read = globs.where(F.col(glob).isNotNull()).select(F.col(glob).cast("string").alias("glob")).distinct().mapInArrow(_looked_up, "glob string, regex string, kind string, text string")
     segments = F.split("_path", "/", -1)
     last = F.element_at(segments, -1)
     pair = lambda kind, text: F.struct(F.lit(kind).alias("kind"), text.alias("text"))
@@ -62,11 +75,13 @@ def glob_matches(paths: DataFrame, globs: DataFrame, keys: Sequence[str] = (), p
     ends = F.filter(F.array(pair("last", last), pair("end", F.regexp_extract(last, r"(\.[^.]*)$", 1)), pair("any", F.lit(""))), lambda p: (p["kind"] != "end") | (p["text"] != ""))
     named = paths.where(F.col(path).isNotNull()).select(F.col(path).alias("_path")).distinct()
     looked = named.select("_path", F.explode(F.concat(under, ends)).alias("_p")).select("_path", "_p.kind", "_p.text")
-    fits = looked.join(read, ["kind", "text"]).where(F.rlike("_path", F.col("regex"))).select("_path", F.col("glob").alias("_glob")).distinct()
-    out = paths.select(*keys, path).join(fits, F.col(path) == F.col("_path"))
-    return out.join(wanted.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in globs.columns if c not in keys]), (F.col("_glob") == F.col(glob)) if not keys else (F.col("_glob") == F.col(glob)) & _same(keys)).select(
-        *keys, path, *[c for c in globs.columns if c not in keys]
-    )
+    return looked.join(read, ["kind", "text"]).where(F.rlike("_path", F.col("regex"))).select("_path", F.col("glob").alias("_glob")).distinct()
+
+
+def _with_globs(rows: DataFrame, globs: DataFrame, keys: Sequence[str], glob: str) -> DataFrame:
+    """rows (keys, _glob, ..) with the rows of globs of the same keys and glob."""
+    wanted = globs.where(F.col(glob).isNotNull()).select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], *[c for c in globs.columns if c not in keys])
+    return rows.join(wanted, (F.col("_glob") == F.col(glob)) & _same(keys) if keys else F.col("_glob") == F.col(glob))
 
 
 def _same(keys: Sequence[str]):
