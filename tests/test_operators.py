@@ -376,3 +376,21 @@ def test_binary_files(spark):
     cut = "a" * 4095 + "é"
     t = df(spark, [("a.jar", b"x"), ("b", b"a\0b"), ("c", b"\xff\xfe"), ("d", cut.encode()), ("e", b""), ("f", "é".encode()[:1])], "path string, content binary")
     assert rows(rules.binary_files(t), "path", "reason") == [("a.jar", "suffix"), ("b", "nul"), ("c", "utf8"), ("f", "utf8")]
+
+
+def test_obligation_conflicts_without_pairs(spark):
+    """Two texts of 20,000 rows and more: 200 million conflicts, counted and reported without making them."""
+    t = spark.range(40_001).selectExpr("id", "CASE WHEN id % 4 = 0 OR id = 3 THEN 'must' ELSE 'must_not' END AS modality", "CASE WHEN id = 3 THEN ' b' WHEN id % 400 = 1 THEN 'b ' ELSE 'a' END AS text")
+    got = scope.obligation_conflicts(t).collect()
+    theirs = [i for i in range(40_001) if i % 4 and i != 3 and i % 400 != 1]
+    assert [(r["must"], r["must_not"]) for r in got] == [(0, i) for i in theirs[:128]] and {r["conflicts"] for r in got} == {10_001 * len(theirs) + 100}
+
+
+def test_obligation_conflicts_against_all_pairs(spark):
+    rnd = random.Random(5)
+    for _ in range(4):
+        data = [(rnd.randrange(30), rnd.choice(["must", "must_not", "may"]), rnd.choice(["a", " a ", "b", "c"])) for _ in range(40)]
+        pairs = sorted((x, y) for x, m, t in data if m == "must" for y, n, u in data if n == "must_not" and t.strip() == u.strip())
+        for most in (1, 7, 1000):
+            got = [(r["must"], r["must_not"], r["conflicts"]) for r in scope.obligation_conflicts(df(spark, data, "id int, modality string, text string"), most).collect()]
+            assert got == [(*p, len(pairs)) for p in pairs[:most]]
