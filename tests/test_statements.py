@@ -79,3 +79,13 @@ def test_good_statements_say_what_they_say(spark):
 def test_too_many_sources():
     with pytest.raises(statements.Fault, match="too many sources"):
         statements.decode("{}", {f"s{i}": {} for i in range(17)})
+
+
+def test_repeated_statements_in_one_partition(spark):
+    """2,000 rules of three statements, all in one part of their table, are read in several tasks."""
+    rules = spark.range(0, 2000, 1, 1).selectExpr("id AS rule_id", """CASE id % 3 WHEN 0 THEN '{"op":"bool","value":true}' WHEN 1 THEN '{"op":"bool","value":false}' END AS statement""")
+    good, gaps = statements.check(rules, {})
+    assert good.rdd.getNumPartitions() >= 4
+    assert good.groupBy("statement", "nodes").count().count() == 2 and {tuple(r) for r in gaps.groupBy("path", "reason").count().collect()} == {("", "malformed", 666)}
+    got = statements.hold(spark.range(3).withColumnRenamed("id", "k"), good, {}, ["k"])
+    assert {tuple(r) for r in got.groupBy("k", "holds").count().collect()} == {(k, h, 667) for k in range(3) for h in (True, False)}
