@@ -394,3 +394,23 @@ def test_obligation_conflicts_against_all_pairs(spark):
         for most in (1, 7, 1000):
             got = [(r["must"], r["must_not"], r["conflicts"]) for r in scope.obligation_conflicts(df(spark, data, "id int, modality string, text string"), most).collect()]
             assert got == [(*p, len(pairs)) for p in pairs[:most]]
+
+
+def test_graph_rounds_are_not_broadcast(spark, monkeypatch):
+    """What a round adds does not go through the driver: with rounds, broadcasts of small tables add up to the graph."""
+    nodes = df(spark, [(i,) for i in range(1, 64)], "id int")
+    edges = df(spark, [(i, i // 2) for i in range(2, 64)], "id int, depends_on int")
+    commits = df(spark, [(i, [i // 2] if i > 1 else []) for i in range(1, 64)], "oid int, parents array<int>")
+    entities = df(spark, [(i, "a", i.bit_length() // 2) for i in range(1, 64)], "oid int, entity string, bytes int")
+    plans, kept = [], graph.keep
+
+    def seen(t, name):
+        plans.append(t._jdf.queryExecution().sparkPlan().toString())
+        return kept(t, name)
+
+    monkeypatch.setattr(graph, "keep", seen)
+    order = graph.levels(nodes, edges)[0].select(F.col("id").alias("oid"), "level")
+    found = graph.origins(commits, entities, order)
+    top = lambda i: i if i.bit_length() % 2 == 0 or i == 1 else i // 2
+    assert rows(found, "oid", "origin") == sorted(((i, top(i)) for i in range(1, 64)), key=str)
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
