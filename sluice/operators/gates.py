@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from sluice.tables import FINE, partitions
+
 
 def bucket_counts(issues: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """AGG-4. Issues with multiplicity by (tool, rule); tool may be null."""
@@ -216,12 +218,15 @@ def counterexamples(current: DataFrame, baseline: DataFrame, keys: Sequence[str]
 
 
 def test_inventory_gaps(cases: DataFrame, files: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """AGG-40. Gaps: doubled identities, errors, skipped cases, and files without a case."""
+    """AGG-40. Gaps: doubled identities, errors, skipped cases, and files without a case. Cases are dealt by identity once and
+    finely, as nearly each is a group of its own: a task holds its groups in memory."""
     by = [*keys, "file", "name"]
-    double = cases.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*by, F.lit("duplicate").alias("gap"))
-    state = cases.where("outcome in ('error', 'skipped')").select(*by, F.col("outcome").alias("gap")).distinct()
-    bare = files.select(*keys, "file").distinct().join(cases, [*keys, "file"], "left_anti").select(*keys, "file", F.lit(None).cast("string").alias("name"), F.lit("uncovered").alias("gap"))
-    return double.unionByName(state).unionByName(bare)
+    dealt = cases.select(*by, "outcome").repartition(FINE * partitions(cases.sparkSession), *by)
+    one = dealt.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), *[F.bool_or(F.col("outcome") == x).alias(x) for x in ("error", "skipped")])
+    found = F.array(F.when(F.col("n") > 1, "duplicate"), *[F.when(F.col(x), x) for x in ("error", "skipped")])
+    stated = one.select(*by, F.explode(F.filter(found, lambda g: g.isNotNull())).alias("gap"))
+    bare = files.select(*keys, "file").distinct().join(cases.select(*keys, "file").distinct(), [*keys, "file"], "left_anti").select(*keys, "file", F.lit(None).cast("string").alias("name"), F.lit("uncovered").alias("gap"))
+    return stated.unionByName(bare)
 
 
 def clause_totals(clauses: DataFrame, keys: Sequence[str] = ()) -> DataFrame:

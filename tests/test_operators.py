@@ -414,3 +414,11 @@ def test_graph_rounds_are_not_broadcast(spark, monkeypatch):
     top = lambda i: i if i.bit_length() % 2 == 0 or i == 1 else i // 2
     assert rows(found, "oid", "origin") == sorted(((i, top(i)) for i in range(1, 64)), key=str)
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_inventory_gaps_are_dealt_finely(spark):
+    """Nearly each case is a group of its own: tasks grow with the table, not with how few parts its bytes fill."""
+    cases = spark.range(4000).selectExpr("id % 5 AS file", "cast(id % 3990 AS string) AS name", "CASE id % 100 WHEN 1 THEN 'skipped' WHEN 2 THEN 'error' ELSE 'passed' END AS outcome")
+    got = gates.test_inventory_gaps(cases, spark.range(3, 7).selectExpr("id AS file"))
+    assert "hashpartitioning(file" in (plan := got._jdf.queryExecution().executedPlan().toString()) and ", 32), REPARTITION_BY_NUM" in plan
+    assert {r["gap"]: r["count"] for r in got.groupBy("gap").count().collect()} == {"duplicate": 10, "skipped": 40, "error": 40, "uncovered": 2}
