@@ -239,3 +239,11 @@ def test_reader(spark, name):
 def test_reader_without_reports(spark, name):
     raw = spark.createDataFrame([], "report_id string, content string")
     assert [part.count() for part in CASES[name][0](raw)] == [0] * len(CASES[name][2])
+
+
+def test_lcov_sections_are_dealt_finely(spark):
+    """What is grouped by report is held in memory: tasks grow with the reports, not with how few parts their bytes fill."""
+    raw = spark.range(50).selectExpr("id AS report_id", "concat('SF:a.c\nDA:1,', id, '\nend_of_record\nSF:a.c\nDA:1,1\nDA:2,0\nend_of_record\n') AS content")
+    got, gaps = t.lcov(raw)
+    assert ", 32), REPARTITION_BY_NUM" in got._jdf.queryExecution().executedPlan().toString()
+    assert gaps.count() == 0 and sorted((r["report_id"], r["line"], r["hits"]) for r in got.collect()) == sorted(x for i in range(50) for x in ((i, 1, i + 1), (i, 2, 0)))
