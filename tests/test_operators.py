@@ -152,6 +152,17 @@ def test_clone_pairs_against_all_pairs(spark):
     assert rows(got, "left_id", "right_id") == want
 
 
+def test_clone_pairs_move_few_shingles(spark):
+    """Texts are cut once, and shingles of one text only go no further than where they are counted."""
+    t = spark.range(400).selectExpr("id", "array_join(transform(sequence(0, 199), i -> if(id < 4 and i > 0, i, 1000 * id + i)), ' ') AS text").union(spark.createDataFrame([(600, None), (500, "1000 1001 x"), (501, "1000 1001 X")], "id long, text string"))
+    got = scope.clone_pairs(t, 0.8)
+    assert [(r.left_id, r.right_id, round(r.similarity, 6)) for r in got.orderBy("left_id", "right_id").collect()] == [(i, j, round(195 / 197, 6)) for i in range(4) for j in range(i + 1, 4)] + [(500, 501, 1.0)]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(" not in plan and "shingles-" in got._jdf.queryExecution().executedPlan().toString()  # the pairs read the kept shingles
+    kept = [f for f in got.inputFiles() if "/shingles-" in f]
+    assert spark.read.parquet(*kept).count() == 6
+
+
 def test_graph_cycles_and_gaps(spark):
     nodes = df(spark, [(x,) for x in "abcde"], "id string")
     edges = df(spark, [("b", "a"), ("c", "b"), ("d", "e"), ("e", "d"), ("c", "zz"), ("b", "a")], "id string, depends_on string")
