@@ -68,13 +68,18 @@ def tags(name: str) -> Column:
 
 def split(rows: DataFrame, faults: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Rows without a fault, and gaps (report_id, reason) of the others by the first fault that holds or is null."""
+    rows = rows.withColumn("_why", first_fault(rows, faults))
+    return rows.where("_why is null").drop("_why"), rows.where("_why is not null").select("report_id", F.col("_why").alias("reason"))
+
+
+def first_fault(rows: DataFrame, faults: dict[str, Column]) -> Column:
+    """The reason of the first fault that holds or is null, null if there is none."""
     why = F.when(~F.coalesce("ok", F.lit(False)), "malformed")
     if "root" in rows.columns:
         why = why.when(~F.coalesce("root", F.lit(False)), "wrong root")
     for reason, bad in faults.items():
         why = why.when(F.coalesce(bad, F.lit(True)), reason)
-    rows = rows.withColumn("_why", why)
-    return rows.where("_why is null").drop("_why"), rows.where("_why is not null").select("report_id", F.col("_why").alias("reason"))
+    return why
 
 
 def line(value: Column) -> Column:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from sluice.sources.common import blank, differs, line, once, parsed_json, split, whole_json
+from sluice.sources.common import blank, differs, first_fault, line, once, parsed_json, split, whole_json
 
 
 def _issue(rows: DataFrame, tool: Column, rule: Column, file: Column, at: Column, message: Column) -> DataFrame:
@@ -28,6 +29,11 @@ def _none(kind: str) -> Column:
     return F.array().cast(f"array<{kind}>")
 
 
+def _with(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), the value being computed once however often it is used, which no projection does within a lambda."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _filled(template: Column, arguments: Column) -> Column:
     """{0}, {1}.. by the arguments, {{ and }} as braces; null for any other brace or a missing argument."""
     parts = F.regexp_extract_all(template, F.lit(r"\{\{|\}\}|\{\d+\}|[^{}]+|[{}]"), F.lit(0))
@@ -35,8 +41,7 @@ def _filled(template: Column, arguments: Column) -> Column:
         F.when(p == "{{", "{").when(p == "}}", "}").when(p.isin("{", "}"), F.lit(None))
         .when(p.rlike(r"^\{\d+\}$"), F.get(arguments, F.regexp_extract(p, r"\d+", 0).try_cast("int"))).otherwise(p)
     )
-    done = F.transform(parts, one)
-    return F.when(~F.exists(done, lambda p: p.isNull()), F.array_join(done, ""))
+    return _with(F.transform(parts, one), lambda done: F.when(~F.exists(done, lambda p: p.isNull()), F.array_join(done, "")))
 
 
 def sarif(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -62,7 +67,7 @@ def sarif(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         "run without results": F.exists("runs", lambda u: u["results"].isNull()), "baseline": F.exists("runs", lambda u: u["baselineGuid"].isNotNull() | F.exists(F.coalesce(u["results"], _none(_RESULT)), lambda x: x["baselineState"].isNotNull())),
         "rules": F.exists("runs", lambda u: F.exists(ids(u), blank) | (F.size(F.array_distinct(ids(u))) != F.size(ids(u)))),
     }
-    sound, gaps = split(rows, faults)
+    rows = once(rows, "fault", first_fault(rows, faults))
 
     def result(u: Column, by_id: Column, x: Column) -> Column:
         index = F.coalesce(x["ruleIndex"], x["rule"]["index"])
@@ -75,26 +80,26 @@ def sarif(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
         spots = F.array_distinct(F.transform(F.coalesce(x["locations"], _none(_PLACE)), lambda p: F.struct(
             p["physicalLocation"]["artifactLocation"]["uri"].alias("file"), p["physicalLocation"]["region"]["startLine"].alias("line"), p["physicalLocation"]["region"]["endLine"].alias("end_line"))))
         lost = F.exists(F.coalesce(x["locations"], _none(_PLACE)), lambda p: blank(p["physicalLocation"]["artifactLocation"]["uri"]) & (F.size(F.filter(F.coalesce(p["logicalLocations"], _none("struct<fullyQualifiedName: string, name: string>")), lambda l: ~blank(F.coalesce(l["fullyQualifiedName"], l["name"])))) == 0))
-        wrong = F.exists(spots, lambda p: F.coalesce((p["line"] < 1) | (p["end_line"] < 1), F.lit(False)) | p["end_line"].isNotNull() & F.coalesce(p["end_line"] < p["line"], F.lit(True)))
+        wrong = lambda s: F.exists(s, lambda p: F.coalesce((p["line"] < 1) | (p["end_line"] < 1), F.lit(False)) | p["end_line"].isNotNull() & F.coalesce(p["end_line"] < p["line"], F.lit(True)))
         kind, level = F.coalesce(x["kind"], F.lit("fail")), x["level"]
         severe = level.isNotNull() & (~level.isin("none", "note", "warning", "error") | (kind != "fail") & (level != "none"))
         hushed = F.coalesce(x["suppressions"], _none("struct<kind: string>"))
-        why = (
+        why = lambda v: (
             F.when(kind.isin("open", "review"), "undecided").when(~kind.isin("fail", "pass", "notApplicable", "informational"), "kind").when(severe, "level").when(disagree | blank(name), "rule")
-            .when(text.isNull(), "message").when(lost | wrong, "location").when(F.exists(hushed, lambda h: ~F.coalesce(h["kind"].isin("inSource", "external"), F.lit(False))), "suppression")
+            .when(v["text"].isNull(), "message").when(lost | wrong(v["spots"]), "location").when(F.exists(hushed, lambda h: ~F.coalesce(h["kind"].isin("inSource", "external"), F.lit(False))), "suppression")
         )
-        return F.struct(kind.alias("kind"), name.alias("rule"), text.alias("message"), (F.size(hushed) > 0).alias("suppressed"), spots.alias("spots"), why.alias("why"))
+        return _with(F.struct(text.alias("text"), spots.alias("spots")), lambda v: F.struct(kind.alias("kind"), name.alias("rule"), v["text"].alias("message"), (F.size(hushed) > 0).alias("suppressed"), v["spots"].alias("spots"), why(v).alias("why")))
 
     def read(u: Column) -> Column:
         by_id = F.map_from_entries(F.transform(rules(u), lambda q: F.struct(q["id"], q["messageStrings"])))
         return F.struct(u["tool"]["driver"]["name"].alias("name"), F.transform(u["results"], lambda x: result(u, by_id, x)).alias("found"))
 
-    # repeated rule ids are gaps by now: the map of the ids has each key once
-    read_runs = once(sound.select("report_id", F.posexplode("runs").alias("run", "each")), "u", read(F.col("each"))).select("report_id", "run", "u")
-    why = lambda found: F.try_element_at(F.filter(F.transform(found, lambda x: x["why"]), lambda w: w.isNotNull()), F.lit(1))
-    per_run = read_runs.select("report_id", "run", "u.name", "u.found", why(F.col("u.found")).alias("why"))
-    bad = per_run.where("why is not null").groupBy("report_id").agg(F.min_by("why", "run").alias("reason"))
-    good = per_run.join(bad.select("report_id"), "report_id", "left_anti")
+    # repeated rule ids are gaps by now: the map of the ids has each key once; good and bad reports part without being read twice
+    rows = once(rows.select("report_id", "fault", "runs"), "read", F.when(F.col("fault").isNull(), F.transform("runs", read))).select("report_id", "fault", "read")
+    whys = F.flatten(F.transform("read", lambda u: F.transform(u["found"], lambda x: x["why"])))
+    rows = rows.withColumn("why", F.coalesce("fault", F.get(F.filter(whys, lambda w: w.isNotNull()), F.lit(0))))
+    gaps = rows.where("why is not null").select("report_id", F.col("why").alias("reason"))
+    good = rows.where("why is null").select("report_id", F.posexplode("read").alias("run", "u")).select("report_id", "run", "u.name", "u.found")
     x = good.select("report_id", "run", "name", F.explode("found").alias("x"))
     issues = x.where("x.kind = 'fail'").select(
         "report_id", F.col("name").alias("tool"), "x.rule", F.try_element_at("x.spots", F.lit(1))["file"].alias("file"), F.try_element_at("x.spots", F.lit(1))["line"].alias("line"), "x.message", F.col("x.spots").alias("locations")
@@ -103,7 +108,7 @@ def sarif(raw: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     summary = good.select(
         "report_id", "run", F.size("found").cast("long").alias("results"), number(lambda x: x["kind"] == "fail").alias("violations"), number(lambda x: x["kind"] != "fail").alias("non_violations"), number(lambda x: (x["kind"] == "fail") & x["suppressed"]).alias("suppressed")
     )
-    return issues, gaps.unionByName(bad), summary
+    return issues, gaps, summary
 
 
 def coverage_py(raw: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -215,6 +215,14 @@ def test_a_report_is_parsed_once(spark, name, parse):
         assert plan.count(parse) <= 2, name  # at most once on each side of a join
 
 
+def test_sarif_is_read_in_one_pass(spark):
+    """Good and bad reports part without a second parse or a join, and a message is filled in once."""
+    raw = spark.createDataFrame([("0", GOOD["sarif"])], "report_id string, content string")
+    for part in j.sarif(raw):
+        plan = part._jdf.queryExecution().optimizedPlan().toString()
+        assert (plan.count("from_json("), plan.count("regexp_extract_all("), plan.count("Join ")) == (1, 1, 0)
+
+
 def test_javac_takes_excerpts_for_no_warnings(spark):
     text = "warning: [options] no modules\r\na/B.java:4: warning: [removal] x] y\r\nC.java:9: warning: [deprecation] in an excerpt\r\n  ^\r\nNote: other\r\n\r\n2 warnings\r\n"
     facts, gaps = t.javac(spark.createDataFrame([("0", text), ("1", "")], "report_id string, content string"))
