@@ -6,8 +6,9 @@ bytes of all windows around them) are settled by their first one. The suffixes a
 on 8-byte characters down to a shallow depth, blind tries for the groups that still share a long prefix. The same is done
 for what stands before the anchors, backwards. Two windows with an anchor at offset o are equal if the two sorted orders
 show common prefixes of 100 - o bytes after and o bytes before the anchor. Every window but the first of its class is
-removed. Anchors with very many contexts are settled by window hashes instead, with a grouped minimum that no single task
-holds. Contexts count as equal by two independent hashes, of 64 and 17 bits, and windows by two of 64 bits.
+removed. For anchors with very many contexts the windows are told apart in strips instead: the 98 bytes that three windows
+in a row share go by their hashes, the two bytes at either side as they are, so that a task need not hold all contexts.
+Contexts count as equal by two independent hashes, of 64 and 17 bits, and strips by two of 64 bits.
 """
 
 from __future__ import annotations
@@ -26,7 +27,10 @@ LENGTH = 100  # bytes of a string that counts
 GRAM = 32  # bytes of an anchor
 REACH = LENGTH - GRAM  # bytes before an anchor that its windows can hold
 SHALLOW = 4  # 8-byte characters sorted before blind tries take over
-MANY = 128  # contexts of one anchor string that are sorted as suffixes; beyond, window hashes
+MANY = 128  # contexts of one anchor string that are sorted as suffixes; beyond, strips
+SIDE = 2  # bytes at either side of a strip
+STRIP = LENGTH - SIDE  # bytes that SIDE + 1 windows in a row share
+HELD = 20_000  # rows that are sorted at a time
 CHUNK = 1 << 20  # bytes hashed at a time
 
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -70,13 +74,16 @@ class Hashed:
     def hash(self, start: np.ndarray, stop: np.ndarray) -> np.ndarray:
         return _mixed((self.sums[stop] - self.sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
 
+    def grams(self) -> np.ndarray:
+        return _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: len(self.data) - GRAM + 1])
+
     def anchors(self) -> tuple[np.ndarray, ...]:
         """text index, place in the text, key and context hash of every anchor, and its reach before and after, last with
         17 bits of a second hash."""
         n = len(self.data)
         if n < LENGTH:
             return (_NONE,) * 5
-        h = _mixed((self.sums[GRAM:] - self.sums[:-GRAM]) * self.down[: n - GRAM + 1])
+        h = self.grams()
         whole = np.zeros(n - GRAM + 1, bool)
         window = np.zeros(n - LENGTH + 1, bool)
         for a, b in zip(self.starts.tolist(), self.stops.tolist(), strict=True):
@@ -217,33 +224,121 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _table(SORT, k, np.zeros(len(k)), d, p, np.zeros(len(k)))
 
 
-_SPOTS = "hot boolean, key long, twin long, doc long, place int, before binary, after binary"
+_SPOTS = "kind int, key long, twin long, rest long, doc long, place int, before binary, after binary"
+_SPOT_KINDS = (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _spot_rows(kind: int, n: int, **cols) -> pa.RecordBatch:
+    """SORT: an anchor and what stands before (backwards) and after it. HOT: a strip's hashes, place and sides (rest). GONE:
+    an interval, its end in rest."""
+    names = [c.split()[0] for c in _SPOTS.split(", ")]
+    cols["kind"] = np.full(n, kind, np.int32)
+    blank = {"twin": np.zeros(n, np.int64), "rest": np.zeros(n, np.int64), "before": [None] * n, "after": [None] * n}
+    return pa.RecordBatch.from_arrays([pa.array(cols.get(c, blank.get(c)), k) for c, k in zip(names, _SPOT_KINDS, strict=True)], names)
+
+
+def _strips(texts: list[bytes], hot: list[list[int]]) -> tuple[np.ndarray, ...]:
+    """text index, place, two hashes and sides of the strips around these anchors. A window goes with the anchor that is its
+    least-hashed string, the first of equal ones, and with the strip that is by a multiple of SIDE + 1 before that: both are
+    told from its own bytes, so equal windows go with equal strips. Windows whose least-hashed string is another kind of
+    anchor are settled by that one."""
+    laid = Hashed(texts)
+    n = len(laid.data)
+    h = laid.grams()
+    least = _slide(h, REACH + 1, np.minimum)
+    anchor = np.repeat(np.arange(len(texts)), [len(x) for x in hot])
+    at = laid.starts[anchor] + np.array([p for x in hot for p in x], np.int64)
+    texts_of, places = [], []
+    for i in range(0, len(at), HELD):
+        t, p = anchor[i : i + HELD], at[i : i + HELD]
+        start = p[:, None] - np.arange(REACH + 1)
+        own = (start >= laid.starts[t][:, None]) & (start + LENGTH <= laid.stops[t][:, None])
+        own &= least[np.clip(start, 0, n - LENGTH)] == h[p][:, None]
+        same = (h[np.maximum(start, 0)] == h[p][:, None]) & (start >= laid.starts[t][:, None])
+        own[:, 1:] &= ~np.logical_or.accumulate(same[:, 1:], axis=1)
+        which, step = np.nonzero(np.logical_or.reduceat(own, np.arange(0, REACH + 1, SIDE + 1), axis=1))
+        texts_of.append(t[which])
+        places.append(p[which] - (SIDE + 1) * step - laid.starts[t[which]])
+    text, place = np.concatenate(texts_of), np.concatenate(places)
+    size = laid.stops - laid.starts
+    start = laid.starts[text] + place
+    stop = start + STRIP
+    key = laid.hash(start, stop).view(np.int64)
+    twin = Hashed([laid.data.tobytes()], 1).hash(start, stop).view(np.int64)
+    before, after = np.minimum(place, SIDE), np.minimum(size[text] - place - STRIP, SIDE)
+    rest = before | after << 2
+    for i in range(SIDE):
+        rest |= np.where(i < before, laid.data[np.maximum(start - 1 - i, 0)], 0).astype(np.int64) << 8 * (1 + i)
+        rest |= np.where(i < after, laid.data[np.minimum(stop + i, len(laid.data) - 1)], 0).astype(np.int64) << 8 * (1 + SIDE + i)
+    return text, place, key, twin, rest
+
+
+def _again(key: np.ndarray, twin: np.ndarray, rest: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each strip's windows, by bytes before it: which are there, and which have an equal one that starts earlier."""
+    there, again = np.zeros((len(key), SIDE + 1), bool), np.zeros((len(key), SIDE + 1), bool)
+    for o in range(SIDE + 1):
+        rows = np.flatnonzero(((rest & 3) >= o) & ((rest >> 2 & 3) >= SIDE - o))
+        there[rows, o] = True
+        side = (rest[rows] >> 8 & (1 << 8 * o) - 1) | (rest[rows] >> 8 * (1 + SIDE) & (1 << 8 * (SIDE - o)) - 1) << 8 * SIDE
+        rows = rows[(by := np.lexsort((place[rows], doc[rows], side, twin[rows], key[rows])))]
+        side = side[by]
+        new = np.ones(len(rows), bool)
+        new[1:] = (key[rows[1:]] != key[rows[:-1]]) | (twin[rows[1:]] != twin[rows[:-1]]) | (side[1:] != side[:-1])
+        first = rows[np.maximum.accumulate(np.where(new, np.arange(len(rows)), 0))]
+        again[rows, o] = (doc[rows] != doc[first]) | (place[rows] != place[first])
+    return there, again
+
+
+def _found_again(again: np.ndarray, doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    row, o = np.nonzero(again)
+    return _merged(doc[row], place[row] - o, place[row] - o + LENGTH)
+
+
+def _fold(cols: tuple[np.ndarray, ...]) -> tuple[tuple[np.ndarray, ...], tuple[np.ndarray, ...]]:
+    """Of key, twin, rest, doc and place the rows with a window that none of them has earlier, and the others' intervals."""
+    there, again = _again(*cols)
+    stay = (there & ~again).any(axis=1)
+    return tuple(x[stay] for x in cols), _found_again(again & ~stay[:, None], *cols[3:])
 
 
 def _spots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What stands before (backwards) and after each anchor to sort; for anchors of very many contexts instead all windows
-    around them, as hash and start, each once per text."""
-    kinds = (pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    """What stands around each anchor to sort; for anchors of very many contexts instead the strips around them, of which
+    those that others in the batch make needless are left out and their windows go."""
+
+    def sort(rows: list[tuple]) -> pa.RecordBatch:
+        key, doc, place, before, after = zip(*rows, strict=True)
+        return _spot_rows(SORT, len(rows), key=key, doc=doc, place=place, before=before, after=after)
 
-    def batch(rows: list[tuple]) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True)) or [()] * 7
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], ["hot", "key", "twin", "doc", "place", "before", "after"])
+    def hot(parts: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
+        (key, twin, rest, doc, place), gone = _fold(tuple(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield _spot_rows(HOT, len(key), key=key, twin=twin, rest=rest, doc=doc, place=place)
+        yield _spot_rows(GONE, len(gone[0]), key=gone[0], rest=gone[2], doc=gone[0], place=gone[1])
 
     for b in batches:
         rows: list[tuple] = []
-        for doc, text, wants in zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wants")), strict=True):
+        docs, texts, places, size, parts = [], [], [], 0, []
+        for i, (doc, text, wants) in enumerate(zip(*(b.column(c).to_pylist() for c in ("doc", "text", "wants")), strict=True)):
             t = text.encode()
-            rows += [(False, w["key"], 0, doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p : p + LENGTH]) for w in wants if w["kind"] == SORT]
-            hot = np.array([w["place"] for w in wants if w["kind"] == HOT], np.int64)
-            if len(hot):
-                start = np.unique((hot[:, None] - np.arange(REACH + 1)).ravel())
-                start = start[(start >= 0) & (start + LENGTH <= len(t))]
-                one, two = (Hashed([t], which).hash(start, start + LENGTH).view(np.int64).tolist() for which in (0, 1))
-                rows += [(True, h, g, doc, at, None, None) for h, g, at in zip(one, two, start.tolist(), strict=True)]
-            if len(rows) > 20_000:
-                yield batch(rows)
+            rows += [(w["key"], doc, p := w["place"], t[max(0, p - REACH) : p][::-1], t[p + GRAM : p + LENGTH]) for w in wants if w["kind"] == SORT]
+            if len(rows) > HELD:
+                yield sort(rows)
                 rows = []
-        yield batch(rows)
+            if many := [w["place"] for w in wants if w["kind"] == HOT]:
+                docs.append(doc)
+                texts.append(t)
+                places.append(many)
+                size += len(t)
+            if texts and (size > CHUNK or i == b.num_rows - 1):
+                text_of, place, key, twin, rest = _strips(texts, places)
+                parts.append((key, twin, rest, np.array(docs, np.int64)[text_of], place))
+                docs, texts, places, size = [], [], [], 0
+                if sum(len(x[0]) for x in parts) > 10 * HELD:
+                    yield from hot(parts)
+                    parts = []
+        if rows:
+            yield sort(rows)
+        if parts:
+            yield from hot(parts)
 
 
 def blind_trie(strings: list[bytes], depth: int) -> list[int]:
@@ -345,13 +440,13 @@ def repeated(key: np.ndarray, doc: np.ndarray, place: np.ndarray, before: list[b
     rank = rank[once]
     key, doc, place = key[rank], doc[rank], place[rank]
     before, after = [before[i] for i in rank], [after[i] for i in rank]
-    right = deep_shallow(key, after, GRAM, LENGTH)
+    right = deep_shallow(key, after, 0, REACH)
     left = deep_shallow(key, before, 0, REACH)
     n_before, n_after = np.array([len(x) for x in before]), np.array([len(x) for x in after])
     gone = np.zeros((len(key), REACH + 3), bool)
     for o in range(REACH + 1):
-        rows = np.flatnonzero((n_before >= o) & (n_after >= LENGTH - o))
-        code = _classes(*right, LENGTH - o)[rows] * (len(key) + 1) + _classes(*left, o)[rows]
+        rows = np.flatnonzero((n_before >= o) & (n_after >= REACH - o))
+        code = _classes(*right, REACH - o)[rows] * (len(key) + 1) + _classes(*left, o)[rows]
         by = np.argsort(code, kind="stable")
         again = np.zeros(len(rows), bool)
         again[by[1:]] = code[by[1:]] == code[by[:-1]]
@@ -363,26 +458,48 @@ def repeated(key: np.ndarray, doc: np.ndarray, place: np.ndarray, before: list[b
 
 
 def _sorted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["key", "doc", "place", "before", "after"]
+    """Intervals of the windows that start earlier, too, from spots in (kind, key, doc, place) order."""
 
-    def done(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
-        t = pa.Table.from_batches(rows)
-        arrays = [t.column(c).to_numpy() for c in names[:3]]
-        doc, start, stop = repeated(*arrays, t.column("before").to_pylist(), t.column("after").to_pylist())
+    def gone(doc, start, stop) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], ["doc", "start", "stop"])
 
-    held: list[pa.RecordBatch] = []
-    for b in batches:  # in key order; groups are held together, of MANY rows at most
-        if b.num_rows == 0:
-            continue
-        key = b.column("key").to_numpy()
-        cut = int(np.searchsorted(key, key[-1], "left"))
-        if sum(x.num_rows for x in held) + cut > 20_000 and (cut or held[-1].column("key")[-1].as_py() != key[0]):
-            yield done([*held, b.slice(0, cut)] if cut else held)
-            held, b = [], b.slice(cut)
-        held.append(b)
-    if held:
-        yield done(held)
+    def arrays(rows: list[pa.RecordBatch], *names: str) -> list[np.ndarray]:
+        t = pa.Table.from_batches(rows)
+        return [t.column(c).to_numpy() for c in names]
+
+    def anchors(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        t = pa.Table.from_batches(rows)
+        return gone(*repeated(*arrays(rows, "key", "doc", "place"), t.column("before").to_pylist(), t.column("after").to_pylist()))
+
+    def strips(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+        cols = arrays(rows, "key", "twin", "rest", "doc", "place")
+        return gone(*_found_again(_again(*cols)[1], *cols[3:]))
+
+    held: dict[int, list[pa.RecordBatch]] = {SORT: [], HOT: []}
+    solve = {SORT: anchors, HOT: strips}
+    for b in batches:
+        bounds = np.searchsorted(b.column("kind").to_numpy(), [GONE, SORT, HOT, HOT + 1]).tolist()
+        for kind, at, end in zip((GONE, SORT, HOT), bounds[:-1], bounds[1:], strict=True):
+            if at == end:
+                continue
+            rows = b.slice(at, end - at)
+            if kind == GONE:
+                yield gone(*arrays([rows], "doc", "place", "rest"))
+                continue
+            key = rows.column("key").to_numpy()  # groups are held together: of SORT they have MANY rows at most
+            cut, now = int(np.searchsorted(key, key[-1], "left")), held[kind]
+            if sum(x.num_rows for x in now) + cut > HELD and (cut or now[-1].column("key")[-1].as_py() != key[0]):
+                yield solve[kind]([*now, rows.slice(0, cut)] if cut else now)
+                now[:], rows = [], rows.slice(cut)
+            now.append(rows)
+            if kind == HOT and sum(x.num_rows for x in now) > 2 * HELD:  # one string's: what it leaves is some 200,000 rows at most
+                names = ["key", "twin", "rest", "doc", "place"]
+                cols, again = _fold(tuple(arrays(now, *names)))
+                yield gone(*again)
+                now[:] = [_spot_rows(HOT, len(cols[0]), **dict(zip(names, cols, strict=True)))]
+    for kind, rows in held.items():
+        if rows:
+            yield solve[kind](rows)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -428,15 +545,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         rows = rows.join(names.withColumnRenamed("doc_id", "i"), same).select("doc_id", "text", "doc")
     found = rows.where(F.octet_length("text") >= LENGTH).select("doc", "text").mapInArrow(_find, _ANCHOR)
     found = found.repartition(n, "key").sortWithinPartitions("key", "context", "stop", "doc", "place")
-    settled = keep(found.mapInArrow(_settle, _ANCHOR), "settled")
+    settled = keep(found.mapInArrow(_settle, _ANCHOR), "settled", free=True)
 
     wants = settled.where(F.col("kind").isin(SORT, HOT)).groupBy("doc").agg(F.collect_list(F.struct("kind", "key", "place")).alias("wants"))
-    spots = keep(rows.select("doc", "text").join(wants, "doc").select("doc", "text", "wants").mapInArrow(_spots, _SPOTS), "spots")
-    ordered = spots.where("not hot").drop("hot", "twin").repartition(n, "key").sortWithinPartitions("key").mapInArrow(_sorted, "doc long, start int, stop int")
-    windows = spots.where("hot").select("key", "twin", "doc", F.col("place").alias("start"))
-    first = keep(windows.groupBy("key", "twin").agg(F.min(F.struct("doc", "start")).alias("first")), "first")
-    again = windows.join(first, ["key", "twin"]).where("first.doc <> doc or first.start <> start").select("doc", "start", (F.col("start") + LENGTH).alias("stop"))
-    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), "stop").unionByName(ordered).unionByName(again)
+    spots = rows.select("doc", "text").join(wants, "doc").select("doc", "text", "wants").mapInArrow(_spots, _SPOTS)
+    spots = spots.repartition(n, "key").sortWithinPartitions("kind", "key", "doc", "place")
+    ordered = keep(spots.mapInArrow(_sorted, "doc long, start int, stop int"), "ordered", free=True)
+    gone = settled.where(F.col("kind") == GONE).select("doc", F.col("place").alias("start"), "stop").unionByName(ordered)
     gone = gone.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("gone"))
     return rows.join(gone, "doc", "left").select("doc_id", "text", "gone").mapInArrow(
         _cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start: int, stop: int>>"

@@ -4,10 +4,12 @@ import hashlib
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -351,6 +353,85 @@ def test_repeats_against_all_windows(spark, monkeypatch, many):
     assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _brute(rows)
 
 
+def _stages(spark):
+    """What each stage that is known wrote to shuffles and tables, in bytes."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), sc._jvm.java.util.ArrayList())
+    return {(x := stages.apply(i)).stageId(): x.shuffleWriteBytes() + x.outputBytes() for i in range(stages.size())}
+
+
+def test_passages_of_very_many_texts_are_not_multiplied_on_disk(spark, tmp_path):
+    """Around each of their anchors many windows have to be told apart; that must not take a row for each, again and again."""
+    rnd = random.Random(8)
+    prose = lambda n: "".join(rnd.choice("etaoin shrdlu") for _ in range(n))
+    passage = prose(160)
+    rows = [(i, prose(rnd.randint(60, 120)) + passage[rnd.randint(0, 9) :] + prose(rnd.randint(60, 120))) for i in range(1500)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    docs.write.parquet(str(tmp_path / "in"))
+    before = max(_stages(spark))
+    suffix_dedup.remove_repeats(spark.read.parquet(str(tmp_path / "in"))).write.parquet(str(tmp_path / "out"))
+    written = sum(x for k, x in _stages(spark).items() if k > before)
+    assert written < 6 * sum(len(t) for _, t in rows)
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == _brute(rows)
+
+
+def _gone_here(rows, size):
+    """Removed bytes of each document, by the steps of op2 in this process, where its limits can be set."""
+    whole = pa.table({"doc": [i for i, _ in rows], "text": [t for _, t in rows]})
+    step = lambda f, t, *by: pa.Table.from_batches(list(f(iter((t.sort_by([(c, "ascending") for c in by]) if by else t).to_batches(size)))))
+    settled = step(suffix_dedup._settle, step(suffix_dedup._find, whole), "key", "context", "stop", "doc", "place").to_pylist()
+    wants = {}
+    for r in settled:
+        if r["kind"] in (suffix_dedup.SORT, suffix_dedup.HOT):
+            wants.setdefault(r["doc"], []).append(r)
+    assert {w["kind"] for x in wants.values() for w in x} == {suffix_dedup.SORT, suffix_dedup.HOT}
+    around = pa.table({"doc": list(wants), "text": [dict(rows)[i] for i in wants], "wants": list(wants.values())})
+    gone = step(suffix_dedup._sorted, step(suffix_dedup._spots, around), "kind", "key", "doc", "place").to_pylist()
+    gone += [{"doc": r["doc"], "start": r["place"], "stop": r["stop"]} for r in settled if r["kind"] == suffix_dedup.GONE]
+    out = {i: set() for i, _ in rows}
+    for r in gone:
+        out[r["doc"]].update(range(r["start"], r["stop"]))
+    return {i: len(x) for i, x in out.items()}
+
+
+@pytest.mark.parametrize(("held", "size", "seed"), [(20_000, 10_000, 1), (20_000, 40, 2), (30, 40, 3), (5, 7, 4)])
+def test_windows_around_anchors_of_many_contexts(monkeypatch, held, size, seed):
+    """Which anchors stand in a window depends on what is around it, but for its least-hashed one; and groups of strips are
+    folded as they are read."""
+    monkeypatch.setattr(suffix_dedup, "MANY", 3)
+    monkeypatch.setattr(suffix_dedup, "HELD", held)
+    rnd = random.Random(seed)
+    bases, rows = ["".join(rnd.choice("ab ") for _ in range(700)) for _ in range(3)], []
+    for i in range(300):
+        parts = []
+        for _ in range(rnd.randint(1, 3)):
+            a, base = rnd.randint(0, 600), rnd.choice(bases)
+            parts += ["".join(rnd.choice("ab ") for _ in range(rnd.choice([0, 1, 2, 3, 40]))), base[a : a + rnd.randint(60, 260)]]
+        if len(t := "".join(parts)) >= 100:
+            rows.append((i, t))
+    rows += [(1000, "y" * 300), (1001, "y" * 101 + bases[0][:99]), (1002, bases[0][:100] + "y" * 100)]
+    assert _gone_here(rows, size) == {i: x[1] for i, x in _brute(rows).items()}
+
+
+def test_shuffle_files_of_a_kept_table_can_go_at_once(spark):
+    from sluice.tables import CLEANUP, keep
+
+    def shuffled():
+        blocks = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+        return {name for i in range(blocks.size()) if (name := blocks.apply(i).name()).startswith("shuffle")}
+
+    was, before = spark.conf.get(CLEANUP), shuffled()
+    kept = keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts", free=True)
+    for _ in range(100):
+        if not shuffled() - before:
+            break
+        time.sleep(0.1)
+    assert not shuffled() - before and spark.conf.get(CLEANUP) == was
+    assert {r["k"]: r["count"] for r in kept.collect()} == {k: 143 if k < 6 else 142 for k in range(7)}
+
+
 @ALL
 def test_repeats_of_edge_rows(edge_docs, extra):
     got = Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans) for r in suffix_dedup.remove_repeats(edge_docs[extra]).collect())
